@@ -196,7 +196,7 @@ def _long_lists(lists: DataFrame, sketches: DataFrame, full: DataFrame, tmp: Scr
         kind = F.when(F.col("inter") * 100 >= F.col("uni") * percent, "in").when(F.col("inter") * 100 >= F.col("uni") * wide, "edge").otherwise("out")
         told = with_c.where(F.col("rep") != F.col("a")).join(known.select("a", F.col("b").alias("rep"), "inter", "uni").hint("merge"), ["a", "rep"], "left")
         told = tmp.cut(told.select("lid", "rep", "n", "score", kind.alias("kind")), f"told-{k}")
-        has = tmp.cut(told.groupBy("lid").agg(F.count_if("kind = 'edge'").alias("edges"), F.count_if("kind = 'out'").alias("outs")), f"has-{k}")
+        has = tmp.cut(told.groupBy("lid").agg(F.count_if(F.col("kind") == "edge").alias("edges"), F.count_if(F.col("kind") == "out").alias("outs")), f"has-{k}")
         told = told.join(has.hint("merge"), "lid")
         part = lambda df, tag: df.select(F.xxhash64("lid", F.lit(tag)).alias("lid"), "rep", "n", "score", (F.col("kind") == "in").alias("linked"))
         lists = tmp.cut(part(told.where("kind <> 'out' AND edges > 0"), "near").union(part(told.where("kind <> 'in' AND outs > 0 AND edges + outs > 1"), "far")), f"lists-{k}")
