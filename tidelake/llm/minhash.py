@@ -5,9 +5,10 @@ The values that class sketches retain, ordered from the rarest, give inverted li
 about three in ten million, one of their first values in that order (the prefix bound on their sketches' overlap). Pairs from the lists are filtered by
 the similarity that the sketch of the union estimates, and the rest are verified by the exact Jaccard similarity of their full sets.
 
-Long lists (large groups of near copies) aren't expanded into all pairs. Their members are compared with one centre. As 1 - Jaccard is a metric,
-members at distances of over twice the threshold from the centre can't be linked to those within it, so a list parts into a list around the
-centre, which is done if it holds linked members alone, and a list of the others; both go on until nothing is left to compare.
+The members of long lists are listed again by the rarest values of their whole sets, of which similar sets must share one without any chance. Lists
+that are still long (large groups of near copies) aren't expanded into all pairs: in each round their members meet a few centres, those with the most
+common values, and the links found give components. A list within one component is done. Members outside a list's largest component, once few, meet
+all others of the list.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of 1 to 4 words has one shingle. Rows without an id are
 linked with nothing and are kept. Rows that repeat an id are returned each, in the component of that id. An empty table gives an empty result.
@@ -28,8 +29,8 @@ from tidelake.llm.common import Scratch, map_batches, words
 SHINGLE, SKETCH, PERCENT = 5, 48, 85
 #: Lists of up to so many members are expanded into all their pairs.
 SHORT = 16
-#: Rounds of centres after which the lists that are left are expanded into all pairs.
-ROUNDS = 12
+#: Centres of a long list in a round; the number of members outside its largest component that then meet all its others; rounds after which these meet in any number.
+CENTRES, FEW, ROUNDS = 8, 64, 2
 SIGMAS = 5
 #: Bits of the filter that spares texts of no list from being read a second time; its size is fixed.
 FILTER_BITS = 1 << 22
@@ -112,9 +113,9 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, tmp:
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(batch.column("text").to_pylist(), hashes)
-        return {"rep": batch.column("rep"), "n": [len(s) for s in sets], "full": [s.tobytes() for s in sets]}
+        return {"rep": batch.column("rep"), "n": [len(s) for s in sets], "full": sets}
 
-    return tmp.cut(map_batches(some.join(wanted.hint("merge"), "rep", "left_semi"), run, "rep long, n int, full binary"), "full")
+    return tmp.cut(map_batches(some.join(wanted.hint("merge"), "rep", "left_semi"), run, "rep long, n int, full array<long>"), "full")
 
 
 def _similar(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -143,8 +144,10 @@ def _similar(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: in
 
     def exact(batch: pa.RecordBatch) -> dict:
         inter, union = [], []
-        for x, y in zip(batch.column("full_a").to_pylist(), batch.column("full_b").to_pylist(), strict=True):
-            both = np.concatenate((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)))
+        a, b = batch.column("full_a"), batch.column("full_b")
+        va, oa, vb, ob = a.values.to_numpy(), a.offsets.to_numpy(), b.values.to_numpy(), b.offsets.to_numpy()
+        for i in range(batch.num_rows):
+            both = np.concatenate((va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]))
             both.sort()
             inter.append(int((both[1:] == both[:-1]).sum()))
             union.append(len(both) - inter[-1])
@@ -153,61 +156,77 @@ def _similar(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: in
     return map_batches(both, exact, "a long, b long, inter int, uni int")
 
 
-def connected(edges: DataFrame, tmp: Scratch) -> DataFrame:
+def connected(edges: DataFrame, tmp: Scratch, tag: str = "") -> DataFrame:
     """(node, comp) for the nodes of edges (a, b): comp is the smallest node that can be reached. Each round takes the least label of a node's neighbours and then that label's own; labels only fall, and a round without change ends it."""
-    both = tmp.cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "both")
-    label = tmp.cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "label-0")
+    both = tmp.cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{tag}both")
+    label = tmp.cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), f"{tag}label-0")
     for k in range(1, 200):
         seen = both.join(label.select(F.col("node").alias("b"), "comp").hint("merge"), "b").select(F.col("a").alias("node"), "comp")
-        least = tmp.cut(seen.union(label).groupBy("node").agg(F.min("comp").alias("comp")), f"least-{k}")
+        least = tmp.cut(seen.union(label).groupBy("node").agg(F.min("comp").alias("comp")), f"{tag}least-{k}")
         jump = least.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         now = least.join(jump.hint("merge"), "comp").join(label.select("node", F.col("comp").alias("was")).hint("merge"), "node")
-        now = tmp.cut(now.select("node", F.col("next").alias("comp"), (F.col("next") < F.col("was")).alias("moved")), f"label-{k}")
-        tmp.drop(f"least-{k}", f"label-{k - 1}")
+        now = tmp.cut(now.select("node", F.col("next").alias("comp"), (F.col("next") < F.col("was")).alias("moved")), f"{tag}label-{k}")
+        tmp.drop(f"{tag}least-{k}", f"{tag}label-{k - 1}")
         label = now.select("node", "comp")
         if now.where("moved").isEmpty():
             break
     return label
 
 
+def _rarest(values: DataFrame, least, tmp: Scratch, name: str) -> DataFrame:
+    """The lists (lid: a value, rep, n, c: how many hold it, score) of the first k - least + 1 of each set's values (rep, n, k: their number, v), in ascending order of how many hold them: two sets that share at least so many values are in one list. Values that one set alone holds come first and need no list."""
+    common = tmp.cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), f"common-{name}")
+    own = Window.partitionBy("rep", "k")
+    ranked = values.join(common.hint("merge"), "v").select(
+        "rep", "n", "k", F.col("v").alias("lid"), "c", F.count("*").over(own).alias("m"), F.sum("c").over(own).alias("score"), F.row_number().over(own.orderBy("c", "v")).alias("at")
+    )
+    lists = tmp.cut(ranked.where(F.col("at") <= least.cast("int") * -1 + F.col("m") + 1).select("lid", "rep", "n", "c", "score"), f"lists-{name}")
+    tmp.drop(f"common-{name}")
+    return lists
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    return _similar(pairs, sketches, full, percent).where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b")
+
+
 def _ratio(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    x, y = (lists.select("lid", F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("linked").alias(f"l{s}")) for s in "ab")
-    return x.join(y.hint("merge"), "lid").where((F.col("a") < F.col("b")) & _ratio("na", "nb", percent) & ~(F.col("la") & F.col("lb"))).select("a", "b").distinct()
-
-
-def _long_lists(lists: DataFrame, sketches: DataFrame, full: DataFrame, tmp: Scratch, percent: int) -> DataFrame | None:
-    """The links within long lists (lid, rep, n, score, linked), by centres. linked: among those members that are known to be connected with each other."""
-    wide = 2 * percent - 100
-    found = None
-    for k in range(ROUNDS):
-        if lists.isEmpty():
-            return found
-        best = F.max_by(F.struct("rep", "n"), F.struct(~F.col("linked"), "score", -F.col("rep")))
-        centre = tmp.cut(lists.groupBy("lid").agg(best.alias("c"), F.count("*").alias("m")).select("lid", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), "m"), f"centre-{k}")
-        with_c = tmp.cut(lists.join(centre.hint("merge"), "lid"), f"with-{k}")
-        pairs = with_c.where((F.col("rep") != F.col("a")) & _ratio("n", "na", wide)).select("a", F.col("rep").alias("b")).distinct()
-        known = tmp.cut(_similar(pairs, sketches, full, wide), f"known-{k}")
-        linked = known.where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b")
-        found = linked if found is None else found.union(linked)
-        kind = F.when(F.col("inter") * 100 >= F.col("uni") * percent, "in").when(F.col("inter") * 100 >= F.col("uni") * wide, "edge").otherwise("out")
-        told = with_c.where(F.col("rep") != F.col("a")).join(known.select("a", F.col("b").alias("rep"), "inter", "uni").hint("merge"), ["a", "rep"], "left")
-        told = tmp.cut(told.select("lid", "rep", "n", "score", kind.alias("kind")), f"told-{k}")
-        has = tmp.cut(told.groupBy("lid").agg(F.count_if(F.col("kind") == "edge").alias("edges"), F.count_if(F.col("kind") == "out").alias("outs")), f"has-{k}")
-        told = told.join(has.hint("merge"), "lid")
-        part = lambda df, tag: df.select(F.xxhash64("lid", F.lit(tag)).alias("lid"), "rep", "n", "score", (F.col("kind") == "in").alias("linked"))
-        lists = tmp.cut(part(told.where("kind <> 'out' AND edges > 0"), "near").union(part(told.where("kind <> 'in' AND outs > 0 AND edges + outs > 1"), "far")), f"lists-{k}")
-        tmp.drop(f"centre-{k}", f"with-{k}", f"told-{k}", f"has-{k}")
-        size = tmp.cut(lists.groupBy("lid").agg(F.count("*").alias("m")), f"size-{k}")
-        sized = lists.join(size.hint("merge"), "lid")
-        short = _similar(_pairs(sized.where(F.col("m") <= SHORT), percent), sketches, full, percent).where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b")
-        found = found.union(tmp.cut(short, f"short-{k}"))
-        lists = sized.where(F.col("m") > SHORT).drop("m")
-    rest = _similar(_pairs(lists, percent), sketches, full, percent).where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b")
-    return found.union(tmp.cut(rest, "rest"))
+    x, y = (lists.select("lid", F.col("rep").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
+    return x.join(y.hint("merge"), "lid").where((F.col("a") < F.col("b")) & _ratio("na", "nb", percent)).select("a", "b").distinct()
+
+
+def _long_lists(lists: DataFrame, sketches: DataFrame, full: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) that connect all that the links within long lists (lid, rep, n, score) connect."""
+    top = F.max_by("rep", F.struct("score", -F.col("rep")))
+    head = tmp.cut(lists.groupBy("lid").agg(top.alias("head")), "heads")
+    # lists whose most common member is the same become one, whose pairs are those of all of them and more
+    own = lists.join(head.hint("merge"), "lid").groupBy(F.col("head").alias("lid"), "rep").agg(F.first("n").alias("n"), F.max("score").alias("score"), F.lit(False).alias("minor"))
+    own, links = tmp.cut(own, "members-0"), None
+    for k in range(1, ROUNDS + 1):
+        if own.isEmpty():
+            break
+        best = F.max_by(F.struct("rep", "n"), F.struct("minor", "score", -F.col("rep")))
+        centre = own.groupBy("lid", F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(CENTRES))).agg(best.alias("c")).select("lid", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"))
+        star = own.join(tmp.cut(centre, f"centres-{k}").hint("merge"), "lid").where((F.col("rep") != F.col("c")) & _ratio("n", "nc", percent))
+        found = tmp.cut(_linked(star.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), sketches, full, percent), f"star-{k}")
+        links = found if links is None else links.union(found)
+        comp = connected(links, tmp, f"{k}-").withColumnRenamed("node", "rep")
+        placed = tmp.cut(own.join(comp.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), f"placed-{k}")
+        of_list = placed.groupBy("lid", "comp").agg(F.count("*").alias("m")).groupBy("lid").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("most"), (F.sum("m") - F.max("m")).alias("others"))
+        of_list = tmp.cut(of_list.where("others > 0"), f"open-{k}")
+        placed = placed.join(of_list.hint("merge"), "lid").withColumn("minor", F.col("comp") != F.col("most"))
+        # every link that is left has an end outside the list's largest component; with few such members they meet all others
+        last = (F.col("others") <= FEW) | F.lit(k == ROUNDS)
+        few = placed.where(last & F.col("minor")).select("lid", F.col("rep").alias("c"), F.col("n").alias("nc"), F.col("comp").alias("cc"))
+        rest = placed.where(last).join(few.hint("merge"), "lid").where((F.col("comp") != F.col("cc")) & _ratio("n", "nc", percent))
+        found = tmp.cut(_linked(rest.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), sketches, full, percent), f"rest-{k}")
+        links = links.union(found)
+        own = tmp.cut(placed.where(~last).select("lid", "rep", "n", "score", "minor"), f"members-{k}")
+        tmp.drop(f"members-{k - 1}", f"centres-{k}", f"placed-{k}", f"open-{k}")
+    return links
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -219,21 +238,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sets.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
     values = classes.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-    common = tmp.cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "common")
-    own = Window.partitionBy("rep", "k")
-    take = F.col("k") - F.greatest(F.lit(1), F.floor(F.col("k") * percent / 100 - SIGMAS * F.sqrt(F.col("k") * percent * (100 - percent) / 10_000))) + 1
-    ranked = values.join(common.hint("merge"), "v").select(
-        "rep", "n", "k", F.col("v").alias("lid"), "c", F.count("*").over(own).alias("m"), F.sum("c").over(own).alias("score"), F.row_number().over(own.orderBy("c", "v")).alias("at")
-    )  # values that one sketch alone holds come before all of these
-    lists = tmp.cut(ranked.where(F.col("at") <= take - (F.col("k") - F.col("m"))).select("lid", "rep", "n", "c", "score"), "lists")
+    least = F.greatest(F.lit(1), F.floor(F.col("k") * percent / 100 - SIGMAS * F.sqrt(F.col("k") * percent * (100 - percent) / 10_000)))
+    lists = _rarest(values, least, tmp, "sketch")
     wanted = tmp.cut(lists.select("rep").distinct(), "wanted")
     sketches = tmp.cut(classes.select("rep", "sketch").join(wanted.hint("merge"), "rep", "left_semi"), "sketches")
     full = _full_sets(docs, doc_id, text, wanted, tmp)
-    lists = lists.withColumn("linked", F.lit(False))
-    links = tmp.cut(_similar(_pairs(lists.where(F.col("c") <= SHORT), percent), sketches, full, percent).where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b"), "links")
-    more = _long_lists(lists.where(F.col("c") > SHORT).select("lid", "rep", "n", "score", "linked"), sketches, full, tmp, percent)
+    links = tmp.cut(_linked(_pairs(lists.where(F.col("c") <= SHORT).select("lid", "rep", "n"), percent), sketches, full, percent), "links")
+    # whoever is in a long list is listed again by its whole set: similar sets share so much that few members are left whose first values are common
+    crowd = lists.where(F.col("c") > SHORT).select("rep").distinct()
+    whole = full.join(tmp.cut(crowd, "crowd").hint("merge"), "rep", "left_semi").select("rep", "n", F.col("n").alias("k"), F.explode("full").alias("v"))
+    again = _rarest(whole, F.ceil(F.col("k") * percent / 100), tmp, "whole")
+    links = links.union(tmp.cut(_linked(_pairs(again.where(F.col("c") <= SHORT), percent), sketches, full, percent), "links-whole"))
+    more = _long_lists(again.where(F.col("c") > SHORT).select("lid", "rep", "n", "score"), sketches, full, tmp, percent)
     edges = tmp.cut(links if more is None else links.union(more), "edges")
-    tmp.drop("full", "sketches", "lists", "common", "wanted", "links")
+    tmp.drop("full", "sketches", "wanted", "crowd", "links", "links-whole")
     label = connected(edges, tmp)
     rep = tmp.cut(
         classes.select("fp", "rep").join(label.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("component_id")), "rep"
