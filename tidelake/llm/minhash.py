@@ -118,11 +118,12 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, tmp:
     return tmp.cut(map_batches(some.join(wanted.hint("merge"), "rep", "left_semi"), run, "rep long, n int, full array<long>"), "full")
 
 
-def _similar(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with the exact intersection and union of their sets; those whose estimate from the union's sketch is far below the bound are left out."""
+def _similar(pairs: DataFrame, sketches: DataFrame | None, full: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with the exact intersection and union of their sets; those whose estimate from the union's sketch is far below the bound are left out (without sketches none)."""
     low = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
     one = lambda df, side, column: df.select(F.col("rep").alias(side), F.col(column).alias(f"{column}_{side}"))
-    near = pairs.join(one(sketches, "a", "sketch").hint("merge"), "a").join(one(sketches, "b", "sketch").hint("merge"), "b")
+    if sketches is not None:
+        near = pairs.join(one(sketches, "a", "sketch").hint("merge"), "a").join(one(sketches, "b", "sketch").hint("merge"), "b")
 
     def estimated(batch: pa.RecordBatch) -> dict:
         a, b, keep = batch.column("sketch_a"), batch.column("sketch_b"), []
@@ -139,7 +140,7 @@ def _similar(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: in
         keep = pa.array(keep)
         return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
 
-    near = map_batches(near, estimated, "a long, b long")
+    near = pairs if sketches is None else map_batches(near, estimated, "a long, b long")
     both = near.join(one(full, "a", "full").hint("merge"), "a").join(one(full, "b", "full").hint("merge"), "b")
 
     def exact(batch: pa.RecordBatch) -> dict:
@@ -174,43 +175,45 @@ def connected(edges: DataFrame, tmp: Scratch, tag: str = "") -> DataFrame:
 
 
 def _rarest(values: DataFrame, least, tmp: Scratch, name: str) -> DataFrame:
-    """The lists (lid: a value, rep, n, c: how many hold it, score) of the first k - least + 1 of each set's values (rep, n, k: their number, v), in ascending order of how many hold them: two sets that share at least so many values are in one list. Values that one set alone holds come first and need no list."""
+    """The lists (lid: a value, rep, n, cap: how many of its values others hold, c: how many hold the value, score) of the first k - least + 1 of each set's values (rep, n, k: their number, v), in ascending order of how many hold them: two sets that share at least so many values are in one list. Values that one set alone holds come first and need no list."""
     common = tmp.cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), f"common-{name}")
     own = Window.partitionBy("rep", "k")
     ranked = values.join(common.hint("merge"), "v").select(
         "rep", "n", "k", F.col("v").alias("lid"), "c", F.count("*").over(own).alias("m"), F.sum("c").over(own).alias("score"), F.row_number().over(own.orderBy("c", "v")).alias("at")
     )
-    lists = tmp.cut(ranked.where(F.col("at") <= least.cast("int") * -1 + F.col("m") + 1).select("lid", "rep", "n", "c", "score"), f"lists-{name}")
+    lists = tmp.cut(ranked.where(F.col("at") <= least.cast("int") * -1 + F.col("m") + 1).select("lid", "rep", "n", F.col("m").alias("cap"), "c", "score"), f"lists-{name}")
     tmp.drop(f"common-{name}")
     return lists
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sketches: DataFrame | None, full: DataFrame, percent: int) -> DataFrame:
     return _similar(pairs, sketches, full, percent).where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b")
 
 
-def _ratio(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may(a: str, b: str, percent: int):
+    """Whether sets of n values, of which cap are in any other set, may be similar enough: the intersection is no larger than either cap."""
+    most = F.least(f"cap{a}", f"cap{b}")
+    return most * 100 >= (F.col(f"n{a}") + F.col(f"n{b}") - most) * percent
 
 
 def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    x, y = (lists.select("lid", F.col("rep").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    return x.join(y.hint("merge"), "lid").where((F.col("a") < F.col("b")) & _ratio("na", "nb", percent)).select("a", "b").distinct()
+    x, y = (lists.select("lid", F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("cap").alias(f"cap{s}")) for s in "ab")
+    return x.join(y.hint("merge"), "lid").where((F.col("a") < F.col("b")) & _may("a", "b", percent)).select("a", "b").distinct()
 
 
 def _long_lists(lists: DataFrame, sketches: DataFrame, full: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) that connect all that the links within long lists (lid, rep, n, score) connect."""
+    """Links (a, b) that connect all that the links within long lists (lid, rep, n, cap, score) connect."""
     top = F.max_by("rep", F.struct("score", -F.col("rep")))
     head = tmp.cut(lists.groupBy("lid").agg(top.alias("head")), "heads")
     # lists whose most common member is the same become one, whose pairs are those of all of them and more
-    own = lists.join(head.hint("merge"), "lid").groupBy(F.col("head").alias("lid"), "rep").agg(F.first("n").alias("n"), F.max("score").alias("score"), F.lit(False).alias("minor"))
+    own = lists.join(head.hint("merge"), "lid").groupBy(F.col("head").alias("lid"), "rep").agg(F.first("n").alias("n"), F.max("cap").alias("cap"), F.max("score").alias("score"), F.lit(False).alias("minor"))
     own, links = tmp.cut(own, "members-0"), None
     for k in range(1, ROUNDS + 1):
         if own.isEmpty():
             break
-        best = F.max_by(F.struct("rep", "n"), F.struct("minor", "score", -F.col("rep")))
-        centre = own.groupBy("lid", F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(CENTRES))).agg(best.alias("c")).select("lid", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"))
-        star = own.join(tmp.cut(centre, f"centres-{k}").hint("merge"), "lid").where((F.col("rep") != F.col("c")) & _ratio("n", "nc", percent))
+        best = F.max_by(F.struct("rep", "n", "cap"), F.struct("minor", "score", -F.col("rep")))
+        centre = own.groupBy("lid", F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(CENTRES))).agg(best.alias("c")).select("lid", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"), F.col("c.cap").alias("capc"))
+        star = own.join(tmp.cut(centre, f"centres-{k}").hint("merge"), "lid").where((F.col("rep") != F.col("c")) & _may("", "c", percent))
         found = tmp.cut(_linked(star.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), sketches, full, percent), f"star-{k}")
         links = found if links is None else links.union(found)
         comp = connected(links, tmp, f"{k}-").withColumnRenamed("node", "rep")
@@ -220,11 +223,12 @@ def _long_lists(lists: DataFrame, sketches: DataFrame, full: DataFrame, tmp: Scr
         placed = placed.join(of_list.hint("merge"), "lid").withColumn("minor", F.col("comp") != F.col("most"))
         # every link that is left has an end outside the list's largest component; with few such members they meet all others
         last = (F.col("others") <= FEW) | F.lit(k == ROUNDS)
-        few = placed.where(last & F.col("minor")).select("lid", F.col("rep").alias("c"), F.col("n").alias("nc"), F.col("comp").alias("cc"))
-        rest = placed.where(last).join(few.hint("merge"), "lid").where((F.col("comp") != F.col("cc")) & _ratio("n", "nc", percent))
-        found = tmp.cut(_linked(rest.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), sketches, full, percent), f"rest-{k}")
-        links = links.union(found)
-        own = tmp.cut(placed.where(~last).select("lid", "rep", "n", "score", "minor"), f"members-{k}")
+        few = placed.where(last & F.col("minor")).select("lid", F.col("rep").alias("c"), F.col("n").alias("nc"), F.col("cap").alias("capc"), F.col("comp").alias("cc"))
+        rest = placed.where(last).join(few.hint("merge"), "lid").where((F.col("comp") != F.col("cc")) & _may("", "c", percent))
+        # members of one list are so alike that the estimate would hardly drop any
+        found = tmp.cut(_linked(rest.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), None, full, percent), f"rest-{k}")
+        links = comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).union(found)
+        own = tmp.cut(placed.where(~last).select("lid", "rep", "n", "cap", "score", "minor"), f"members-{k}")
         tmp.drop(f"members-{k - 1}", f"centres-{k}", f"placed-{k}", f"open-{k}")
     return links
 
@@ -243,13 +247,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = tmp.cut(lists.select("rep").distinct(), "wanted")
     sketches = tmp.cut(classes.select("rep", "sketch").join(wanted.hint("merge"), "rep", "left_semi"), "sketches")
     full = _full_sets(docs, doc_id, text, wanted, tmp)
-    links = tmp.cut(_linked(_pairs(lists.where(F.col("c") <= SHORT).select("lid", "rep", "n"), percent), sketches, full, percent), "links")
+    links = tmp.cut(_linked(_pairs(lists.where(F.col("c") <= SHORT).select("lid", "rep", "n", F.col("n").alias("cap")), percent), sketches, full, percent), "links")
     # whoever is in a long list is listed again by its whole set: similar sets share so much that few members are left whose first values are common
     crowd = lists.where(F.col("c") > SHORT).select("rep").distinct()
     whole = full.join(tmp.cut(crowd, "crowd").hint("merge"), "rep", "left_semi").select("rep", "n", F.col("n").alias("k"), F.explode("full").alias("v"))
     again = _rarest(whole, F.ceil(F.col("k") * percent / 100), tmp, "whole")
     links = links.union(tmp.cut(_linked(_pairs(again.where(F.col("c") <= SHORT), percent), sketches, full, percent), "links-whole"))
-    more = _long_lists(again.where(F.col("c") > SHORT).select("lid", "rep", "n", "score"), sketches, full, tmp, percent)
+    more = _long_lists(again.where(F.col("c") > SHORT).select("lid", "rep", "n", "cap", "score"), sketches, full, tmp, percent)
     edges = tmp.cut(links if more is None else links.union(more), "edges")
     tmp.drop("full", "sketches", "wanted", "crowd", "links", "links-whole")
     label = connected(edges, tmp)
