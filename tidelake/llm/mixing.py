@@ -32,7 +32,7 @@ ROWS = 2_000_000
 
 class Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh32_intdigest(word) % BUCKETS
         return value
