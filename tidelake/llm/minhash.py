@@ -29,8 +29,8 @@ from tidelake.llm.common import Scratch, map_batches, words
 SHINGLE, SKETCH, PERCENT = 5, 48, 85
 #: Lists of up to so many members are expanded into all their pairs.
 SHORT = 16
-#: Centres of a long list in a round; the number of members outside its largest component that then meet all its others; rounds after which these meet in any number.
-CENTRES, FEW, ROUNDS = 8, 64, 2
+#: Centres of a long list in a round; the number of members outside its largest component that then meet all its others; rounds after which these meet in any number; members of a block.
+CENTRES, FEW, ROUNDS, BLOCK = 8, 64, 2, 64
 SIGMAS = 5
 #: Bits of the filter that spares texts of no list from being read a second time; its size is fixed.
 FILTER_BITS = 1 << 22
@@ -118,12 +118,11 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, tmp:
     return tmp.cut(map_batches(some.join(wanted.hint("merge"), "rep", "left_semi"), run, "rep long, n int, full array<long>"), "full")
 
 
-def _similar(pairs: DataFrame, sketches: DataFrame | None, full: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with the exact intersection and union of their sets; those whose estimate from the union's sketch is far below the bound are left out (without sketches none)."""
+def _similar(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with the exact intersection and union of their sets; those whose estimate from the union's sketch is far below the bound are left out."""
     low = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
     one = lambda df, side, column: df.select(F.col("rep").alias(side), F.col(column).alias(f"{column}_{side}"))
-    if sketches is not None:
-        near = pairs.join(one(sketches, "a", "sketch").hint("merge"), "a").join(one(sketches, "b", "sketch").hint("merge"), "b")
+    near = pairs.join(one(sketches, "a", "sketch").hint("merge"), "a").join(one(sketches, "b", "sketch").hint("merge"), "b")
 
     def estimated(batch: pa.RecordBatch) -> dict:
         a, b, keep = batch.column("sketch_a"), batch.column("sketch_b"), []
@@ -140,7 +139,7 @@ def _similar(pairs: DataFrame, sketches: DataFrame | None, full: DataFrame, perc
         keep = pa.array(keep)
         return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
 
-    near = pairs if sketches is None else map_batches(near, estimated, "a long, b long")
+    near = map_batches(near, estimated, "a long, b long")
     both = near.join(one(full, "a", "full").hint("merge"), "a").join(one(full, "b", "full").hint("merge"), "b")
 
     def exact(batch: pa.RecordBatch) -> dict:
@@ -186,7 +185,7 @@ def _rarest(values: DataFrame, least, tmp: Scratch, name: str) -> DataFrame:
     return lists
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame | None, full: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return _similar(pairs, sketches, full, percent).where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b")
 
 
@@ -201,6 +200,42 @@ def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     return x.join(y.hint("merge"), "lid").where((F.col("a") < F.col("b")) & _may("a", "b", percent)).select("a", "b").distinct()
 
 
+def _across(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a list (lid, rep, cap, comp, minor, size, others), of which one end is minor. Blocks of members meet blocks of minor ones, so pairs are rows only if they are links."""
+    own = placed.select("lid", "rep", "cap", "comp", "minor", "size", "others").join(full.select("rep", "full").hint("merge"), "rep")
+
+    def blocks(df, of, name):
+        at = F.pmod(F.xxhash64("rep"), F.ceil(F.col(of) / BLOCK)).alias("block")
+        return df.groupBy("lid", at).agg(F.collect_list(F.struct("rep", "cap", "comp", "full")).alias(name)).drop("block")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"a": [], "b": []}
+        sides = []
+        for name in ("x", "y"):
+            column = batch.column(name)
+            inner = column.values
+            sets = inner.field("full")
+            sides.append((column.offsets.to_pylist(), *(inner.field(f).to_pylist() for f in ("rep", "cap", "comp")), sets.values.to_numpy(), sets.offsets.to_numpy()))
+        (xo, xr, xc, xk, xv, xs), (yo, yr, yc, yk, yv, ys) = sides
+        for i in range(batch.num_rows):
+            for p in range(xo[i], xo[i + 1]):
+                one = xv[xs[p] : xs[p + 1]]
+                for q in range(yo[i], yo[i + 1]):
+                    n, most = len(one) + int(ys[q + 1] - ys[q]), min(xc[p], yc[q])
+                    if xk[p] == yk[q] or most * 100 < (n - most) * percent:
+                        continue
+                    both = np.concatenate((one, yv[ys[q] : ys[q + 1]]))
+                    both.sort()
+                    inter = int((both[1:] == both[:-1]).sum())
+                    if inter * 100 >= (n - inter) * percent:
+                        out["a"].append(min(xr[p], yr[q]))
+                        out["b"].append(max(xr[p], yr[q]))
+        return out
+
+    both = blocks(own, "size", "x").join(blocks(own.where("minor"), "others", "y").hint("merge"), "lid")
+    return map_batches(both.select("x", "y"), run, "a long, b long").distinct()
+
+
 def _long_lists(lists: DataFrame, sketches: DataFrame, full: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
     """Links (a, b) that connect all that the links within long lists (lid, rep, n, cap, score) connect."""
     top = F.max_by("rep", F.struct("score", -F.col("rep")))
@@ -218,15 +253,12 @@ def _long_lists(lists: DataFrame, sketches: DataFrame, full: DataFrame, tmp: Scr
         links = found if links is None else links.union(found)
         comp = connected(links, tmp, f"{k}-").withColumnRenamed("node", "rep")
         placed = tmp.cut(own.join(comp.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), f"placed-{k}")
-        of_list = placed.groupBy("lid", "comp").agg(F.count("*").alias("m")).groupBy("lid").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("most"), (F.sum("m") - F.max("m")).alias("others"))
+        of_list = placed.groupBy("lid", "comp").agg(F.count("*").alias("m")).groupBy("lid").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("most"), F.sum("m").alias("size"), (F.sum("m") - F.max("m")).alias("others"))
         of_list = tmp.cut(of_list.where("others > 0"), f"open-{k}")
         placed = placed.join(of_list.hint("merge"), "lid").withColumn("minor", F.col("comp") != F.col("most"))
-        # every link that is left has an end outside the list's largest component; with few such members they meet all others
+        # every link that is left has an end outside the list's largest component; with few such members they meet all others, in blocks
         last = (F.col("others") <= FEW) | F.lit(k == ROUNDS)
-        few = placed.where(last & F.col("minor")).select("lid", F.col("rep").alias("c"), F.col("n").alias("nc"), F.col("cap").alias("capc"), F.col("comp").alias("cc"))
-        rest = placed.where(last).join(few.hint("merge"), "lid").where((F.col("comp") != F.col("cc")) & _may("", "c", percent))
-        # members of one list are so alike that the estimate would hardly drop any
-        found = tmp.cut(_linked(rest.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), None, full, percent), f"rest-{k}")
+        found = tmp.cut(_across(placed.where(last), full, percent), f"rest-{k}")
         links = comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).union(found)
         own = tmp.cut(placed.where(~last).select("lid", "rep", "n", "cap", "score", "minor"), f"members-{k}")
         tmp.drop(f"members-{k - 1}", f"centres-{k}", f"placed-{k}", f"open-{k}")
