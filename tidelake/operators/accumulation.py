@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 RESET_DROP, MIN_RESET_RATIO, MIN_POINTS = 0.5, 0.6, 13
 CLOSURE_TOLERANCE = 0.005
 
-OWN = Window.partitionBy("series_id").orderBy("period")
-YEAR = Window.partitionBy("series_id", F.year("period")).orderBy("period")
+
+
+def own():
+    return Window.partitionBy("series_id").orderBy("period")
+
+
+def within_year():
+    return Window.partitionBy("series_id", F.year("period")).orderBy("period")
 
 
 def decumulate(obs: DataFrame, mode: str = "ytd") -> DataFrame:
@@ -19,18 +25,18 @@ def decumulate(obs: DataFrame, mode: str = "ytd") -> DataFrame:
         return obs.withColumn("value_reported", F.col("value"))
     if mode not in ("ytd", "inception"):
         raise ValueError(f"a series whose accumulation is {mode} can't be de-cumulated")
-    window = YEAR if mode == "ytd" else OWN
+    window = within_year() if mode == "ytd" else own()
     next_to = F.lag("period").over(window) == F.add_months("period", -1)
     step = F.when(next_to, F.col("value") - F.lag("value").over(window))
-    own = F.when(F.month("period") == 1, F.col("value")).otherwise(step) if mode == "ytd" else step
-    return obs.select("series_id", "period", own.alias("own"), F.col("value").alias("value_reported")).withColumnRenamed("own", "value")
+    figure = F.when(F.month("period") == 1, F.col("value")).otherwise(step) if mode == "ytd" else step
+    return obs.select("series_id", "period", figure.alias("own"), F.col("value").alias("value_reported")).withColumnRenamed("own", "value")
 
 
 def classify(obs: DataFrame) -> DataFrame:
     """series_id, n, opportunities, resets, years, monotone_years, monotone, mode (ytd, ambiguous or none), from the pattern of the figures."""
     x = obs.where("value IS NOT NULL").withColumn("year", F.year("period"))
     by_year = Window.partitionBy("series_id", "year").orderBy("period")
-    x = x.withColumn("up", F.col("value") >= F.lag("value").over(by_year)).withColumn("up_all", F.col("value") >= F.lag("value").over(OWN))
+    x = x.withColumn("up", F.col("value") >= F.lag("value").over(by_year)).withColumn("up_all", F.col("value") >= F.lag("value").over(own()))
     year = x.groupBy("series_id", "year").agg(
         F.count("*").alias("n"), F.bool_and("up").alias("up"), F.bool_and("up_all").alias("up_all"), F.max(F.when(F.month("period") == 1, F.col("value"))).alias("jan"), F.max(F.when(F.month("period") == 12, F.col("value"))).alias("dec")
     )

@@ -14,8 +14,6 @@ from tidelake.plans.registry import query
 from tidelake.sources import lake
 from tidelake.sources.lake import SQL
 
-OWN = Window.partitionBy("series_id").orderBy("period")
-
 
 # ---- sources and sinks
 
@@ -396,7 +394,7 @@ def agg_mad(spark, sf):
 
 @query(SQL + ", d AS (SELECT series_id, value, value - lag(value) OVER (PARTITION BY series_id ORDER BY period) AS d FROM price) SELECT series_id, round(var_pop(value) * 3 * ln(greatest(count(*), 2)), 4) AS level_penalty, round(var_pop(d) * 3 * ln(greatest(count(*), 2)), 4) AS trend_penalty FROM d GROUP BY 1")
 def agg_pvariance(spark, sf):
-    x = lake.price_index(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(OWN)).groupBy("series_id")
+    x = lake.price_index(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(acc.own())).groupBy("series_id")
     k = 3 * F.log(F.greatest(F.count("*"), F.lit(2)))
     return x.agg(F.round(F.var_pop("value") * k, 4).alias("level_penalty"), F.round(F.var_pop("d") * k, 4).alias("trend_penalty"))
 
@@ -421,7 +419,7 @@ def agg_unit_change(spark, sf):
 @query(SQL + ", p AS (SELECT period, value, row_number() OVER (ORDER BY period) AS pos, row_number() OVER (ORDER BY period) - row_number() OVER (PARTITION BY value > 1500 ORDER BY period) AS grp FROM price) SELECT min(period) AS start, max(period) AS stop, count(*) AS n FROM p WHERE value > 1500 GROUP BY grp")
 def win_segments(spark, sf):
     """Runs of consecutive positions that have a value (here: above a bound)."""
-    x = lake.price_index(spark, sf).withColumn("own", F.col("value") > 1500).withColumn("pos", F.row_number().over(OWN))
+    x = lake.price_index(spark, sf).withColumn("own", F.col("value") > 1500).withColumn("pos", F.row_number().over(acc.own()))
     x = x.withColumn("grp", F.col("pos") - F.row_number().over(Window.partitionBy("series_id", "own").orderBy("period")))
     return x.where("own").groupBy("series_id", "grp").agg(F.min("period").alias("start"), F.max("period").alias("stop"), F.count("*").alias("n")).select("start", "stop", "n")
 
@@ -458,7 +456,7 @@ def win_deflate(spark, sf):
 
 @query(SQL + "SELECT period, (period >= DATE '1997-03-01')::INT AS level, greatest(pos - min(pos) FILTER (period >= DATE '1997-03-01') OVER (), -1)::INT + 1 AS trend FROM (SELECT period, row_number() OVER (ORDER BY period) AS pos FROM price)")
 def win_break_dummies(spark, sf):
-    x = lake.price_index(spark, sf).withColumn("pos", F.row_number().over(OWN))
+    x = lake.price_index(spark, sf).withColumn("pos", F.row_number().over(acc.own()))
     after = F.col("period") >= F.lit("1997-03-01").cast("date")
     first = F.min(F.when(after, F.col("pos"))).over(Window.partitionBy("series_id"))
     return x.select("period", after.cast("int").alias("level"), (F.greatest(F.col("pos") - first, F.lit(-1)) + 1).cast("int").alias("trend"))
@@ -467,7 +465,7 @@ def win_break_dummies(spark, sf):
 @query(SQL + "SELECT regime, count(*) AS n, count(*) >= 15 AS large_enough FROM (SELECT sum((period IN (DATE '1996-06-01', DATE '1998-06-01'))::INT) OVER (ORDER BY period)::INT AS regime FROM price) GROUP BY 1")
 def win_regime_split(spark, sf):
     mark = F.col("period").isin([date(1996, 6, 1), date(1998, 6, 1)]).cast("int")
-    x = lake.price_index(spark, sf).withColumn("regime", F.sum(mark).over(OWN).cast("int"))
+    x = lake.price_index(spark, sf).withColumn("regime", F.sum(mark).over(acc.own()).cast("int"))
     return x.groupBy("regime").agg(F.count("*").alias("n")).withColumn("large_enough", F.col("n") >= 15)
 
 
