@@ -31,6 +31,7 @@ END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of at least so many bytes are deduplicated.
 LEAST_BYTES = 0
+SLOTS = 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -52,7 +53,13 @@ def write_warc(pages: DataFrame, path: str, tmp: Scratch, page_id: str = "page_i
     """One record for each row of pages, in archives under path."""
     page = _payload(pages, page_id, url, html)
     own = page.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    page = page.join(tmp.cut(own, "repeated").hint("merge"), "digest", "left")
+    own = tmp.cut(own, "repeated")
+    # a page whose digest shares no slot with a repeated one has nothing to be joined with, so its payload isn't shuffled; there are SLOTS slots at most to broadcast
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).cast("int")
+    slots = tmp.cut(own.select(slot.alias("slot")).distinct().withColumn("maybe", F.lit(True)), "slots")
+    page = page.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left").drop("slot")
+    alone = page.where("maybe IS NULL").drop("maybe").withColumn("first", F.lit(None).cast("long"))
+    page = alone.unionByName(page.where("maybe").drop("maybe").join(own.hint("merge"), "digest", "left"))
     again = (F.col("size") >= least_bytes) & (F.col("page_id") > F.col("first"))
     again = F.coalesce(again, F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
