@@ -23,9 +23,9 @@ def snk_gold(spark: SparkSession, sf: str) -> DataFrame:
     return lake.catalog(spark, sf).select("series_id", "family", "measure_type", "aggregation_rule", "native_freq", "province", "coverage_start", "coverage_end", "observations", "nonzero", "usable")
 
 
-@query(SQL + "SELECT period, round(value, 6) AS value FROM flow WHERE series_id = 'flow.FRANCE'")
+@query(SQL + "SELECT period, round(value, 6) AS value FROM flow WHERE series_id = 'flow.NATION_19'")
 def src_gold_point(spark, sf):
-    return lake.flow(spark, sf).where("series_id = 'flow.FRANCE'").select("period", F.round("value", 6).alias("value"))
+    return lake.flow(spark, sf).where("series_id = 'flow.NATION_19'").select("period", F.round("value", 6).alias("value"))
 
 
 @query(SQL + "SELECT series_id, native_freq, CASE WHEN isnan(v) THEN NULL ELSE v END AS mean_value FROM (SELECT series_id, native_freq, observations::DOUBLE / nullif(nonzero, 0) AS v FROM catalog)")
@@ -92,9 +92,9 @@ def sel_series_score(spark, sf):
 # ---- filters
 
 
-@query(SQL + "SELECT series_id FROM catalog WHERE family = 'flow' AND measure_type = 'flow' AND province = 'FRANCE'")
+@query(SQL + "SELECT series_id FROM catalog WHERE family = 'flow' AND measure_type = 'flow' AND province = 'NATION_19'")
 def flt_facets_exact(spark, sf):
-    return facets_exact(lake.catalog(spark, sf), family="flow", measure_type="flow", province="FRANCE", native_freq=None).select("series_id")
+    return facets_exact(lake.catalog(spark, sf), family="flow", measure_type="flow", province="NATION_19", native_freq=None).select("series_id")
 
 
 def facets_exact(catalog: DataFrame, **facets) -> DataFrame:
@@ -111,12 +111,12 @@ def flt_servable(spark, sf):
     return lake.catalog(spark, sf).select("series_id", reason.alias("reason"))
 
 
-@query(SQL + "SELECT series_id FROM catalog WHERE measure_type = 'stock' AND (province IS NOT DISTINCT FROM 'FRANCE' OR NOT EXISTS (SELECT 1 FROM catalog c WHERE c.measure_type = 'stock' AND c.province IS NOT NULL))")
+@query(SQL + "SELECT series_id FROM catalog WHERE measure_type = 'stock' AND (province IS NOT DISTINCT FROM 'NATION_19' OR NOT EXISTS (SELECT 1 FROM catalog c WHERE c.measure_type = 'stock' AND c.province IS NOT NULL))")
 def flt_facets_fallback(spark, sf):
     """A facet that no row of the concept has is skipped; a null province is a value."""
     any_of = F.bool_or(F.col("province").isNotNull()).over(Window.partitionBy("measure_type"))
     x = lake.catalog(spark, sf).where("measure_type = 'stock'").withColumn("known", any_of)
-    return x.where(~F.col("known") | F.col("province").eqNullSafe("FRANCE")).select("series_id")
+    return x.where(~F.col("known") | F.col("province").eqNullSafe("NATION_19")).select("series_id")
 
 
 @query(SQL + "SELECT series_id FROM catalog WHERE usable ORDER BY series_id LIMIT 10")
@@ -138,25 +138,25 @@ def prj_agg_rule(spark, sf):
 # ---- joins
 
 
-@query(SQL + ", spine AS (SELECT CAST(p AS DATE) AS period FROM range(TIMESTAMP '1994-06-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH) t(p)) SELECT period, round(value, 6) AS france FROM spine LEFT JOIN (SELECT * FROM flow WHERE series_id = 'flow.FRANCE') USING (period)")
+@query(SQL + ", spine AS (SELECT CAST(p AS DATE) AS period FROM range(TIMESTAMP '1994-06-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH) t(p)) SELECT period, round(value, 6) AS france FROM spine LEFT JOIN (SELECT * FROM flow WHERE series_id = 'flow.NATION_19') USING (period)")
 def jn_spine_left(spark, sf):
-    return al.spine_join(months(spark, "1994-06-01", "2001-12-01"), lake.flow(spark, sf).where("series_id = 'flow.FRANCE'"), "france").withColumn("france", F.round("france", 6))
+    return al.spine_join(months(spark, "1994-06-01", "2001-12-01"), lake.flow(spark, sf).where("series_id = 'flow.NATION_19'"), "france").withColumn("france", F.round("france", 6))
 
 
 def months(spark, start: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.expr(f"sequence(DATE '{start}', DATE '{end}', INTERVAL 1 MONTH)")).alias("period"))
 
 
-@query(SQL + ", spine AS (SELECT CAST(p AS DATE) AS period FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '1999-01-01', INTERVAL 1 MONTH) t(p)) SELECT period, round(a.value, 6) AS france, round(b.value, 6) AS price FROM spine LEFT JOIN (SELECT * FROM flow WHERE series_id = 'flow.FRANCE') a USING (period) LEFT JOIN price b USING (period)")
+@query(SQL + ", spine AS (SELECT CAST(p AS DATE) AS period FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '1999-01-01', INTERVAL 1 MONTH) t(p)) SELECT period, round(a.value, 6) AS france, round(b.value, 6) AS price FROM spine LEFT JOIN (SELECT * FROM flow WHERE series_id = 'flow.NATION_19') a USING (period) LEFT JOIN price b USING (period)")
 def jn_multi_atomic(spark, sf):
     obs = lake.flow(spark, sf).unionByName(lake.price_index(spark, sf))
-    out = al.join_series(months(spark, "1995-01-01", "1998-12-01"), obs, {"france": "flow.FRANCE", "price": "index.price"})
+    out = al.join_series(months(spark, "1995-01-01", "1998-12-01"), obs, {"france": "flow.NATION_19", "price": "index.price"})
     return out.select("period", F.round("france", 6).alias("france"), F.round("price", 6).alias("price"))
 
 
-@query(SQL + ", a AS (SELECT period, value FROM flow WHERE series_id = 'flow.FRANCE'), b AS (SELECT period, value FROM price) SELECT period, round(a.value, 6) AS a, round(b.value, 6) AS b FROM a FULL JOIN b USING (period)")
+@query(SQL + ", a AS (SELECT period, value FROM flow WHERE series_id = 'flow.NATION_19'), b AS (SELECT period, value FROM price) SELECT period, round(a.value, 6) AS a, round(b.value, 6) AS b FROM a FULL JOIN b USING (period)")
 def jn_align_union_spine(spark, sf):
-    a, b = lake.flow(spark, sf).where("series_id = 'flow.FRANCE'"), lake.price_index(spark, sf)
+    a, b = lake.flow(spark, sf).where("series_id = 'flow.NATION_19'"), lake.price_index(spark, sf)
     spine = a.select("period").union(b.select("period")).distinct()
     out = al.spine_join(al.spine_join(spine, a, "a"), b, "b")
     return out.select("period", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
@@ -175,15 +175,15 @@ def jn_jan_dec(spark, sf):
     return j.join(d, ["series_id", "year"])
 
 
-@query(SQL + "SELECT a.period, round(a.value, 6) AS x, round(b.value, 6) AS y FROM flow a JOIN price b USING (period) WHERE a.series_id = 'flow.FRANCE'")
+@query(SQL + "SELECT a.period, round(a.value, 6) AS x, round(b.value, 6) AS y FROM flow a JOIN price b USING (period) WHERE a.series_id = 'flow.NATION_19'")
 def jn_shared_dates(spark, sf):
-    a, b = lake.flow(spark, sf).where("series_id = 'flow.FRANCE'"), lake.price_index(spark, sf)
+    a, b = lake.flow(spark, sf).where("series_id = 'flow.NATION_19'"), lake.price_index(spark, sf)
     return a.select("period", F.round("value", 6).alias("x")).join(b.select("period", F.round("value", 6).alias("y")), "period")
 
 
-@query(SQL + "SELECT min(period) AS first_period, max(period) AS last_period, round(arg_min(x, period), 6) AS first_x, round(arg_max(y, period), 6) AS last_y FROM (SELECT a.period, a.value AS x, b.value AS y FROM flow a JOIN price b USING (period) WHERE a.series_id = 'flow.FRANCE') WHERE x IS NOT NULL AND y IS NOT NULL")
+@query(SQL + "SELECT min(period) AS first_period, max(period) AS last_period, round(arg_min(x, period), 6) AS first_x, round(arg_max(y, period), 6) AS last_y FROM (SELECT a.period, a.value AS x, b.value AS y FROM flow a JOIN price b USING (period) WHERE a.series_id = 'flow.NATION_19') WHERE x IS NOT NULL AND y IS NOT NULL")
 def jn_common_obs(spark, sf):
-    a, b = lake.flow(spark, sf).where("series_id = 'flow.FRANCE'"), lake.price_index(spark, sf)
+    a, b = lake.flow(spark, sf).where("series_id = 'flow.NATION_19'"), lake.price_index(spark, sf)
     x = a.select("period", F.col("value").alias("x")).join(b.select("period", F.col("value").alias("y")), "period").dropna(subset=["x", "y"])
     return x.agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.round(F.min_by("x", "period"), 6).alias("first_x"), F.round(F.max_by("y", "period"), 6).alias("last_y"))
 
