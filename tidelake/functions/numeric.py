@@ -56,6 +56,12 @@ def pct_change(first: Column, last: Column) -> Column:
     return F.try_divide((last - first) * 100, F.abs(first))
 
 
+def format_tr(value: Column, most: int = 4) -> Column:
+    """Grouped by dots, up to four decimals after a comma, no trailing zeros."""
+    spelt = F.translate(F.format_number(value, most), ",.", ".,")
+    return F.regexp_replace(F.regexp_replace(spelt, r"(,[0-9]*?)0+$", "$1"), ",$", "")
+
+
 def power10(ratio: Column) -> Column:
     return F.pow(F.lit(10.0), F.round(F.log10(ratio)))
 

@@ -31,6 +31,17 @@ def slugify(text: Column) -> Column:
     return F.btrim(F.regexp_replace(casefold(text), r"[^\p{L}\p{M}\p{N}]+", "_"), F.lit("_"))
 
 
+def column_key(name: Column, index: Column, most: int = 40) -> Column:
+    """A name as a key: what isn't a letter or digit is _; seri_N where nothing is left."""
+    key = F.btrim(F.substring(F.regexp_replace(casefold(name), r"[^\p{L}\p{M}\p{N}]", "_"), 1, most), F.lit("_"))
+    return F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("seri_"), index))
+
+
+def terms(text: Column) -> Column:
+    """Folded words of letters and digits."""
+    return F.regexp_extract_all(casefold(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
+
+
 def collapse_space(text: Column) -> Column:
     """Words with one space between; null if there are none."""
     return F.nullif(F.btrim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))

@@ -11,7 +11,7 @@ from tidelake.functions import numeric
 from tidelake.operators import accumulation as acc
 from tidelake.operators import alignment as al
 from tidelake.plans.registry import query
-from tidelake.sources import lake
+from tidelake.sources import bronze, lake
 from tidelake.sources.lake import SQL
 
 
@@ -67,13 +67,6 @@ def snk_silver_parquet(spark, sf):
     return out.withColumn("status", F.when(F.col("n") > 0, "ok").otherwise("no_data"))
 
 
-@query("SELECT l_shipmode AS source, digest, n FROM (SELECT l_returnflag AS l_shipmode, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM (SELECT l_returnflag, sha256(concat_ws('|', l_orderkey, l_linenumber)) AS h FROM lineitem WHERE l_orderkey <= 2000) GROUP BY 1)")
-def src_provenance(spark, sf):
-    """A digest of files that doesn't depend on their order: of the sorted digests of all."""
-    one = lake.table(spark, sf, "lineitem").where("l_orderkey <= 2000").select(F.col("l_returnflag").alias("source"), F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber"), 256).alias("h"))
-    return one.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"), F.count("*").alias("n"))
-
-
 @query("WITH RECURSIVE up(id, parent, root, depth) AS (SELECT n_name, r_name, n_name, 0 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT up.id, NULL, up.parent, depth + 1 FROM up WHERE up.parent IS NOT NULL) SELECT id, root, depth FROM up WHERE parent IS NULL")
 def src_hier_index(spark, sf):
     """Series to topic by climbing parent pointers; the two levels are joins."""
@@ -124,10 +117,9 @@ def flt_discover(spark, sf):
     return lake.catalog(spark, sf).where("usable").orderBy("series_id").limit(10).select("series_id")
 
 
-@query(SQL + "SELECT series_id, CASE WHEN unit = 'adet' THEN 'count' WHEN unit = '%' THEN 'rate' WHEN statement_kind = 'ratio' THEN 'ratio' WHEN statement_kind = 'income_statement' THEN 'flow' WHEN statement_kind IN ('balance_sheet', 'off_balance_sheet') THEN 'stock' ELSE 'unknown' END AS measure FROM catalog")
+@query(SQL + "SELECT series_id, CASE WHEN unit = 'adet' THEN 'count' WHEN statement_kind = 'ratio' THEN 'ratio' WHEN unit = '%' THEN 'rate' WHEN statement_kind = 'income_statement' THEN 'flow' WHEN statement_kind IN ('balance_sheet', 'off_balance_sheet') THEN 'stock' ELSE 'unknown' END AS measure FROM catalog")
 def prj_measure_bddk(spark, sf):
-    m = F.when(F.col("unit") == "adet", "count").when(F.col("unit") == "%", "rate").when(F.col("statement_kind") == "ratio", "ratio").when(F.col("statement_kind") == "income_statement", "flow")
-    return lake.catalog(spark, sf).select("series_id", m.when(F.col("statement_kind").isin("balance_sheet", "off_balance_sheet"), "stock").otherwise("unknown").alias("measure"))
+    return lake.catalog(spark, sf).select("series_id", bronze.measure_of(F.col("statement_kind"), F.col("unit")).alias("measure"))
 
 
 @query(SQL + "SELECT series_id, CASE measure_type WHEN 'flow' THEN 'sum' WHEN 'rate' THEN 'mean' ELSE 'last' END AS rule FROM catalog")
