@@ -39,7 +39,7 @@ def src_monthly_json(spark, sf):
     return x.select("table_no", "scope_code", "label", "period", F.round("value", 4).alias("value"))
 
 
-@query(SEGMENT_SQL + "SELECT 'monthly.t03.taraf' || code || '.' || lower(segment) AS series_id, scope AS sector_scope, 'TRY' AS unit, 1e6::DOUBLE AS scale_factor, 'stock' AS measure_type, 'last' AS aggregation_rule, min(period) AS coverage_start, max(period) AS coverage_end, count(*) AS observations FROM seg JOIN scopes ON code = 10001 + rk WHERE rk <> 4 GROUP BY code, scope, segment")
+@query(SEGMENT_SQL + "SELECT 'monthly.t03.taraf' || code || '.' || lower(translate(segment, 'Iİ', 'ıi')) AS series_id, scope AS sector_scope, 'TRY' AS unit, 1e6::DOUBLE AS scale_factor, 'stock' AS measure_type, 'last' AS aggregation_rule, min(period) AS coverage_start, max(period) AS coverage_end, count(*) AS observations FROM seg JOIN scopes ON code = 10001 + rk WHERE rk <> 4 GROUP BY code, scope, segment")
 def src_adapter(spark, sf):
     """A bulletin from its raw payloads to its part of the catalog."""
     x = bronze.monthly_catalog(bronze.monthly_points(monthly_files(spark, sf)))
