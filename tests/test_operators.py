@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.functions import numeric, stats
+from tidelake.functions import causality, numeric, stats
 from tidelake.operators import accumulation, alignment
 from tidelake.sources import documents
 from tidelake.streaming import collapse as streaming
@@ -98,14 +98,70 @@ def test_causality_of_seeded_series():
     for _ in range(299):
         x.append(0.5 * x[-1] + rng.normal())
         y.append(0.3 * y[-1] + 0.8 * x[-2] + rng.normal())
-    got = stats.causality(x, y, "monthly")
-    assert got["status"] == "predictive_relationship_supported" and got["p_x_to_y"] < 1e-6
-    assert stats.causality(x[:50], y[:50], "monthly")["reason"] == "insufficient_observations"
-    assert stats.causality(x, y, "quarterly")["reason"] == "irregular_frequency"
-    assert stats.causality([1.0] * 100, y[:100], "monthly")["reason"] == "constant_series"
+    got = causality.causality(x, y, "monthly")
+    assert got.status == "predictive_relationship_supported" and got.p_x_to_y < 1e-6 and got.method == "granger_stationary_var" and got.direction == "x_to_y"
+    assert causality.causality(x[:49], y[:49], "monthly").reason == "insufficient_observations"
+    assert causality.causality(x[:80], y[:80], "monthly").reason in ("insufficient_degrees_of_freedom", "stationarity_ambiguous")
+    assert causality.causality(x, y, "quarterly").reason == "irregular_frequency"
+    assert causality.causality([1.0] * 100, y[:100], "monthly").reason == "constant_series"
+    assert causality.causality(x, y, "monthly", [(5, "level")]).reason == "structural_break_confounding"
+    split = causality.causality(x, y, "monthly", [(150, "level")])
+    assert len(split.regimes) == 2 and split.status != "not_identifiable"
+    with pytest.raises(stats.Refused):
+        causality.causality(x, y, "monthly", significance=1.5)
     assert abs(stats.chi2_sf(3.841458820694124, 1) - 0.05) < 1e-9 and abs(stats.chi2_sf(1.0, 4) - 0.9097959895689501) < 1e-9
 
 
+def test_tails_and_tables():
+    assert abs(causality.f_sf(4.964602743730711, 1, 10) - 0.05) < 1e-9 and abs(causality.f_sf(3.3258345304130126, 5, 10) - 0.05) < 1e-9
+    assert abs(causality.f_sf(2.0, 2, 10) - (1 + 2 * 2.0 / 10) ** -5) < 1e-12
+    assert abs(stats.unit_root_p(-2.86154) - 0.05) < 1e-3 and abs(stats.unit_root_p(-3.33613, 2) - 0.05) < 1e-3
+    assert stats.unit_root_p(5.0) == 1.0 and stats.unit_root_p(-30.0) == 0.0 and stats.kpss_p(0.463) == 0.05 and stats.kpss_p(9.0) == 0.01
+    assert causality.holm([0.01, 0.04]) == [0.02, 0.04] and causality.holm([0.04, 0.03]) == [0.06, 0.06]
+
+
+def test_unit_roots_and_breaks_of_seeded_series():
+    rng = np.random.RandomState(42)
+    noise, walk = rng.normal(size=300), rng.normal(size=300).cumsum()
+    assert stats.integration_order(noise) == "I(0)" and stats.integration_order(walk) == "I(1)"
+    t, lag = stats.unit_root(walk, most=0)
+    z = np.column_stack([walk[:-1], np.ones(299)])
+    beta = np.linalg.solve(z.T @ z, z.T @ np.diff(walk))
+    res = np.diff(walk) - z @ beta
+    assert lag == 0 and abs(t - beta[0] / math.sqrt(res @ res / 297 * np.linalg.inv(z.T @ z)[0, 0])) < 1e-9
+    broken = noise + np.where(np.arange(300) >= 140, 8.0, 0.0)
+    t, at = stats.zivot_andrews(broken)
+    assert t < stats.BREAK_CRITICAL and abs(at - 139) <= 2
+
+
+def test_cointegration_and_error_correction_of_seeded_series():
+    rng = np.random.RandomState(42)
+    x = rng.normal(size=400).cumsum()
+    y = np.empty(400)
+    y[0] = 0
+    for t in range(1, 400):
+        y[t] = y[t - 1] + 0.4 * (2 * x[t - 1] - y[t - 1]) + 0.5 * rng.normal()
+    assert causality.engle_granger(x, y)[1] < 0.01 and causality.engle_granger(x, rng.normal(size=400).cumsum())[1] > 0.05
+    fit = causality.fit_vecm(np.column_stack([x, y]), 2)
+    assert fit.stable and fit.ps[0] < 1e-6 and fit.passes
+    assert causality.toda_yamamoto(np.column_stack([x, y]), 2, 1)[0] < 1e-6
+    assert causality.select_lag(np.column_stack([np.diff(x), np.diff(y)]), 3) in (1, 2, 3)
+    same = np.column_stack([x, x])
+    assert causality.select_lag(same, 3) is None
+    with pytest.raises(stats.Refused):
+        causality.fit_var(same, 1)
+
+
+def test_wald_statistic_is_the_gain_in_fit():
+    """For one equation the statistic is the growth of squared residuals without the tested lags, over their variance."""
+    rng = np.random.RandomState(7)
+    data = rng.normal(size=(200, 2)).cumsum(axis=0) * 0.1 + rng.normal(size=(200, 2))
+    z = np.column_stack([np.ones(198), data[1:-1], data[:-2]])
+    rss = lambda m: float(((data[2:, 1] - m @ np.linalg.lstsq(m, data[2:, 1], rcond=None)[0]) ** 2).sum())
+    want = (rss(z[:, [0, 2, 4]]) - rss(z)) / (rss(z) / (198 - 5))
+    assert abs(causality.fit_var(data, 2).statistics[0] - want) < 1e-8
+
+
 def test_html_is_read_without_scripts():
     got = documents.parse_html('<title>A</title><script>x</script><p>b <a href="/c">d</a><a href="/c">e</a><table><tr><td>1<td>2</td></tr></table>', "https://h.org/")
     assert got["title"] == "A" and "x" not in got["text"].split() and got["links"] == ["https://h.org/c"] and got["n_tables"] == 1

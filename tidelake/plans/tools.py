@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from datetime import date
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidelake.functions import causality as cz
 from tidelake.functions import stats
 from tidelake.plans.registry import query
 from tidelake.sources import documents, lake
@@ -45,18 +50,148 @@ def fn_change_points(spark, sf):
     return lake.flow(spark, sf).groupBy("series_id").applyInPandas(run, "series_id string, period date, kind string")
 
 
+def _pairs(spark, sf):
+    """series_id, period, x (the price index), value: each flow beside the index."""
+    price = lake.price_index(spark, sf).select("period", F.col("value").alias("x"))
+    return lake.flow(spark, sf).join(price, "period")
+
+
+def _each_pair(spark, sf, schema: str, f):
+    """One row for each pair of series by a function of (x, y); what refuses gives nulls. A group is one pair."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = pdf.sort_values("period").dropna(subset=["x", "value"])
+        try:
+            got = f(whole["x"].to_numpy(float), whole["value"].to_numpy(float))
+        except (stats.Refused, np.linalg.LinAlgError, ZeroDivisionError, ValueError):
+            got = (None,) * (len(names) - 1)
+        return pd.DataFrame([(pdf["series_id"].iloc[0], *got)], columns=names)
+
+    return _pairs(spark, sf).groupBy("series_id").applyInPandas(run, schema)
+
+
+def _stack(x, y):
+    return np.column_stack([np.diff(x), np.diff(y)])
+
+
 @query()
 def fn_causality(spark, sf):
     """Whether the price index helps to predict each flow, or it them."""
-    price = lake.price_index(spark, sf).select("period", F.col("value").alias("x"))
-    pairs = lake.flow(spark, sf).join(price, "period")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period").dropna(subset=["x", "value"])
-        got = stats.causality(pdf["x"].tolist(), pdf["value"].tolist(), "monthly")
-        return pd.DataFrame([{"series_id": pdf["series_id"].iloc[0]} | got])
+    def run(x, y):
+        a = cz.causality(x, y, "monthly")
+        return a.status, a.reason, a.method, a.lag, a.p_x_to_y, a.p_y_to_x, a.robust
+
+    return _each_pair(spark, sf, "series_id string, status string, reason string, method string, lag int, p_x_to_y double, p_y_to_x double, robust string", run)
+
+
+@query()
+def fn_regimes(spark, sf):
+    """The same with a break of level in the middle of the sample."""
+
+    def run(x, y):
+        a = cz.causality(x, y, "monthly", [(len(x) // 2, "level")])
+        return a.status, a.reason, ",".join(a.regimes)
+
+    return _each_pair(spark, sf, "series_id string, status string, reason string, regimes string", run)
+
+
+@query()
+def fn_adf(spark, sf):
+    def run(x, y):
+        t, lag = stats.unit_root(y)
+        return t, stats.unit_root_p(t), lag
+
+    return _each_pair(spark, sf, "series_id string, statistic double, p double, lag int", run)
+
+
+@query()
+def fn_kpss(spark, sf):
+    def run(x, y):
+        s = stats.kpss(y)
+        return s, stats.kpss_p(s)
+
+    return _each_pair(spark, sf, "series_id string, statistic double, p double", run)
+
+
+@query()
+def fn_zivot_andrews(spark, sf):
+    """Null below 80 observations."""
 
-    return pairs.groupBy("series_id").applyInPandas(run, "series_id string, status string, reason string, lag int, p_x_to_y double, p_y_to_x double")
+    def run(x, y):
+        if len(y) < 80:
+            raise stats.Refused("too few values")
+        return stats.zivot_andrews(y)
+
+    return _each_pair(spark, sf, "series_id string, statistic double, before int", run)
+
+
+@query()
+def fn_engle_granger(spark, sf):
+    return _each_pair(spark, sf, "series_id string, statistic double, p double", cz.engle_granger)
+
+
+@query()
+def fn_select_lag(spark, sf):
+    return _each_pair(spark, sf, "series_id string, lag int", lambda x, y: (cz.select_lag(_stack(x, y), 3),))
+
+
+def _model(f):
+    def run(x, y):
+        fit = f(x, y)
+        return *fit.statistics, *fit.ps, fit.stable, fit.white, fit.passes
+
+    return run
+
+
+_MODEL = "series_id string, x_to_y double, y_to_x double, p_x_to_y double, p_y_to_x double, stable boolean, white double, passes boolean"
+
+
+@query()
+def fn_var_granger(spark, sf):
+    return _each_pair(spark, sf, _MODEL, _model(lambda x, y: cz.fit_var(_stack(x, y), 2)))
+
+
+@query()
+def fn_vecm_granger(spark, sf):
+    return _each_pair(spark, sf, _MODEL, _model(lambda x, y: cz.fit_vecm(np.column_stack([x, y]), 2)))
+
+
+@query()
+def fn_toda_yamamoto(spark, sf):
+    return _each_pair(spark, sf, "series_id string, p_x_to_y double, p_y_to_x double", lambda x, y: cz.toda_yamamoto(np.column_stack([x, y]), 2, 1))
+
+
+_AROUND = [("x_to_y", "x_to_y,x_to_y"), ("x_to_y", "y_to_x,x_to_y"), ("x_to_y", "none,x_to_y"), ("x_to_y", "?,x_to_y"), ("none", "none"), ("bidirectional", "x_to_y,y_to_x"), ("y_to_x", "?,x_to_y"), ("none", "")]
+
+
+@query("WITH a(id, chosen, around) AS (VALUES " + ", ".join(f"({i}, '{c}', '{d}')" for i, (c, d) in enumerate(_AROUND)) + "), l AS (SELECT *, list_filter(string_split(around, ','), lambda d: d <> '') AS ds FROM a) SELECT id, CASE WHEN (chosen = 'x_to_y' AND list_contains(ds, 'y_to_x')) OR (chosen = 'y_to_x' AND list_contains(ds, 'x_to_y')) THEN 'reversed' WHEN len(ds) = 0 OR list_contains(ds, '?') THEN 'unavailable' WHEN len(list_filter(ds, lambda d: d <> chosen)) > 0 THEN 'inconclusive' ELSE 'passed' END AS robust FROM l")
+def fn_adjacent_lags(spark, sf):
+    told = [(i, cz.robustness(c, {k: None if d == "?" else d for k, d in enumerate(filter(None, around.split(",")))})) for i, (c, around) in enumerate(_AROUND)]
+    return spark.createDataFrame(told, "id int, robust string")
+
+
+@query(
+    "SELECT c AS chosen, r AS robust, u AS untested, v AS unverified, CASE WHEN c = 'none' THEN 'not_identifiable' WHEN r <> 'passed' OR u OR v THEN 'limited_evidence' ELSE 'predictive_relationship_supported' END AS status "
+    "FROM (VALUES ('none'), ('x_to_y'), ('bidirectional')) a(c), (VALUES ('passed'), ('reversed'), ('unavailable')) b(r), (VALUES (TRUE), (FALSE)) d(u), (VALUES (TRUE), (FALSE)) e(v)"
+)
+def fn_classify_evidence(spark, sf):
+    cases = itertools.product(("none", "x_to_y", "bidirectional"), ("passed", "reversed", "unavailable"), (True, False), (True, False))
+    return spark.createDataFrame([(*c, cz.classify(*c, False)[0]) for c in cases], "chosen string, robust string, untested boolean, unverified boolean, status string")
+
+
+@query("WITH m AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS i FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS period FROM orders)), b(id, day, kind) AS (VALUES (0, DATE '1994-03-15', 'level'), (1, DATE '1996-01-01', 'trend'), (2, DATE '2050-01-01', 'level'), (3, DATE '1995-01-01', 'slope')) SELECT id, CASE WHEN kind IN ('level', 'trend') AND day BETWEEN (SELECT min(period) FROM m) AND (SELECT max(period) FROM m) THEN (SELECT min(i) FROM m WHERE period >= day)::INT END AS position FROM b")
+def fn_normalize_breaks(spark, sf):
+    """The months are few and bounded by the calendar."""
+    months = [r.period for r in lake.table(spark, sf, "orders").select(lake.month("o_orderdate").alias("period")).distinct().orderBy("period").toLocalIterator()]
+    rows = []
+    for i, (day, kind) in enumerate([(date(1994, 3, 15), "level"), (date(1996, 1, 1), "trend"), (date(2050, 1, 1), "level"), (date(1995, 1, 1), "slope")]):
+        try:
+            rows.append((i, cz.normalize_breaks([(day, kind)], months)[0][0]))
+        except stats.Refused:
+            rows.append((i, None))
+    return spark.createDataFrame(rows, "id int, position int")
 
 
 @query()
