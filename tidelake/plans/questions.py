@@ -165,7 +165,10 @@ def src_local_store(spark, sf):
     return spark.range(1).agg(F.count("*").alias("one"))
 
 
-@query("SELECT * FROM (VALUES ('duplicate_keys', 'pass'), ('empty_series', 'pass'), ('nulls', 'pass')) t(gate, status)")
+@query(
+    SQL + ", k AS (SELECT series_id, period, count(*) AS n, count(*) FILTER (value IS NULL) AS nulls FROM observations GROUP BY ALL), o AS (SELECT count(*) AS checked, count(*) FILTER (n > 1) AS d, sum(nulls) AS u, count(*) FILTER (series_id IS NULL) AS e FROM k) "
+    "SELECT gate, CASE WHEN checked = 0 OR found > 0 THEN 'fail' ELSE 'pass' END AS status FROM (SELECT checked, 'duplicate_keys' AS gate, d AS found FROM o UNION ALL SELECT checked, 'empty_series', e FROM o UNION ALL SELECT checked, 'nulls', u FROM o)"
+)
 def dq_gate(spark, sf):
     """Every gate over the written catalog in one pass; a gate that compared nothing fails."""
     x = lake.observations(spark, sf).groupBy("series_id", "period").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"))
