@@ -10,6 +10,10 @@ from tidelake.llm.common import Scratch, table
 from tidelake.llm.queries import tokenizer_path
 
 
+#: Least similarity of near-duplicates, in hundredths; op7's own bound is another contract.
+NEAR_PERCENT = 80
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the base and all rules."""
     return quality_rules.apply_rules(docs)
@@ -23,7 +27,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Of rows that share that id one stays."""
     tmp = Scratch(spark, "dedup")
-    found = tmp.cut(minhash.near_duplicates(docs), "found")
+    found = tmp.cut(minhash.near_duplicates(docs, percent=NEAR_PERCENT), "found")
     gone = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
     left = docs.join(tmp.cut(gone, "gone").hint("merge"), docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
     if found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
