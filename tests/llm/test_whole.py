@@ -1,6 +1,9 @@
 """Cases of which less than the whole was done before."""
 
+import random
+
 import corpus_pipeline
+from tidelake.llm import quality_lm
 
 
 def test_pipeline_drops_near_copies_from_80_hundredths(spark):
@@ -10,3 +13,28 @@ def test_pipeline_drops_near_copies_from_80_hundredths(spark):
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
     left = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
+def test_language_model_sees_the_order_of_words(spark):
+    rng = random.Random(3)
+    ring = ["the", "old", "man", "saw", "his", "red", "cat", "run"]
+    said = lambda at: " ".join(ring[(at + j) % 8] for j in range(64))
+    texts = [said(rng.randrange(8)) for _ in range(300)]
+    mixed = said(0).split()
+    rng.shuffle(mixed)
+    rows = [*enumerate(texts), (1000, said(0)), (1001, " ".join(mixed)), (1002, " ".join(["cat"] * 64))]
+    table = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    for how in ({}, {"broadcast": 0}):
+        got = {r.doc_id: r for r in quality_lm.classify(table, labels, **how).collect()}
+        assert got[1000].kept and not got[1001].kept and not got[1002].kept
+        assert got[1001].perplexity > 1.5 * got[1000].perplexity
+
+
+def test_sharded_model_judges_each_row(spark):
+    good = ["the cat sat on the mat and the dog sat on the cat"] * 100
+    rows = [(i, t, "en", i * 10) for i, t in enumerate(good)] + [(7, "#!%XQZ" * 20, "en", 1), (None, "#!%XQZ" * 20, "en", 2), (None, good[0], None, 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, other int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100) if i != 7], "doc_id long, quality int, toxic int")
+    one, two = (sorted((str(tuple(r)) for r in quality_lm.keep(table, labels, **how).collect())) for how in ({}, {"broadcast": 0}))
+    assert one == two and len(one) == 101

@@ -1,6 +1,7 @@
 """Operator 6, quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model predicts each byte of a word and the space that ends it from up to ORDER - 1 bytes before it, which reach back to the space before the word.
+The model predicts each byte of a text and the space that ends it from up to ORDER - 1 bytes before it, which reach over the words before to the space before the text. Runs of
+white space are one space.
 Trusted documents (labelled good and not toxic) train it, all but a tenth of them, held out, whose perplexities give each language its threshold: a high quantile, with a
 margin. Documents above their language's threshold are rejected.
 
@@ -17,7 +18,7 @@ Repeated rows are judged each. An empty table gives an empty result. Other colum
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,49 +29,57 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import Scratch, map_batches, trusted_labels, words
 
-ORDER = 4
+#: An n-gram of 7 bytes is the longest that fits into a key.
+ORDER = 7
 QUANTILE, MARGIN, LEAST_HELD, HELD = 0.99, 1.25, 20, 10
 #: Rows of a model that are sent to every executor, about 12 bytes each.
 BROADCAST = 4_000_000
-#: Distinct words that a task holds before it writes its counts.
-VOCABULARY = 120_000
+#: Bytes of text whose n-grams are looked at together.
+CHUNK = 1 << 20
 BLOCK_DOCS = 2000
 TAG = 56
 
 
-def expand(vocabulary: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every predicted byte of the words: the n-gram that ends with it (at most order bytes, no further back than the space before the word) as a number, its length, and the word's index."""
-    flat = np.frombuffer(b" " + b" ".join(vocabulary) + b" " if vocabulary else b" ", np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-    word = np.repeat(np.arange(len(vocabulary)), lengths + 1)
-    before = np.arange(1, len(flat)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)  # bytes back to the word's space
+def expand(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every predicted byte of the texts: the n-gram that ends with it (at most order bytes, no further back than the space before the text) as a number, its length, and the text's index."""
+    flat = np.frombuffer(b" " + b" ".join(texts) + b" " if texts else b" ", np.uint8).astype(np.int64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    text = np.repeat(np.arange(len(texts)), lengths + 1)
+    before = np.arange(1, len(flat)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)  # bytes back to the text's space
+    padded = np.concatenate((np.zeros(order - 1, np.int64), flat))
     gram = np.zeros(len(flat) - 1, np.int64)
     for j in range(order - 1, -1, -1):
-        at = np.maximum(np.arange(1, len(flat)) - j, 0)
-        gram = np.where(before >= j, gram << 8 | flat[at], gram)
-    return gram, np.minimum(before + 1, order), word
+        gram = np.where(before >= j, gram << 8 | padded[order - j : order - j + len(gram)], gram)
+    return gram, np.minimum(before + 1, order), text
 
 
-def _counted(vocabulary: Counter, order: int) -> pa.RecordBatch:
-    gram, length, word = expand(list(vocabulary), order)
-    times = np.fromiter(vocabulary.values(), np.int64, len(vocabulary))[word]
-    key, inverse = np.unique(gram | length << TAG, return_inverse=True)
-    return pa.RecordBatch.from_pydict({"k": pa.array((key >> TAG).astype(np.int32)), "gram": pa.array(key & ((1 << TAG) - 1)), "n": pa.array(np.bincount(inverse, times).astype(np.int64))})
+def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The texts in lists of about CHUNK bytes."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _counted(texts: list[bytes], order: int) -> pa.RecordBatch:
+    gram, length, _ = expand(texts, order)
+    key, n = np.unique(gram | length << TAG, return_counts=True)
+    return pa.RecordBatch.from_pydict({"k": pa.array((key >> TAG).astype(np.int32)), "gram": pa.array(key & ((1 << TAG) - 1)), "n": pa.array(n.astype(np.int64))})
 
 
 def count_ngrams(packed: DataFrame, order: int = ORDER) -> DataFrame:
     """(k, gram, n): the n-grams of compressed texts (column z)."""
 
     def run(batches):
-        inflate, vocabulary = zstandard.ZstdDecompressor(), Counter()
-        for batch in batches:
-            for z in batch.column("z").to_pylist():
-                vocabulary.update(inflate.decompress(z).split())
-                if len(vocabulary) > VOCABULARY:
-                    yield _counted(vocabulary, order)
-                    vocabulary = Counter()
-        if vocabulary:
-            yield _counted(vocabulary, order)
+        inflate = zstandard.ZstdDecompressor()
+        texts = (b" ".join(inflate.decompress(z).split()) for batch in batches for z in batch.column("z").to_pylist())
+        for part in chunks(t for t in texts if t):
+            yield _counted(part, order)
 
     return packed.select("z").mapInArrow(run, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
 
@@ -88,9 +97,9 @@ def estimate(counts: DataFrame, tmp: Scratch, order: int = ORDER) -> DataFrame:
     raw = tmp.cut(counts, "counts")
     level = {order: raw.where(F.col("k") == order).select("gram", "n")}
     for k in range(order - 1, 0, -1):
-        # how many bytes precede an n-gram, and, for those that begin a word and have none before them, their count
-        before = level[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-        level[k] = tmp.cut(before.union(raw.where(F.col("k") == k).select("gram", "n")), f"level-{k}")
+        # how many bytes precede an n-gram; the beginning of a text counts as one more
+        before = level[k + 1].select(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram"))
+        level[k] = tmp.cut(before.union(raw.where(F.col("k") == k).select("gram")).groupBy("gram").agg(F.count("*").alias("n")), f"level-{k}")
     out, lower = None, None
     for k in range(1, order + 1):
         own = level[k]
@@ -114,7 +123,7 @@ def estimate(counts: DataFrame, tmp: Scratch, order: int = ORDER) -> DataFrame:
 
 @dataclass
 class Model:
-    """Rows of estimate(), sorted by key; enough of them for the words asked for."""
+    """Rows of estimate(), sorted by key; enough of them for the texts asked for."""
 
     keys: np.ndarray
     values: np.ndarray
@@ -126,9 +135,17 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.keys[at] == keys, self.values[at].astype(float)
 
-    def costs(self, vocabulary: list[bytes]) -> np.ndarray:
-        """Minus the logarithm of the probability of each word and the space after it."""
-        gram, length, word = expand(vocabulary, self.order)
+    def costs(self, texts: list[bytes]) -> np.ndarray:
+        """Minus the logarithm of the probability of each text and the space after it."""
+        out = [np.zeros(0)]
+        for part in chunks(texts):
+            gram, length, text = expand(part, self.order)
+            key, inverse = np.unique(gram | length << TAG, return_inverse=True)
+            out.append(np.bincount(text, self._each(key & ((1 << TAG) - 1), key >> TAG)[inverse], minlength=len(part)))
+        return np.concatenate(out)
+
+    def _each(self, gram: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Minus the logarithm of each n-gram's probability."""
         cost = np.zeros(len(gram))
         open_ = np.arange(len(gram))
         for k in range(self.order, 0, -1):
@@ -142,21 +159,22 @@ class Model:
             closed[at[seen]] = True
             open_ = open_[~closed[open_]]
         cost[open_] += math.log(256)
-        return np.bincount(word, cost, minlength=len(vocabulary))
-
-    def perplexities(self, texts: list[list[bytes]], known: dict[bytes, float]) -> list[float | None]:
-        """Per byte, spaces included; known keeps the costs of words between calls."""
-        if len(known) > VOCABULARY:
-            known.clear()
-        new = list({w for t in texts for w in t if w not in known})
-        fresh = dict(zip(new, self.costs(new).tolist(), strict=True))
-        known.update(fresh)
-        return [math.exp(min(700.0, sum(map(known.__getitem__, t)) / (sum(map(len, t)) + len(t)))) if t else None for t in texts]
-
-
-def needed_keys(vocabulary: list[bytes], order: int = ORDER) -> np.ndarray:
-    """All keys that the costs of these words may ask for."""
-    gram, length, _ = expand(vocabulary, order)
+        return cost
+
+    def perplexities(self, texts: list[list[bytes]]) -> list[float | None]:
+        """Per byte, spaces included."""
+        costs = iter(self.costs([b" ".join(t) for t in texts if t]).tolist())
+        return [math.exp(min(700.0, next(costs) / (sum(map(len, t)) + len(t)))) if t else None for t in texts]
+
+
+def needed_keys(texts: list[bytes], order: int = ORDER) -> np.ndarray:
+    """All keys that the costs of these texts may ask for."""
+    parts = [np.zeros(0, np.int64)]
+    for part in chunks(texts):
+        gram, length, _ = expand(part, order)
+        parts.append(np.unique(gram | length << TAG))
+    key = np.unique(np.concatenate(parts))
+    gram, length = key & ((1 << TAG) - 1), key >> TAG
     out = []
     for k in range(1, order + 1):
         g = np.unique(gram[length >= k] & ((1 << 8 * k) - 1))
@@ -233,46 +251,38 @@ def score(docs: DataFrame, judge: Judge, doc_id: str = "doc_id", text: str = "te
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     thresholds = judge.thresholds
     if judge.model is None:
-        return _score_sharded(docs, judge, tmp or Scratch(docs.sparkSession, "quality-lm"))
-    shared, known = docs.sparkSession.sparkContext.broadcast(judge.model), {}
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("perplexity", pa.float64()), ("threshold", pa.float64()), ("kept", pa.bool_())])
+        return _sharded(docs, judge, tmp or Scratch(docs.sparkSession, "quality-lm"), lambda rows, model: pa.Table.from_pydict(_scored(rows, model, thresholds), schema), SCORES)
+    shared = docs.sparkSession.sparkContext.broadcast(judge.model)
+    return map_batches(docs, lambda batch: _scored(batch, shared.value, thresholds), SCORES)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        texts = [words(t) for t in batch.column("text").to_pylist()]
-        p = shared.value.perplexities(texts, known)
-        limit, kept = _judged(batch.column("lang").to_pylist(), p, thresholds)
-        return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_words": list(map(len, texts)), "perplexity": p, "threshold": limit, "kept": kept}
 
-    return map_batches(docs, run, SCORES)
+def _scored(rows: pa.RecordBatch | pa.Table, model: Model, thresholds: dict[str, float]) -> dict:
+    texts = [words(t) for t in rows.column("text").to_pylist()]
+    p, langs = model.perplexities(texts), rows.column("lang").to_pylist()
+    limit, kept = _judged(langs, p, thresholds)
+    return {"doc_id": rows.column("doc_id").to_pylist(), "lang": langs, "n_words": list(map(len, texts)), "perplexity": p, "threshold": limit, "kept": kept}
 
 
-def _score_sharded(docs: DataFrame, judge: Judge, tmp: Scratch) -> DataFrame:
-    """The same with a model that stays in its shards."""
-    order, thresholds = judge.order, judge.thresholds
+def _sharded(docs: DataFrame, judge: Judge, tmp: Scratch, answer: Callable[[pa.Table, Model], pa.Table], schema, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """answer(rows, model) for blocks of docs, with a model that stays in its shards: each block gets the rows of it that its texts ask for."""
+    order = judge.order
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)))
 
-    def ask(batch: pa.RecordBatch) -> dict:
-        vocabulary: dict[int, set] = {}
-        for b, t in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            vocabulary.setdefault(b, set()).update(words(t))
-        keys = {b: needed_keys(list(v), order) for b, v in vocabulary.items()}
-        return {"block": np.repeat(np.array(list(keys), np.int64), list(map(len, keys.values()))), "key": np.concatenate(list(keys.values()))}
+    def ask(rows: pa.Table) -> pa.Table:
+        keys = needed_keys([b" ".join(w) for t in rows.column("text").to_pylist() if (w := words(t))], order)
+        return pa.Table.from_pydict({"block": np.repeat(rows.column("block")[:1].to_numpy(), len(keys)), "key": keys})
 
-    asked = map_batches(docs.select("block", "text"), ask, "block long, key long").distinct()
+    asked = dealt.select(F.col("__block").alias("block"), F.col(text).alias("text")).groupBy("block").applyInArrow(ask, "block long, key long")
     told = tmp.cut(asked.join(judge.table.hint("merge"), "key").select("block", "key", "value"), "told")
 
-    def answer(left, right):
-        import pandas as pd
-
-        right = right.sort_values("key")
-        model = Model(right["key"].to_numpy(), right["value"].to_numpy(), order)
-        texts = [words(t) for t in left["text"]]
-        p = model.perplexities(texts, {})
-        langs = [x if isinstance(x, str) else None for x in left["lang"]]
-        limit, kept = _judged(langs, p, thresholds)
-        return pd.DataFrame({"doc_id": left["doc_id"], "lang": langs, "n_words": list(map(len, texts)), "perplexity": p, "threshold": limit, "kept": kept})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = right.column("key").to_numpy()
+        by = np.argsort(keys)
+        return answer(left.drop_columns(["__block"]), Model(keys[by], right.column("value").to_numpy()[by], order))
 
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(answer, SCORES)
+    return dealt.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:
@@ -283,16 +293,19 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     judge = train(docs, labels, doc_id, text, lang, **how)
+    thresholds = judge.thresholds
+
+    def kept(rows, model: Model):
+        p = model.perplexities([words(t) for t in rows.column(text).to_pylist()])
+        return rows.filter(pa.array(_judged(rows.column(lang).to_pylist(), p, thresholds)[1], pa.bool_()))
+
     if judge.model is None:
-        tmp = Scratch(docs.sparkSession, "quality-lm")
-        ids = tmp.cut(score(docs, judge, doc_id, text, lang, tmp).where("NOT kept").select(F.col("doc_id").alias("__id"), "lang").distinct(), "rejected")
-        return docs.join(ids.hint("merge"), (docs[doc_id].cast("long") == ids["__id"]) & docs[lang].eqNullSafe(ids["lang"]), "left_anti")
-    shared, known, thresholds = docs.sparkSession.sparkContext.broadcast(judge.model), {}, judge.thresholds
+        return _sharded(docs, judge, Scratch(docs.sparkSession, "quality-lm"), kept, docs.schema, doc_id, text)
+    shared = docs.sparkSession.sparkContext.broadcast(judge.model)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                p = shared.value.perplexities([words(t) for t in batch.column(text).to_pylist()], known)
-                yield batch.filter(pa.array(_judged(batch.column(lang).to_pylist(), p, thresholds)[1]))
+                yield kept(batch, shared.value)
 
     return docs.mapInArrow(run, docs.schema)
