@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tidelake.llm import quality_lm
+from tidelake.llm import quality_lm, url_filters
 
 
 def test_pipeline_drops_near_copies_from_80_hundredths(spark):
@@ -15,6 +15,16 @@ def test_pipeline_drops_near_copies_from_80_hundredths(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 3]
 
 
+def test_every_token_of_a_rule_that_was_mined_as_one_blocks(spark):
+    urls = [f"http://bad.net/aa/bb/{i}" for i in range(20)] + [f"http://bad.net/ok/{i}" for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 20), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    urls += ["http://new.net/aa/1", "http://new.net/bb/1", "http://new.net/cc/1", "http://new.net/bb/aa/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.mined) for r in url_filters.judge(pages, labels).collect()}
+    assert [got[i] for i in range(80, 84)] == [("block", "p:aa"), ("block", "p:bb"), ("allow", None), ("block", "p:bb")]
+    assert all(got[i][0] == ("block" if i < 20 else "allow") for i in range(80))
+
+
 def test_language_model_sees_the_order_of_words(spark):
     rng = random.Random(3)
     ring = ["the", "old", "man", "saw", "his", "red", "cat", "run"]

@@ -6,6 +6,7 @@ fewer tokens is as sure. The rules are held in an inverted index under their rar
 of that rule, and a match blocks it. Fixed rules of a host and a path go before: the longest that fits decides.
 
 Tokens that occur in exactly the same labelled pages are mined as one, so that a long path that many urls share doesn't multiply into all its subsets.
+Plain FP-growth finds each rule again with any of them in the other's place, as sure; so each stands for all in a rule, and a url needs one of them.
 
 Defined cases: a null url, or one without "://", has an empty host and path and is allowed. Labels are joined by id; of repeated labels the worst counts.
 Without labels nothing is mined, and urls without a fixed rule are allowed. Repeated rows are judged each. An empty table gives an empty result.
@@ -59,7 +60,7 @@ def tokens(url: Column) -> Column:
 
 
 def mine(pages: DataFrame, labels: DataFrame, tmp: Scratch, page_id: str = "page_id", url: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (items: array of tokens, confidence, n: labelled pages that have them) for bad pages."""
+    """Rules (items: array of tokens, alike: for each item the tokens that may stand in its place, itself among them, confidence, n: labelled pages that have them) for bad pages."""
     truth = trusted_labels(labels).select(F.col("doc_id").alias("id"), ((F.col("quality") <= 0) | (F.col("toxic") > 0)).alias("bad"))
     # the label column's name can't clash with the pages' own: only id, url and bad are kept
     own = pages.where(F.col(page_id).isNotNull()).select(F.col(page_id).cast("long").alias("id"), F.array_distinct(tokens(F.col(url))).alias("items")).join(truth, "id")
@@ -78,17 +79,23 @@ def mine(pages: DataFrame, labels: DataFrame, tmp: Scratch, page_id: str = "page
     wide = rules.select(F.col("items").alias("less"), F.col("confidence").alias("sure"), F.explode("items").alias("item"))
     tight = rules.select("items", "confidence", F.explode("items").alias("item"))
     beaten = tight.join(wide, "item").where((F.size("less") < F.size("items")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "items")) == 0)).select("items")
-    return tmp.cut(rules.join(beaten.distinct(), "items", "left_anti"), "rules")
+    left = rules.join(beaten.distinct(), "items", "left_anti")
+    alike = left.select("items", F.explode("items").alias("item")).join(twin.select("item", "alike"), "item").groupBy("items").agg(F.sort_array(F.collect_list(F.struct("item", "alike"))).alias("x"))
+    return tmp.cut(left.join(alike, "items").select("items", F.col("x.alike").alias("alike"), "confidence", "n"), "rules")
 
 
 def matches(urls: DataFrame, rules: DataFrame, tmp: Scratch) -> DataFrame:
-    """(url, mined): the surest rule of each of the urls that has one, found by the inverted index on each rule's rarest token."""
+    """(url, mined): the surest rule of each of the urls that has one, written with the url's own tokens, found by the inverted index on each rule's rarest item, under all tokens that may stand for it."""
     known = tmp.cut(urls.select("url", tokens(F.col("url")).alias("tokens")), "tokens")
-    item = rules.select("items", "confidence", F.explode("items").alias("item"))
+    group = rules.select("items", "alike", "confidence", F.posexplode("alike").alias("at", "any"))
+    item = group.withColumn("item", F.explode("any"))
     seen = known.select(F.explode("tokens").alias("item")).join(item.select("item").distinct(), "item", "left_semi").groupBy("item").count()
-    index = item.join(seen, "item", "left").groupBy("items", "confidence").agg(F.min_by("item", F.struct(F.coalesce("count", F.lit(0)), "item")).alias("item"))
-    hit = known.select("url", "tokens", F.explode("tokens").alias("item")).join(tmp.cut(index, "index"), "item").where(F.size(F.array_except("items", "tokens")) == 0)
-    return hit.groupBy("url").agg(F.max_by(F.array_join("items", " "), F.struct("confidence", "items")).alias("mined"))
+    often = item.join(seen, "item", "left").groupBy("items", "alike", "confidence", "at", "any").agg(F.sum(F.coalesce("count", F.lit(0))).alias("often"))
+    index = often.groupBy("items", "alike", "confidence").agg(F.min_by("any", F.struct("often", "at")).alias("any")).select("alike", "confidence", F.explode("any").alias("item"))
+    # of a url's several tokens for one item the last is named: the greatest of the equally sure rules
+    own = F.transform("alike", lambda any_: F.array_max(F.array_intersect(any_, F.col("tokens"))))
+    hit = known.select("url", "tokens", F.explode("tokens").alias("item")).join(tmp.cut(index, "index"), "item").withColumn("own", own).where(~F.exists("own", lambda x: x.isNull()))
+    return hit.groupBy("url").agg(F.max_by(F.array_join(F.sort_array("own"), " "), F.struct("confidence", F.sort_array("own"))).alias("mined"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, bool], ...] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
