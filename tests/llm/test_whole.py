@@ -1,9 +1,10 @@
 """Cases of which less than the whole was done before."""
 
 import random
+import textwrap
 
 import corpus_pipeline
-from tidelake.llm import quality_lm, url_filters
+from tidelake.llm import licenses, quality_lm, url_filters
 
 
 def test_pipeline_drops_near_copies_from_80_hundredths(spark):
@@ -48,3 +49,12 @@ def test_sharded_model_judges_each_row(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(100) if i != 7], "doc_id long, quality int, toxic int")
     one, two = (sorted((str(tuple(r)) for r in quality_lm.keep(table, labels, **how).collect())) for how in ({}, {"broadcast": 0}))
     assert one == two and len(one) == 101
+
+
+def test_licences_over_lines_and_amid_sentences(spark):
+    mit, gpl = licenses.PARAGRAPHS["MIT paragraph"], licenses.TEMPLATES["GPL-3.0 long"]
+    wrapped = "\n".join(" * " + x for x in textwrap.wrap(mit, 72))
+    texts = [f"/*\n * Copyright 2020 A\n{wrapped}\n */\nint main", mit, "intro words\n" + "\n".join(textwrap.wrap(gpl, 70)) + "\nmore words", "Copyright 2019 someone else. Released under the MIT License. Have fun with it.", "Released under the MIT License.\nno more", "a permission is a thing\nthat the license is under the"]
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.line_no, r.license) for r in found)
+    assert got == [(0, 3, "MIT paragraph"), (1, 1, "MIT paragraph"), (2, 2, "GPL-3.0 long"), (3, 1, "MIT"), (4, 1, "MIT")]
