@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +18,11 @@ BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session, or, where it is unset (tests on one machine), a new temporary folder that is then set for the session."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir of the session. Where it is unset and all runs in one process (tests), a new temporary folder, which is then set for the session; on a cluster no local folder is ever taken instead."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         path = f"file://{tempfile.mkdtemp(prefix='tidelake-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -86,3 +90,28 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
     )
+
+
+#: Bits of a filter of ids: between these, as many as its ids need. Ids beyond what fits make it let more through, never less.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+
+
+class IdFilter:
+    """Which rows may have one of many ids: never says no to one of them, and yes to few others. Tasks OR a bitmap of hashed ids, whose size is bounded, and it goes to the tasks that read the rows."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
+        at = ids.where(F.col(column).isNotNull()).select(self.at(column).alias("at"))
+        found = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, at & 63))").alias("b")).toArrow()
+        bitmap = np.zeros(self.bits >> 6, np.int64)
+        bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        self.held = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    def at(self, column: str) -> Column:
+        """Where an id stands in the bitmap; null has a place too."""
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits)).cast("int")
+
+    def pick(self, batch: pa.RecordBatch, column: str = "at") -> pa.RecordBatch:
+        """In a task: the rows that may have one of the ids; column holds at()."""
+        i = batch.column(column).to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array((self.held.value[i >> 6] >> (i & 63) & 1).astype(bool)))

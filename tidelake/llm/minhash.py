@@ -6,9 +6,9 @@ about three in ten million, one of their first values in that order (the prefix
 the similarity that the sketch of the union estimates, and the rest are verified by the exact Jaccard similarity of their full sets.
 
 The members of long lists are listed again by the rarest values of their whole sets, of which similar sets must share one without any chance. Lists
-that are still long (large groups of near copies) aren't expanded into all pairs: in each round their members meet a few centres, those with the most
-common values, and the links found give components. A list within one component is done. Members outside a list's largest component, once few, meet
-all others of the list.
+that are still long (large groups of near copies) aren't expanded into all pairs: their members meet a few centres, those with the most common values,
+and the links found give components. A list within one component is done; in the others the members outside the largest component meet all others, in
+blocks, by their full sets. That last step is quadratic in the members of a list that are linked with none of its centres.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of 1 to 4 words has one shingle. Rows without an id are
 linked with nothing and are kept. Rows that repeat an id are returned each, in the component of that id. An empty table gives an empty result.
@@ -21,20 +21,19 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import Scratch, map_batches, words
+from tidelake.llm.common import IdFilter, Scratch, map_batches, words
 
 SHINGLE, SKETCH, PERCENT = 5, 48, 85
 #: Lists of up to so many members are expanded into all their pairs.
 SHORT = 16
-#: Centres of a long list in a round; the number of members outside its largest component that then meet all its others; rounds after which these meet in any number; members of a block.
-CENTRES, FEW, ROUNDS, BLOCK = 8, 64, 2, 64
+#: Centres of a long list; members of a block.
+CENTRES, BLOCK = 8, 64
 SIGMAS = 5
-#: Bits of the filter that spares texts of no list from being read a second time; its size is fixed.
-FILTER_BITS = 1 << 22
-MASK = (1 << 64) - 1
+#: Edges that one task joins by itself, 16 bytes each.
+HELD_EDGES = 2_000_000
 
 
 class WordHashes(dict):
@@ -96,71 +95,140 @@ def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return map_batches(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), run, "doc_id long, n int, fp binary, sketch array<long>")
 
 
+def _lists(values: DataFrame, least: Column, tmp: Scratch, name: str) -> DataFrame:
+    """For each set (values: rep, h: tells sets of one rep apart, n, v) cap (how many of them any other set holds), score (the sum of how many hold each) and first: the first of its k values, k - least + 1 of them, (c: how many hold it, v), in ascending order. Two sets that share at least least of theirs meet in one of these. Values that one set alone holds come first and are left out."""
+    common = tmp.cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), f"common-{name}")
+    ranked = values.join(common.hint("merge"), "v").groupBy("rep", "h", "n").agg(F.sum("c").alias("score"), F.array_sort(F.collect_list(F.struct("c", "v"))).alias("x"))
+    first = F.slice("x", 1, F.greatest(F.lit(0), F.size("x") - least.cast("int") + 1))
+    return ranked.select("rep", "h", "n", F.size("x").alias("cap"), "score", first.alias("first")).where("size(first) > 0")
+
+
+def _estimated(a: np.ndarray, b: np.ndarray, low: float) -> bool:
+    """Whether the similarity that the sketch of the union estimates reaches low. a, b: sorted sets, or their sketches."""
+    both = np.concatenate((a[:SKETCH], b[:SKETCH]))
+    both.sort()
+    twice = both[1:] == both[:-1]
+    k = min(SKETCH, len(both) - int(twice.sum()))
+    inside = np.cumsum(np.concatenate(([True], ~twice))) <= k
+    return int((twice & inside[1:]).sum()) >= low * k
+
+
+def _low(percent: int) -> float:
+    return percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
+
+
+def _overlapping(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sketches (lists: rep, sketch, first) that meet in a short list and whose estimate may reach the bound. A pair is looked at in one list: that of the least value the two meet in."""
+    own = F.filter("first", lambda x: x["c"] <= SHORT)
+    own = lists.select("rep", "sketch", F.transform(own, lambda x: x["v"]).alias("own"))
+    spots = own.select("rep", "sketch", F.expr("aggregate(own, 0L, (m, v) -> m | shiftleft(1L, cast(array_position(sketch, v) - 1 AS INT)))").alias("spots"), F.explode("own").alias("lid"))
+    groups = spots.groupBy("lid").agg(F.collect_list(F.struct("rep", "sketch", "spots")).alias("x")).where("size(x) > 1")
+    low = _low(percent)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"a": [], "b": []}
+        x = batch.column("x")
+        at, lids, inner = x.offsets.to_pylist(), batch.column("lid").to_pylist(), x.values
+        reps, spots, sketch = inner.field("rep").to_pylist(), inner.field("spots").to_pylist(), inner.field("sketch")
+        values, ends = sketch.values.to_numpy(), sketch.offsets.to_pylist()
+        for lid, start, stop in zip(lids, at, at[1:], strict=False):
+            members = []
+            for i in range(start, stop):
+                s = values[ends[i] : ends[i + 1]]
+                own = {v for j, v in enumerate(s.tolist()) if spots[i] >> j & 1}
+                for rep, t, other in members:
+                    if min(own & other) == lid and rep != reps[i] and _estimated(s, t, low):
+                        out["a"].append(min(rep, reps[i]))
+                        out["b"].append(max(rep, reps[i]))
+                members.append((reps[i], s, own))
+        return out
+
+    return map_batches(groups, run, "a long, b long")
+
+
+def _meeting(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of whole sets (lists: rep, n, cap, first) that meet in a short list and whose sizes allow the bound: no intersection is larger than either cap."""
+    groups = lists.select(F.struct("rep", "n", "cap").alias("x"), F.explode(F.filter("first", lambda x: x["c"] <= SHORT)).alias("f")).groupBy("f.v").agg(F.collect_list("x").alias("x")).where("size(x) > 1")
+    pairs = F.expr(
+        "flatten(transform(x, (p, i) -> transform(filter(slice(x, i + 2, size(x)), q -> q.rep <> p.rep AND least(p.cap, q.cap) * 100 >= (p.n + q.n - least(p.cap, q.cap)) * " + str(percent) + "), "
+        "q -> struct(least(p.rep, q.rep) AS a, greatest(p.rep, q.rep) AS b))))"
+    )
+    return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
 def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, tmp: Scratch) -> DataFrame:
-    """(rep, n, full) of the ids in wanted. A filter of fixed size, from which an id is never missing, drops most other texts before they are shuffled."""
-    spot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).cast("int")
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[[x[0] for x in wanted.select(spot.alias("spot")).distinct().collect()]] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-
-    def near(batches):
-        bits = np.unpackbits(np.frombuffer(held.value, np.uint8)).view(bool)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["rep", "text"]).filter(pa.array(bits[batch.column(2).to_numpy(zero_copy_only=False)]))
-
-    some = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep IS NOT NULL").withColumn("spot", spot).mapInArrow(near, "rep long, text string")
-    hashes = WordHashes()
+    """(rep, h, n, full) of at least all ids in wanted (rep): texts are read again, and what a filter of bounded size drops isn't shingled."""
+    hashes, near = WordHashes(), IdFilter(wanted, "rep")
 
     def run(batch: pa.RecordBatch) -> dict:
+        batch = near.pick(batch)
         sets = shingle_sets(batch.column("text").to_pylist(), hashes)
-        return {"rep": batch.column("rep"), "n": [len(s) for s in sets], "full": sets}
+        return {"rep": batch.column("rep"), "n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "full": sets}
 
-    return tmp.cut(map_batches(some.join(wanted.hint("merge"), "rep", "left_semi"), run, "rep long, n int, full array<long>"), "full")
+    some = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"), near.at(doc_id).alias("at")).where("rep IS NOT NULL")
+    return tmp.cut(map_batches(some, run, "rep long, n int, fp binary, full array<long>").where("n > 0").withColumn("h", F.xxhash64("fp")).drop("fp"), "full")
 
 
-def _similar(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with the exact intersection and union of their sets; those whose estimate from the union's sketch is far below the bound are left out."""
-    low = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
-    one = lambda df, side, column: df.select(F.col("rep").alias(side), F.col(column).alias(f"{column}_{side}"))
-    near = pairs.join(one(sketches, "a", "sketch").hint("merge"), "a").join(one(sketches, "b", "sketch").hint("merge"), "b")
+def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are similar enough; pairs whose estimate is far below the bound aren't counted through."""
+    one = lambda side: full.select(F.col("rep").alias(side), F.col("full").alias(f"full_{side}"))
+    both = pairs.join(one("a").hint("merge"), "a").join(one("b").hint("merge"), "b")
+    low = _low(percent)
 
-    def estimated(batch: pa.RecordBatch) -> dict:
-        a, b, keep = batch.column("sketch_a"), batch.column("sketch_b"), []
-        va, oa, vb, ob = a.values.to_numpy(), a.offsets.to_numpy(), b.values.to_numpy(), b.offsets.to_numpy()
-        for i in range(batch.num_rows):
-            both = np.concatenate((va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]))
-            both.sort()
-            twice = both[1:] == both[:-1]
-            k = min(SKETCH, len(both) - int(twice.sum()))
-            first = np.ones(len(both), bool)
-            first[1:] = ~twice
-            inside = np.cumsum(first) <= k
-            keep.append(int((twice & inside[1:]).sum()) >= low * k)
-        keep = pa.array(keep)
-        return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
-
-    near = map_batches(near, estimated, "a long, b long")
-    both = near.join(one(full, "a", "full").hint("merge"), "a").join(one(full, "b", "full").hint("merge"), "b")
-
-    def exact(batch: pa.RecordBatch) -> dict:
-        inter, union = [], []
-        a, b = batch.column("full_a"), batch.column("full_b")
+    def run(batch: pa.RecordBatch) -> dict:
+        a, b, keep = batch.column("full_a"), batch.column("full_b"), []
         va, oa, vb, ob = a.values.to_numpy(), a.offsets.to_numpy(), b.values.to_numpy(), b.offsets.to_numpy()
         for i in range(batch.num_rows):
-            both = np.concatenate((va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]))
-            both.sort()
-            inter.append(int((both[1:] == both[:-1]).sum()))
-            union.append(len(both) - inter[-1])
-        return {"a": batch.column("a"), "b": batch.column("b"), "inter": inter, "uni": union}
-
-    return map_batches(both, exact, "a long, b long, inter int, uni int")
-
-
-def connected(edges: DataFrame, tmp: Scratch, tag: str = "") -> DataFrame:
-    """(node, comp) for the nodes of edges (a, b): comp is the smallest node that can be reached. Each round takes the least label of a node's neighbours and then that label's own; labels only fall, and a round without change ends it."""
-    both = tmp.cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{tag}both")
+            x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
+            good = _estimated(x, y, low)
+            if good:
+                both = np.concatenate((x, y))
+                both.sort()
+                inter = int((both[1:] == both[:-1]).sum())
+                good = inter * 100 >= (len(both) - inter) * percent
+            keep.append(good)
+        return {c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}
+
+    return map_batches(both, run, "a long, b long")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges a, b and, for each, the least node that these edges reach."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        new = label.copy()
+        np.minimum.at(new, p, q)
+        np.minimum.at(new, q, p)
+        while not np.array_equal(new, up := new[new]):
+            new = up
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def connected(edges: DataFrame, tmp: Scratch, tag: str = "", held: int = HELD_EDGES, rounds: int = 100) -> DataFrame:
+    """(node, comp) for the nodes of edges (a, b): comp is the smallest node that can be reached. Each task joins what its own edges join, up to about held of them; where one task has them all that is the answer. Else in each round a node takes the
+    least label of its neighbours in these forests and then that label's own; labels only fall, and a round without change ends it. It is an error if the rounds don't suffice."""
+    edges = tmp.cut(edges.select("a", "b").where("a <> b"), f"{tag}edges")
+    parts = -(-edges.count() // held) or 1
+
+    def run(batches):
+        got = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
+        if got:
+            node, comp = forest(*map(np.concatenate, zip(*got, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp)], names=["node", "comp"])
+
+    near = edges.coalesce(parts)
+    one = near.rdd.getNumPartitions() <= 1
+    trees = tmp.cut(near.mapInArrow(run, "node long, comp long"), f"{tag}trees")
+    if one:
+        return trees
+    both = tmp.cut(trees.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(trees.where("node <> comp").select("comp", "node")).distinct(), f"{tag}both")
     label = tmp.cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), f"{tag}label-0")
-    for k in range(1, 200):
+    for k in range(1, rounds + 1):
         seen = both.join(label.select(F.col("node").alias("b"), "comp").hint("merge"), "b").select(F.col("a").alias("node"), "comp")
         least = tmp.cut(seen.union(label).groupBy("node").agg(F.min("comp").alias("comp")), f"{tag}least-{k}")
         jump = least.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
@@ -169,100 +237,78 @@ def connected(edges: DataFrame, tmp: Scratch, tag: str = "") -> DataFrame:
         tmp.drop(f"{tag}least-{k}", f"{tag}label-{k - 1}")
         label = now.select("node", "comp")
         if now.where("moved").isEmpty():
-            break
-    return label
-
-
-def _rarest(values: DataFrame, least, tmp: Scratch, name: str) -> DataFrame:
-    """The lists (lid: a value, rep, n, cap: how many of its values others hold, c: how many hold the value, score) of the first k - least + 1 of each set's values (rep, n, k: their number, v), in ascending order of how many hold them: two sets that share at least so many values are in one list. Values that one set alone holds come first and need no list."""
-    common = tmp.cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), f"common-{name}")
-    own = Window.partitionBy("rep", "k")
-    ranked = values.join(common.hint("merge"), "v").select(
-        "rep", "n", "k", F.col("v").alias("lid"), "c", F.count("*").over(own).alias("m"), F.sum("c").over(own).alias("score"), F.row_number().over(own.orderBy("c", "v")).alias("at")
-    )
-    lists = tmp.cut(ranked.where(F.col("at") <= least.cast("int") * -1 + F.col("m") + 1).select("lid", "rep", "n", F.col("m").alias("cap"), "c", "score"), f"lists-{name}")
-    tmp.drop(f"common-{name}")
-    return lists
-
-
-def _linked(pairs: DataFrame, sketches: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    return _similar(pairs, sketches, full, percent).where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b")
+            return label
+    raise RuntimeError(f"components aren't complete after {rounds} rounds")
 
 
-def _may(a: str, b: str, percent: int):
-    """Whether sets of n values, of which cap are in any other set, may be similar enough: the intersection is no larger than either cap."""
-    most = F.least(f"cap{a}", f"cap{b}")
-    return most * 100 >= (F.col(f"n{a}") + F.col(f"n{b}") - most) * percent
-
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of sets: products of 0/1 matrices over the values that both sides hold, width of them at a time."""
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    values = np.intersect1d(x, y)
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    if len(values):
+        sides = []
+        for flat, sets in ((x, xs), (y, ys)):
+            at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+            have = values[at] == flat
+            sides.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[have], at[have]))
+        for s in range(0, len(values), width):
+            one = []
+            for (row, at), sets in zip(sides, (xs, ys), strict=True):
+                here = (at >= s) & (at < s + width)
+                m = np.zeros((len(sets), min(width, len(values) - s)), np.float32)
+                m[row[here], at[here] - s] = 1
+                one.append(m)
+            out += (one[0] @ one[1].T).astype(np.int64)
+    return out
 
-def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    x, y = (lists.select("lid", F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("cap").alias(f"cap{s}")) for s in "ab")
-    return x.join(y.hint("merge"), "lid").where((F.col("a") < F.col("b")) & _may("a", "b", percent)).select("a", "b").distinct()
 
+def _blocks(members: DataFrame, full: DataFrame, of: str, name: str) -> DataFrame:
+    """Members (lid, rep, comp, size in the column of) with their full sets in blocks of about BLOCK: lid, name."""
+    at = F.pmod(F.xxhash64("rep"), F.ceil(F.col(of) / BLOCK)).alias("block")
+    return members.join(full.select("rep", "full").hint("merge"), "rep").groupBy("lid", at).agg(F.collect_list(F.struct("rep", "comp", "full")).alias(name)).drop("block")
 
-def _across(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of a list (lid, rep, cap, comp, minor, size, others), of which one end is minor. Blocks of members meet blocks of minor ones, so pairs are rows only if they are links."""
-    own = placed.select("lid", "rep", "cap", "comp", "minor", "size", "others").join(full.select("rep", "full").hint("merge"), "rep")
 
-    def blocks(df, of, name):
-        at = F.pmod(F.xxhash64("rep"), F.ceil(F.col(of) / BLOCK)).alias("block")
-        return df.groupBy("lid", at).agg(F.collect_list(F.struct("rep", "cap", "comp", "full")).alias(name)).drop("block")
+def _across(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of blocks (lid, x) and (lid, y) of the same list that are in different components; pairs are rows only if they are links."""
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"a": [], "b": []}
         sides = []
         for name in ("x", "y"):
-            column = batch.column(name)
-            inner = column.values
-            sets = inner.field("full")
-            sides.append((column.offsets.to_pylist(), *(inner.field(f).to_pylist() for f in ("rep", "cap", "comp")), sets.values.to_numpy(), sets.offsets.to_numpy()))
-        (xo, xr, xc, xk, xv, xs), (yo, yr, yc, yk, yv, ys) = sides
+            inner, full = batch.column(name).values, batch.column(name).values.field("full")
+            sides.append((batch.column(name).offsets.to_pylist(), inner.field("rep").to_numpy(), inner.field("comp").to_numpy(), full.values.to_numpy(), full.offsets.to_numpy()))
         for i in range(batch.num_rows):
-            for p in range(xo[i], xo[i + 1]):
-                one = xv[xs[p] : xs[p + 1]]
-                for q in range(yo[i], yo[i + 1]):
-                    n, most = len(one) + int(ys[q + 1] - ys[q]), min(xc[p], yc[q])
-                    if xk[p] == yk[q] or most * 100 < (n - most) * percent:
-                        continue
-                    both = np.concatenate((one, yv[ys[q] : ys[q + 1]]))
-                    both.sort()
-                    inter = int((both[1:] == both[:-1]).sum())
-                    if inter * 100 >= (n - inter) * percent:
-                        out["a"].append(min(xr[p], yr[q]))
-                        out["b"].append(max(xr[p], yr[q]))
+            (xr, xc, xs), (yr, yc, ys) = ((rep[o[i] : o[i + 1]], comp[o[i] : o[i + 1]], [v[e[j] : e[j + 1]] for j in range(o[i], o[i + 1])]) for o, rep, comp, v, e in sides)
+            inter = overlaps(xs, ys)
+            union = np.array([*map(len, xs)])[:, None] + np.array([*map(len, ys)])[None, :] - inter
+            p, q = np.nonzero((inter * 100 >= union * percent) & (xc[:, None] != yc[None, :]))
+            out["a"] += np.minimum(xr[p], yr[q]).tolist()
+            out["b"] += np.maximum(xr[p], yr[q]).tolist()
         return out
 
-    both = blocks(own, "size", "x").join(blocks(own.where("minor"), "others", "y").hint("merge"), "lid")
-    return map_batches(both.select("x", "y"), run, "a long, b long").distinct()
+    return map_batches(left.join(right.hint("merge"), "lid").select("x", "y"), run, "a long, b long")
 
 
-def _long_lists(lists: DataFrame, sketches: DataFrame, full: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) that connect all that the links within long lists (lid, rep, n, cap, score) connect."""
-    top = F.max_by("rep", F.struct("score", -F.col("rep")))
-    head = tmp.cut(lists.groupBy("lid").agg(top.alias("head")), "heads")
+def _crowded(lists: DataFrame, full: DataFrame, links: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
+    """Labels (a: node, b: component) of links and of all links within long lists (rep, score, lid)."""
+    heads = tmp.cut(lists.groupBy("lid").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("head")), "heads")
     # lists whose most common member is the same become one, whose pairs are those of all of them and more
-    own = lists.join(head.hint("merge"), "lid").groupBy(F.col("head").alias("lid"), "rep").agg(F.first("n").alias("n"), F.max("cap").alias("cap"), F.max("score").alias("score"), F.lit(False).alias("minor"))
-    own, links = tmp.cut(own, "members-0"), None
-    for k in range(1, ROUNDS + 1):
-        if own.isEmpty():
-            break
-        best = F.max_by(F.struct("rep", "n", "cap"), F.struct("minor", "score", -F.col("rep")))
-        centre = own.groupBy("lid", F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(CENTRES))).agg(best.alias("c")).select("lid", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"), F.col("c.cap").alias("capc"))
-        star = own.join(tmp.cut(centre, f"centres-{k}").hint("merge"), "lid").where((F.col("rep") != F.col("c")) & _may("", "c", percent))
-        found = tmp.cut(_linked(star.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), sketches, full, percent), f"star-{k}")
-        links = found if links is None else links.union(found)
-        comp = connected(links, tmp, f"{k}-").withColumnRenamed("node", "rep")
-        placed = tmp.cut(own.join(comp.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), f"placed-{k}")
-        of_list = placed.groupBy("lid", "comp").agg(F.count("*").alias("m")).groupBy("lid").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("most"), F.sum("m").alias("size"), (F.sum("m") - F.max("m")).alias("others"))
-        of_list = tmp.cut(of_list.where("others > 0"), f"open-{k}")
-        placed = placed.join(of_list.hint("merge"), "lid").withColumn("minor", F.col("comp") != F.col("most"))
-        # every link that is left has an end outside the list's largest component; with few such members they meet all others, in blocks
-        last = (F.col("others") <= FEW) | F.lit(k == ROUNDS)
-        found = tmp.cut(_across(placed.where(last), full, percent), f"rest-{k}")
-        links = comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).union(found)
-        own = tmp.cut(placed.where(~last).select("lid", "rep", "n", "cap", "score", "minor"), f"members-{k}")
-        tmp.drop(f"members-{k - 1}", f"centres-{k}", f"placed-{k}", f"open-{k}")
-    return links
+    own = tmp.cut(lists.join(heads.hint("merge"), "lid").groupBy(F.col("head").alias("lid"), "rep").agg(F.max("score").alias("score")), "members")
+    bucket = F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
+    centres = own.groupBy("lid", bucket).agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("c"), F.count("*").alias("n")).groupBy("lid").agg(F.collect_list("c").alias("c"), F.sum("n").alias("size"))
+    centres = tmp.cut(centres, "centres")
+    alone = own.join(centres.select("lid", "size").hint("merge"), "lid").select("lid", "rep", F.col("rep").alias("comp"), "size")
+    star = _across(_blocks(alone, full, "size", "x"), _blocks(centres.select("lid", F.explode("c").alias("rep"), F.lit(1).alias("one")).withColumn("comp", F.col("rep")), full, "one", "y"), percent)
+    label = connected(links.union(star), tmp, "star-")
+    comp = label.select(F.col("node").alias("rep"), "comp")
+    placed = tmp.cut(own.join(comp.hint("merge"), "rep", "left").select("lid", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
+    of_list = placed.groupBy("lid", "comp").agg(F.count("*").alias("m")).groupBy("lid").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("most"), F.sum("m").alias("size"), (F.sum("m") - F.max("m")).alias("others"))
+    # every link that is left has an end outside its list's largest component; these members meet all others, block by block
+    left = tmp.cut(placed.join(of_list.where("others > 0").hint("merge"), "lid"), "open")
+    rest = _across(_blocks(left, full, "size", "x"), _blocks(left.where("comp <> most"), full, "others", "y"), percent)
+    tmp.drop("heads", "members", "placed")
+    return label.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(rest)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -273,25 +319,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = tmp.cut(
         sets.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
-    values = classes.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-    least = F.greatest(F.lit(1), F.floor(F.col("k") * percent / 100 - SIGMAS * F.sqrt(F.col("k") * percent * (100 - percent) / 10_000)))
-    lists = _rarest(values, least, tmp, "sketch")
-    wanted = tmp.cut(lists.select("rep").distinct(), "wanted")
-    sketches = tmp.cut(classes.select("rep", "sketch").join(wanted.hint("merge"), "rep", "left_semi"), "sketches")
-    full = _full_sets(docs, doc_id, text, wanted, tmp)
-    links = tmp.cut(_linked(_pairs(lists.where(F.col("c") <= SHORT).select("lid", "rep", "n", F.col("n").alias("cap")), percent), sketches, full, percent), "links")
+    classes = classes.withColumn("h", F.xxhash64("fp"))
+    k = F.least(F.col("n"), F.lit(SKETCH))
+    least = F.greatest(F.lit(1), F.floor(k * percent / 100 - SIGMAS * F.sqrt(k * percent * (100 - percent) / 10_000)))
+    lists = _lists(classes.select("rep", "h", "n", F.explode("sketch").alias("v")), least, tmp, "sketch")
+    lists = tmp.cut(lists.join(classes.select("rep", "h", "sketch").hint("merge"), ["rep", "h"]), "lists")
+    pairs = tmp.cut(_overlapping(lists, percent), "pairs")
     # whoever is in a long list is listed again by its whole set: similar sets share so much that few members are left whose first values are common
-    crowd = lists.where(F.col("c") > SHORT).select("rep").distinct()
-    whole = full.join(tmp.cut(crowd, "crowd").hint("merge"), "rep", "left_semi").select("rep", "n", F.col("n").alias("k"), F.explode("full").alias("v"))
-    again = _rarest(whole, F.ceil(F.col("k") * percent / 100), tmp, "whole")
-    links = links.union(tmp.cut(_linked(_pairs(again.where(F.col("c") <= SHORT), percent), sketches, full, percent), "links-whole"))
-    more = _long_lists(again.where(F.col("c") > SHORT).select("lid", "rep", "n", "cap", "score"), sketches, full, tmp, percent)
-    edges = tmp.cut(links if more is None else links.union(more), "edges")
-    tmp.drop("full", "sketches", "wanted", "crowd", "links", "links-whole")
-    label = connected(edges, tmp)
-    rep = tmp.cut(
-        classes.select("fp", "rep").join(label.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("component_id")), "rep"
-    )
+    crowd = lists.where(F.exists("first", lambda x: x["c"] > SHORT)).select("rep", F.lit(True).alias("crowd"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("crowd", F.lit(False))
+    wanted = tmp.cut(crowd.union(ends), "wanted")
+    full = _full_sets(docs, doc_id, text, wanted, tmp)
+    whole = full.join(wanted.where("crowd").select("rep").hint("merge"), "rep", "left_semi").dropDuplicates(["rep", "h"])
+    again = tmp.cut(_lists(whole.select("rep", "h", "n", F.explode("full").alias("v")), F.ceil(F.col("n") * percent / 100), tmp, "whole"), "again")
+    links = tmp.cut(_linked(pairs.union(_meeting(again, percent)).distinct(), full, percent), "links")
+    crowded = again.select("rep", "score", F.explode(F.filter("first", lambda x: x["c"] > SHORT)).alias("f")).select("rep", "score", F.col("f.v").alias("lid"))
+    label = connected(_crowded(crowded, full, links, tmp, percent), tmp)
+    tmp.drop("full", "lists", "pairs", "wanted", "again", "common-sketch", "common-whole")
+    rep = classes.select("fp", "rep").join(label.select(F.col("node").alias("rep"), "comp").hint("merge"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("component_id"))
+    rep = tmp.cut(rep, "rep")
     slim = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "fp")
     out = slim.join(rep.hint("merge"), "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
