@@ -1,8 +1,11 @@
 """Cases of which less than the whole was done before."""
 
+import math
 import random
 import textwrap
 
+import pytest
+
 import corpus_pipeline
 from tidelake.llm import licenses, quality_lm, url_filters
 
@@ -58,3 +61,71 @@ def test_licences_over_lines_and_amid_sentences(spark):
     found = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     got = sorted((r.doc_id, r.line_no, r.license) for r in found)
     assert got == [(0, 3, "MIT paragraph"), (1, 1, "MIT paragraph"), (2, 2, "GPL-3.0 long"), (3, 1, "MIT"), (4, 1, "MIT")]
+
+
+def plain_kneser_ney(texts, order):
+    """The cost (minus logarithm) of the next byte after some others, by the definition: interpolated, three discounts an order, numbers of preceding bytes below the longest order."""
+    level = {k: {} for k in range(1, order + 1)}
+    for t in texts:
+        t = b" " + t + b" "
+        for i in range(1, len(t)):
+            g = t[max(0, i + 1 - order) : i + 1]
+            level[len(g)][g] = level[len(g)].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        before = {g: 1 for g in level[k]}
+        for g in level[k + 1]:
+            before[g[1:]] = before.get(g[1:], 0) + 1
+        level[k] = before
+    less = {}
+    for k, grams in level.items():
+        n = [sum(c == i for c in grams.values()) for i in range(1, 5)]
+        if all(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05 * i), i) for i in (1, 2, 3)]
+        else:
+            d = [0.5, 1.0, 1.5]
+        less[k] = d
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k = len(g)
+        own = {x: c for x, c in level[k].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        total, d = sum(own.values()), lambda c: less[k][min(c, 3) - 1]
+        seen = own.get(g, 0)
+        return (seen - d(seen) if seen else 0) / total + sum(map(d, own.values())) / total * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("order", [3, quality_lm.ORDER])
+def test_perplexities_and_thresholds_match_a_plain_model(spark, order):
+    rng = random.Random(7)
+    ring = ["to", "be", "or", "not", "é", "that", "is", "the", "question"]
+    rows = [(i, "  ".join(rng.choice(ring) for _ in range(rng.randrange(3, 12))), "xy"[i % 2]) for i in range(260)]
+    rows += [(1000, "bet the quest", "x"), (1001, "#! zz", None), (1002, "be", "y"), (1003, " ", "y"), (1004, None, "x"), (None, "not #", "x"), (7, "or or", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(250)], "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in table.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality_lm.HELD}) = 0 AS held").where("held").collect()}
+    clean = lambda t: b" ".join((t or "").encode().split())
+    good = [r for r in rows if r[0] is not None and r[0] < 250 and r[0] % 9]
+    p = plain_kneser_ney([clean(t) for i, t, _ in good if i not in held], order)
+
+    def perplexity(t):
+        t = b" " + clean(t) + b" "
+        return math.exp(sum(-math.log(p(t[max(0, i + 1 - order) : i + 1])) for i in range(1, len(t))) / (len(t) - 1)) if len(t) > 2 else None
+
+    known = [(perplexity(t), lang) for i, t, lang in good if i in held]
+    quantile = lambda x: sorted(x)[math.ceil(quality_lm.QUANTILE * len(x)) - 1] * quality_lm.MARGIN
+    every = quantile([x for x, _ in known])
+    by_lang = {c: quantile(own) if len(own := [x for x, lang in known if lang == c]) >= quality_lm.LEAST_HELD else every for c in "xy"}
+    by_id = lambda r: (str(r[0]), r[1], r[2] or 0)
+    want = sorted(((i, lang or "", perplexity(t), by_lang.get(lang, every)) for i, t, lang in rows), key=by_id)
+    for how in ({}, {"broadcast": 0}):
+        scored = quality_lm.classify(table, labels, order=order, **how).collect()
+        got = sorted(((r.doc_id, r.lang or "", r.perplexity, r.threshold) for r in scored), key=by_id)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] is None for g in got] == [w[2] is None for w in want]
+        assert [x or 0 for g in got for x in g[2:]] == pytest.approx([x or 0 for w in want for x in w[2:]], rel=1e-5)
+        assert all(r.kept == (r.perplexity is None or r.perplexity <= r.threshold) for r in scored)

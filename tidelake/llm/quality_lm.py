@@ -27,16 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import Scratch, map_batches, trusted_labels, words
+from tidelake.llm.common import IdFilter, Scratch, map_batches, trusted_labels, words
 
-#: An n-gram of 7 bytes is the longest that fits into a key.
-ORDER = 7
+#: Bytes of the longest n-grams; of those of 7, the most that fit into a key, there are three times as many.
+ORDER = 6
 QUANTILE, MARGIN, LEAST_HELD, HELD = 0.99, 1.25, 20, 10
 #: Rows of a model that are sent to every executor, about 12 bytes each.
-BROADCAST = 4_000_000
+BROADCAST = 8_000_000
 #: Bytes of text whose n-grams are looked at together.
 CHUNK = 1 << 20
-BLOCK_DOCS = 2000
+#: Documents, and characters, of a block that asks a sharded model, on average.
+BLOCK_DOCS, BLOCK_CHARS = 8000, 16 << 20
 TAG = 56
 
 
@@ -182,15 +183,16 @@ def needed_keys(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _pack(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """(doc_id, lang, z): texts compressed, for the one shuffle that joins them with their labels."""
+def _pack(docs: DataFrame, near: IdFilter, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(doc_id, lang, z): texts that may have a trusted label, compressed, for the one shuffle that joins them with their labels."""
     zip_ = _Lazy()
 
     def run(batch: pa.RecordBatch) -> dict:
+        batch = near.pick(batch)
         z = [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "z": z}
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text")).where("doc_id IS NOT NULL"), run, "doc_id long, lang string, z binary")
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"), near.at(doc_id).alias("at")).where("doc_id IS NOT NULL"), run, "doc_id long, lang string, z binary")
 
 
 class _Lazy:
@@ -216,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     tmp = Scratch(spark, "quality-lm")
     trusted = trusted_labels(labels).where("quality > 0 AND toxic <= 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0).alias("held"))
-    packed = tmp.cut(_pack(docs, doc_id, text, lang).join(trusted.hint("merge"), "doc_id"), "trusted")
+    trusted = tmp.cut(trusted, "labels")
+    packed = tmp.cut(_pack(docs, IdFilter(trusted, "doc_id"), doc_id, text, lang).join(trusted.hint("merge"), "doc_id"), "trusted")
     table = tmp.cut(estimate(count_ngrams(packed.where("NOT held"), order), tmp, order), "model")
     model = None
     if table.count() <= broadcast:
@@ -267,7 +270,8 @@ def _scored(rows: pa.RecordBatch | pa.Table, model: Model, thresholds: dict[str,
 def _sharded(docs: DataFrame, judge: Judge, tmp: Scratch, answer: Callable[[pa.Table, Model], pa.Table], schema, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """answer(rows, model) for blocks of docs, with a model that stays in its shards: each block gets the rows of it that its texts ask for."""
     order = judge.order
-    blocks = max(1, -(-docs.count() // BLOCK_DOCS))
+    n, chars = docs.agg(F.count("*"), F.sum(F.length(text))).first()
+    blocks = max(1, -(-n // BLOCK_DOCS), -(-(chars or 0) // BLOCK_CHARS))
     dealt = docs.withColumn("__block", F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)))
 
     def ask(rows: pa.Table) -> pa.Table:
