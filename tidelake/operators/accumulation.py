@@ -9,7 +9,6 @@ RESET_DROP, MIN_RESET_RATIO, MIN_POINTS = 0.5, 0.6, 13
 CLOSURE_TOLERANCE = 0.005
 
 
-
 def own():
     return Window.partitionBy("series_id").orderBy("period")
 
@@ -18,17 +17,20 @@ def within_year():
     return Window.partitionBy("series_id", F.year("period")).orderBy("period")
 
 
+class Ambiguous(ValueError):
+    """A series whose accumulation isn't known can't be de-cumulated."""
+
+
 def decumulate(obs: DataFrame, mode: str = "ytd") -> DataFrame:
-    """value becomes the period's own figure, value_reported stays as published. A gap is never bridged: where the month before is missing or null the figure is null.
-    mode: ytd (January is itself), inception (the first period is null), none."""
+    """value becomes the period's own figure, value_reported stays as published. ytd: the first figure of a year is its own, every other is the difference from the one before; inception: the difference from the one before, none for the first; none: as it is.
+    Where either figure is null the difference is null; nothing is filled."""
     if mode == "none":
         return obs.withColumn("value_reported", F.col("value"))
     if mode not in ("ytd", "inception"):
-        raise ValueError(f"a series whose accumulation is {mode} can't be de-cumulated")
+        raise Ambiguous(f"a series whose accumulation is {mode} can't be de-cumulated")
     window = within_year() if mode == "ytd" else own()
-    next_to = F.lag("period").over(window) == F.add_months("period", -1)
-    step = F.when(next_to, F.col("value") - F.lag("value").over(window))
-    figure = F.when(F.month("period") == 1, F.col("value")).otherwise(step) if mode == "ytd" else step
+    step = F.col("value") - F.lag("value").over(window)
+    figure = F.when(F.row_number().over(window) == 1, F.col("value")).otherwise(step) if mode == "ytd" else step
     return obs.select("series_id", "period", figure.alias("own"), F.col("value").alias("value_reported")).withColumnRenamed("own", "value")
 
 

@@ -287,7 +287,7 @@ def num_tr_format(spark, sf):
     return frame(spark, _SPELL).select("id", num.format_tr(F.col("s").cast("double")).alias("spelt"))
 
 
-_CLOSED = SQL + ", g AS (SELECT series_id, period, value AS rep, CASE WHEN month(period) = 1 THEN value WHEN lag(period) OVER w = period - INTERVAL 1 MONTH THEN value - lag(value) OVER w END AS own FROM ytd WINDOW w AS (PARTITION BY series_id, year(period) ORDER BY period)), c AS (SELECT series_id, year(period)::INT AS year, sum(CAST(own AS DECIMAL(18,2)))::DOUBLE AS total, max(CASE WHEN month(period) = 12 THEN rep END) AS december, count(own) AS n FROM g GROUP BY 1, 2) "
+_CLOSED = SQL + ", g AS (SELECT series_id, period, value AS rep, CASE WHEN row_number() OVER w = 1 THEN value ELSE value - lag(value) OVER w END AS own FROM ytd WINDOW w AS (PARTITION BY series_id, year(period) ORDER BY period)), c AS (SELECT series_id, year(period)::INT AS year, sum(CAST(own AS DECIMAL(18,2)))::DOUBLE AS total, max(CASE WHEN month(period) = 12 THEN rep END) AS december, count(own) AS n FROM g GROUP BY 1, 2) "
 
 
 @query(_CLOSED + "SELECT series_id, year, abs(total - december) <= 0.01 * abs(december) AS closes FROM c WHERE december IS NOT NULL AND abs(december) > 1 AND n = 12")

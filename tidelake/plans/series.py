@@ -11,21 +11,52 @@ from tidelake.functions import numeric
 from tidelake.operators import accumulation as acc
 from tidelake.operators import alignment as al
 from tidelake.plans.registry import query
-from tidelake.sources import bronze, lake
+from tidelake.sources import bronze, lake, store
 from tidelake.sources.lake import SQL
 
 
 # ---- sources and sinks
 
 
-@query(SQL + "SELECT series_id, family, measure_type, aggregation_rule, native_freq, province, coverage_start, coverage_end, observations, nonzero, usable FROM catalog")
+_GOLD = SQL + (
+    ", f(family, source_ref, label) AS (VALUES " + ", ".join(f"('{x[0]}', '{x[8]}', '{x[9]}')" for x in lake.FAMILIES) + "), "
+    "u(k, symbol, scale) AS (VALUES " + ", ".join(f"('{k}', '{x}', {v}::DOUBLE)" for k, (x, v) in numeric.UNITS.items()) + "), "
+    "g AS (SELECT c.*, source_ref, label, split_part(series_id, '.', 2) AS tail, coalesce(symbol, '') AS symbol, coalesce(scale, 1.0) AS scale FROM catalog c JOIN f USING (family) LEFT JOIN u ON k = unit) "
+    "SELECT series_id, family AS source, source_ref, label || ' ' || tail AS name_tr, label AS raw_label, measure_type, statement_kind, 'Sektör' AS sector_scope, 'Toplam' AS currency_basis, province, unit AS unit_raw, symbol AS unit_normalized, "
+    "scale::DOUBLE AS scale_factor, cumulative_mode, NULL::VARCHAR AS cumulative_evidence, CASE WHEN cumulative_mode <> 'ambiguous' THEN 'definition' ELSE '' END AS cumulative_verified_by, native_freq, aggregation_rule, coverage_start, coverage_end, "
+    "observations::INT AS observations, nonzero::INT AS nonzero_observations, sha256(concat_ws('|', family, source_ref, series_id, observations)) AS source_hash, '' AS notes FROM g"
+)
+
+
+@query(_GOLD)
 def snk_gold(spark: SparkSession, sf: str) -> DataFrame:
-    return lake.catalog(spark, sf).select("series_id", "family", "measure_type", "aggregation_rule", "native_freq", "province", "coverage_start", "coverage_end", "observations", "nonzero", "usable")
+    """The whole store written anew from the facts, checked, and its catalog as read back, without the time of writing."""
+    root = store.path_of(spark, sf, "rebuilt")
+    lake.build_gold(spark, sf, root)
+    store.check(spark, root)
+    return store.read_catalog(spark, root).drop("retrieved_at")
+
+
+@query(
+    SQL + ", own AS (SELECT series_id, period, CASE WHEN row_number() OVER w = 1 THEN value ELSE value - lag(value) OVER w END AS value, value AS value_reported FROM ytd WINDOW w AS (PARTITION BY series_id, year(period) ORDER BY period)), "
+    "o AS (SELECT 'ytd' AS source, * FROM own UNION ALL SELECT family, series_id, period, value, value FROM observations WHERE family <> 'ytd') "
+    "SELECT source, count(*) AS n, count(DISTINCT series_id) AS series, min(period) AS lo, max(period) AS hi, round(sum(value), 2) AS value, round(sum(value_reported), 2) AS value_reported FROM o GROUP BY 1"
+)
+def snk_duckdb(spark, sf):
+    """A snapshot of the store: overwritten as a whole, a folder for each source and files of ranges of series in place of indexes; what is read back, by source."""
+    root = store.path_of(spark, sf, "snapshot")
+    now = store.read_observations(spark, lake.gold(spark, sf))
+    for _ in range(2):  # the second replaces the first
+        store.write_observations(now, root)
+    store.write_catalog(store.read_catalog(spark, lake.gold(spark, sf)), root)
+    store.check(spark, root)
+    total = lambda c: F.round(F.sum(c), 2).alias(c)
+    return store.read_observations(spark, root).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("series_id").alias("series"), F.min("period").alias("lo"), F.max("period").alias("hi"), total("value"), total("value_reported"))
 
 
 @query(SQL + "SELECT period, round(value, 6) AS value FROM flow WHERE series_id = 'flow.NATION_19'")
 def src_gold_point(spark, sf):
-    return lake.flow(spark, sf).where("series_id = 'flow.NATION_19'").select("period", F.round("value", 6).alias("value"))
+    return lake.point(spark, sf, "flow.NATION_19").select("period", F.round("value", 6).alias("value"))
 
 
 @query(SQL + "SELECT series_id, native_freq, CASE WHEN isnan(v) THEN NULL ELSE v END AS mean_value FROM (SELECT series_id, native_freq, observations::DOUBLE / nullif(nonzero, 0) AS v FROM catalog)")
@@ -60,11 +91,11 @@ def src_dedupe_window(spark, sf):
 
 @query(SQL + "SELECT f.series_id, coalesce(n, 0) AS n, coalesce(missing, 0) AS missing, lo, hi, CASE WHEN coalesce(n, 0) > 0 THEN 'ok' ELSE 'no_data' END AS status FROM (SELECT DISTINCT series_id FROM flow UNION ALL SELECT 'flow.NOWHERE') f LEFT JOIN (SELECT series_id, count(*) AS n, count(*) FILTER (value IS NULL) AS missing, min(period) AS lo, max(period) AS hi FROM flow GROUP BY 1) USING (series_id)")
 def snk_silver_parquet(spark, sf):
+    """Points are written in the silver layer's types and read back; their coverage is reported against the configured series, of which one has no data."""
     x = lake.flow(spark, sf)
-    config = x.select("series_id").distinct().union(spark.createDataFrame([("flow.NOWHERE",)], "series_id string"))
-    seen = x.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("period").alias("lo"), F.max("period").alias("hi"))
-    out = config.join(seen, "series_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("missing", F.coalesce("missing", F.lit(0)))
-    return out.withColumn("status", F.when(F.col("n") > 0, "ok").otherwise("no_data"))
+    config = x.select(F.col("series_id").alias("series_code")).distinct().union(spark.createDataFrame([("flow.NOWHERE",)], "series_code string"))
+    points = x.select(F.col("series_id").alias("series_code"), "period", "value", F.lit("2024-01-01 00:00:00").alias("retrieved_at"))
+    return store.coverage(store.write_silver(points, store.path_of(spark, sf, "points")), config).withColumnRenamed("series_code", "series_id")
 
 
 @query("WITH RECURSIVE up(id, parent, root, depth) AS (SELECT n_name, r_name, n_name, 0 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT up.id, NULL, up.parent, depth + 1 FROM up WHERE up.parent IS NOT NULL) SELECT id, root, depth FROM up WHERE parent IS NULL")
@@ -242,7 +273,7 @@ def agg_facet_counts(spark, sf):
     return lake.catalog(spark, sf).where("measure_type = 'flow'").agg(F.count("*").alias("n"), F.countDistinct("family").alias("families"), F.countDistinct("province").alias("provinces"), F.countDistinct("native_freq").alias("freqs"))
 
 
-DECUM = SQL + ", own AS (SELECT series_id, period, CASE WHEN month(period) = 1 THEN value WHEN lag(period) OVER w = period - INTERVAL 1 MONTH THEN value - lag(value) OVER w END AS value, value AS value_reported FROM ytd WINDOW w AS (PARTITION BY series_id, year(period) ORDER BY period)) "
+DECUM = SQL + ", own AS (SELECT series_id, period, CASE WHEN row_number() OVER w = 1 THEN value ELSE value - lag(value) OVER w END AS value, value AS value_reported FROM ytd WINDOW w AS (PARTITION BY series_id, year(period) ORDER BY period)) "
 
 
 @query(DECUM + "SELECT series_id, period, round(value, 4) AS value, round(value_reported, 4) AS value_reported FROM own")
@@ -250,7 +281,7 @@ def win_decumulate_ytd(spark, sf):
     return acc.decumulate(lake.ytd(spark, sf)).select("series_id", "period", F.round("value", 4).alias("value"), F.round("value_reported", 4).alias("value_reported"))
 
 
-@query(SQL + "SELECT series_id, period, CASE WHEN lag(period) OVER w = period - INTERVAL 1 MONTH THEN value - lag(value) OVER w END AS value, value AS value_reported FROM stock WINDOW w AS (PARTITION BY series_id ORDER BY period)")
+@query(SQL + "SELECT series_id, period, value - lag(value) OVER w AS value, value AS value_reported FROM stock WINDOW w AS (PARTITION BY series_id ORDER BY period)")
 def win_decumulate_inception(spark, sf):
     return acc.decumulate(lake.stock(spark, sf), "inception")
 

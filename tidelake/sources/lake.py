@@ -1,4 +1,4 @@
-"""A lake of series over the driver's tables: observations (series_id, period, value) of four frequencies, and their catalog.
+"""A lake of series over the driver's tables: observations (series_id, period, value) of four frequencies, and their catalog. build_ functions make them from the facts; all other queries read the store.
 
 Money is summed as DECIMAL, so that the order of rows can't change a result."""
 
@@ -7,6 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelake.functions import numeric
+from tidelake.operators.accumulation import decumulate
+from tidelake.sources import store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +32,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select(month("o_orderdate").alias("period"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), "o_totalprice")
 
 
-def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly order value by nation."""
     return order_facts(spark, sf_dir).groupBy(F.concat(F.lit("flow."), "nation").alias("series_id"), "period").agg(money("o_totalprice").alias("value"))
 
@@ -37,68 +41,134 @@ def flow_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_facts(spark, sf_dir).groupBy(F.concat_ws(".", F.lit("flow"), "nation", "segment").alias("series_id"), "nation", "segment", "period").agg(money("o_totalprice").alias("value"))
 
 
-def ytd(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_ytd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow as it would be published when it accumulates within the year."""
     year = Window.partitionBy("series_id", F.year("period")).orderBy("period")
-    x = flow(spark, sf_dir).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    x = build_flow(spark, sf_dir).withColumn("value", F.col("value").cast("decimal(18,2)"))
     return x.select(F.concat(F.lit("ytd."), F.substring("series_id", 6, 100)).alias("series_id"), "period", F.sum("value").over(year).cast("double").alias("value"))
 
 
-def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders ever placed, at the end of each month, by nation."""
     own = Window.partitionBy("series_id").orderBy("period")
     n = order_facts(spark, sf_dir).groupBy(F.concat(F.lit("stock."), "nation").alias("series_id"), "period").agg(F.count("*").alias("n"))
     return n.select("series_id", "period", F.sum("n").over(own).cast("double").alias("value"))
 
 
-def weekly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_weekly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean discount of a week's shipments by return flag, in whole hundredths summed exactly."""
     x = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("rate."), "l_returnflag").alias("series_id"), F.date_trunc("week", "l_shipdate").cast("date").alias("period"))
     return x.agg((F.sum(F.col("l_discount").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("value"))
 
 
-def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One monthly index: the mean price of a unit shipped."""
     x = table(spark, sf_dir, "lineitem").groupBy(month("l_shipdate").alias("period"))
     return x.agg((money("l_extendedprice") / F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double")).alias("value")).select(F.lit("index.price").alias("series_id"), "period", "value")
 
 
-def quarterly_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_quarterly_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("count."), "l_linestatus").alias("series_id"), F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("period"))
     return x.agg(F.countDistinct("l_partkey").cast("double").alias("value"))
 
 
+#: name, builder, measure type, aggregation rule, frequency, accumulation, statement, unit, table of origin, label
 FAMILIES = (
-    ("flow", flow, "flow", "sum", "M", "none", "income_statement", "bin tl"),
-    ("ytd", ytd, "flow", "sum", "M", "ytd", "income_statement", "bin tl"),
-    ("stock", stock, "stock", "last", "M", "none", "balance_sheet", "adet"),
-    ("rate", weekly_rate, "rate", "mean", "W", "none", "ratio", "%"),
-    ("index", price_index, "index", "last", "M", "none", "ratio", "endeks"),
-    ("count", quarterly_count, "count", "last", "Q", "ambiguous", "balance_sheet", ""),
+    ("flow", build_flow, "flow", "sum", "M", "none", "income_statement", "bin tl", "orders", "Sipariş tutarı"),
+    ("ytd", build_ytd, "flow", "sum", "M", "ytd", "income_statement", "bin tl", "orders", "Birikimli sipariş tutarı"),
+    ("stock", build_stock, "stock", "last", "M", "none", "balance_sheet", "adet", "orders", "Sipariş sayısı stok"),
+    ("rate", build_weekly_rate, "rate", "mean", "W", "none", "ratio", "%", "lineitem", "İndirim oranı"),
+    ("index", build_price_index, "index", "last", "M", "none", "ratio", "endeks", "lineitem", "Birim fiyat endeksi"),
+    ("count", build_quarterly_count, "count", "last", "Q", "ambiguous", "balance_sheet", "", "lineitem", "Satılan ürün adedi"),
 )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All series in one long table (series_id, period, value, family)."""
+def families(spark: SparkSession) -> DataFrame:
+    rows = [(n, *rest) for n, _, *rest in FAMILIES]
+    return spark.createDataFrame(rows, "family string, measure_type string, aggregation_rule string, native_freq string, cumulative_mode string, statement_kind string, unit string, source_ref string, label string")
+
+
+def build_gold(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Writes the store from the facts: what accumulates is de-cumulated on the way in, and the catalog describes what was written."""
     out = None
     for name, make, *_ in FAMILIES:
-        one = make(spark, sf_dir).select("series_id", "period", "value", F.lit(name).alias("family"))
+        one = make(spark, sf_dir)
+        own = decumulate(one, "ytd") if name == "ytd" else one.select("series_id", "period", "value", F.col("value").alias("value_reported"))
+        one = own.select(F.lit(name).alias("source"), *store.OBSERVATION_COLUMNS)
         out = one if out is None else out.unionByName(one)
-    return out
+    store.write_observations(out, root)
+    store.write_catalog(describe(store.read_observations(spark, root), families(spark)), root)
 
 
-def families(spark: SparkSession) -> DataFrame:
-    rows = [(n, m, r, f, c, s, u) for n, _, m, r, f, c, s, u in FAMILIES]
-    return spark.createDataFrame(rows, "family string, measure_type string, aggregation_rule string, native_freq string, cumulative_mode string, statement_kind string, unit string")
+def describe(obs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """A row of the catalog for each series of obs (source and its observations), by what is known of its source."""
+    reported = F.col("value_reported")
+    seen = obs.groupBy("series_id", "source").agg(
+        F.min("period").alias("coverage_start"), F.max("period").alias("coverage_end"), F.count("*").cast("int").alias("observations"), F.count_if(reported.isNotNull() & (reported != 0)).cast("int").alias("nonzero_observations")
+    )
+    tail = F.substring_index("series_id", ".", -1)
+    symbol, scale = numeric.normalise_unit(F.col("unit"))
+    none = F.lit(None).cast("string")
+    return seen.join(kinds.withColumnRenamed("family", "source"), "source").select(
+        "series_id", "source", "source_ref", F.concat_ws(" ", "label", tail).alias("name_tr"), F.col("label").alias("raw_label"), "measure_type", "statement_kind", F.lit("Sektör").alias("sector_scope"), F.lit("Toplam").alias("currency_basis"),
+        F.when(F.col("source").isin("flow", "ytd", "stock"), tail).alias("province"), F.col("unit").alias("unit_raw"), symbol.alias("unit_normalized"), scale.alias("scale_factor"), "cumulative_mode", none.alias("cumulative_evidence"),
+        F.when(F.col("cumulative_mode") != "ambiguous", "definition").otherwise("").alias("cumulative_verified_by"), "native_freq", "aggregation_rule", "coverage_start", "coverage_end", "observations", "nonzero_observations",
+        F.current_timestamp().alias("retrieved_at"), F.sha2(F.concat_ws("|", "source", "source_ref", "series_id", "observations"), 256).alias("source_hash"), F.lit("").alias("notes"),
+    )
+
+
+def gold(spark: SparkSession, sf_dir: str) -> str:
+    """Where the session's store of sf_dir is; it is written when first asked for."""
+    return store.opened(spark, sf_dir, lambda root: build_gold(spark, sf_dir, root))
+
+
+def of_source(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """(series_id, period, value as published) of a source's series: one folder of the store."""
+    return store.read_observations(spark, gold(spark, sf_dir)).where(F.col("source") == source).select("series_id", "period", F.col("value_reported").alias("value"))
+
+
+def point(spark: SparkSession, sf_dir: str, series_id: str) -> DataFrame:
+    """(period, value) of one series. Its source, which its id begins with, prunes all other folders; the id reaches the scan."""
+    return of_source(spark, sf_dir, series_id.partition(".")[0]).where(F.col("series_id") == series_id).select("period", "value")
+
+
+def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_source(spark, sf_dir, "flow")
+
+
+def ytd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_source(spark, sf_dir, "ytd")
+
+
+def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_source(spark, sf_dir, "stock")
+
+
+def weekly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_source(spark, sf_dir, "rate")
+
+
+def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_source(spark, sf_dir, "index")
+
+
+def quarterly_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_source(spark, sf_dir, "count")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series in one long table (series_id, period, value as published, family)."""
+    return store.read_observations(spark, gold(spark, sf_dir)).select("series_id", "period", F.col("value_reported").alias("value"), F.col("source").alias("family"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each series with its semantics and coverage."""
-    seen = observations(spark, sf_dir).groupBy("series_id", "family").agg(
-        F.min("period").alias("coverage_start"), F.max("period").alias("coverage_end"), F.count("*").alias("observations"), F.count_if(F.col("value").isNotNull() & (F.col("value") != 0)).alias("nonzero")
-    )
-    name = F.when(F.col("family").isin("flow", "ytd", "stock"), F.substring_index("series_id", ".", -1))
-    return seen.join(families(spark), "family").withColumn("province", name).withColumn("usable", (F.col("cumulative_mode") != "ambiguous") & (F.col("measure_type") != "unknown") & (F.col("unit") != ""))
+    x = store.read_catalog(spark, gold(spark, sf_dir))
+    usable = (F.col("cumulative_mode") != "ambiguous") & (F.col("measure_type") != "unknown") & (F.col("unit_raw") != "")
+    return x.select(
+        F.col("source").alias("family"), "series_id", "coverage_start", "coverage_end", F.col("observations").cast("long").alias("observations"), F.col("nonzero_observations").cast("long").alias("nonzero"), "measure_type", "aggregation_rule",
+        "native_freq", "cumulative_mode", "statement_kind", F.col("unit_raw").alias("unit"), "province", usable.alias("usable"), "name_tr", "raw_label",
+    )
 
 
 #: The same in DuckDB, as common table expressions to put queries behind.
