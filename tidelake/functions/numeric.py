@@ -82,9 +82,9 @@ def month_of(name: Column) -> Column:
 
 
 def label_to_date(label: Column, year: Column) -> Column:
-    """'Eylül/05' and a year as a date."""
+    """'Eylül/05' and a year as a date; null if there is no such day."""
     parts = F.split(label, "/")
-    return F.make_date(year, month_of(F.get(parts, 0)), F.get(parts, 1).try_cast("int"))
+    return F.try_to_date(F.concat(year.cast("string"), F.lit("-"), month_of(F.get(parts, 0)).cast("string"), F.lit("-"), F.get(parts, 1).try_cast("int").cast("string")), "yyyy-M-d")
 
 
 def parse_period(text: Column, unixtime: Column) -> Column:

@@ -51,11 +51,10 @@ def normalise_label(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.btrim(text), rf"(?:{TRAILERS})+$", ""), r"\s+", " "))
 
 
-def strip_formulas(text: Column, depth: int = 4) -> Column:
-    """Without parentheses of digits and operators, nested up to depth."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\([0-9+\-*/.,\s]*\)", " ")
-    return F.btrim(F.regexp_replace(text, r"\s+", " "))
+def strip_formulas(text: Column) -> Column:
+    """Without parentheses of digits and operators, however deep: inner ones go first, and a pass for each opening one is enough."""
+    passes = F.sequence(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit("("), F.lit(""))))
+    return F.btrim(F.regexp_replace(F.aggregate(passes, text, lambda s, _: F.regexp_replace(s, r"\(\s*[0-9+\-*/.,\s]*\)", " ")), r"\s+", " "))
 
 
 def tokenize(text: Column) -> Column:

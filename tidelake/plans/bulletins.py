@@ -135,15 +135,27 @@ def prj_measure_evds(spark, sf):
 _TITLED = [(11, "Likidite Yeterlilik Oranı", "Likidite (Bin TL)"), (12, "Yeterlilik (YÜZDE)", "Sermaye (milyon TL)"), (1, "Krediler (10+27+28)", "Bilanço (milyon TL), Dönem"), (16, "Şube", "Diğer"), (17, "Rasyo (Fon)", ""), (3, "x", "y")]
 
 
-@query("WITH t(id, unit) AS (VALUES (0, '%'), (1, 'YÜZDE'), (2, 'milyon TL'), (3, 'Adet'), (4, '%'), (5, '')) SELECT * FROM t")
+_TRAIL = lambda c: f"trim(regexp_extract({c}, '\\(([^()]*)\\)\\s*$', 1))"
+_TITLES = "WITH t(k, no, label, caption) AS (VALUES " + ", ".join(f"({i}, {no}, '{a}', '{b}')" for i, (no, a, b) in enumerate(_TITLED)) + f"), u(w, symbol, scale) AS (VALUES {_UNITS}), "
+
+
+@query(
+    _TITLES + f"x AS (SELECT p_partkey AS id, no, CASE WHEN p_size % 3 = 0 THEN p_name || ' ' ELSE '' END || label AS label, caption FROM part JOIN t ON k = p_partkey % {len(_TITLED)}), y AS (SELECT *, {_TRAIL('label')} AS c FROM x), "
+    "z AS (SELECT id, no, label, caption, CASE WHEN symbol IS NULL THEN '' ELSE c END AS own FROM y LEFT JOIN u ON w = lower(translate(c, 'Iİ', 'ıi'))) "
+    "SELECT id, coalesce(CASE " + " ".join(f"WHEN no = {no} AND label = '{name}' THEN '{unit}'" for (no, name), (unit, _) in bronze.ROW_UNIT.items()) + " END, nullif(own, ''), nullif(trim(nullif(regexp_extract(caption, '^.*\\(([^()]*)\\)', 1), '')), ''), CASE no "
+    + " ".join(f"WHEN {k} THEN '{v}'" for k, v in bronze.MONTHLY_UNIT.items()) + " END, '') AS unit FROM z"
+)
 def prj_unit_priority(spark, sf):
-    x = spark.createDataFrame([(i, *r) for i, r in enumerate(_TITLED)], "id int, no int, label string, caption string")
-    return x.select("id", bronze.unit_of(F.col("no"), F.col("label"), F.col("caption")).alias("unit"))
+    """A row's own exception, its label's unit, the caption's, the table's: the first there is, for a title of each part."""
+    few = spark.createDataFrame([(i, *r) for i, r in enumerate(_TITLED)], "k int, no int, label string, caption string")
+    x = lake.table(spark, sf, "part").join(F.broadcast(few), F.col("k") == F.col("p_partkey") % len(_TITLED))  # six titles
+    label = F.concat(F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" "))).otherwise(""), "label")
+    return x.select(F.col("p_partkey").alias("id"), bronze.unit_of(F.col("no"), label, F.col("caption")).alias("unit"))
 
 
 @query(values("l", LABELS) + f", u(k, symbol, scale) AS (VALUES {_UNITS}), p AS (SELECT id, trim(regexp_extract(s, '\\(([^()]*)\\)\\s*$', 1)) AS c FROM l) SELECT id, CASE WHEN symbol IS NULL THEN '' ELSE c END AS unit FROM p LEFT JOIN u ON k = lower(translate(c, 'Iİ', 'ıi'))")
 def str_trailing_unit(spark, sf):
-    return frame(spark, LABELS).select("id", bronze.trailing_unit(F.col("s")).alias("unit"))
+    return frame(spark, LABELS, sf).select("id", bronze.trailing_unit(F.col("s")).alias("unit"))
 
 
 @query("SELECT p, r, CASE WHEN r = 'ambiguous' THEN '' WHEN p <> 'ambiguous' THEN 'pattern' ELSE 'statement' END AS verified_by FROM (VALUES ('ytd'), ('none'), ('ambiguous')) a(p), (VALUES ('ytd'), ('none'), ('ambiguous')) b(r)")
@@ -157,12 +169,12 @@ _RAW = ["SEKTÖR", " Katılım ", "KATILIM", "KALKINMA VE YATIRIM", "yeni grup",
 
 @query(values("l", _RAW) + f", scopes(code, scope) AS (VALUES {_SCOPES}) SELECT id, coalesce(scope, trim(s)) AS scope FROM l LEFT JOIN scopes ON lower(translate(scope, 'Iİ', 'ıi')) = lower(translate(trim(s), 'Iİ', 'ıi'))")
 def prj_canonical(spark, sf):
-    return frame(spark, _RAW).select("id", bronze.canonical(F.col("s"), tuple(bronze.SCOPES.values())).alias("scope"))
+    return frame(spark, _RAW, sf).select("id", bronze.canonical(F.col("s"), tuple(bronze.SCOPES.values())).alias("scope"))
 
 
 @query(values("l", LABELS) + rf"SELECT id, CASE WHEN k = '' THEN 'seri_' || id ELSE k END AS k FROM (SELECT id, trim(substr(regexp_replace({FOLD}, '[^\p{{L}}\p{{M}}\p{{N}}]', '_', 'g'), 1, 40), '_') AS k FROM l)")
 def prj_column_key(spark, sf):
-    return frame(spark, LABELS).select("id", txt.column_key(F.col("s"), F.col("id")).alias("k"))
+    return frame(spark, LABELS, sf).select("id", txt.column_key(F.col("s"), F.col("id")).alias("k"))
 
 
 @query(SQL + "SELECT segment, count(DISTINCT priority) AS variants, array_to_string(list_sort(list(DISTINCT priority)), '|') AS found FROM facts GROUP BY 1 HAVING count(DISTINCT priority) > 1")
@@ -175,12 +187,19 @@ def agg_label_variants(spark, sf):
 _VARIANTS = [(0, ["1", "2"], ["1,0", "2"], ["1,00", "2,0"]), (1, ["1,5", "2"], ["1", "2,5"], ["-", "x"]), (2, ["-"], ["1"], [""])]
 
 
-@query("SELECT * FROM (VALUES (0, 2), (1, 0), (2, 0)) t(id, best)")
+_SPELT = "[[p_size || ',' || (p_partkey % 10), '2'], [p_size || ',' || (p_partkey % 100), '2,' || (p_size % 4)], ['-', repeat('7', CAST(p_partkey % 3 AS INT)) || ',' || repeat('5', CAST(p_partkey % 4 AS INT))]]"
+
+
+@query(
+    f"WITH v AS (SELECT p_partkey AS id, unnest({_SPELT}) AS cells, unnest([0, 1, 2]) AS k FROM part), c AS (SELECT id, k, unnest(cells) AS s FROM v), d AS (SELECT id, k, sum(length(regexp_extract(s, ',([0-9]+)$', 1))) AS score FROM c GROUP BY 1, 2) "
+    "SELECT id, k AS best FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k) AS n FROM d) WHERE n = 1"
+)
 def sort_precision_variant(spark, sf):
-    x = spark.createDataFrame([(i, v) for i, *v in _VARIANTS], "id int, v array<array<string>>")
-    x = x.select("id", F.posexplode("v").alias("k", "cells")).select("id", "k", F.explode("cells").alias("c"))
-    x = x.groupBy("id", "k").agg(F.sum(num.precision_of(F.col("c"))).alias("score"))
-    return x.groupBy("id").agg(F.max_by("k", F.struct("score", -F.col("k"))).cast("int").alias("best"))
+    """Of a table's variants the one whose cells are written with the most decimals, the first of equals."""
+    cells = F.expr(_SPELT.replace("[", "array(").replace("]", ")"))
+    x = lake.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.posexplode(cells).alias("k", "cells"))
+    score = F.aggregate("cells", F.lit(0), lambda a, c: a + num.precision_of(c))
+    return x.groupBy("id").agg(F.max_by("k", F.struct(score, -F.col("k"))).cast("int").alias("best"))
 
 
 def _manifest(spark, sf) -> DataFrame:
@@ -279,12 +298,18 @@ def num_pct_change(spark, sf):
     return x.select("series_id", F.round(num.pct_change(F.col("a"), F.col("b")), 6).alias("pct"))
 
 
-_SPELL = ["1234567.89", "0.5", "-1234", "1000000", "12.34567", "0"]
+_SPELL = [1234567.89, 0.5, -1234.0, 1000000.0, 12.34567, 0.0]
 
 
-@query("SELECT * FROM (VALUES (0, '1.234.567,89'), (1, '0,5'), (2, '-1.234'), (3, '1.000.000'), (4, '12,3457'), (5, '0')) t(id, spelt)")
+@query(
+    "WITH v AS (SELECT p_partkey AS id, CASE WHEN p_partkey < 6 THEN [" + ", ".join(f"{x}::DOUBLE" for x in _SPELL) + "][p_partkey + 1] ELSE (p_retailprice - 950) * p_size * (p_partkey % 7) / 8 END AS x FROM part) "
+    "SELECT id, regexp_replace(regexp_replace(replace(replace(replace(format('{:,.4f}', x), ',', '#'), '.', ','), '#', '.'), '(,[0-9]*?)0+$', '\\1'), ',$', '') AS spelt FROM v"
+)
 def num_tr_format(spark, sf):
-    return frame(spark, _SPELL).select("id", num.format_tr(F.col("s").cast("double")).alias("spelt"))
+    """Figures of all parts, written with a comma and dots."""
+    k = F.col("p_partkey")
+    x = F.when(k < 6, F.get(F.array(*map(F.lit, _SPELL)), k.cast("int"))).otherwise((F.col("p_retailprice") - 950) * F.col("p_size") * (k % 7) / 8)
+    return lake.table(spark, sf, "part").select(k.alias("id"), num.format_tr(x).alias("spelt"))
 
 
 _CLOSED = SQL + ", g AS (SELECT series_id, period, value AS rep, CASE WHEN row_number() OVER w = 1 THEN value ELSE value - lag(value) OVER w END AS own FROM ytd WINDOW w AS (PARTITION BY series_id, year(period) ORDER BY period)), c AS (SELECT series_id, year(period)::INT AS year, sum(CAST(own AS DECIMAL(18,2)))::DOUBLE AS total, max(CASE WHEN month(period) = 12 THEN rep END) AS december, count(own) AS n FROM g GROUP BY 1, 2) "

@@ -28,7 +28,7 @@ def _facet_sql(cues: dict[str, str]) -> str:
 
 @query(values("l", ASKED) + f"SELECT id, {CUES_SQL} AS tool FROM l")
 def nl_route(spark, sf):
-    return frame(spark, ASKED).select("id", routing.tool(F.col("s")).alias("tool"))
+    return frame(spark, ASKED, sf).select("id", routing.tool(F.col("s")).alias("tool"))
 
 
 _FACETS = values("l", FACETS) + f", k AS (SELECT id, {TOK} AS t FROM l), f AS (SELECT id, {_facet_sql(routing.SCOPE_CUES)} AS sc, {_facet_sql(routing.CURRENCY_CUES)} AS cu FROM k) "
@@ -36,7 +36,7 @@ _FACETS = values("l", FACETS) + f", k AS (SELECT id, {TOK} AS t FROM l), f AS (S
 
 @query(_FACETS + "SELECT id, coalesce(sc, 'Sektör') AS scope, sc IS NOT NULL AS scope_stated, coalesce(cu, 'Toplam') AS currency, cu IS NOT NULL AS currency_stated FROM f")
 def str_scope_detect(spark, sf):
-    x = frame(spark, FACETS).select("id", routing.scope(F.col("s")).alias("a"), routing.currency(F.col("s")).alias("b"))
+    x = frame(spark, FACETS, sf).select("id", routing.scope(F.col("s")).alias("a"), routing.currency(F.col("s")).alias("b"))
     return x.select("id", F.col("a.value").alias("scope"), F.col("a.stated").alias("scope_stated"), F.col("b.value").alias("currency"), F.col("b.stated").alias("currency_stated"))
 
 
@@ -44,19 +44,19 @@ def str_scope_detect(spark, sf):
 def dis_facet_trace(spark, sf):
     how = lambda c: F.when(c["stated"], " (stated)").otherwise(" (default)")
     a, b = routing.scope(F.col("s")), routing.currency(F.col("s"))
-    return frame(spark, FACETS).select("id", F.concat(F.lit("sector_scope="), a["value"], how(a), F.lit("; currency_basis="), b["value"], how(b)).alias("trace"))
+    return frame(spark, FACETS, sf).select("id", F.concat(F.lit("sector_scope="), a["value"], how(a), F.lit("; currency_basis="), b["value"], how(b)).alias("trace"))
 
 
 @query(values("l", PLACES) + f", k AS (SELECT id, {TOK} AS t FROM l), p(n) AS (VALUES " + ", ".join(f"('{p}')" for p in KNOWN) + f"), q AS (SELECT n, string_split({FOLD_OF.format(c='n')}, ' ') AS w FROM p) SELECT id, (SELECT min(n) FROM q WHERE list_has_all(t, w)) AS province FROM k")
 def set_subset(spark, sf):
     """A question's words hold all words of a province."""
     known = spark.createDataFrame([(p,) for p in KNOWN], "province string")
-    return routing.provinces(frame(spark, PLACES), known).select("id", "province")
+    return routing.provinces(frame(spark, PLACES, sf), known).select("id", "province")
 
 
 @query(values("l", QUESTIONS + FACETS) + rf"SELECT id, array_to_string(regexp_extract_all({FOLD}, '[\p{{L}}\p{{M}}\p{{N}}]+'), ' ') AS terms FROM l")
 def str_terms(spark, sf):
-    return frame(spark, QUESTIONS + FACETS).select("id", F.array_join(txt.terms(F.col("s")), " ").alias("terms"))
+    return frame(spark, QUESTIONS + FACETS, sf).select("id", F.array_join(txt.terms(F.col("s")), " ").alias("terms"))
 
 
 @query(
@@ -66,7 +66,7 @@ def jn_query_cross(spark, sf):
     """Each word of a question beside each word of a concept: two arrays in one row of the few concepts for a question, never a join of rows by rows."""
     words = F.expr("regexp_extract_all(lower(series_id), '([a-z]+)', 1)")
     concepts = lake.catalog(spark, sf).select("family", F.explode(words).alias("b")).distinct().groupBy("family").agg(F.collect_list("b").alias("bs"))
-    x = frame(spark, QUESTIONS).select("id", txt.tokenize(F.col("s")).alias("asked")).where(F.size("asked") > 0).withColumn("k", F.lit(1)).join(F.broadcast(concepts.withColumn("k", F.lit(1))), "k")
+    x = frame(spark, QUESTIONS, sf).select("id", txt.tokenize(F.col("s")).alias("asked")).where(F.size("asked") > 0).withColumn("k", F.lit(1)).join(F.broadcast(concepts.withColumn("k", F.lit(1))), "k")
     pairs = F.flatten(F.transform("asked", lambda a: F.transform("bs", lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return x.select("id", F.col("family").alias("concept"), F.size(pairs).cast("long").alias("pairs"), F.size(F.filter(pairs, lambda p: p["a"] == p["b"])).cast("long").alias("equal"))
 

@@ -143,11 +143,6 @@ def flt_facets_fallback(spark, sf):
     return x.where(~F.col("known") | F.col("province").eqNullSafe("NATION_19")).select("series_id")
 
 
-@query(SQL + "SELECT series_id FROM catalog WHERE usable ORDER BY series_id LIMIT 10")
-def flt_discover(spark, sf):
-    return lake.catalog(spark, sf).where("usable").orderBy("series_id").limit(10).select("series_id")
-
-
 @query(SQL + "SELECT series_id, CASE WHEN unit = 'adet' THEN 'count' WHEN statement_kind = 'ratio' THEN 'ratio' WHEN unit = '%' THEN 'rate' WHEN statement_kind = 'income_statement' THEN 'flow' WHEN statement_kind IN ('balance_sheet', 'off_balance_sheet') THEN 'stock' ELSE 'unknown' END AS measure FROM catalog")
 def prj_measure_bddk(spark, sf):
     return lake.catalog(spark, sf).select("series_id", bronze.measure_of(F.col("statement_kind"), F.col("unit")).alias("measure"))

@@ -1,4 +1,4 @@
-"""Queries of the text and number functions, over literal labels that both engines get alike."""
+"""Queries of the text and number functions. Labels are made of the names of all parts and of spellings that published labels have."""
 
 from __future__ import annotations
 
@@ -13,21 +13,38 @@ LABELS = [
     "Konut Kredileri (10+27+28)", "İhtiyaç Kredileri *", "Toplam Mevduat (2 den 24'e)", "KATILIM BANKALARI", "Ticari Krediler - Takipteki", "Konut Fiyat Endeksi", "Mevduat Faizi (%)",
     "Bireysel Kredi Kartları ((1+2)/3)", "Şube Sayısı", "Yurt Dışı Şubeler (**)", "Tüketici Kredileri - Konut (Dövize Endeksli)", "Sermaye Yeterliliği Oranı", "Iğdır  İli   Kredileri", "",
 ]
+NESTED = ["Oran (((((((1+2)*3)/4)-5)+6)*7)/8) son", "x (1 (a) 2)", "((()))"]
 QUESTIONS = ["konut kredileri nasıl değişti", "mevduat faizi", "kredi kartı bakiyesi ile konut endeksi", "şube sayısı kaç", "takipteki krediler ve faiz oranı"]
 CELLS = ["1.234.567,89", "1234,5", "72", "-3.017", "(12,50)", "-", "n/a", "…x", "1.23,4", "+7", "*", "", "12.34", "0,001"]
 CAPTIONS = ["Krediler (Bin TL), Dönem:2021/3", "Oranlar (%)", "Adetler", "Mevduat (milyon TL) (Milyon TL)"]
 TEXTS = ["a <|ref|>title<|/ref|><|det|>[[1, 2]]<|/det|> b", "see https://example.org/x?a=1). and", "  two   words ", "none", " \t "]
 
 
-def values(name: str, items: list[str]) -> str:
+def literal(name: str, items: list[str]) -> str:
+    """A common table (id, s) of the items."""
     rows = ", ".join(f"({i}, '" + x.replace("'", "''") + "')" for i, x in enumerate(items))
     return f"WITH {name}(id, s) AS (VALUES {rows}) "
 
 
-def frame(spark: SparkSession, items: list[str]) -> DataFrame:
+def rows(spark: SparkSession, items: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(items)), "id int, s string")
 
 
+def values(name: str, items: list[str], before: str = "p_name || ' '") -> str:
+    """A common table (id, s) of the items and, for each part, one of them after what stands before it, the part's name."""
+    return literal(f"{name}_0", items) + f", {name}(id, s) AS (SELECT id, s FROM {name}_0 UNION ALL SELECT CAST(100 + p_partkey AS INT), {before} || a.s FROM part JOIN {name}_0 a ON a.id = p_partkey % {len(items)}) "
+
+
+def frame(spark: SparkSession, items: list[str], sf: str, before: str = "concat(p_name, ' ')") -> DataFrame:
+    few = rows(spark, items)
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.expr(before).alias("before"))
+    own = part.join(F.broadcast(few), F.col("id") == F.col("p_partkey") % len(items))  # a handful of items
+    return few.union(own.select((F.col("p_partkey") + 100).cast("int"), F.concat("before", "s")))
+
+
+SIZE = ("p_size", "cast(p_size AS string)")
+
+
 FOLD = "lower(translate(s, 'Iİ', 'ıi'))"
 STOP = "[" + ", ".join(f"'{w}'" for w in txt.STOPWORDS) + "]"
 TOK = rf"list_filter(regexp_extract_all({FOLD}, '[\p{{L}}\p{{M}}]+|[0-9]+'), lambda t: NOT list_contains({STOP}, t))"
@@ -35,51 +52,49 @@ TOK = rf"list_filter(regexp_extract_all({FOLD}, '[\p{{L}}\p{{M}}]+|[0-9]+'), lam
 
 @query(values("l", LABELS) + f"SELECT id, {FOLD} AS folded FROM l")
 def str_tr_casefold(spark, sf):
-    return frame(spark, LABELS).select("id", txt.casefold(F.col("s")).alias("folded"))
+    return frame(spark, LABELS, sf).select("id", txt.casefold(F.col("s")).alias("folded"))
 
 
 @query(values("l", LABELS) + rf"SELECT id, trim(regexp_replace({FOLD}, '[^\p{{L}}\p{{M}}\p{{N}}]+', '_', 'g'), '_') AS slug FROM l")
 def str_slugify(spark, sf):
-    return frame(spark, LABELS).select("id", txt.slugify(F.col("s")).alias("slug"))
+    return frame(spark, LABELS, sf).select("id", txt.slugify(F.col("s")).alias("slug"))
 
 
 @query(values("l", LABELS) + r"SELECT id, trim(regexp_replace(regexp_replace(trim(s), '(?:\s*\(\d+(?:\s*[-+]\s*\d+)+\)|\s*\(\d+\s+den\s+\d+''?[a-zçğıöşü]*\)|\s*\(\*+\)|\s*\*+)+$', ''), '\s+', ' ', 'g')) AS label FROM l")
 def str_normalise_label(spark, sf):
-    return frame(spark, LABELS).select("id", txt.normalise_label(F.col("s")).alias("label"))
-
+    return frame(spark, LABELS, sf).select("id", txt.normalise_label(F.col("s")).alias("label"))
 
-_STRIP = "s"
-for _ in range(4):
-    _STRIP = rf"regexp_replace({_STRIP}, '\([0-9+\-*/.,\s]*\)', ' ', 'g')"
 
-
-@query(values("l", LABELS) + rf"SELECT id, trim(regexp_replace({_STRIP}, '\s+', ' ', 'g')) AS label FROM l")
+@query(
+    values("l", LABELS + NESTED).replace("WITH ", "WITH RECURSIVE ", 1)
+    + r", r(id, s, k) AS (SELECT id, s, 0 FROM l UNION ALL SELECT id, regexp_replace(s, '\(\s*[0-9+\-*/.,\s]*\)', ' ', 'g'), k + 1 FROM r WHERE regexp_matches(s, '\(\s*[0-9+\-*/.,\s]*\)')) SELECT id, trim(regexp_replace(arg_max(s, k), '\s+', ' ', 'g')) AS label FROM r GROUP BY 1"
+)
 def str_strip_formulas(spark, sf):
-    return frame(spark, LABELS).select("id", txt.strip_formulas(F.col("s")).alias("label"))
+    return frame(spark, LABELS + NESTED, sf).select("id", txt.strip_formulas(F.col("s")).alias("label"))
 
 
 @query(values("l", LABELS) + f"SELECT id, array_to_string({TOK}, ' ') AS tokens FROM l")
 def str_tokenize(spark, sf):
-    return frame(spark, LABELS).select("id", F.array_join(txt.tokenize(F.col("s")), " ").alias("tokens"))
+    return frame(spark, LABELS, sf).select("id", F.array_join(txt.tokenize(F.col("s")), " ").alias("tokens"))
 
 
 @query(values("l", LABELS) + rf"SELECT id, 'monthly.t01.taraf1.' || trim(regexp_replace({FOLD}, '[^\p{{L}}\p{{M}}\p{{N}}]+', '_', 'g'), '_') AS series_id FROM l")
 def str_identify(spark, sf):
-    return frame(spark, LABELS).select("id", F.concat(F.format_string("%s.t%02d.taraf%d.", F.lit("monthly"), F.lit(1), F.lit(1)), txt.slugify(F.col("s"))).alias("series_id"))
+    return frame(spark, LABELS, sf).select("id", F.concat(F.format_string("%s.t%02d.taraf%d.", F.lit("monthly"), F.lit(1), F.lit(1)), txt.slugify(F.col("s"))).alias("series_id"))
 
 
 _PREFIX = "coalesce(list_max(list_transform(range(0, least(length(a), length(b)) + 1), lambda i: CASE WHEN left(a, i) = left(b, i) THEN i ELSE 0 END)), 0)"
 _WORDS = values("l", LABELS) + f", t AS (SELECT DISTINCT unnest({TOK}) AS a FROM l), p AS (SELECT t.a, u.a AS b FROM t, t u) "
 
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    t = frame(spark, LABELS).select(F.explode(txt.tokenize(F.col("s"))).alias("a")).distinct()
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    t = frame(spark, LABELS, sf).select(F.explode(txt.tokenize(F.col("s"))).alias("a")).distinct()
     return t.crossJoin(F.broadcast(t.withColumnRenamed("a", "b")))  # a few dozen words
 
 
 @query(_WORDS + f"SELECT a, b, {_PREFIX}::INT AS n FROM p")
 def str_shared_prefix(spark, sf):
-    return _pairs(spark).select("a", "b", txt.shared_prefix(F.col("a"), F.col("b")).alias("n"))
+    return _pairs(spark, sf).select("a", "b", txt.shared_prefix(F.col("a"), F.col("b")).alias("n"))
 
 
 _SCORE = f"CASE WHEN a = b THEN 1.0::DOUBLE WHEN {_PREFIX} < 4 THEN 0.0 ELSE 0.6 + 0.4 * {_PREFIX} / greatest(length(a), length(b)) END"
@@ -87,57 +102,49 @@ _SCORE = f"CASE WHEN a = b THEN 1.0::DOUBLE WHEN {_PREFIX} < 4 THEN 0.0 ELSE 0.6
 
 @query(_WORDS + f"SELECT a, b, round({_SCORE}, 6) AS score FROM p")
 def str_pair_score(spark, sf):
-    return _pairs(spark).select("a", "b", F.round(txt.pair_score(F.col("a"), F.col("b")), 6).alias("score"))
+    return _pairs(spark, sf).select("a", "b", F.round(txt.pair_score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 _RESTRICT = "[" + ", ".join(f"'{w}'" for w in txt.RESTRICTIVE) + "]"
-_LEX = (
-    values("l", LABELS)
-    + ", q(qid, s) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(QUESTIONS)) + f"), lt AS (SELECT id, {TOK} AS c FROM l), qt AS (SELECT qid, {TOK} AS q FROM q), "
+#: scored (qid, id, score) from lt (id, c: tokens of a label) and qt (qid, q: tokens of a question).
+LEX_SQL = (
     "x AS (SELECT qid, id, q, c FROM qt, lt WHERE len(q) > 0 AND len(c) > 0), e AS (SELECT qid, id, unnest(q) AS a, c FROM x), f AS (SELECT qid, id, unnest(c) AS b, q FROM x), "
     f"g AS (SELECT qid, id, a, max({_SCORE}) AS s, any_value(k) AS k FROM (SELECT qid, id, a, unnest(c) AS b, k FROM (SELECT *, row_number() OVER () AS k FROM e)) GROUP BY qid, id, a, k), "
     f"h AS (SELECT qid, id, b, max({_SCORE}) AS s FROM (SELECT qid, id, b, unnest(q) AS a, k FROM (SELECT *, row_number() OVER () AS k FROM f)) GROUP BY qid, id, b, k), "
-    "cov AS (SELECT x.qid, x.id, q, c, (SELECT avg(s) FROM g WHERE g.qid = x.qid AND g.id = x.id) AS qc, (SELECT avg(s) FROM h WHERE h.qid = x.qid AND h.id = x.id) AS cc FROM x), "
+    "ga AS (SELECT qid, id, avg(s) AS qc FROM g GROUP BY 1, 2), ha AS (SELECT qid, id, avg(s) AS cc FROM h GROUP BY 1, 2), cov AS (SELECT x.qid, x.id, q, c, qc, cc FROM x JOIN ga USING (qid, id) JOIN ha USING (qid, id)), "
     f"scored AS (SELECT qid, id, CASE WHEN qc = 0 OR cc = 0 THEN 0.0 ELSE 2 * qc * cc / (qc + cc) * pow(0.65, len(list_filter(list_distinct(c), lambda t: list_contains({_RESTRICT}, t) AND NOT list_contains(q, t)))) END AS score FROM cov) "
 )
-
-
-def scored(spark: SparkSession) -> DataFrame:
-    q = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, s string").select("qid", txt.tokenize(F.col("s")).alias("q"))
-    c = frame(spark, LABELS).select("id", txt.tokenize(F.col("s")).alias("c"))
-    x = c.crossJoin(F.broadcast(q)).where("size(q) > 0 AND size(c) > 0")  # a handful of questions
-    return x.select("qid", "id", txt.lexical_score(F.col("q"), F.col("c")).alias("score"))
+_LEX = values("l", LABELS) + ", q(qid, s) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(QUESTIONS)) + f"), lt AS (SELECT id, {TOK} AS c FROM l), qt AS (SELECT qid, {TOK} AS q FROM q), " + LEX_SQL
 
 
 @query(_LEX + "SELECT qid, id, round(score, 6) AS score FROM scored")
 def str_lexical_score(spark, sf):
-    return scored(spark).withColumn("score", F.round("score", 6))
-
+    q = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, s string").select("qid", txt.tokenize(F.col("s")).alias("q"))
+    c = frame(spark, LABELS, sf).select("id", txt.tokenize(F.col("s")).alias("c"))
+    x = c.crossJoin(F.broadcast(q)).where("size(q) > 0 AND size(c) > 0")  # a handful of questions
+    return x.select("qid", "id", F.round(txt.lexical_score(F.col("q"), F.col("c")), 6).alias("score"))
 
-@query(_LEX + "SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS k FROM scored WHERE score >= 0.35) WHERE k <= 3")
-def top_search(spark, sf):
-    from pyspark.sql import Window
 
-    by = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored(spark).where("score >= 0.35").withColumn("k", F.row_number().over(by)).where("k <= 3").select("qid", "id", F.round("score", 6).alias("score"))
+_CUES = ", ".join(f"({i}, '{c}', [{', '.join(repr(k) for k in v.split())}])" for i, (c, v) in enumerate(txt.CUES.items()))
 
 
-_CUES = ", ".join(f"({i}, '{c}', [{', '.join(repr(k) for k in v.split())}])" for i, (c, v) in enumerate(txt.CUES.items()))
+#: wants (qid, want: sorted measure types) of the questions l that have a cue.
+CUE_SQL = f"cues(o, cue, kinds) AS (VALUES {_CUES}), cued AS (SELECT id, unnest({TOK}) AS t FROM l), met AS (SELECT id, t, arg_min(kinds, o) AS kinds FROM cued JOIN cues ON t = cue OR (length(cue) >= 4 AND starts_with(t, cue)) GROUP BY 1, 2), wants AS (SELECT id AS qid, list_sort(list_distinct(flatten(list(kinds)))) AS want FROM met GROUP BY 1)"
 
 
-@query(values("l", QUESTIONS) + f", cues(o, cue, kinds) AS (VALUES {_CUES}), t AS (SELECT id, unnest({TOK}) AS t FROM l), m AS (SELECT id, t, arg_min(kinds, o) AS kinds FROM t JOIN cues ON t = cue OR (length(cue) >= 4 AND starts_with(t, cue)) GROUP BY 1, 2) SELECT l.id, coalesce(array_to_string(list_sort(list_distinct(flatten(list(kinds) FILTER (kinds IS NOT NULL)))), ' '), '') AS kinds FROM l LEFT JOIN m USING (id) GROUP BY 1")
+@query(values("l", QUESTIONS) + f", {CUE_SQL} SELECT l.id, coalesce(array_to_string(want, ' '), '') AS kinds FROM l LEFT JOIN wants ON qid = l.id")
 def str_intent(spark, sf):
-    return frame(spark, QUESTIONS).select("id", F.array_join(txt.intent(txt.tokenize(F.col("s"))), " ").alias("kinds"))
+    return frame(spark, QUESTIONS, sf).select("id", F.array_join(txt.intent(txt.tokenize(F.col("s"))), " ").alias("kinds"))
 
 
 @query(values("l", LABELS) + f"SELECT id, translate({FOLD}, '{txt.FOLD_FROM}', '{txt.FOLD_TO}') AS folded FROM l")
 def str_fold_ascii(spark, sf):
-    return frame(spark, LABELS).select("id", txt.fold_ascii(F.col("s")).alias("folded"))
+    return frame(spark, LABELS, sf).select("id", txt.fold_ascii(F.col("s")).alias("folded"))
 
 
 @query(values("l", CAPTIONS) + r"SELECT id, nullif(regexp_extract(s, '^.*\(([^()]*)\)', 1), '') AS unit FROM l")
 def str_caption_unit(spark, sf):
-    return frame(spark, CAPTIONS).select("id", txt.caption_unit(F.col("s")).alias("unit"))
+    return frame(spark, CAPTIONS, sf).select("id", txt.caption_unit(F.col("s")).alias("unit"))
 
 
 _UNITS = ", ".join(f"('{k}', '{s}', {v}::DOUBLE)" for k, (s, v) in num.UNITS.items())
@@ -146,41 +153,41 @@ _UNITS = ", ".join(f"('{k}', '{s}', {v}::DOUBLE)" for k, (s, v) in num.UNITS.ite
 @query(values("l", CAPTIONS) + rf", u(k, symbol, scale) AS (VALUES {_UNITS}), c AS (SELECT id, lower(translate(trim(nullif(regexp_extract(s, '^.*\(([^()]*)\)', 1), '')), 'Iİ', 'ıi')) AS k FROM l) SELECT id, coalesce(symbol, '') AS symbol, coalesce(scale, 1.0) AS scale FROM c LEFT JOIN u USING (k)")
 def str_unit_normalise(spark, sf):
     symbol, scale = num.normalise_unit(txt.caption_unit(F.col("s")))
-    return frame(spark, CAPTIONS).select("id", symbol.alias("symbol"), scale.alias("scale"))
+    return frame(spark, CAPTIONS, sf).select("id", symbol.alias("symbol"), scale.alias("scale"))
 
 
 @query(values("l", QUESTIONS) + r"SELECT id, array_to_string(string_split_regex(s, '(?i)\s+(?:ile|ve|arasında|karşı)\s+'), '|') AS parts FROM l")
 def str_split_pair(spark, sf):
-    return frame(spark, QUESTIONS).select("id", F.array_join(txt.split_pair(F.col("s")), "|").alias("parts"))
+    return frame(spark, QUESTIONS, sf).select("id", F.array_join(txt.split_pair(F.col("s")), "|").alias("parts"))
 
 
 @query(values("l", TEXTS) + r"SELECT id, nullif(regexp_replace(regexp_extract(s, '(https?://\S+)', 1), '[.,;)]+$', ''), '') AS url FROM l")
 def str_url_find(spark, sf):
-    return frame(spark, TEXTS).select("id", txt.first_url(F.col("s")).alias("url"))
+    return frame(spark, TEXTS, sf).select("id", txt.first_url(F.col("s")).alias("url"))
 
 
 @query(values("l", TEXTS) + r"SELECT id, nullif(trim(regexp_replace(s, '\s+', ' ', 'g')), '') AS s FROM l")
 def str_ws_collapse(spark, sf):
-    return frame(spark, TEXTS).select("id", txt.collapse_space(F.col("s")).alias("s"))
+    return frame(spark, TEXTS, sf).select("id", txt.collapse_space(F.col("s")).alias("s"))
 
 
 @query(values("l", TEXTS) + r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(s, '(?s)<\|det\|>.*?<\|/det\|>', '', 'g'), '(?s)<\|ref\|>(.*?)<\|/ref\|>', '\1', 'g'), '<\|/?[a-z]+\|>', '', 'g'), ' ') AS s FROM l")
 def str_layout_strip(spark, sf):
-    return frame(spark, TEXTS).select("id", txt.strip_layout(F.col("s")).alias("s"))
+    return frame(spark, TEXTS, sf).select("id", txt.strip_layout(F.col("s")).alias("s"))
 
 
 _SIGNED = r"CASE WHEN regexp_matches(lower(trim(s)), '^\(.*\)$') THEN '-' || trim(substr(lower(trim(s)), 2, length(trim(s)) - 2)) ELSE lower(trim(s)) END"
 _IS = rf"regexp_matches({_SIGNED}, '{num.NUMBER}')"
 
 
-@query(values("l", CELLS) + rf"SELECT id, CASE WHEN {_IS} THEN CAST(replace(replace(regexp_replace({_SIGNED}, '^\+', ''), '.', ''), ',', '.') AS DECIMAL(38,10))::DOUBLE END AS value FROM l")
+@query(values("l", CELLS, SIZE[0]) + rf"SELECT id, CASE WHEN {_IS} THEN CAST(replace(replace(regexp_replace({_SIGNED}, '^\+', ''), '.', ''), ',', '.') AS DECIMAL(38,10))::DOUBLE END AS value FROM l")
 def num_parse_tr(spark, sf):
-    return frame(spark, CELLS).select("id", num.parse_tr(F.col("s")).cast("double").alias("value"))
+    return frame(spark, CELLS, sf, SIZE[1]).select("id", num.parse_tr(F.col("s")).cast("double").alias("value"))
 
 
-@query(values("l", CELLS) + rf"SELECT id, {_IS} AS numeric, length(regexp_extract({_SIGNED}, ',([0-9]+)$', 1))::INT AS decimals FROM l")
+@query(values("l", CELLS, SIZE[0]) + rf"SELECT id, {_IS} AS numeric, length(regexp_extract({_SIGNED}, ',([0-9]+)$', 1))::INT AS decimals FROM l")
 def num_looks_numeric(spark, sf):
-    return frame(spark, CELLS).select("id", num.looks_numeric(F.col("s")).alias("numeric"), num.precision_of(F.col("s")).alias("decimals"))
+    return frame(spark, CELLS, sf, SIZE[1]).select("id", num.looks_numeric(F.col("s")).alias("numeric"), num.precision_of(F.col("s")).alias("decimals"))
 
 
 @query("SELECT p_brand, p_partkey, round(p, 9) AS p, round(least(1.0, max((n - k + 1) * p) OVER (PARTITION BY p_brand ORDER BY p ROWS UNBOUNDED PRECEDING)), 9) AS adjusted FROM (SELECT p_brand, p_partkey, (p_partkey * 7919 % 10007) / 10007.0::DOUBLE AS p, row_number() OVER (PARTITION BY p_brand ORDER BY (p_partkey * 7919 % 10007) / 10007.0::DOUBLE) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)")
@@ -189,18 +196,30 @@ def num_holm(spark, sf):
     return x.select("p_brand", "p_partkey", F.round("p", 9).alias("p"), F.round(num.holm(F.col("p"), "p_brand"), 9).alias("adjusted"))
 
 
-DATES = ["Eylül/05", "Şubat/14", "MAYIS/1", "kasim/30", "x/3"]
+DATES = ["Eylül/05", "Şubat/14", "MAYIS/1", "kasim/30", "x/3", "Ocak/31", "ağustos/00"]
+_MONTH_SQL = "[" + ", ".join(f"'{m}'" for m in num.MONTHS) + "]"
 
 
-@query(values("l", DATES) + "SELECT id, d FROM (VALUES (0, DATE '2023-09-05'), (1, DATE '2023-02-14'), (2, DATE '2023-05-01'), (3, DATE '2023-11-30'), (4, NULL)) t(id, d)")
+@query(literal("l0", DATES) + rf", l AS (SELECT id, s FROM l0 UNION ALL SELECT CAST(100 + p_partkey AS INT), ({_MONTH_SQL})[p_partkey % 12 + 1] || '/' || (p_size % 33) FROM part), m AS (SELECT id, translate({FOLD}, '{txt.FOLD_FROM}', '{txt.FOLD_TO}') AS f FROM l), n AS (SELECT id, list_position(list_transform({_MONTH_SQL}, lambda x: translate(lower(translate(x, 'Iİ', 'ıi')), '{txt.FOLD_FROM}', '{txt.FOLD_TO}')), split_part(f, '/', 1)) AS month, split_part(f, '/', 2) AS day FROM m) SELECT id, TRY_CAST('2023-' || lpad(month::VARCHAR, 2, '0') || '-' || lpad(day, 2, '0') AS DATE) AS d FROM n")
 def src_period_discovery(spark, sf):
-    return frame(spark, DATES).select("id", num.label_to_date(F.col("s"), F.lit(2023)).alias("d"))
+    """The labels under which periods are offered, as dates of a year."""
+    months = F.element_at(F.array(*map(F.lit, num.MONTHS)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    part = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") + 100).cast("int").alias("id"), F.concat(months, F.lit("/"), F.col("p_size") % 33).alias("s"))
+    return rows(spark, DATES).union(part).select("id", num.label_to_date(F.col("s"), F.lit(2023)).alias("d"))
 
 
-PERIODS = ["31-01-2021", "2021-03", "bad"]
+PERIODS = ["31-01-2021", "2021-03", "bad", "31-02-2021", "2021-13"]
 
 
-@query("SELECT id, d FROM (VALUES (0, DATE '2021-01-31'), (1, DATE '2021-03-01'), (2, DATE '2021-02-01')) t(id, d)")
+@query(
+    literal("l0", PERIODS) + ", l AS (SELECT id::BIGINT AS id, s, 1612126800::BIGINT AS unix FROM l0 UNION ALL SELECT 100 + event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%d-%m-%Y') WHEN 1 THEN strftime(ts, '%Y-%m') ELSE 'x' END, epoch(ts)::BIGINT FROM events) "
+    "SELECT id, CASE WHEN regexp_full_match(s, '[0-9]{2}-[0-9]{2}-[0-9]{4}') AND try_strptime(s, '%d-%m-%Y') IS NOT NULL THEN CAST(try_strptime(s, '%d-%m-%Y') AS DATE) WHEN regexp_full_match(s, '[0-9]{4}-[0-9]{2}') AND try_strptime(s || '-01', '%Y-%m-%d') IS NOT NULL THEN CAST(try_strptime(s || '-01', '%Y-%m-%d') AS DATE) ELSE CAST(to_timestamp(unix + 10800) AT TIME ZONE 'UTC' AS DATE) END AS d FROM l"
+)
 def src_http_series(spark, sf):
-    """1612126800 is the first of February 2021 in Istanbul, still January in UTC."""
-    return frame(spark, PERIODS).select("id", num.parse_period(F.col("s"), F.lit(1612126800)).alias("d"))
+    """Periods in the spellings of a published service; where none fits the seconds since 1970 tell the day in Istanbul, three hours ahead of UTC."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    kind = F.col("event_id") % 3
+    spelt = F.when(kind == 0, F.date_format("ts", "dd-MM-yyyy")).when(kind == 1, F.date_format("ts", "yyyy-MM")).otherwise("x")
+    few = rows(spark, PERIODS).select(F.col("id").cast("long"), "s", F.lit(1612126800).cast("long").alias("unix"))
+    x = few.union(e.select(F.col("event_id") + 100, spelt, F.unix_timestamp(F.col("ts").cast("timestamp"))))
+    return x.select("id", num.parse_period(F.col("s"), F.col("unix")).alias("d"))
