@@ -58,9 +58,9 @@ def contiguous(obs: DataFrame) -> DataFrame:
     return obs.withColumn("step", step).groupBy("series_id").agg(F.coalesce(F.bool_and("step"), F.lit(True)).alias("contiguous"))
 
 
-def spine_join(spine: DataFrame, obs: DataFrame, key: str) -> DataFrame:
+def spine_join(spine: DataFrame, obs: DataFrame, key: str, on: list[str] = ["period"]) -> DataFrame:  # noqa: B006  never changed
     """The spine with one more column; rows of the spine are neither added nor lost."""
-    return spine.join(obs.select("period", F.col("value").alias(key)), "period", "left")
+    return spine.join(obs.select(*on, F.col("value").alias(key)), on, "left")
 
 
 def join_series(spine: DataFrame, obs: DataFrame, series: dict[str, str]) -> DataFrame:

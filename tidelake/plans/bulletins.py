@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import numeric as num
 from tidelake.functions import text as txt
+from tidelake.operators import gates
 from tidelake.plans.registry import query
 from tidelake.plans.words import FOLD, LABELS, frame, values
 from tidelake.sources import bronze, lake
@@ -207,14 +208,25 @@ def _manifest(spark, sf) -> DataFrame:
     return lake.table(spark, sf, "pages").select("page_id", "url", F.sha2("html", 256).alias("digest"))
 
 
-@query("SELECT count(*) AS listed, count(*) FILTER (html IS NULL) AS absent, 0::BIGINT AS altered, count(*) - count(DISTINCT page_id) AS twice FROM pages")
+@query(
+    "WITH h AS (SELECT page_id AS path, html, sha256(html) AS digest FROM pages), m AS (SELECT path, digest FROM h WHERE path % 83 <> 2 UNION ALL SELECT path, digest FROM h WHERE path % 89 = 1), "
+    "s AS (SELECT path, sha256(CASE WHEN path % 50 = 7 THEN html || ' ' ELSE html END) AS now FROM h WHERE html IS NOT NULL AND path % 70 <> 3), l AS (SELECT path, count(*) AS n, any_value(digest) AS digest FROM m GROUP BY 1), "
+    "x AS (SELECT l.path AS listed, s.path AS there, n, digest, now FROM l FULL JOIN s USING (path)) "
+    "SELECT 'broken copy' AS data, sum(n)::BIGINT AS listed, count(*) FILTER (listed IS NOT NULL AND now IS NULL) AS absent, count(*) FILTER (listed IS NOT NULL AND now <> digest) AS altered, sum(n - 1)::BIGINT AS twice, count(*) FILTER (listed IS NULL) AS unlisted, "
+    "(SELECT count(*) FROM h WHERE path NOT IN (SELECT path FROM l)) AS uncovered, 2::BIGINT AS units FROM x UNION ALL "
+    "SELECT 'as stored', count(*), count(*) FILTER (html IS NULL), 0, count(*) - count(DISTINCT path), 0, 0, 1 FROM h"
+)
 def dq_bronze(spark, sf):
-    """What a manifest lists against what is stored: absent files, digests that differ, files listed twice."""
-    stored = lake.table(spark, sf, "pages").where("html IS NOT NULL").select("page_id", F.sha2("html", 256).alias("now"))
-    x = _manifest(spark, sf).join(stored, "page_id", "left")
-    x = x.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("now").isNull()).alias("gone"), F.count_if(F.col("now") != F.col("digest")).alias("odd"))
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return x.agg(zero("n").alias("listed"), zero("gone").alias("absent"), zero("odd").alias("altered"), zero(F.col("n") - 1).alias("twice"))
+    """What a manifest lists against what is stored and what is expected: absent, altered, repeated and missing files, units that change. Over the pages as stored, and over a copy in which each of these is planted."""
+    page = lake.table(spark, sf, "pages").select(F.col("page_id").alias("path"), "html")
+    unit = F.lit("TRY")
+    stored = page.where("html IS NOT NULL")
+    whole = gates.bronze(page.select("path", F.sha2("html", 256).alias("digest")), stored.select("path", F.sha2("html", 256).alias("now"), unit.alias("unit")), page)
+    lines = page.select("path", F.sha2("html", 256).alias("digest"))
+    lines = lines.where("path % 83 <> 2").union(lines.where("path % 89 = 1"))
+    changed = F.sha2(F.when(F.col("path") % 50 == 7, F.concat("html", F.lit(" "))).otherwise(F.col("html")), 256)
+    broken = stored.where("path % 70 <> 3").select("path", changed.alias("now"), F.when(F.col("path") % 4 == 0, "USD").otherwise(unit).alias("unit"))
+    return whole.select(F.lit("as stored").alias("data"), "*").union(gates.bronze(lines, broken, page).select(F.lit("broken copy"), "*"))
 
 
 @query("WITH m AS (SELECT url, count(*) AS n, count(DISTINCT sha256(html)) AS versions FROM pages WHERE html IS NOT NULL GROUP BY 1) SELECT url, n, versions FROM m WHERE versions > 1")
@@ -247,23 +259,34 @@ def dq_i3b_disagree(spark, sf):
     return x.withColumn("status", F.when((F.col("checked") == 0) | (F.col("disagree") > 129), "fail").otherwise("pass"))
 
 
-_POP = "WITH n AS (SELECT c_nationkey AS k, count(*) AS people, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS money FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS branches FROM supplier GROUP BY 1), x AS (SELECT k, money::DOUBLE AS published, branches * (people::DOUBLE / branches) * (money::DOUBLE / people) AS rebuilt FROM n JOIN s USING (k)) "
+_POP = (
+    "WITH n AS (SELECT c_nationkey AS k, count(*) AS people, sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE AS money FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS branches FROM supplier GROUP BY 1), "
+    "x AS (SELECT k, branches, round(people::DOUBLE / branches, 3) AS ppb, round(money / people / 1000, 5) AS mph, money FROM n JOIN s USING (k)), y AS (SELECT k, branches, ppb, CASE WHEN k % 10 = 3 THEN mph * 1000 ELSE mph END AS mph, money FROM x) "
+)
 
 
-@query(_POP + "SELECT k, round(published, 4) AS published, round(rebuilt, 4) AS rebuilt FROM x")
-def jn_population_check(spark, sf):
-    """A total rebuilt from branches, people of a branch and money of a person, against the total as published."""
+def _published(spark, sf) -> DataFrame:
+    """A quarter's table of provinces as published: branches, people of a branch, thousands of a person, each rounded, and the total."""
     n = lake.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("people"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("money"))
     s = lake.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("branches"))
-    rebuilt = F.col("branches") * (F.col("people") / F.col("branches")) * (F.col("money") / F.col("people"))
-    return n.join(s, "k").select("k", F.round("money", 4).alias("published"), F.round(rebuilt, 4).alias("rebuilt"))
+    return n.join(s, "k").select("k", "branches", F.round(F.col("people") / F.col("branches"), 3).alias("people_per_branch"), F.round(F.col("money") / F.col("people") / 1000, 5).alias("money_per_head"), "money")
 
 
-@query(_POP + "SELECT 'units' AS gate, count(*) AS checked, count(*) FILTER (abs(rebuilt - published) > 0.005 * abs(published)) AS breaches, CASE WHEN count(*) = 0 OR count(*) FILTER (abs(rebuilt - published) > 0.005 * abs(published)) > 0 THEN 'fail' ELSE 'pass' END AS status FROM x")
-def dq_i4_units(spark, sf):
-    from tidelake.plans.series import gate
+@query(_POP + "SELECT k, round(money, 2) AS published, round(branches * ppb * mph * 1000, 2) AS rebuilt FROM x")
+def jn_population_check(spark, sf):
+    """A total rebuilt from the three rounded columns that are published beside it."""
+    return gates.rebuilt_units(_published(spark, sf)).select("k", F.round("money", 2).alias("published"), F.round("rebuilt", 2).alias("rebuilt"))
+
 
-    return gate("units", jn_population_check(spark, sf), F.abs(F.col("rebuilt") - F.col("published")) > 0.005 * F.abs("published"))
+_UNIT_GATE = "count(*) AS checked, count(*) FILTER (abs(branches * ppb * mph * 1000 - money) > 0.005 * abs(money)) AS breaches, CASE WHEN count(*) = 0 OR count(*) FILTER (abs(branches * ppb * mph * 1000 - money) > 0.005 * abs(money)) > 0 THEN 'fail' ELSE 'pass' END AS status"
+
+
+@query(_POP + f"SELECT 'units' AS gate, {_UNIT_GATE} FROM x UNION ALL SELECT 'units, another unit', {_UNIT_GATE} FROM y")
+def dq_i4_units(spark, sf):
+    """The gate over the table as published, and over one of which some provinces are given in another unit."""
+    x = _published(spark, sf)
+    other = x.withColumn("money_per_head", F.when(F.col("k") % 10 == 3, F.col("money_per_head") * 1000).otherwise(F.col("money_per_head")))
+    return gates.gate("units", gates.rebuilt_units(x), gates.units_breach()).union(gates.gate("units, another unit", gates.rebuilt_units(other), gates.units_breach()))
 
 
 _REC = SQL + ", x AS (SELECT a.series_id, b.value / a.value AS r FROM flow a JOIN ytd b ON substr(a.series_id, 6) = substr(b.series_id, 5) AND a.period = b.period WHERE a.value <> 0), m AS (SELECT series_id, pow(10.0, round(log10(median(r)))) AS scale FROM x WHERE r > 0 GROUP BY 1), y AS (SELECT series_id, r / scale AS q FROM x JOIN m USING (series_id)) "
@@ -322,13 +345,14 @@ def win_closure(spark, sf):
     return acc.closure(acc.decumulate(lake.ytd(spark, sf)), tolerance=0.01).select("series_id", "year", "closes")
 
 
-@query(SQL + ", p AS (SELECT region, period, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS whole FROM facts GROUP BY ALL), c AS (SELECT region, period, sum(v)::DOUBLE AS parts FROM (SELECT region, nation, period, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM facts GROUP BY ALL) GROUP BY ALL) SELECT region, count(*) AS n, max(round(abs(whole - parts), 6)) AS worst FROM p JOIN c USING (region, period) GROUP BY 1")
+@query(SQL + ", p AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_orderstatus AS st, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS whole FROM orders GROUP BY ALL), c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_orderstatus AS st, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS parts FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT st, count(*) AS n, max(round(abs(whole - coalesce(parts, 0)), 2)) AS worst FROM p LEFT JOIN c USING (period, st) GROUP BY 1")
 def agg_partition_sum(spark, sf):
-    """The widest gap of a region's months between the whole and the sum of its parts."""
-    part = lake.order_facts(spark, sf).groupBy("region", "nation", "period").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
-    sums = part.groupBy("region", "period").agg(F.sum("v").cast("double").alias("parts"))
-    whole = lake.order_facts(spark, sf).groupBy("region", "period").agg(lake.money("o_totalprice").alias("whole"))
-    return whole.join(sums, ["region", "period"]).groupBy("region").agg(F.count("*").alias("n"), F.max(F.round(F.abs(F.col("whole") - F.col("parts")), 6)).alias("worst"))
+    """The widest gap of a status' months between the orders as stored and those that a customer and a nation are known of."""
+    orders = lake.table(spark, sf, "orders").select(lake.month("o_orderdate").alias("period"), F.col("o_orderstatus").alias("st"), "o_totalprice", F.col("o_custkey").alias("c_custkey"))
+    known = orders.join(lake.table(spark, sf, "customer"), "c_custkey").join(lake.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    whole, parts = (x.groupBy("period", "st").agg(lake.money("o_totalprice").alias(c)) for x, c in ((orders, "whole"), (known, "parts")))
+    gap = F.round(F.abs(F.col("whole") - F.coalesce("parts", F.lit(0.0))), 2)
+    return whole.join(parts, ["period", "st"], "left").groupBy("st").agg(F.count("*").alias("n"), F.max(gap).alias("worst"))
 
 
 @query(SQL + ", s AS (SELECT series_id, period, value, lag(period) OVER (PARTITION BY series_id ORDER BY period) AS before FROM flow) SELECT series_id, count(*) AS n, count(*) > 0 AND coalesce(bool_and(before IS NULL OR period > before), TRUE) AS valid FROM s GROUP BY 1")
@@ -346,10 +370,21 @@ def val_drop_missing(spark, sf):
     return x.groupBy("series_id").agg(F.count_if(whole).alias("kept"), F.count_if(~whole).alias("dropped"))
 
 
-@query(SQL + ", m AS (SELECT series_id, period, value, lag(value) OVER w AS b FROM ytd WINDOW w AS (PARTITION BY series_id, year(period) ORDER BY period)), j AS (SELECT n_name AS k, p FROM nation, (SELECT DISTINCT period AS p FROM ytd)) SELECT count(*) AS checked, count(*) FILTER (y.value IS NULL) AS missing, 0::BIGINT AS filled FROM j LEFT JOIN ytd y ON y.series_id = 'ytd.' || k AND y.period = p")
+_SPINED = (
+    SQL + ", j AS (SELECT 'ytd.' || n_name AS series_id, period FROM nation, (SELECT DISTINCT period FROM ytd)), src AS (SELECT * FROM ytd WHERE month(period) <> 6 AND NOT (series_id = 'ytd.NATION_2' AND year(period) = 1996)), "
+    "o AS (SELECT series_id, period, value FROM j LEFT JOIN src USING (series_id, period)), f AS (SELECT series_id, period, last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY period) AS value FROM o) "
+)
+_FILLED = "count(*) AS checked, count(*) FILTER (t.value IS NULL) AS missing, count(*) FILTER (t.value IS NOT NULL AND src.value IS NULL) AS filled"
+
+
+@query(_SPINED + f"SELECT 'joined to a spine' AS output, {_FILLED} FROM o t LEFT JOIN src USING (series_id, period) UNION ALL SELECT 'carried forward', {_FILLED} FROM f t LEFT JOIN src USING (series_id, period)")
 def dq_i7_nofill(spark, sf):
-    """On a spine of all months no missing figure becomes a value: filled counts cells that hold one though the series has none there."""
+    """What an operator returns against its source, which has gaps: a spine join fills none, and a copy that carries figures forward is found out."""
+    from tidelake.operators import alignment as al
+
     y = lake.ytd(spark, sf)
+    source = y.where("month(period) <> 6 AND NOT (series_id = 'ytd.NATION_2' AND year(period) = 1996)")
     spine = lake.table(spark, sf, "nation").select(F.concat(F.lit("ytd."), "n_name").alias("series_id")).crossJoin(F.broadcast(y.select("period").distinct()))  # months are a fixed calendar
-    x = spine.join(y, ["series_id", "period"], "left").join(y.select("series_id", "period", F.lit(True).alias("seen")), ["series_id", "period"], "left")
-    return x.agg(F.count("*").alias("checked"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value").isNotNull() & F.col("seen").isNull()).alias("filled"))
+    out = al.spine_join(spine, source, "value", ["series_id", "period"])
+    carried = out.withColumn("value", F.last("value", True).over(Window.partitionBy("series_id").orderBy("period")))
+    return gates.filled(out, source).select(F.lit("joined to a spine").alias("output"), "*").union(gates.filled(carried, source).select(F.lit("carried forward"), "*"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import numeric
 from tidelake.operators import accumulation as acc
 from tidelake.operators import alignment as al
+from tidelake.operators import gates
 from tidelake.plans.registry import query
 from tidelake.sources import bronze, lake, store
 from tidelake.sources.lake import SQL
@@ -98,19 +99,72 @@ def snk_silver_parquet(spark, sf):
     return store.coverage(store.write_silver(points, store.path_of(spark, sf, "points")), config).withColumnRenamed("series_code", "series_id")
 
 
-@query("WITH RECURSIVE up(id, parent, root, depth) AS (SELECT n_name, r_name, n_name, 0 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT up.id, NULL, up.parent, depth + 1 FROM up WHERE up.parent IS NOT NULL) SELECT id, root, depth FROM up WHERE parent IS NULL")
+_TREE = (
+    "tree AS (SELECT 'part.' || p_partkey AS id, 'brand.' || p_brand AS parent, NULL AS unit FROM part UNION ALL SELECT DISTINCT 'brand.' || p_brand, 'type.' || (length(p_brand) * 7 + ascii(right(p_brand, 1))) % 6, CASE WHEN p_brand < 'Brand#2' THEN 'adet' END FROM part "
+    "UNION ALL SELECT 'type.' || k, CASE k WHEN 0 THEN NULL WHEN 4 THEN 'type.5' WHEN 5 THEN 'type.4' ELSE 'type.' || (k - 1) END, NULL FROM range(6) t(k))"
+)
+
+
+@query(f"WITH RECURSIVE {_TREE}, up(id, here, depth, unit, seen) AS (SELECT id, id, 0, unit, [id] FROM tree UNION ALL SELECT up.id, t.parent, depth + 1, coalesce(up.unit, p.unit), list_append(seen, t.parent) FROM up JOIN tree t ON t.id = up.here LEFT JOIN tree p ON p.id = t.parent WHERE t.parent IS NOT NULL AND NOT list_contains(seen, t.parent)) SELECT id, here AS root, depth::INT AS depth, unit FROM up QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC) = 1")
 def src_hier_index(spark, sf):
-    """Series to topic by climbing parent pointers; the two levels are joins."""
-    tree = lake.table(spark, sf, "nation").join(lake.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return tree.select(F.col("n_name").alias("id"), F.col("r_name").alias("root"), F.lit(1).alias("depth"))
+    """Parts in brands in types, types in types, of which two point at each other: the topic of each node, and the unit of the nearest that has one."""
+    part = lake.table(spark, sf, "part").select("p_partkey", "p_brand")
+    none = F.lit(None).cast("string")
+    brands = part.select("p_brand").distinct()
+    kind = (F.length("p_brand") * 7 + F.ascii(F.right("p_brand", F.lit(1)))) % 6
+    k = F.col("id")
+    types = spark.range(6).select(F.concat(F.lit("type."), k), F.when(k == 4, "type.5").when(k == 5, "type.4").when(k > 0, F.concat(F.lit("type."), k - 1)), none)
+    tree = part.select(F.concat(F.lit("part."), "p_partkey").alias("id"), F.concat(F.lit("brand."), "p_brand").alias("parent"), none.alias("unit"))
+    tree = tree.union(brands.select(F.concat(F.lit("brand."), "p_brand"), F.concat(F.lit("type."), kind), F.when(F.col("p_brand") < "Brand#2", "adet"))).union(types)
+    return climb(tree)
+
+
+def climb(tree: DataFrame, most: int = 64) -> DataFrame:
+    """(id, root, depth, unit) of tree (id, parent, unit): parents are climbed until there is none or one comes again; unit is the nearest on the way. All nodes climb a step together; more than most steps are an error."""
+    links = tree.where("parent IS NOT NULL").select(F.col("id").alias("at"), "parent")
+    units = tree.where("unit IS NOT NULL").select(F.col("id").alias("parent"), F.col("unit").alias("above"))
+    now = tree.select("id", F.col("id").alias("at"), F.lit(0).alias("depth"), "unit", F.array("id").alias("seen"), F.lit(True).alias("open"))
+    for _ in range(most):
+        step = now.join(links, "at", "left").join(units, "parent", "left")
+        on = F.col("open") & F.col("parent").isNotNull() & ~F.array_contains("seen", F.col("parent"))
+        step = step.withColumn("open", F.coalesce(on, F.lit(False)))
+        now = step.select(
+            "id", F.when(F.col("open"), F.col("parent")).otherwise(F.col("at")).alias("at"), (F.col("depth") + F.col("open").cast("int")).alias("depth"), F.when(F.col("open"), F.coalesce("unit", "above")).otherwise(F.col("unit")).alias("unit"),
+            F.when(F.col("open"), F.concat("seen", F.array("parent"))).otherwise(F.col("seen")).alias("seen"), "open",
+        )
+        now = store.cut(now, "climb")
+        if now.where("open").isEmpty():
+            return now.select("id", F.col("at").alias("root"), "depth", "unit")
+    raise RuntimeError(f"a node is more than {most} steps from its root")
 
 
-@query("SELECT p_partkey, p_brand, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, p_partkey) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS k FROM (SELECT p_partkey, p_brand, (contains(lower(p_name), 'a'))::INT + (contains(lower(p_type), 'steel'))::INT + (p_size > 25)::INT AS score FROM part)) WHERE k <= 8) WHERE pos <= 100")
+@query(
+    "WITH ends AS (SELECT l_partkey, max(CAST(l_shipdate AS DATE)) AS last FROM lineitem GROUP BY 1), far AS (SELECT max(last) AS far FROM ends), c AS (SELECT p_partkey, p_brand, p_type, ['M', 'W', 'Q', 'D'][p_partkey % 4 + 1] AS freq, last, far, p_partkey IN (5, 17, 33) AS pinned, "
+    "(contains(lower(p_name), 'a'))::INT + (contains(lower(p_type), 'steel'))::INT + (contains(lower(p_name), 'ring'))::INT + (p_size > 25)::INT AS score, p_size FROM part LEFT JOIN ends ON l_partkey = p_partkey, far), "
+    "ok AS (SELECT * FROM c WHERE pinned OR (p_type <> 'PROMO' AND p_size % 9 <> 0 AND last >= far - CASE freq WHEN 'D' THEN 200 WHEN 'W' THEN 300 WHEN 'M' THEN 400 ELSE 900 END)), "
+    "used AS (SELECT p_brand, count(*) FILTER (pinned) AS u FROM ok GROUP BY 1), k AS (SELECT ok.*, u, row_number() OVER (PARTITION BY p_brand, pinned ORDER BY score DESC, p_partkey) AS k FROM ok JOIN used USING (p_brand)) "
+    "SELECT p_partkey, p_brand, score, pinned FROM (SELECT *, row_number() OVER (ORDER BY pinned DESC, score DESC, p_partkey) AS pos FROM k WHERE pinned OR k <= 8 - u) WHERE pos <= 100"
+)
 def sel_series_score(spark, sf):
-    score = F.contains(F.lower("p_name"), F.lit("a")).cast("int") + F.contains(F.lower("p_type"), F.lit("steel")).cast("int") + (F.col("p_size") > 25).cast("int")
-    by = Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_partkey")
-    x = lake.table(spark, sf, "part").withColumn("score", score).withColumn("k", F.row_number().over(by)).where("k <= 8")
-    return x.orderBy(F.desc("score"), "p_partkey").limit(100).select("p_partkey", "p_brand", "score")
+    """Parts that are not archived, have a known unit and are shipped until near the end (by their frequency), scored by terms; pinned ones first, of each brand eight at most, 100 in all."""
+    ends = lake.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max(F.col("l_shipdate").cast("date")).alias("last"))
+    far = ends.agg(F.max("last").alias("far"))  # one row
+    k, has = F.col("p_partkey"), lambda c, w: F.contains(F.lower(c), F.lit(w)).cast("int")
+    x = lake.table(spark, sf, "part").join(ends, "p_partkey", "left").crossJoin(F.broadcast(far))
+    x = x.withColumn("pinned", k.isin(5, 17, 33)).withColumn("score", has("p_name", "a") + has("p_type", "steel") + has("p_name", "ring") + (F.col("p_size") > 25).cast("int"))
+    freq = F.get(F.array(*map(F.lit, "MWQD")), (k % 4).cast("int"))
+    grace = F.when(freq == "D", 200).when(freq == "W", 300).when(freq == "M", 400).otherwise(900)
+    current = (F.col("p_type") != "PROMO") & (F.col("p_size") % 9 != 0) & (F.date_diff("far", "last") <= grace)
+    return capped(x.where(F.col("pinned") | current), "p_brand", "p_partkey", 8, 100).select("p_partkey", "p_brand", "score", "pinned")
+
+
+def capped(x: DataFrame, group: str, key: str, most: int, room: int) -> DataFrame:
+    """Pinned rows, then those with the greatest score, ties to the smaller key: of each group at most most, pinned ones counted, room in all. A greedy choice under a cap by group is each group's best, then the best of these."""
+    used = x.groupBy(group).agg(F.count_if("pinned").alias("__used"))
+    by = Window.partitionBy(group).orderBy(F.desc("score"), key)
+    free = x.where(~F.col("pinned")).withColumn("__k", F.row_number().over(by)).where(F.col("__k") <= most)
+    free = free.join(used, group).where(F.col("__k") <= most - F.col("__used")).drop("__k", "__used")
+    return x.where("pinned").unionByName(free).orderBy(F.desc("pinned"), F.desc("score"), key).limit(room)
 
 
 # ---- filters
@@ -206,26 +260,39 @@ def jn_common_obs(spark, sf):
     return x.agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.round(F.min_by("x", "period"), 6).alias("first_x"), F.round(F.max_by("y", "period"), 6).alias("last_y"))
 
 
-PARTS = SQL + ", parent AS (SELECT region, period, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS whole FROM facts GROUP BY ALL), child AS (SELECT region, period, count(DISTINCT nation) AS k, CAST(SUM(CAST(v AS DECIMAL(18,2))) AS DOUBLE) AS parts FROM (SELECT region, nation, period, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM facts GROUP BY ALL) GROUP BY ALL), kids AS (SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) "
+PARTS = SQL + (
+    ", parent AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS whole FROM orders GROUP BY 1), "
+    "child AS (SELECT period, nation, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM facts GROUP BY ALL), "
+    "broken AS (SELECT period, nation, CASE WHEN nation = 'NATION_3' AND month(period) = 5 THEN v * 2 ELSE v END AS v FROM child WHERE NOT (nation = 'NATION_4' AND month(period) = 7)), "
+    "whole AS (SELECT p.period, whole, CASE WHEN k = (SELECT count(*) FROM nation) THEN parts END AS parts FROM parent p LEFT JOIN (SELECT period, count(*) AS k, CAST(SUM(v) AS DOUBLE) AS parts FROM child GROUP BY 1) USING (period)), "
+    "torn AS (SELECT p.period, whole, CASE WHEN k = (SELECT count(*) FROM nation) THEN parts END AS parts FROM parent p LEFT JOIN (SELECT period, count(*) AS k, CAST(SUM(v) AS DOUBLE) AS parts FROM broken GROUP BY 1) USING (period)) "
+)
+
+
+def _parts(spark, sf, torn: bool = False) -> DataFrame:
+    """Each month's orders as they are stored against the sum of the nations', which went through the joins with customers, nations and regions. torn: of a copy in which one nation's May is doubled and another's July is missing."""
+    whole = lake.table(spark, sf, "orders").groupBy(lake.month("o_orderdate").alias("period")).agg(lake.money("o_totalprice").alias("whole"))
+    part = lake.order_facts(spark, sf).groupBy("period", F.col("nation").alias("part")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+    if torn:
+        part = part.where("NOT (part = 'NATION_4' AND month(period) = 7)").withColumn("v", F.when(F.expr("part = 'NATION_3' AND month(period) = 5"), F.col("v") * 2).otherwise(F.col("v")))
+    return gates.whole_and_parts(whole, part, lake.table(spark, sf, "nation"))
 
 
-@query(PARTS + "SELECT region, period, round(whole, 6) AS whole, CASE WHEN k = n THEN round(parts, 6) END AS parts FROM parent JOIN child USING (region, period) JOIN kids USING (region)", name="jn_parent_children")
+@query(PARTS + "SELECT period, round(whole, 2) AS whole, round(parts, 2) AS parts FROM whole")
 def jn_parent_children(spark, sf):
     """A whole against the sum of its parts; no sum where a part is missing."""
-    facts = lake.order_facts(spark, sf)
-    part = facts.groupBy("region", "nation", "period").agg(lake.money("o_totalprice").alias("v"))
-    both = part.groupBy("region", "period").agg(F.count("*").alias("k"), lake.money("v").alias("parts"))
-    whole = facts.groupBy("region", "period").agg(lake.money("o_totalprice").alias("whole"))
-    kids = lake.table(spark, sf, "nation").join(lake.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("n"))
-    x = whole.join(both, ["region", "period"]).join(kids, "region")
-    return x.select("region", "period", F.round("whole", 6).alias("whole"), F.when(F.col("k") == F.col("n"), F.round("parts", 6)).alias("parts"))
+    return _parts(spark, sf).select("period", F.round("whole", 2).alias("whole"), F.round("parts", 2).alias("parts"))
+
 
+_BREACH = "abs(whole - parts) > 2.0 AND abs(whole - parts) > 0.005 * abs(whole)"
+_GATED = "count(*) AS checked, count(*) FILTER ({b}) AS breaches, CASE WHEN count(*) = 0 OR count(*) FILTER ({b}) > 0 THEN 'fail' ELSE 'pass' END AS status"
 
-@query(PARTS + "SELECT count(*) AS checked, count(*) FILTER (abs(whole - parts) > 2.0 AND abs(whole - parts) > 0.005 * abs(whole)) AS breaches FROM parent JOIN child USING (region, period) JOIN kids USING (region) WHERE k = n", name="dq_i6_partition")
+
+@query(PARTS + " UNION ALL ".join(f"SELECT '{name}' AS gate, {_GATED.format(b=_BREACH)} FROM {t} WHERE parts IS NOT NULL" for name, t in (("partition", "whole"), ("partition, torn copy", "torn"))))
 def dq_i6_partition(spark, sf):
-    x = jn_parent_children(spark, sf).where("parts IS NOT NULL")
-    gap = F.abs(F.col("whole") - F.col("parts"))
-    return x.agg(F.count("*").alias("checked"), F.count_if((gap > 2.0) & (gap > 0.005 * F.abs("whole"))).alias("breaches"))
+    """The gate over the data, and over a copy that breaks it."""
+    both = [gates.gate(name, _parts(spark, sf, torn).where("parts IS NOT NULL"), gates.partition_breach()) for name, torn in (("partition", False), ("partition, torn copy", True))]
+    return both[0].union(both[1])
 
 
 @query(SQL + ", x AS (SELECT a.series_id, b.value / a.value AS r FROM flow a JOIN ytd b ON substr(a.series_id, 6) = substr(b.series_id, 5) AND a.period = b.period WHERE a.value <> 0) SELECT series_id, pow(10.0, round(log10(median(r)))) AS scale, count(*) AS n FROM x GROUP BY 1")
@@ -292,18 +359,12 @@ def agg_ytd_closure(spark, sf):
 
 @query(CLOSE + "SELECT 'closure' AS gate, count(*) AS checked, count(*) FILTER (abs(total - december) > 0.005 * abs(december)) AS breaches, CASE WHEN count(*) = 0 OR count(*) FILTER (abs(total - december) > 0.005 * abs(december)) > 0 THEN 'fail' ELSE 'pass' END AS status FROM closed")
 def dq_i1_closure(spark, sf):
-    return gate("closure", acc.closure(acc.decumulate(lake.ytd(spark, sf))), ~F.col("closes"))
-
-
-def gate(name: str, checked: DataFrame, breach) -> DataFrame:
-    """gate, checked, breaches, status. A gate that compared nothing fails."""
-    out = checked.agg(F.count("*").alias("checked"), F.count_if(breach).alias("breaches"))
-    return out.select(F.lit(name).alias("gate"), "checked", "breaches", F.when((F.col("checked") == 0) | (F.col("breaches") > 0), "fail").otherwise("pass").alias("status"))
+    return gates.gate("closure", acc.closure(acc.decumulate(lake.ytd(spark, sf))), ~F.col("closes"))
 
 
 @query(SQL + "SELECT 'sign' AS gate, count(*) AS checked, count(*) FILTER (value < 0) AS breaches, CASE WHEN count(*) = 0 OR count(*) FILTER (value < 0) > 0 THEN 'fail' ELSE 'pass' END AS status FROM parts")
 def dq_i2_sign(spark, sf):
-    return gate("sign", lake.quarterly_count(spark, sf), F.col("value") < 0)
+    return gates.gate("sign", lake.quarterly_count(spark, sf), F.col("value") < 0)
 
 
 @query(SQL + "SELECT series_id, min(value) AS lowest FROM observations WHERE value < 100 GROUP BY 1")
@@ -322,7 +383,7 @@ def agg_reset_ratio(spark, sf):
 
 @query(RESET + "SELECT 'reset' AS gate, count(*) AS checked, count(*) FILTER (resets < 0.6 * chances) AS breaches, CASE WHEN count(*) = 0 OR count(*) FILTER (resets < 0.6 * chances) > 0 THEN 'fail' ELSE 'pass' END AS status FROM r")
 def dq_i3a_reset(spark, sf):
-    return gate("reset", agg_reset_ratio(spark, sf), F.col("resets") < 0.6 * F.col("chances"))
+    return gates.gate("reset", agg_reset_ratio(spark, sf), F.col("resets") < 0.6 * F.col("chances"))
 
 
 CLASSIFY = SQL + """, mixed AS (SELECT * FROM ytd UNION ALL SELECT * FROM flow UNION ALL SELECT * FROM stock),
@@ -512,9 +573,14 @@ def sort_nulls_first(spark, sf):
     return lake.catalog(spark, sf).orderBy(F.asc_nulls_first("province"), "series_id").limit(5).select("series_id", "province")
 
 
-@query(SQL + "SELECT family, count(*) AS n FROM observations GROUP BY 1")
+@query("SELECT 'nation' AS source, n_name AS name, n_regionkey AS region, NULL::DOUBLE AS balance, NULL::VARCHAR AS segment FROM nation UNION ALL SELECT 'customer', c_name, NULL, c_acctbal, c_mktsegment FROM customer UNION ALL SELECT 'supplier', s_name, NULL, s_acctbal, NULL FROM supplier UNION ALL SELECT 'part', p_name, NULL, NULL, NULL FROM part")
 def set_union_sources(spark, sf):
-    return lake.observations(spark, sf).groupBy("family").agg(F.count("*").alias("n"))
+    """Four sources one after the other; what a source doesn't have is null."""
+    t = lambda table, **c: lake.table(spark, sf, table).select(F.lit(table).alias("source"), *(F.col(v).alias(k) for k, v in c.items()))
+    out = t("nation", name="n_name", region="n_regionkey")
+    for one in (t("customer", name="c_name", balance="c_acctbal", segment="c_mktsegment"), t("supplier", name="s_name", balance="s_acctbal"), t("part", name="p_name")):
+        out = out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 @query(SQL + "SELECT period FROM flow UNION SELECT period FROM price")
@@ -532,9 +598,12 @@ def set_except(spark, sf):
     return lake.price_index(spark, sf).select("period").subtract(lake.flow(spark, sf).select("period"))
 
 
-@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k = 1")
+@query("SELECT user_id, array_to_string(list(event_type ORDER BY k), '|') AS kinds FROM (SELECT user_id, event_type, min(event_id) AS k FROM events GROUP BY ALL) GROUP BY 1")
 def set_dedupe_ordered(spark, sf):
-    return lake.table(spark, sf, "events").groupBy("event_type").agg(F.min("event_id").alias("event_id"))
+    """What each user did, each kind once, in the order of its first time."""
+    first = lake.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("at"))
+    kinds = F.array_sort(F.collect_list(F.struct("at", "event_type")))  # of a user, the few kinds of events
+    return first.groupBy("user_id").agg(F.array_join(F.transform(kinds, lambda x: x["event_type"]), "|").alias("kinds"))
 
 
 # ---- the flagship

@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ def path_of(spark: SparkSession, sf_dir: str, name: str = "gold") -> str:
     return f"{shared_dir(spark)}/tidelake/{name}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}-{spark.sparkContext.applicationId}"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that is written now and read from then on, so that its lineage ends there and a lost executor costs no more than its tasks."""
+    path = f"{shared_dir(df.sparkSession)}/tidelake/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_observations(obs: DataFrame, root: str) -> None:
     """obs (source and OBSERVATION_COLUMNS) replaces what is stored."""
     ranged = obs.select("source", *OBSERVATION_COLUMNS).repartitionByRange("source", "series_id").sortWithinPartitions("source", "series_id", "period")
