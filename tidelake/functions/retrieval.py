@@ -92,3 +92,20 @@ def dispatch(questions: DataFrame, series: DataFrame, places: DataFrame) -> Data
     pick = lambda table, tool: F.when(F.col("tool") == tool, F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), freq), F.lit(table["M"])))
     refusal = F.when(F.col("tool").isNull(), "no tool").when(F.size("series") < F.col("needs"), "too few series").otherwise("")
     return x.select("id", "tool", "series", pick(CYCLE, "anomaly").alias("period"), pick(SHORTEST, "change_detection").alias("shortest"), refusal.alias("refusal"))
+
+
+def analyze(resolved: DataFrame, observations: DataFrame, start: str, end: str, most: int = 3) -> DataFrame:
+    """(id, label, series_id, n, first, last, pct, peak) of up to most series of each question over a window of observations (series_id, period, value)."""
+    by = Window.partitionBy("id").orderBy("series_id")
+    few = resolved.withColumn("__k", F.row_number().over(by)).where(F.col("__k") <= most).select("id", "label", "series_id", "narrowed", "intent_satisfied")
+    x = observations.where(F.col("period").between(start, end) & F.col("value").isNotNull()).join(few, "series_id").groupBy("id", "label", "series_id", "narrowed", "intent_satisfied")
+    x = x.agg(F.count("*").alias("n"), F.min_by("value", "period").alias("first"), F.max_by("value", "period").alias("last"), F.max("value").alias("peak"))
+    return x.withColumn("pct", F.try_divide((F.col("last") - F.col("first")) * 100, F.abs("first")))
+
+
+def answer(found: DataFrame) -> DataFrame:
+    """(id, text): what was found for each question, a line for each series, then what had to be given up. Figures are those of the findings."""
+    line = F.concat("series_id", F.lit(": "), F.format_number("first", 2), F.lit(" -> "), F.format_number("last", 2), F.lit(" ("), F.format_number("pct", 1), F.lit("%)"))
+    given_up = F.concat(F.when(F.col("narrowed"), "").otherwise("\nNo measure has the breakdown asked for; none was applied."), F.when(F.col("intent_satisfied"), "").otherwise("\nThe measure asked for isn't published; the nearest is shown."))
+    x = found.groupBy("id", given_up.alias("tail")).agg(F.array_sort(F.collect_list(F.coalesce(line, F.concat("series_id", F.lit(": no change known"))))).alias("lines"))  # three series at most
+    return x.select("id", F.concat(F.array_join("lines", "\n"), "tail").alias("text"))

@@ -185,8 +185,14 @@ def kpss_p(statistic: float) -> float:
     return float(np.interp(statistic, KPSS_POINTS, KPSS_LEVELS))
 
 
-#: Fixed value: 5 in 100 of the test of one break in the mean.
-BREAK_CRITICAL = -4.81067
+#: 1, 5 and 10 in 100 of the test of one break in the mean.
+BREAK_POINTS, BREAK_LEVELS = (-5.27644, -4.81067, -4.56618), (0.01, 0.05, 0.10)
+BREAK_CRITICAL = BREAK_POINTS[1]
+
+
+def break_p(statistic: float) -> float:
+    """Between the known levels; beyond them the outermost."""
+    return float(np.interp(statistic, BREAK_POINTS, BREAK_LEVELS))
 
 
 def zivot_andrews(y: np.ndarray, trim: float = 0.15) -> tuple[float, int]:
@@ -221,17 +227,28 @@ def kpss(y: np.ndarray) -> float:
     return float((np.cumsum(e) ** 2).sum() / n**2 / long) if long > 0 else math.inf
 
 
-def integration_order(y: np.ndarray, level: float = 0.05) -> str:
-    """I(0), I(1) or ambiguous: by the unit-root test, the stationarity test and the same of first differences. A break test that rejects a unit root takes I(1) back."""
+def diagnosis(y: np.ndarray, level: float = 0.05) -> tuple[str, bool]:
+    """I(0), I(1) or ambiguous, by the unit-root test, the stationarity test and the same of first differences, all at one level; and whether the break test, which long series get, could not be computed. A break test that rejects a unit root takes I(1) back."""
     if np.ptp(y) == 0:
-        return "ambiguous"
+        return "ambiguous", False
+    unverified, breaks = False, False
     try:
         verdict = lambda v: (unit_root_p(unit_root(v)[0]) < level, kpss_p(kpss(v)) < level)
         now = verdict(y)
+        if len(y) >= 80:
+            try:
+                t = zivot_andrews(y)[0]
+                unverified, breaks = not math.isfinite(t), break_p(t) < level if level not in BREAK_LEVELS else t < BREAK_POINTS[BREAK_LEVELS.index(level)]
+            except (Refused, np.linalg.LinAlgError, ZeroDivisionError, ValueError):
+                unverified = True
         if now == (True, False):
-            return "I(0)"
-        if now == (False, True) and len(y) > 20 and not (len(y) >= 80 and zivot_andrews(y)[0] < BREAK_CRITICAL) and verdict(np.diff(y)) == (True, False):
-            return "I(1)"
+            return "I(0)", unverified
+        if now == (False, True) and len(y) > 20 and not breaks and verdict(np.diff(y)) == (True, False):
+            return "I(1)", unverified
     except Refused:
         pass
-    return "ambiguous"
+    return "ambiguous", unverified
+
+
+def integration_order(y: np.ndarray, level: float = 0.05) -> str:
+    return diagnosis(y, level)[0]

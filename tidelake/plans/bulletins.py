@@ -229,11 +229,16 @@ def dq_bronze(spark, sf):
     return whole.select(F.lit("as stored").alias("data"), "*").union(gates.bronze(lines, broken, page).select(F.lit("broken copy"), "*"))
 
 
-@query("WITH m AS (SELECT url, count(*) AS n, count(DISTINCT sha256(html)) AS versions FROM pages WHERE html IS NOT NULL GROUP BY 1) SELECT url, n, versions FROM m WHERE versions > 1")
+@query(
+    "WITH tries AS (SELECT page_id, t, CASE WHEN page_id % 4 = 1 AND t = page_id % 6 THEN 200 ELSE 500 + t END AS status FROM pages, range(6) r(t) WHERE t <= page_id % 6 AND page_id % 7 <> 0), m AS (SELECT page_id, count(*) AS tried, bool_or(status = 200) AS done, arg_max(status, t) AS last FROM tries GROUP BY 1) "
+    "SELECT url, p.page_id, coalesce(tried, 0) AS tried, least(60, 2 ** coalesce(tried, 0))::INT AS wait, last FROM pages p LEFT JOIN m USING (page_id) WHERE NOT coalesce(done, FALSE) AND coalesce(tried, 0) < 5 AND url IS NOT NULL"
+)
 def src_crawlers(spark, sf):
-    """What a resumable crawl asks of its manifest: addresses that were fetched with more than one content."""
-    x = _manifest(spark, sf).where("digest IS NOT NULL").groupBy("url").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("versions"))
-    return x.where("versions > 1").select("url", "n", "versions")
+    """Where an interrupted crawl goes on: addresses without a fetched body in the manifest and with tries left, and how long each waits (twice as long after every try, a minute at most)."""
+    page = lake.table(spark, sf, "pages").select("page_id", "url")
+    n = F.col("page_id")
+    tries = page.where(n % 7 != 0).select("page_id", F.explode(F.sequence(F.lit(0), (n % 6).cast("int"))).alias("t")).withColumn("status", F.when((n % 4 == 1) & (F.col("t") == n % 6), 200).otherwise(F.col("t") + 500))
+    return bronze.resumed(page.where("url IS NOT NULL"), tries, 5)
 
 
 @query("SELECT s_nationkey AS source, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM (SELECT s_nationkey, sha256(concat_ws('|', s_suppkey, s_name)) AS h FROM supplier) GROUP BY 1")

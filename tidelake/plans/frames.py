@@ -49,34 +49,59 @@ def op_revert(spark, sf):
     return execute(started(spark, sf)[0], "revert_to", 2, target_version=1).data
 
 
-@query("SELECT * FROM (VALUES (1, 'add_column', 'orders'), (2, 'add_column', 'orders price'), (3, 'index_column', 'orders price orders__index_1996-01-01'), (4, 'revert_to', 'orders price')) t(version, kind, columns)")
-def op_execute(spark, sf):
+_BASED = SPINE + ", b AS (SELECT orders AS base FROM s WHERE period = DATE '1996-01-01'), v1 AS (SELECT 1 AS version, period, 'orders' AS k, orders AS v FROM s), v2 AS (SELECT 2, period, k, v FROM v1 UNION ALL SELECT 2, period, 'price', price FROM s), v3 AS (SELECT 3, period, k, v FROM v2 t(a, period, k, v) UNION ALL SELECT 3, period, 'orders__index_1996-01-01', orders / base * 100 FROM s, b), v4 AS (SELECT 4, period, k, v FROM v2 t(a, period, k, v)), every(version, period, k, v) AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3 UNION ALL SELECT * FROM v4) "
+
+
+def _cells(versions):
+    """Version, period, column and value of all cells of some versions."""
+    out = None
+    for f in versions:
+        keys = [m.key for m in f.columns]
+        cells = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`{k}`").cast("double").alias("v")) for k in keys)))
+        one = f.data.select(F.lit(f.version).alias("version"), "period", cells.alias("c")).select("version", "period", "c.*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _executed(spark, sf):
     frame = execute(started(spark, sf)[0], "index_column", 2, key="orders", base=BASE)
-    frame = execute(frame, "revert_to", 3, target_version=2)
-    return spark.createDataFrame([(f.version, f.steps[-1].kind, " ".join(m.key for m in f.columns)) for f in (*frame.earlier[1:], frame)], "version int, kind string, columns string")
+    return execute(frame, "revert_to", 3, target_version=2)
+
+
+@query(_BASED + "SELECT version, k AS key, count(*) AS n, count(v) AS present, round(sum(v), 4) AS total FROM every GROUP BY ALL")
+def op_execute(spark, sf):
+    """What each version of a frame holds after two series were added, one was indexed, and that was taken back."""
+    frame = _executed(spark, sf)
+    x = _cells([*frame.earlier[1:], frame]).groupBy("version", F.col("k").alias("key"))
+    return x.agg(F.count("*").alias("n"), F.count("v").alias("present"), F.round(F.sum("v"), 4).alias("total"))
 
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 2)) t(version, columns)")
+@query(_BASED + "SELECT version, period, count(v) AS present FROM every WHERE version <= 3 GROUP BY ALL")
 def op_history(spark, sf):
-    store, frame = FrameStore(), started(spark, sf)[0]
+    """Earlier versions are read from a store as they were."""
+    store, frame = FrameStore(), _executed(spark, sf)
     for f in (*frame.earlier, frame):
         store.put(f)
-    return spark.createDataFrame([(v, len(store.get("orders", v).columns)) for v in (1, 2)], "version int, columns int")
+    return _cells([store.get("orders", v) for v in (1, 2, 3)]).groupBy("version", "period").agg(F.count("v").alias("present"))
 
 
-@query("SELECT 'orders' AS frame_id, 2 AS version")
+@query(_BASED + "SELECT period, k AS key, round(v, 4) AS value FROM every WHERE version = 4")
 def op_frame_store(spark, sf):
-    store, frame = FrameStore(), started(spark, sf)[0]
+    """The newest version of a frame."""
+    store, frame = FrameStore(), _executed(spark, sf)
     for f in (*frame.earlier, frame):
         store.put(f)
-    return spark.createDataFrame([("orders", store.current("orders").version)], "frame_id string, version int")
+    return _cells([store.current("orders")]).select("period", F.col("k").alias("key"), F.round("v", 4).alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('b', 'a', 'orders price'), ('c', NULL, 'price')) t(finding_id, supersedes, columns)")
+@query(_BASED + ", f(finding_id, supersedes, k) AS (VALUES ('b', 'a', 'orders'), ('b', 'a', 'price'), ('c', NULL, 'price')) SELECT finding_id, supersedes, k AS key, round(arg_min(v, period), 4) AS first, round(arg_max(v, period), 4) AS last FROM f JOIN every USING (k) WHERE version = 2 AND v IS NOT NULL GROUP BY ALL")
 def op_finding(spark, sf):
+    """The findings that stand, beside the first and last figures of the columns that each is about."""
     frame = find(started(spark, sf)[0], "a", "orders grow", ("orders",))
     frame = find(find(frame, "b", "orders grow as prices do", ("orders", "price"), supersedes="a"), "c", "prices grow", ("price",))
-    return spark.createDataFrame([(f.finding_id, f.supersedes, " ".join(f.columns)) for f in active(frame)], "finding_id string, supersedes string, columns string")
+    named = spark.createDataFrame([(f.finding_id, f.supersedes, k) for f in active(frame) for k in f.columns], "finding_id string, supersedes string, k string")
+    x = _cells([frame]).where("v IS NOT NULL").groupBy("k").agg(F.round(F.min_by("v", "period"), 4).alias("first"), F.round(F.max_by("v", "period"), 4).alias("last"))
+    return named.join(x, "k").select("finding_id", "supersedes", F.col("k").alias("key"), "first", "last")
 
 
 @query(SPINE + ", m AS (SELECT median(abs(orders)) FILTER (orders <> 0) AS a, median(abs(price)) FILTER (price <> 0) AS b FROM s) SELECT k AS column_key, axis, round(greatest(a, b) / least(a, b), 6) AS magnitude_ratio, greatest(a, b) / least(a, b) >= 100 AS indexing FROM m, (VALUES ('orders', 'left'), ('price', 'right')) t(k, axis)")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidelake.frames import compare
 from tidelake.functions import routing
 from tidelake.functions import text as txt
 from tidelake.plans.registry import query
 from tidelake.plans.words import FOLD, QUESTIONS, TOK, frame, values
-from tidelake.sources import lake
+from tidelake.sources import documents, lake
 from tidelake.sources.lake import SQL
 
 ASKED = [
@@ -94,11 +95,17 @@ def _links(spark, sf):
     return lake.table(spark, sf, "pages").select((x % 50).alias("page"), ((x * 7) % 50).alias("target"), (x % 4).alias("score"), x.alias("position"))
 
 
-@query(_LINKS + " SELECT page, target, score FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, position) AS k FROM l) WHERE k = 1")
+@query(
+    r"WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS said, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), 1) AS at_ FROM pages), "
+    "s AS (SELECT *, " + " + ".join(f"CASE WHEN contains(lower(said), '{w}') THEN 2 WHEN contains(lower(href), '{w}') THEN 1 ELSE 0 END" for w in ("the", "er", "de")) + " AS score FROM u) SELECT page_id, href AS target, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, at_) AS k FROM s WHERE score > 0) WHERE k = 1"
+)
 def top_link(spark, sf):
-    """The best link of each page, the first of equals."""
-    best = F.max_by(F.struct("target", "score"), F.struct("score", -F.col("position"))).alias("b")
-    return _links(spark, sf).groupBy("page").agg(best).select("page", "b.target", "b.score")
+    """The best link of each page by its text and address, the first of equals."""
+    link = r'<a href="([^"]*)">([^<]*)</a>'
+    found = lambda i: F.regexp_extract_all("html", F.lit(link), F.lit(i))
+    x = lake.table(spark, sf, "pages").select("page_id", F.posexplode(F.arrays_zip(found(1).alias("href"), found(2).alias("said"))).alias("at", "l")).select("page_id", "at", "l.*")
+    x = x.withColumn("score", documents.score_link(F.col("said"), F.col("href"), ["the", "er", "de"])).where("score > 0")
+    return x.groupBy("page_id").agg(F.max_by(F.struct("href", "score"), F.struct("score", -F.col("at"))).alias("b")).select("page_id", F.col("b.href").alias("target"), "b.score")
 
 
 @query(
@@ -177,10 +184,23 @@ def dq_gate(spark, sf):
     return one.select(gates.alias("g")).select("g.*")
 
 
-@query(SQL + "SELECT a.series_id, a.period, a.value AS left_value, a.value + 1e-6 AS right_value FROM flow a WHERE a.period = DATE '1995-01-01'")
+_ORDERS = (
+    "WITH li AS (SELECT l_orderkey AS k, l_partkey AS part, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem), "
+    "a AS (SELECT o_orderkey AS k, 'head.status' AS path, NULL::DOUBLE AS n, o_orderstatus AS s FROM orders UNION ALL SELECT o_orderkey, 'head.total', o_totalprice, NULL FROM orders UNION ALL SELECT k, 'lines[' || i || '].part', part, NULL FROM li JOIN orders ON o_orderkey = k "
+    "UNION ALL SELECT k, 'lines[' || i || '].q', q, NULL FROM li JOIN orders ON o_orderkey = k UNION ALL SELECT o_orderkey, 'lines', NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT k FROM li)), "
+    "b AS (SELECT k, path, CASE WHEN path = 'head.total' THEN n + CASE WHEN k % 50 = 3 THEN 1e-3 ELSE 1e-12 END WHEN path = 'lines[0].q' AND k % 70 = 5 THEN n + 1 ELSE n END AS n, CASE WHEN k % 110 = 4 AND path = 'head.status' THEN s || '?' ELSE s END AS s FROM a WHERE k % 90 <> 7) "
+)
+
+
+@query(_ORDERS + "SELECT k AS o_orderkey, path, a.n AS left_number, a.s AS left_said, b.n AS right_number, b.s AS right_said FROM a FULL JOIN b USING (k, path) WHERE b.path IS NULL OR a.s IS DISTINCT FROM b.s OR coalesce(abs(a.n - b.n) > 1e-9, FALSE)")
 def cmp_recursive(spark, sf):
-    """The points of two versions that differ by more than a billionth; a point in one alone differs too."""
-    a = lake.flow(spark, sf)
-    b = a.withColumn("right_value", F.col("value") + F.when(F.col("period") == "1995-01-01", 1e-6).otherwise(1e-11)).drop("value")
-    x = a.withColumnRenamed("value", "left_value").join(b, ["series_id", "period"], "full")
-    return x.where("NOT coalesce(abs(left_value - right_value) <= 1e-9, FALSE) AND NOT (left_value IS NULL AND right_value IS NULL)")
+    """Orders with their lines nested in them against a changed copy: figures, texts and whole orders that differ, by path."""
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = lake.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("x"))  # of an order
+    lines = lines.select("o_orderkey", F.transform("x", lambda x: F.struct(x["l_partkey"].alias("part"), x["l_quantity"].alias("q"))).alias("lines"))
+    head = lambda status, total: F.struct(status.alias("status"), total.alias("total")).alias("head")
+    one = lake.table(spark, sf, "orders").join(lines, "o_orderkey", "left")
+    k, status, total = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_totalprice")
+    more = lambda x, i: F.struct(x["part"].alias("part"), F.when((k % 70 == 5) & (i == 0), x["q"] + 1).otherwise(x["q"]).alias("q"))
+    two = one.where(k % 90 != 7).select(k, head(F.when(k % 110 == 4, F.concat(status, F.lit("?"))).otherwise(status), total + F.when(k % 50 == 3, 1e-3).otherwise(1e-12)), F.transform("lines", more).alias("lines"))
+    return compare.differences(one.select(k, head(status, total), "lines"), two, "o_orderkey")

@@ -86,6 +86,35 @@ def nl_resolve_series(spark, sf):
     return retrieval.resolve_series(asked(spark), parts(spark, sf), places(spark, sf))
 
 
+def shipments(spark, sf) -> DataFrame:
+    """Monthly money of each part."""
+    x = lake.table(spark, sf, "lineitem").groupBy(F.concat(F.lit("part."), "l_partkey").alias("series_id"), lake.month("l_shipdate").alias("period"))
+    return x.agg(lake.money("l_extendedprice").alias("value"))
+
+
+_ANALYZED = (
+    _resolved(_BASE) + ", few AS (SELECT * FROM (SELECT qid, label, series_id, narrowed, intent_satisfied, row_number() OVER (PARTITION BY qid ORDER BY series_id) AS k FROM picked) WHERE k <= 3), "
+    "obs AS (SELECT 'part.' || l_partkey AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM lineitem GROUP BY ALL), "
+    "found AS (SELECT qid, label, series_id, narrowed, intent_satisfied, count(*) AS n, arg_min(value, period) AS first, arg_max(value, period) AS last, max(value) AS peak FROM few JOIN obs USING (series_id) WHERE period BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' GROUP BY ALL), "
+    "pct AS (SELECT *, (last - first) * 100 / abs(nullif(first, 0)) AS pct FROM found) "
+)
+
+
+@query(_ANALYZED + "SELECT qid AS id, label, series_id, n, round(first, 2) AS first, round(last, 2) AS last, round(peak, 2) AS peak, round(pct, 4) AS pct FROM pct")
+def nl_analyze(spark, sf):
+    """From questions to findings: at most three series each, over a fixed window."""
+    x = retrieval.analyze(retrieval.resolve_series(asked(spark), parts(spark, sf), places(spark, sf)), shipments(spark, sf), "1995-01-01", "2001-12-31")
+    return x.select("id", "label", "series_id", "n", F.round("first", 2).alias("first"), F.round("last", 2).alias("last"), F.round("peak", 2).alias("peak"), F.round("pct", 4).alias("pct"))
+
+
+@query(
+    _ANALYZED + "SELECT qid AS id, string_agg(series_id || ': ' || format('{:,.2f}', first) || ' -> ' || format('{:,.2f}', last) || ' (' || format('{:,.1f}', pct) || '%)', chr(10) ORDER BY series_id || ': ' || format('{:,.2f}', first)) || CASE WHEN narrowed THEN '' ELSE chr(10) || 'No measure has the breakdown asked for; none was applied.' END "
+    "|| CASE WHEN intent_satisfied THEN '' ELSE chr(10) || 'The measure asked for isn''t published; the nearest is shown.' END AS text FROM pct GROUP BY qid, narrowed, intent_satisfied"
+)
+def txt_answer(spark, sf):
+    return retrieval.answer(retrieval.analyze(retrieval.resolve_series(asked(spark), parts(spark, sf), places(spark, sf)), shipments(spark, sf), "1995-01-01", "2001-12-31"))
+
+
 _TOOL = "CASE WHEN regexp_matches(lower(s), 'https?://\\S') THEN 'url_agent' " + " ".join("WHEN " + " OR ".join("contains(lower(s), '" + c.replace("'", "''") + "')" for c in cues) + f" THEN '{tool}'" for tool, cues in routing.TOOL_CUES.items()) + " END"
 _SPLIT = _BASE.replace("WITH l(id, s)", "WITH asked(id, s)").replace(
     ", cat AS", rf", routed AS (SELECT id, s, {_TOOL} AS tool FROM asked), pieces AS (SELECT id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS part FROM (SELECT id, CASE WHEN tool = 'causality' THEN string_split_regex(s, '(?i)\s+(?:ile|ve|arasında|karşı)\s+') ELSE [s] END AS x FROM routed)), l AS (SELECT id * 100 + part AS id, trim(s, ' ?.,') AS s FROM pieces WHERE trim(s, ' ?.,') <> ''), cat AS", 1

@@ -348,6 +348,12 @@ def win_decumulate_inception(spark, sf):
     return acc.decumulate(lake.stock(spark, sf), "inception")
 
 
+@query(SQL + "SELECT series_id, period, round(value, 4) AS value, round(value, 4) AS value_reported FROM flow")
+def win_decumulate_none(spark, sf):
+    """What doesn't accumulate passes; what is ambiguous is refused (operators.accumulation.Ambiguous)."""
+    return acc.decumulate(lake.flow(spark, sf), "none").select("series_id", "period", F.round("value", 4).alias("value"), F.round("value_reported", 4).alias("value_reported"))
+
+
 CLOSE = DECUM + ", closed AS (SELECT series_id, year(period)::INT AS year, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, max(CASE WHEN month(period) = 12 THEN value_reported END) AS december, count(value) AS n FROM own GROUP BY ALL HAVING december IS NOT NULL AND abs(december) > 1 AND n = 12) "
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import itertools
+import zipfile
 from datetime import date
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import causality as cz
 from tidelake.functions import stats
+from tidelake.functions import text as txt
 from tidelake.plans.registry import query
-from tidelake.sources import documents, lake
+from tidelake.sources import documents, fetching, lake
 
 PERIODS = {"D": 7, "W": 52, "M": 12, "Q": 4}
 SEGMENTS = {"D": 14, "W": 8, "M": 6, "Q": 3}
@@ -218,27 +222,106 @@ def doc_score_link(spark, sf):
     return lake.table(spark, sf, "pages").select("page_id", documents.score_link(F.lit(""), F.col("url"), ["org", "/en/"]).alias("score"))
 
 
-@query(r"SELECT page_id, coalesce(regexp_extract(url, '^https?://([^/?#]*)', 1) <> '' AND NOT contains(regexp_extract(url, '^https?://([^/?#]*)', 1), '@'), FALSE) AS safe FROM pages")
+#: Addresses with a fault each, and some without; {} stands for the host of a page.
+_URLS = [
+    "http://{}/a", "https://user:pw@{}/", "ftp://{}/", "http://10.1.2.3/", "http://172.31.0.1:8080/x", "http://172.32.0.1/", "http://100.64.0.1/", "http://169.254.169.254/latest", "http://127.0.0.1/", "http://8.8.8.8/", "http://0x7f000001/", "http://2130706433/",
+    "http://[::1]/", "https://localhost./", "http://db.internal/", "http://intranet/", "HTTP://198.18.0.1/", "http://224.0.0.1/", "https:///x", "http://1.2.3.400/", "",
+]
+_HOST = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '(?i)^https?://([^/?#\\\\]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '\\.$', '')"
+_SAFE = (
+    "WITH i(k, t) AS (VALUES " + ", ".join(f"({k}, '{u}')" for k, u in enumerate(_URLS)) + "), p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS h FROM pages), "
+    f"hop AS (SELECT page_id, j, replace(t, '{{}}', h) AS u FROM p, range(7) r(j) JOIN i ON k = CASE WHEN j = 0 THEN page_id % {len(_URLS)} WHEN page_id % 4 = 1 AND j = 1 THEN (page_id // 4) % {len(_URLS)} ELSE 0 END WHERE j < CASE WHEN page_id % 13 = 5 THEN 7 ELSE page_id % 3 + 1 END), "
+    f"x AS (SELECT *, {_HOST} AS host, lower(regexp_extract(u, '(?i)^https?://([^/?#\\\\]*)', 1)) AS au FROM hop), "
+    "y AS (SELECT *, CASE WHEN regexp_full_match(host, '((0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])\\.){3}(0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])') THEN list_reduce(list_transform(string_split(host, '.'), lambda v: v::BIGINT), lambda a, b: a * 256 + b) END AS ip FROM x), "
+    "z AS (SELECT page_id, j, CASE WHEN NOT regexp_matches(u, '(?i)^https?://') THEN 'scheme' WHEN contains(au, '@') THEN 'credentials' WHEN host = '' THEN 'host' WHEN host[1] = '[' OR (ip IS NULL AND regexp_full_match(list_last(string_split(host, '.')), '[0-9]+|0x[0-9a-f]*')) THEN 'literal' WHEN "
+    + " OR ".join("coalesce(ip BETWEEN {} AND {}, FALSE)".format(*fetching.block(*b)) for b in fetching.SPECIAL) + " OR list_last(string_split(host, '.')) IN (" + ", ".join(f"'{n}'" for n in fetching.LOCAL_NAMES) + ") OR (NOT contains(host, '.') AND ip IS NULL) THEN 'private' END AS why FROM y) "
+)
+
+
+@query(_SAFE + "SELECT page_id, CASE WHEN count(*) > 6 THEN 'redirects' ELSE list(why ORDER BY j) FILTER (why IS NOT NULL)[1] END AS refusal FROM z GROUP BY 1".replace("list(why ORDER BY j) FILTER (why IS NOT NULL)[1]", "(list(why ORDER BY j) FILTER (why IS NOT NULL))[1]"))
 def doc_fetch(spark, sf):
-    return lake.table(spark, sf, "pages").select("page_id", documents.safe_url(F.col("url")).alias("safe"))
+    """Why a page's address, or one that it redirects to, may not be fetched."""
+    few = F.array(*map(F.lit, _URLS))
+    host, k, n = F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.col("page_id"), len(_URLS)
+    which = lambda j: F.when(j == 0, k % n).when((k % 4 == 1) & (j == 1), F.floor(k / 4) % n).otherwise(0).cast("int")
+    length = F.when(k % 13 == 5, 7).otherwise(k % 3 + 1).cast("int")
+    hops = F.transform(F.sequence(F.lit(0), length - 1), lambda j: F.replace(F.get(few, which(j)), F.lit("{}"), host))
+    return lake.table(spark, sf, "pages").select("page_id", hops.alias("hops")).select("page_id", fetching.chain_refusal(F.col("hops")).alias("refusal"))
 
 
-@query("SELECT page_id, octet_length(encode(html))::BIGINT AS bytes, sha256(html) AS digest FROM pages WHERE html IS NOT NULL AND html <> ''")
+@query("SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS bytes, CASE WHEN coalesce(html, '') = '' THEN 'empty' WHEN octet_length(encode(html)) > 4000 THEN 'too_large' END AS refusal, CASE WHEN html <> '' AND octet_length(encode(html)) <= 4000 THEN sha256(html) END AS digest FROM pages")
 def doc_upload(spark, sf):
-    x = lake.table(spark, sf, "pages").where("html IS NOT NULL AND html <> ''")
-    return x.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest"))
+    """Uploads of up to 4,000 bytes with the digest they are known by; empty and larger ones are refused."""
+    return fetching.upload(lake.table(spark, sf, "pages"), "html", 4000).select("page_id", "bytes", "refusal", "digest")
+
+
+def workbooks(spark, sf):
+    """A workbook for each region: a sheet of its nations with a gap between the columns, and one of their number. One is in the old binary format."""
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        region = int(pdf["n_regionkey"].iloc[0])
+        main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        names = sorted(pdf["n_name"])
+        rows = "".join(f'<row r="{i}"><c r="A{i}" t="s"><v>{i - 1}</v></c><c r="C{i}"><v>{i}</v></c></row>' for i in range(1, len(names) + 1))
+        parts = {
+            "xl/workbook.xml": f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="nations" sheetId="1" r:id="a"/><sheet name="count" sheetId="2" r:id="b"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+            "xl/sharedStrings.xml": f"<sst {main}>" + "".join(f"<si><t>{n[:3]}</t><r><t>{n[3:]}</t></r></si>" for n in names) + "</sst>",
+            "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>",
+            "xl/worksheets/sheet2.xml": f'<worksheet {main}><sheetData><row><c t="inlineStr"><is><t>n</t></is></c><c><v>{len(names)}</v></c></row></sheetData></worksheet>',
+        }
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            for name, text in parts.items():
+                book.writestr(name, text)
+        return pd.DataFrame({"id": [region], "body": [b"\xd0\xcf\x11\xe0" if region == 4 else out.getvalue()]})
+
+    return lake.table(spark, sf, "nation").groupBy("n_regionkey").applyInPandas(make, "id long, body binary")
+
+
+@query(
+    "WITH n AS (SELECT n_regionkey::BIGINT AS id, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation) SELECT id, 'nations' AS sheet, string_agg(n_name || chr(9) || chr(9) || k, chr(10) ORDER BY k) AS text, FALSE AS cut, NULL::VARCHAR AS refusal FROM n WHERE id <> 4 GROUP BY id "
+    "UNION ALL SELECT id, 'count', 'n' || chr(9) || count(*), FALSE, NULL FROM n WHERE id <> 4 GROUP BY id UNION ALL SELECT DISTINCT id, NULL, NULL, NULL::BOOLEAN, 'unsupported' FROM n WHERE id = 4"
+)
+def doc_excel(spark, sf):
+    return fetching.extract_workbooks(workbooks(spark, sf))
 
 
-@query("SELECT min(page_id) AS page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/@?#]+') GROUP BY url ORDER BY page_id LIMIT 10")
+@query("SELECT 'pages' AS work, count(*) AS n, FALSE AS late FROM pages UNION ALL SELECT 'suppliers', count(*), FALSE FROM supplier")
+def doc_deadline(spark, sf):
+    """Two pieces of work under one clock, each with what came of it in time."""
+    done, late = fetching.Deadline(spark).run({"pages": lake.table(spark, sf, "pages").count, "suppliers": lake.table(spark, sf, "supplier").count})
+    return spark.createDataFrame([(k, v, False) for k, v in done.items()] + [(k, None, True) for k in late], "work string, n long, late boolean")
+
+
+@query(
+    "WITH n AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS url, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\\s+', ' ', 'g')), '') AS title FROM pages WHERE regexp_matches(url, '^https?://[^/@?#]+')), "
+    "o AS (SELECT lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host, url, min(page_id) AS page_id, arg_min(title, page_id) AS title FROM n GROUP BY ALL) SELECT host, page_id, url, title FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k FROM o) WHERE k <= 10"
+)
 def web_search(spark, sf):
-    x = lake.table(spark, sf, "pages").where(documents.safe_url(F.col("url"))).groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return x.orderBy("page_id").limit(10).select("page_id", "url")
+    """For each host asked for the first ten results: addresses without fragments and last slashes, safe, each once, titles with single spaces."""
+    page = lake.table(spark, sf, "pages").where(fetching.refusal(F.col("url")).isNull())
+    x = page.select("page_id", F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/$", "").alias("url"), txt.collapse_space(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
+    x = x.groupBy(fetching.authority(F.col("url")).alias("host"), "url").agg(F.min("page_id").alias("page_id"), F.min_by("title", "page_id").alias("title"))
+    by = Window.partitionBy("host").orderBy("page_id")
+    return x.withColumn("k", F.row_number().over(by)).where("k <= 10").select("host", "page_id", "url", "title")
 
 
-@query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS norm2 FROM embeddings")
+@query(
+    "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS c FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id IN (0, 1, 2)) "
+    "SELECT query_id, vec_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS k FROM s) WHERE k <= 5"
+)
 def src_vector_store(spark, sf):
+    """The five nearest vectors of three given ones by cosine: three columns beside each stored vector, no join."""
     e = F.col("embedding").cast("array<double>")
-    return lake.table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(F.transform(e, lambda x: x * x), F.lit(0.0), lambda a, x: a + x), 4).alias("norm2"))
+    good = lake.table(spark, sf, "embeddings").select("vec_id", e.alias("e")).where("size(e) > 0").where(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    asked = [(r.vec_id, r.e) for r in good.where("vec_id IN (0, 1, 2)").collect()]  # three vectors at most
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    hits = F.array(*(F.struct(F.lit(i).alias("query_id"), F.array(*map(F.lit, v)).alias("q")) for i, v in asked))
+    x = good.select("vec_id", "e", F.explode(hits).alias("h")).select("vec_id", "e", "h.*").where("vec_id <> query_id AND size(e) = size(q)")
+    x = x.withColumn("c", dot(F.col("e"), F.col("q")) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(F.col("q"), F.col("q"))))
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("c", 9)), "vec_id")
+    return x.withColumn("k", F.row_number().over(by)).where("k <= 5").select("query_id", "vec_id", F.round("c", 6).alias("cosine"))
 
 
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(CAST(value AS DECIMAL(18,6)))::DOUBLE, 4) AS total FROM events GROUP BY ALL")

@@ -309,3 +309,11 @@ def fingerprint(catalog: DataFrame) -> DataFrame:
     part = catalog.select(F.substring(F.sha2("series_id", 256), 1, 3).alias("bucket"), F.struct("series_id", line.alias("line")).alias("x"))
     part = part.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda v: v["line"]), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda v: v["h"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
+
+
+def resumed(wanted: DataFrame, tries: DataFrame, most: int, longest: int = 60) -> DataFrame:
+    """wanted (page_id, url) that no try (page_id, t, status) has fetched and that have been tried less than most times: url, page_id, tried, wait (seconds), last (status)."""
+    seen = tries.groupBy("page_id").agg(F.count("*").alias("tried"), F.bool_or(F.col("status") == 200).alias("done"), F.max_by("status", "t").alias("last"))
+    x = wanted.join(seen, "page_id", "left").withColumn("tried", F.coalesce("tried", F.lit(0)))
+    x = x.where(~F.coalesce("done", F.lit(False)) & (F.col("tried") < most))
+    return x.select("url", "page_id", "tried", F.least(F.lit(longest), F.pow(F.lit(2.0), "tried")).cast("int").alias("wait"), "last")
