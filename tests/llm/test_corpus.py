@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -116,6 +117,23 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_top_k_keeps_repeated_rows_as_its_sql_does(spark):
+    """Many small groups, repeated ids with equal and other vectors, ties, and fewer candidates than places."""
+    rng = np.random.default_rng(4)
+    base = np.round(rng.normal(size=(300, 6)), 1)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(base)]
+    rows += [rows[3]] * 30 + [rows[20]] * 3 + [(40, rows[7][1]), (41, rows[3][1])] + [(1000 + i, [1.0, float(i)]) for i in range(0, 60, 10)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
+    sql = topk.SQL.replace("WHERE q.vec_id % 20 = 0 AND", "WHERE len(q.e) = len(c.e) AND q.vec_id % 20 = 0 AND")
+    want = sorted(con.execute(sql).fetchall())
+    for how in ({}, {"block": 16, "group": 3, "asks": 4}):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table, table.where("vec_id % 20 = 0"), **how).collect())
+        assert got == want
+
+
 # ---- WARC
 
 

@@ -1,13 +1,15 @@
 """Operator 9, exact top-k search by block-at-a-time pruning.
 
 Vectors of whole numbers are stored in blocks of ranges of ids, each a forward index (its vectors) with the largest and smallest component of each
-dimension (term). For a query, the sum over terms of the larger product with these two bounds every score in a block. Blocks are ordered by this
-bound: the best ones are scored first and give a lower bound of the k-th score; then all blocks whose bound reaches it are scored, the others can
-hold nothing. Queries meet blocks in blocks, one matrix product for each pair of which any query needs the block.
+dimension (term); neighbouring blocks form a group, which one task searches for a block of queries. For a query, the sum over terms of the larger product
+with these two bounds every score in a block. Each query takes a group's blocks in falling order of their bounds, keeps its k best so far, and stops where
+a bound falls below its k-th score. First every query searches the group with its greatest bound; the k-th score from there is what it brings into the
+other groups, and groups without a block that reaches it are left out. A task returns at most k rows for a query.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, as query or candidate, nor do rows without an id;
-a query meets candidates of its own dimension. Rows with the query's id are its own. An empty table gives an empty result. Scores are exact up to
-2 ** 53 in size.
+a query meets candidates of its own dimension. Rows with the query's id are its own. Rows that repeat an id are candidates each, and may take several
+places; queries that repeat an id share its k places. With k or fewer candidates all are returned. An empty table gives an empty result. Scores are exact
+up to 2 ** 53 in size.
 """
 
 from __future__ import annotations
@@ -21,25 +23,29 @@ from pyspark.sql import functions as F
 from tidelake.llm.common import Scratch, map_batches
 
 K, EVERY, SCALE = 20, 20, 64
-BLOCK, QUERIES, SEEDS, GROUP = 1024, 512, 2, 256
+#: Vectors of a block, blocks of a group, queries of a block.
+BLOCK, GROUP, QUERIES = 1024, 16, 512
+#: Groups and blocks of queries that meet in one cell of the grid of bounds.
+CELL = 64
 
 
-def _blocks(vectors: DataFrame, vec_id: str, embedding: str, scale: int, rows: int, tag: str) -> DataFrame:
-    """Blocks of up to rows vectors, neighbours by id: block, dim, ids, mat, high, low."""
+def _groups(vectors: DataFrame, vec_id: str, embedding: str, scale: int, rows: int, blocks: int, tag: str, tmp: Scratch) -> DataFrame:
+    """Groups of about blocks blocks of up to rows vectors, neighbours by id: name, dim, ids, mat, and for each block high and low. Tasks cut their range of ids into pieces of up to a group; pieces that follow each other become one group, so that groups don't depend on the number of tasks."""
     spread = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e")).where("id IS NOT NULL AND size(e) > 0")
     spread = spread.repartitionByRange("id", F.xxhash64("e")).sortWithinPartitions("id")
+    most = rows * blocks
+    cut = pa.schema([("part", pa.int32()), ("made", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("mat", pa.binary())])
 
-    def run(batches):
+    def pieces(batches):
         part, made, held = TaskContext.get().partitionId(), 0, {}
 
-        def block(dim):
+        def piece(dim):
             nonlocal made
             ids, mat = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            for s in range(0, len(ids), rows):
-                one = mat[s : s + rows]
-                out = {"block": f"{tag}{part}-{made}", "dim": dim, "ids": ids[s : s + rows].tobytes(), "mat": one.tobytes(), "high": one.max(0).tobytes(), "low": one.min(0).tobytes()}
+            for s in range(0, len(ids), most):
+                out = {"part": part, "made": made, "dim": dim, "n": len(ids[s : s + most]), "ids": ids[s : s + most].tobytes(), "mat": mat[s : s + most].tobytes()}
                 made += 1
-                yield pa.RecordBatch.from_pylist([out], schema=SCHEMA)
+                yield pa.RecordBatch.from_pylist([out], schema=cut)
 
         for batch in batches:
             ids, e = batch.column("id").to_numpy(zero_copy_only=False), batch.column("e")
@@ -51,65 +57,110 @@ def _blocks(vectors: DataFrame, vec_id: str, embedding: str, scale: int, rows: i
                 mat = flat[offsets[at][:, None] + np.arange(dim)]
                 good = np.isfinite(mat).all(1)
                 held.setdefault(dim, []).append((ids[at[good]].astype(np.int64), mat[good]))
-                if sum(len(x) for x, _ in held[dim]) >= rows:
-                    yield from block(dim)
+                if sum(len(x) for x, _ in held[dim]) >= most:
+                    yield from piece(dim)
         for dim in [d for d, x in held.items() if any(len(i) for i, _ in x)]:
-            yield from block(dim)
+            yield from piece(dim)
+
+    made = tmp.cut(spread.mapInArrow(pieces, "part int, made int, dim int, n int, ids binary, mat binary"), f"pieces-{tag}")
+    before = F.sum("n").over(Window.partitionBy("dim").orderBy("part", "made")) - F.col("n")
+    place = made.select("part", "made", F.floor(before / most).alias("g"), "dim", "n").select("part", "made", "g")  # sizes alone are put in order
+    whole = made.join(place.hint("merge"), ["part", "made"]).groupBy("dim", "g").agg(F.array_sort(F.collect_list(F.struct("part", "made", "ids", "mat"))).alias("x"))
+
+    def blocked(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"name": [], "dim": [], "ids": [], "mat": [], "high": [], "low": []}
+        for dim, g, x in zip(batch.column("dim").to_pylist(), batch.column("g").to_pylist(), batch.column("x").to_pylist(), strict=True):
+            one = _matrix(b"".join(p["mat"] for p in x), dim)
+            starts = np.arange(0, len(one), rows)
+            for name, value in (("name", f"{tag}{dim}-{g}"), ("dim", dim), ("ids", b"".join(p["ids"] for p in x)), ("mat", one.tobytes()), ("high", np.maximum.reduceat(one, starts).tobytes()), ("low", np.minimum.reduceat(one, starts).tobytes())):
+                out[name].append(value)
+        return out
 
-    SCHEMA = pa.schema([("block", pa.string()), ("dim", pa.int32()), ("ids", pa.binary()), ("mat", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
-    return spread.mapInArrow(run, "block string, dim int, ids binary, mat binary, high binary, low binary")
+    return map_batches(whole, blocked, "name string, dim int, ids binary, mat binary, high binary, low binary")
 
 
 def _matrix(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, np.float64).reshape(-1, dim)
 
 
-def _bounds(queries: np.ndarray, high: list[bytes], low: list[bytes], dim: int) -> np.ndarray:
+def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """For queries and blocks the greatest score that may be in the block."""
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    return up @ _matrix(b"".join(high), dim).T + down @ _matrix(b"".join(low), dim).T
-
-
-def _pairs(queries: DataFrame, groups: DataFrame, which) -> DataFrame:
-    """For blocks of queries against groups of block bounds, what which(row, bounds) returns: query rows, block numbers, bounds."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
+def best(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, ties to the smaller id, ordered by row."""
+    order = np.lexsort((ids, -score, row))
+    row, score, ids = row[order], score[order], ids[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], score[first], ids[first]
+
+
+def search(queries: np.ndarray, qids: np.ndarray, kth: np.ndarray, last: np.ndarray, ids: np.ndarray, mat: np.ndarray, high: np.ndarray, low: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, score, id) of the k best of a group for each query, of those that come before its k-th place so far: score kth, id last. Blocks are taken in falling order of bounds, and one is scored for the queries whose k-th score it may reach."""
+    reach = bounds(queries, high, low)
+    order, kth, last = np.argsort(-reach, axis=1, kind="stable"), kth.copy(), last.copy()
+    held = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+    for step in range(reach.shape[1]):
+        now = order[:, step]
+        live = reach[np.arange(len(now)), now] >= kth
+        if not live.any():  # nor do later blocks, whose bounds are no greater
+            break
+        parts = [held]
+        for b in np.unique(now[live]).tolist():
+            q = np.flatnonzero(live & (now == b))
+            score, own = queries[q] @ mat[b * rows : (b + 1) * rows].T, ids[b * rows : (b + 1) * rows]
+            score[qids[q][:, None] == own[None, :]] = -np.inf
+            least = kth[q]
+            if len(own) > k:
+                least = np.maximum(least, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+            before = (score >= least[:, None]) & np.isfinite(score) & ((score > kth[q][:, None]) | (own[None, :] <= last[q][:, None]))
+            r, c = np.nonzero(before)
+            parts.append(best(q[r], score[r, c], own[c], k))
+        held = best(*map(np.concatenate, zip(*parts, strict=True)), k)
+        n = np.bincount(held[0], minlength=len(kth))
+        full = np.flatnonzero(n >= k)
+        at = np.cumsum(n)[full] - 1
+        better = (held[1][at] > kth[full]) | ((held[1][at] == kth[full]) & (held[2][at] < last[full]))
+        kth[full[better]], last[full[better]] = held[1][at[better]], held[2][at[better]]
+    return held
+
+
+def _reached(asked: DataFrame, groups: DataFrame, which) -> DataFrame:
+    """(qblock, q, name, reach) for what which(row, greatest bounds of queries and groups) returns. Blocks of queries and the bounds of groups meet in a grid of cells, by a join on the cell and their dimension."""
+    nq, ng = (-(-df.count() // CELL) or 1 for df in (asked, groups))
+    spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = asked.withColumn("cq", spot("qblock", nq)).withColumn("cg", every(ng))
+    right = groups.groupBy("dim", spot("name", ng).alias("cg")).agg(F.collect_list(F.struct("name", "high", "low")).alias("of")).withColumn("cq", every(nq))
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"qblock": [], "q": [], "block": [], "bound": []}
-        for row in batch.to_pylist():
-            if row["dim"] != row["gdim"]:
-                continue
-            bounds = _bounds(_matrix(row["mat"], row["dim"]), row["highs"], row["lows"], row["dim"])
-            q, b = which(row, bounds)
+        out: dict[str, list] = {"qblock": [], "q": [], "name": [], "reach": []}
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            queries = _matrix(row["mat"], row["dim"])
+            reach = np.stack([bounds(queries, _matrix(g["high"], row["dim"]), _matrix(g["low"], row["dim"])).max(1) for g in row["of"]], 1)
+            q, g = which(row, reach)
             out["qblock"] += [row["qblock"]] * len(q)
             out["q"] += q.tolist()
-            out["block"] += [row["blocks"][i] for i in b.tolist()]
-            out["bound"] += bounds[q, b].tolist()
+            out["name"] += [row["of"][j]["name"] for j in g.tolist()]
+            out["reach"] += reach[q, g].tolist()
         return out
 
-    return map_batches(queries.crossJoin(groups), run, "qblock string, q int, block string, bound double")
+    return map_batches(left.join(right.hint("merge"), ["dim", "cq", "cg"]), run, "qblock string, q int, name string, reach double")
 
 
-def _scores(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """The k best of each pair of a query and a block: qblock, q, query_id, vec_id, score. pairs: qblock, block, qs (query rows), least (scores below it aren't wanted)."""
-    both = pairs.join(queries.select("qblock", "dim", F.col("ids").alias("qids"), F.col("mat").alias("qmat")).hint("merge"), "qblock").join(blocks.select("block", "ids", "mat").hint("merge"), "block")
+def _searched(pairs: DataFrame, asked: DataFrame, groups: DataFrame, rows: int, k: int) -> DataFrame:
+    """The k best of each pair of a block of queries and a group: qblock, q, query_id, vec_id, score. pairs: qblock, name, x (query rows, and the score and id of their k-th place so far)."""
+    both = pairs.join(asked.select("qblock", F.col("ids").alias("qids"), F.col("mat").alias("qmat")).hint("merge"), "qblock").join(groups.hint("merge"), "name")
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"qblock": [], "q": [], "query_id": [], "vec_id": [], "score": []}
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in ("qblock", "dim", "qids", "qmat", "ids", "mat", "qs", "least")}
-            qs, ids = np.array(row["qs"]), np.frombuffer(row["ids"], np.int64)
-            qids = np.frombuffer(row["qids"], np.int64)[qs]
-            score = _matrix(row["qmat"], row["dim"])[qs] @ _matrix(row["mat"], row["dim"]).T
-            score[qids[:, None] == ids[None, :]] = -np.inf
-            floor = np.array(row["least"])
-            if len(ids) > k:
-                floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
-            r, c = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
-            s, v = score[r, c], ids[c]
-            order = np.lexsort((v, -s, r))
-            r, s, v = r[order], s[order], v[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            r, s, v = r[place < k], s[place < k], v[place < k]
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            dim, qs = row["dim"], np.array([x["q"] for x in row["x"]])
+            qids, kth, last = np.frombuffer(row["qids"], np.int64)[qs], np.array([x["kth"] for x in row["x"]], float), np.array([x["last"] for x in row["x"]], np.int64)
+            r, s, v = search(_matrix(row["qmat"], dim)[qs], qids, kth, last, np.frombuffer(row["ids"], np.int64), *(_matrix(row[c], dim) for c in ("mat", "high", "low")), rows, k)
             for name, x in (("qblock", [row["qblock"]] * len(r)), ("q", qs[r].tolist()), ("query_id", qids[r].tolist()), ("vec_id", v.tolist()), ("score", s.astype(np.int64).tolist())):
                 out[name] += x
         return out
@@ -117,48 +168,36 @@ def _scores(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) ->
     return map_batches(both, run, "qblock string, q int, query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE, block: int = BLOCK, group: int = GROUP, asks: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k vectors with the greatest inner product of floor(scale * x) with each query, ties to the smaller id."""
     tmp = Scratch(vectors.sparkSession, "topk")
-    blocks = tmp.cut(_blocks(vectors, vec_id, embedding, scale, BLOCK, "d"), "blocks")
-    asked = tmp.cut(_blocks(queries, vec_id, embedding, scale, QUERIES, "q").withColumnRenamed("block", "qblock").drop("high", "low"), "queries")
-    n_groups = max(1, -(-blocks.count() // GROUP))
-    groups = tmp.cut(
-        blocks.groupBy(F.pmod(F.xxhash64("block"), F.lit(n_groups)).alias("g"), F.col("dim").alias("gdim")).agg(F.collect_list(F.struct("block", "high", "low")).alias("x")).select("gdim", F.col("x.block").alias("blocks"), F.col("x.high").alias("highs"), F.col("x.low").alias("lows")),
-        "groups",
-    )
-
-    def best(row, bounds):
-        n = min(SEEDS, bounds.shape[1])
-        b = np.argpartition(-bounds, n - 1, axis=1)[:, :n]
-        return np.repeat(np.arange(len(bounds)), n), b.ravel()
-
-    first = Window.partitionBy("qblock", "q").orderBy(F.desc("bound"), "block")
-    seeds = _pairs(asked, groups, best).withColumn("at", F.row_number().over(first)).where(F.col("at") <= SEEDS)
-    seeds = tmp.cut(seeds.select("qblock", "q", "block"), "seeds")
-    every = seeds.groupBy("qblock", "block").agg(F.collect_list("q").alias("qs")).withColumn("least", F.expr("transform(qs, x -> double('-Infinity'))"))
-    early = tmp.cut(_scores(every, asked, blocks, k), "early")
-    kth = early.groupBy("qblock", "q").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("qblock", "q", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).cast("double").alias("kth"))
-    state = kth.join(seeds.groupBy("qblock", "q").agg(F.collect_list("block").alias("seen")), ["qblock", "q"], "full").groupBy("qblock").agg(F.collect_list(F.struct("q", "kth", "seen")).alias("state"))
+    groups = tmp.cut(_groups(vectors, vec_id, embedding, scale, block, group, "d", tmp), "groups")
+    asked = tmp.cut(_groups(queries, vec_id, embedding, scale, asks, 1, "q", tmp).select(F.col("name").alias("qblock"), "dim", "ids", "mat"), "queries")
+    open_ = F.struct(F.lit(float("-inf")).alias("kth"), F.lit((1 << 63) - 1).alias("last"))
+    most = lambda row, reach: (np.arange(len(reach)), reach.argmax(1))
+    first = _reached(asked, groups, most).groupBy("qblock", "q").agg(F.max_by("name", F.struct("reach", "name")).alias("name")).withColumn("p", open_)
+    first = tmp.cut(first.groupBy("qblock", "name").agg(F.collect_list(F.struct("q", "p.kth", "p.last")).alias("x")), "first")
+    early = tmp.cut(_searched(first, asked, groups, block, k), "early")
+    place = F.max(F.struct((-F.col("score")).cast("double").alias("s"), "vec_id"))
+    kth = early.groupBy("qblock", "q").agg(F.when(F.count("*") >= k, F.struct((-place["s"]).alias("kth"), place["vec_id"].alias("last"))).alias("p"))
+    own = first.select("qblock", "name", F.explode("x.q").alias("q"))
+    state = own.join(kth.hint("merge"), ["qblock", "q"], "left").withColumn("p", F.coalesce("p", open_)).groupBy("qblock").agg(F.collect_list(F.struct("q", "p.kth", "p.last", "name")).alias("state"))
     state = tmp.cut(state, "state")
 
-    def reached(row, bounds):
-        least, number = np.full(len(bounds), -np.inf), {b: i for i, b in enumerate(row["blocks"])}
-        for s in row["state"] or []:
-            if s["kth"] is not None:
-                least[s["q"]] = s["kth"]
-        need = bounds >= least[:, None]
-        for s in row["state"] or []:
-            for b in s["seen"] or []:
-                if b in number:
-                    need[s["q"], number[b]] = False
+    def others(row, reach):
+        need, number = np.zeros(reach.shape, bool), {g["name"]: j for j, g in enumerate(row["of"])}
+        for x in row["state"]:
+            need[x["q"]] = reach[x["q"]] >= x["kth"]
+            if x["name"] in number:
+                need[x["q"], number[x["name"]]] = False
         return np.nonzero(need)
 
-    rest = _pairs(asked.join(state.hint("merge"), "qblock", "left"), groups, reached).join(kth, ["qblock", "q"], "left")
-    rest = rest.groupBy("qblock", "block").agg(F.collect_list(F.struct("q", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))).alias("x"))
-    late = _scores(rest.select("qblock", "block", F.col("x.q").alias("qs"), F.col("x.kth").alias("least")), asked, blocks, k)
+    floors = state.select("qblock", F.explode("state").alias("s")).select("qblock", "s.q", "s.kth", "s.last")
+    rest = _reached(asked.join(state.hint("merge"), "qblock"), groups, others).join(floors.hint("merge"), ["qblock", "q"])
+    rest = tmp.cut(rest.groupBy("qblock", "name").agg(F.collect_list(F.struct("q", "kth", "last")).alias("x")), "rest")
+    late = _searched(rest, asked, groups, block, k)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = early.union(late).select("query_id", "vec_id", "score").distinct()
+    found = early.union(late).select("query_id", "vec_id", "score")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
