@@ -215,10 +215,12 @@ def _joined(spark: SparkSession, path: str, kept: DataFrame, base: DataFrame, tm
 
     seg = _segments(spark, path).mapInArrow(placed, "file string, split long, at long, value binary").join(base.hint("merge"), ["file", "split"]).select("file", (F.col("at") + F.col("base")).alias("at"), "value")
     broken = tmp.cut(kept.where("NOT whole").select("file", F.col("at").alias("owner"), "succ"), "broken")
-    starts = kept.select("file", "at", F.col("at").alias("start"), F.lit(None).cast("binary").alias("value"))
+    # positions alone are put in order, file by file; payloads meet them afterwards
+    starts = kept.select("file", "at", F.col("at").alias("start"))
     known = F.last("start", True).over(Window.partitionBy("file").orderBy("at", F.col("start").isNull()))
-    owned = seg.select("file", "at", F.lit(None).cast("long").alias("start"), "value").union(starts).withColumn("owner", known).where("value IS NOT NULL")
-    parts = owned.join(broken.hint("merge"), ["file", "owner"]).where("at < succ").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    owned = seg.select("file", "at", F.lit(None).cast("long").alias("start")).withColumn("here", F.lit(True)).union(starts.withColumn("here", F.lit(False))).withColumn("owner", known).where("here")
+    owned = tmp.cut(owned.join(broken.hint("merge"), ["file", "owner"]).where("at < succ").select("file", "at", "owner"), "owned")
+    parts = seg.join(owned.hint("merge"), ["file", "at"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
 
     def whole(batch: pa.RecordBatch) -> dict:
         rows = []
