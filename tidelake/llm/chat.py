@@ -4,7 +4,7 @@ For every participant of a conversation the dialogue is rendered with that speak
 kept as they are. The mask lists the ranges of characters to learn from: what the assistant says, with the mark that ends it.
 
 Conversations are taken in parts of up to PART turn numbers, so that no row or group holds more than that of a conversation that never ends; part p of a
-perspective follows part p - 1, and their texts, one after the other, are the whole.
+perspective follows part p - 1, and their texts, one after the other, are the whole. Turns without a number are one part, and so are all that share a number.
 
 Defined cases: a null or empty speaker is called "unknown", a null text is empty, turns without a number come first; equal turn numbers are ordered by
 speaker, then text. Rows without a conversation id are one conversation. Conversations of system turns alone have no perspective. An empty table gives

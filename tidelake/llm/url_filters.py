@@ -8,18 +8,26 @@ of that rule, and a match blocks it. Fixed rules of a host and a path go before:
 Tokens that occur in exactly the same labelled pages are mined as one, so that a long path that many urls share doesn't multiply into all its subsets.
 Plain FP-growth finds each rule again with any of them in the other's place, as sure; so each stands for all in a rule, and a url needs one of them.
 
-Defined cases: a null url, or one without "://", has an empty host and path and is allowed. Labels are joined by id; of repeated labels the worst counts.
+Labels are taken by their id as they are. Where they say nothing about urls (bad pages are as frequent under all tokens), no rule is sure enough and the fixed rules
+alone decide; the number of rules is logged.
+
+Defined cases: a null url, or one without "://", has an empty host and path and is allowed. Of repeated labels the worst counts; labels without a quality count for nothing.
 Without labels nothing is mined, and urls without a fixed rule are allowed. Repeated rows are judged each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import logging
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import Scratch, trusted_labels
 
+log = logging.getLogger(__name__)
+
 #: Fixed rules: a host (with its subdomains) and the beginning of a path; True: allow.
 RULES = (("org/", True), ("example.org/es/", False), ("example.org/en/1", False), ("com/fr/", True), ("com/de/", False))
 #: Least share and number of labelled pages that have a rule's tokens and are bad; least share of bad ones among those that have its tokens.
@@ -66,15 +74,18 @@ def mine(pages: DataFrame, labels: DataFrame, tmp: Scratch, page_id: str = "page
     own = pages.where(F.col(page_id).isNotNull()).select(F.col(page_id).cast("long").alias("id"), F.array_distinct(tokens(F.col(url))).alias("items")).join(truth, "id")
     own = tmp.cut(own, "labelled")
     n = own.count()
-    least = max(float(LEAST), support * n)
+    least = max(LEAST, math.ceil(support * n))
     where = own.select("id", "bad", F.explode("items").alias("item"))
     kinds = where.groupBy("item").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("a"), F.sum(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 40))).alias("b")).where(F.col("n") >= least)
     twin = tmp.cut(kinds.groupBy("n", "a", "b").agg(F.min("item").alias("item"), F.sort_array(F.collect_set("item")).alias("alike")), "items")
     baskets = where.join(twin.select("item"), "item").groupBy("id").agg(F.collect_list("item").alias("items"), F.bool_or("bad").alias("bad"))
     baskets = tmp.cut(baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, n)), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("items"), "confidence", F.round(F.col("support") / F.col("confidence") * baskets.count()).cast("long").alias("n"))
+    held = baskets.count()
+    # half a page less than the bound, so that no rounding of the share moves it
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, held)), minConfidence=confidence).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("items"), "confidence", F.round(F.col("support") / F.col("confidence") * held).cast("long").alias("n"))
     rules = tmp.cut(rules, "mined")
+    log.info("%d labelled pages, %d rules of bad pages", n, rules.count())
     # pruned: a rule is dropped if one with fewer of its tokens is as sure
     wide = rules.select(F.col("items").alias("less"), F.col("confidence").alias("sure"), F.explode("items").alias("item"))
     tight = rules.select("items", "confidence", F.explode("items").alias("item"))
