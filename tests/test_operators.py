@@ -26,12 +26,14 @@ def column(df):
     return [r.value for r in df.orderBy("period").collect()]
 
 
-def test_decumulate_never_bridges_a_gap(spark):
+def test_decumulate_fills_nothing(spark):
     assert column(accumulation.decumulate(series(spark, [10.0, 30.0, None, 80.0, 90.0]))) == [10.0, 20.0, None, None, 10.0]
-    gap = series(spark, [10.0, 50.0], dates=[datetime.date(2021, 1, 1), datetime.date(2021, 3, 1)])
-    assert column(accumulation.decumulate(gap)) == [10.0, None]
-    with pytest.raises(ValueError):
-        accumulation.decumulate(gap, "ambiguous")
+    late = series(spark, [10.0, 50.0, 7.0, 9.0], dates=[datetime.date(2021, 3, 1), datetime.date(2021, 5, 1), datetime.date(2022, 2, 1), datetime.date(2022, 3, 1)])
+    assert column(accumulation.decumulate(late)) == [10.0, 40.0, 7.0, 2.0]  # a year's first figure is its own
+    assert column(accumulation.decumulate(late, "inception")) == [None, 40.0, -43.0, 2.0]
+    assert column(accumulation.decumulate(late, "none")) == [10.0, 50.0, 7.0, 9.0]
+    with pytest.raises(accumulation.Ambiguous):
+        accumulation.decumulate(late, "ambiguous")
 
 
 def test_classify_needs_thirteen_points_and_resets(spark):

@@ -49,5 +49,6 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert registry.queries()[name](spark, SF).count() >= 0
+def test_query_without_sql_finds_something(spark, name):
+    """Their values are held against closed forms and brute force in test_operators.py."""
+    assert registry.queries()[name](spark, SF).count() > 0

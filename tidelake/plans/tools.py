@@ -51,7 +51,7 @@ def fn_change_points(spark, sf):
             found = []
         return pd.DataFrame([(pdf["series_id"].iloc[0], pdf["period"].iloc[i], k) for i, k in found], columns=["series_id", "period", "kind"])
 
-    return lake.flow(spark, sf).groupBy("series_id").applyInPandas(run, "series_id string, period date, kind string")
+    return lake.observations(spark, sf).where("family IN ('flow', 'stock')").groupBy("series_id").applyInPandas(run, "series_id string, period date, kind string")
 
 
 def _pairs(spark, sf):
