@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -13,21 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.sources.store import shared_dir
+
 #: Bytes of an Arrow batch that goes to a Python worker. Rows of very long texts then travel few at a time.
 BATCH_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session. Where it is unset and all runs in one process (tests), a new temporary folder, which is then set for the session; on a cluster no local folder is ever taken instead."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        path = f"file://{tempfile.mkdtemp(prefix='tidelake-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def tune(spark: SparkSession) -> None:
     """Bounds the bytes of Arrow batches; a session's own setting below the bound stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -67,6 +57,15 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def give_back() -> None:
+    """At a task's end: what it freed goes back to the system. Python workers live on from task to task, and their allocators keep what a task needed at its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def map_batches(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
     """mapInArrow with a function of one record batch that returns columns as a dict of lists or arrays (None: no rows)."""
     if isinstance(schema, str):
@@ -79,6 +78,7 @@ def map_batches(df: DataFrame, function, schema: T.StructType | str) -> DataFram
         for batch in batches:
             if batch.num_rows and (out := function(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in arrow for x in (out[f.name],)], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import IdFilter, Scratch, map_batches, trusted_labels, words
+from tidelake.llm.common import IdFilter, Scratch, give_back, map_batches, trusted_labels, words
 
 #: Bytes of the longest n-grams; of those of 7, the most that fit into a key, there are three times as many.
 ORDER = 6
@@ -35,7 +35,7 @@ QUANTILE, MARGIN, LEAST_HELD, HELD = 0.99, 1.25, 20, 10
 #: Rows of a model that are sent to every executor, about 12 bytes each.
 BROADCAST = 8_000_000
 #: Bytes of text whose n-grams are looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Documents, and characters, of a block that asks a sharded model, on average.
 BLOCK_DOCS, BLOCK_CHARS = 8000, 16 << 20
 TAG = 56
@@ -81,6 +81,7 @@ def count_ngrams(packed: DataFrame, order: int = ORDER) -> DataFrame:
         texts = (b" ".join(inflate.decompress(z).split()) for batch in batches for z in batch.column("z").to_pylist())
         for part in chunks(t for t in texts if t):
             yield _counted(part, order)
+        give_back()
 
     return packed.select("z").mapInArrow(run, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
 
@@ -311,5 +312,6 @@ def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             if batch.num_rows:
                 yield kept(batch, shared.value)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
