@@ -25,14 +25,13 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Of rows that share that id one stays."""
+    """One document of each group of near-duplicates, the first as stored. A row is a document, by its place in the files; its id, which may be null or repeat, doesn't matter, nor does what other rows with that id say. Rows without words stay."""
     tmp = Scratch(spark, "dedup")
-    found = tmp.cut(minhash.near_duplicates(docs, percent=NEAR_PERCENT), "found")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(tmp.cut(gone, "gone").hint("merge"), docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
-    if found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.where("doc_id IS NULL"))
+    row = "__row" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of docs
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = minhash.near_duplicates(rows, doc_id=row, percent=NEAR_PERCENT)
+    gone = tmp.cut(found.where("NOT kept").select(F.col("doc_id").alias(row)), "gone")
+    return rows.join(gone.hint("merge"), row, "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifier, the fit and the packing can't be written in SQL; tests hold the stages against plain versions.
+#: The classifier, the fit and the packing can't be written in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
