@@ -3,8 +3,9 @@
 A classifier learned from the labelled table (naive Bayes over hashed distinct words, its evidence tempered to the square root of a text's length, as words aren't
 independent) gives every document posteriors of the domains. Each document gets a rate, how often it is to be seen; the rates are the
 nonnegative least-squares fit of the expected domain totals, sum over documents of rate * tokens * posterior, to the targets, found from rates of 1 by
-accelerated projected gradient steps. A step needs only one vector, the totals' residual; so a document's rate follows from the residuals
-so far, nothing is stored between steps, and a step is one pass over (tokens, posteriors) that returns a vector from each task.
+projected gradient steps. The gradient of a rate is its posteriors times the totals' residual, so what all steps so far did to a rate is its posteriors
+times one vector; nothing is stored between steps, and a step is one pass over (tokens, posteriors) that returns a vector from each task. Steps are taken in
+the metric of the curvature and projected from their sum, which ends in few passes; of all fits the one nearest to rates of 1 is found.
 
 Defined cases: null and empty texts have no tokens and the priors as posteriors; their rate counts for nothing in the fit. Documents without a label,
 or an id, are scored like all others. Of repeated labels the worst counts. Without labels every domain is as likely as any other. Repeated rows get a rate
@@ -13,19 +14,23 @@ each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import Scratch, map_batches, trusted_labels, words
+from tidelake.llm.common import IdFilter, Scratch, map_batches, trusted_labels, words
 
 DOMAINS = ("clean", "low", "toxic")
 #: Production targets: shares of the tokens that come out, and their number as a multiple of those that go in.
 TARGETS, BUDGET = {"clean": 0.95, "low": 0.03, "toxic": 0.02}, 1.0
 BUCKETS, TEMPER, SMOOTHING = 1 << 15, 6.0, 0.1
-STEPS, CLOSE = 80, 1e-4
+STEPS, CLOSE = 60, 1e-4
+#: Weight of the rates' squared distance from 1; it decides where targets can't be met, or can be met in many ways.
+SLACK = 1e-6
 #: Rows of a task in a step.
 ROWS = 2_000_000
 
@@ -66,7 +71,9 @@ def train(held: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         d, b = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"domain": pa.array(d, pa.int32()), "bucket": pa.array(b, pa.int32()), "n": pa.array(sums[d, b])})
 
-    both = held.select("doc_id", "held").join(truth.hint("merge"), "doc_id").select("domain", "held")
+    near = IdFilter(truth, "doc_id")  # features without a label aren't shuffled
+    some = map_batches(held.select("doc_id", "held", near.at("doc_id").alias("at")), lambda batch: near.pick(batch).select(["doc_id", "held"]).to_pydict(), "doc_id long, held binary")
+    both = some.join(truth.hint("merge"), "doc_id").select("domain", "held")
     sums = np.zeros((len(DOMAINS), BUCKETS + 1))
     for r in both.mapInArrow(count, "domain int, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n")).collect():
         sums[r[0], r[1]] = r[2]
@@ -90,48 +97,53 @@ def posteriors(held: DataFrame, prior: np.ndarray, model: np.ndarray) -> DataFra
     return map_batches(held, run, "doc_id long, tokens long, p array<double>")
 
 
-def _rates(p: np.ndarray, past: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """After the steps in past (a gradient over domains, a momentum): the rates, and the point at which the next gradient is taken."""
-    r = y = np.ones(len(p))
-    for g, momentum in past:
-        new = np.maximum(0.0, y - p @ g)
-        r, y = new, np.maximum(0.0, new + momentum * (new - r))
-    return r, y
+def rates(p: np.ndarray, push: np.ndarray) -> np.ndarray:
+    """The rates that the steps so far lead to: from 1 against their sum, cut off at 0. push: one vector of domains, or several as rows (then a column of rates for each)."""
+    return np.maximum(0.0, 1.0 - p @ push.T)
+
 
+def fit(docs: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> np.ndarray:
+    """The sum of steps (a vector of domains) that leads to the rates of (tokens, p); targets: totals of tokens by domain. A step is the gradient of the squared distance between totals and targets in the metric of its curvature
+    over the documents whose rate isn't 0; several lengths of it are tried in one pass, by the convex function whose gradient it is. Ends when no total is further from its target than close of their sum, or nothing gets better."""
+    scale, size, lengths = max(1.0, float(targets.sum())), len(targets), np.array([1.0, 0.5, 0.25, 0.0625, 2**-8, 2**-16])
 
-def fit(docs: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> list[tuple[np.ndarray, float]]:
-    """The steps that lead to the rates of (tokens, p); targets: totals of tokens by domain. Ends when no total is further from its target than close of their sum and the rates stand still, or the gradient vanishes, or after steps."""
+    def tried(push: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row of push: the value of the function, the totals, the curvature."""
 
-    def totals(past):
         def run(batches):
-            s, h = np.zeros(len(targets)), np.zeros((len(targets),) * 2)
+            value, s, h = np.zeros(len(push)), np.zeros((len(push), size)), np.zeros((len(push), size, size))
             for batch in batches:
                 w = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float)
-                p = batch.column("p").values.to_numpy().reshape(len(w), -1) if len(w) else np.empty((0, len(targets)))
-                s += (w * _rates(p, past)[1]) @ p
-                h += (p * w[:, None]).T @ p
-            yield pa.RecordBatch.from_pydict({"s": pa.array([s.tolist()]), "h": pa.array([h.ravel().tolist()])})
-
-        got = docs.select("tokens", "p").mapInArrow(run, "s array<double>, h array<double>")
-        sums = got.agg(*(F.sum(F.get(c, F.lit(i))) for c, n in (("s", len(targets)), ("h", len(targets) ** 2)) for i in range(n))).first()
-        x = np.array([v or 0.0 for v in sums])
-        return x[: len(targets)], x[len(targets) :].reshape(len(targets), -1)
-
-    scale = max(1.0, float(targets.sum()))
-    past: list[tuple[np.ndarray, float]] = []
-    t, last = 1.0, None
+                if len(w):
+                    p = batch.column("p").values.to_numpy().reshape(len(w), -1)
+                    r = rates(p, push)
+                    value += w @ (r * r) / 2
+                    s += (w[:, None] * r).T @ p
+                    h += np.stack([(p * (w * (r[:, k] > 0))[:, None]).T @ p for k in range(len(push))])
+            yield pa.RecordBatch.from_pydict({"x": pa.array([np.concatenate((value, s.ravel(), h.ravel())).tolist()])})
+
+        n = len(push) * (1 + size + size * size)
+        got = docs.select("tokens", "p").mapInArrow(run, "x array<double>").agg(*(F.sum(F.get("x", F.lit(i))) for i in range(n))).first()
+        x = np.array([v or 0.0 for v in got])
+        value, s, h = np.split(x, [len(push), len(push) * (1 + size)])
+        s = s.reshape(len(push), size)
+        return SLACK * (push**2).sum(1) / 2 + (value + push @ targets) / scale, s, h.reshape(len(push), size, size)
+
+    push = np.zeros((1, size))
+    (value,), (s,), (h,) = tried(push)
     for _ in range(steps):
-        s, h = totals(past)
-        top = np.linalg.eigvalsh(h / scale)[-1]  # of the Hessian in the metric of tokens: the greatest curvature
-        gap = (s - targets) / scale
-        if top <= 0 or np.abs(gap).max() < close or (last is not None and np.abs(gap - last).max() < close / 100):
+        slope = SLACK * push[0] - (s - targets) / scale
+        if not s.any() or np.abs(s - targets).max() < close * scale or np.abs(slope).max() < close / 1000:
+            break
+        ahead = push - lengths[:, None] * np.linalg.solve(SLACK * np.eye(size) + h / scale, slope)[None, :]
+        values, totals, curves = tried(ahead)
+        k = int(values.argmin())
+        if not values[k] < value:
             break
-        if last is not None and gap @ gap > last @ last:
-            t = 1.0  # the momentum overshot
-        new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        past.append((gap / top, (t - 1) / new))
-        t, last = new, gap
-    return past
+        push, value, s, h = ahead[k : k + 1], values[k], totals[k], curves[k]
+    else:
+        warnings.warn(f"the rates still move after {steps} steps; totals are off by up to {np.abs(s - targets).max() / scale:.2g} of all tokens", stacklevel=2)
+    return push[0]
 
 
 def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
@@ -142,11 +154,11 @@ def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n = held.count()
     post = tmp.cut(post.repartition(max(6, -(-n // ROWS))), "posteriors")
     total = post.agg(F.sum("tokens")).first()[0] or 0
-    past = fit(post, np.array([targets[d] for d in DOMAINS]) * budget * total)
+    push = fit(post, np.array([targets[d] for d in DOMAINS]) * budget * total)
 
     def run(batch: pa.RecordBatch) -> dict:
         p = batch.column("p").values.to_numpy().reshape(batch.num_rows, -1)
-        rate = _rates(p, past)[0]
+        rate = rates(p, push)
         u = np.array([xxhash.xxh64_intdigest(str(i), 11) / 2**64 for i in batch.column("doc_id").to_pylist()])
         return {"doc_id": batch.column("doc_id"), "tokens": batch.column("tokens"), "rate": rate, "copies": np.floor(rate + u).astype(np.int64)} | {f"p_{d}": p[:, i] for i, d in enumerate(DOMAINS)}
 
