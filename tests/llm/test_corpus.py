@@ -456,3 +456,42 @@ def test_classifier_and_fit_match_plain_versions(spark):
     assert np.allclose(have[columns].to_numpy(), p[order], atol=1e-5) and (have.tokens.to_numpy() == w[order]).all()
     rate, p, w = have.rate.to_numpy(), p[order], w[order]
     assert np.abs((w * rate) @ p / w.sum() - [0.8, 0.15, 0.05]).max() < 1e-3 and (rate >= 0).all()
+
+
+def test_packing_of_repeated_and_null_ids(spark):
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "same text"), (1, "same text"), (1, LONG), (None, "no id"), (None, None), (2, "")]
+    table = spark.createDataFrame([(i, t, "a", 5, 6) for i, t in rows], "doc_id long, text string, salt string, length long, rank long")
+    got = packing.pack_documents(table, path).collect()
+    tok, want = Tokenizer.from_file(path), Counter()
+    for i, t in rows:
+        n = len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+        want.update((i, s, min(2048, n - s), n) for s in range(0, n, 2048))
+    assert Counter((p.doc_id, p.start, p.length, p.doc_tokens) for p in got) == want
+    taken = Counter((p.sequence_id, p.offset + k) for p in got for k in range(p.length))
+    assert max(taken.values()) == 1 and all(x[1] < 2048 for x in taken)
+
+
+def test_language_model_with_empty_tables_long_texts_and_repeats(spark):
+    good = [(i, "the hand and the other hand " * 4) for i in range(120)]
+    rows = [*good, (7, "#!%XQZ" * 30), (7, good[1][1]), (None, "#!%XQZ" * 30), (500, LONG), (501, "the hand and " * 30_000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120) if i != 7], "doc_id long, quality int, toxic int")
+    for how in ({}, {"broadcast": 0}):
+        got = quality_lm.classify(docs(spark, rows), labels, **how).collect()
+        assert len(got) == len(rows)
+        assert sorted((r.doc_id or -1, r.n_words) for r in got if not r.kept) == sorted([(7, 1), (-1, 1), (500, 140_000)])
+    none = docs(spark, [])
+    assert quality_lm.classify(none, labels).count() == 0 and quality_lm.keep(none, labels).count() == 0
+    assert quality_lm.keep(docs(spark, rows), labels.where("doc_id < 0")).count() == len(rows)
+
+
+def test_licences_with_equal_coefficients(spark):
+    """Of templates that fit a line as well, the first by name counts."""
+    own = {"b": "one two three four five", "a": "one two three four six"}
+    text = "one two three four"
+    got = licenses.scan(docs(spark, [(1, text)]), templates=own, paragraphs={}).collect()
+    assert [(r.license, r.common) for r in got] == [("a", 3)]
