@@ -12,6 +12,10 @@ class UpsampleRefused(ValueError):
     """A finer frequency than the series has was asked for."""
 
 
+class JoinRefused(ValueError):
+    """A series is asked for twice, or an output key is taken."""
+
+
 def bucket(period: str, target: str) -> Column:
     """The label of a period at the target frequency: first day of month or quarter, the Sunday that ends the week."""
     c = F.col(period).cast("date")
@@ -66,9 +70,9 @@ def spine_join(spine: DataFrame, obs: DataFrame, key: str, on: list[str] = ["per
 def join_series(spine: DataFrame, obs: DataFrame, series: dict[str, str]) -> DataFrame:
     """Several series as columns on an unchanged spine, by one aggregation and one join. series: output key to series id."""
     if len(set(series.values())) != len(series):
-        raise ValueError("a series is asked for twice")
+        raise JoinRefused("a series is asked for twice")
     if set(series) & set(spine.columns):
-        raise ValueError("an output key is taken")
+        raise JoinRefused("an output key is taken")
     wide = obs.where(F.col("series_id").isin(list(series.values()))).groupBy("period").agg(*(F.max(F.when(F.col("series_id") == s, F.col("value"))).alias(k) for k, s in series.items()))
     return spine.join(wide, "period", "left")
 

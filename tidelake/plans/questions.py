@@ -10,7 +10,7 @@ from tidelake.functions import routing
 from tidelake.functions import text as txt
 from tidelake.plans.registry import query
 from tidelake.plans.words import FOLD, QUESTIONS, TOK, frame, values
-from tidelake.sources import documents, lake
+from tidelake.sources import documents, lake, store
 from tidelake.sources.lake import SQL
 
 ASKED = [
@@ -87,12 +87,25 @@ def top_discover(spark, sf):
     return lake.catalog(spark, sf).join(F.broadcast(hits), "family").select("series_id", "score").orderBy(F.desc("score"), "series_id").limit(20)
 
 
-_LINKS = "WITH l AS (SELECT page_id % 50 AS page, (page_id * 7) % 50 AS target, page_id % 4 AS score, page_id AS position FROM pages)"
+_TERMS = ("the", "er", "de")
+_A = '<a href="([^"]*)">([^<]*)</a>'
+#: Links of pages: an address leads to the first page whose title begins with its word.
+_LINKS = (
+    f"WITH v AS (SELECT page_id, html, regexp_extract(lower(regexp_extract(html, '<title>([^<]*)', 1)), '([a-z]+)', 1) AS slug FROM pages), i AS (SELECT slug, min(page_id) AS target FROM v WHERE slug <> '' GROUP BY 1), "
+    f"a AS (SELECT page_id AS page, unnest(regexp_extract_all(html, '{_A}', 1)) AS href, unnest(regexp_extract_all(html, '{_A}', 2)) AS said, generate_subscripts(regexp_extract_all(html, '{_A}', 1), 1) AS position FROM v), "
+    "l AS (SELECT page, target, position, " + " + ".join(f"CASE WHEN contains(lower(said), '{w}') THEN 2 WHEN contains(lower(href), '{w}') THEN 1 ELSE 0 END" for w in _TERMS) + " AS score FROM a JOIN i ON slug = regexp_extract(lower(href), '([a-z]+)', 1) WHERE target <> page)"
+)
 
 
 def _links(spark, sf):
-    x = F.col("page_id")
-    return lake.table(spark, sf, "pages").select((x % 50).alias("page"), ((x * 7) % 50).alias("target"), (x % 4).alias("score"), x.alias("position"))
+    """(page, target, score, position) of the links in pages that lead to another page."""
+    found = lambda i: F.regexp_extract_all("html", F.lit(_A), F.lit(i))
+    word = lambda c: F.regexp_extract(F.lower(c), "([a-z]+)", 1)
+    page = lake.table(spark, sf, "pages")
+    index = page.select("page_id", word(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("slug")).where("slug <> ''").groupBy("slug").agg(F.min("page_id").alias("target"))
+    x = page.select(F.col("page_id").alias("page"), F.posexplode(F.arrays_zip(found(1).alias("href"), found(2).alias("said"))).alias("position", "l"))
+    x = x.select("page", "position", "l.*").withColumn("slug", word(F.col("href"))).join(index, "slug").where("target <> page")
+    return x.select("page", "target", documents.score_link(F.col("said"), F.col("href"), list(_TERMS)).alias("score"), "position")
 
 
 @query(
@@ -167,9 +180,13 @@ def doc_text(spark, sf):
     return x.select("page_id", routing.decode(body).alias("text"))
 
 
-@query("SELECT count(*) AS one FROM range(1)")
+@query(SQL + "SELECT 'series_catalog' AS name, count(*) AS n, 25::INT AS columns FROM catalog UNION ALL SELECT 'series_observations', count(*), 5 FROM observations")
 def src_local_store(spark, sf):
-    return spark.range(1).agg(F.count("*").alias("one"))
+    """Whether the session's store can be opened and read, and what it holds."""
+    root = lake.gold(spark, sf)
+    found = [(n, x.agg(F.count("*").alias("n")), len(x.columns)) for n, x in ((store.CATALOG, store.read_catalog(spark, root)), (store.OBSERVATIONS, store.read_observations(spark, root)))]
+    a, b = (x.select(F.lit(n).alias("name"), "n", F.lit(k).alias("columns")) for n, x, k in found)
+    return a.union(b)
 
 
 @query(

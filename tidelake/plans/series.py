@@ -77,10 +77,14 @@ def src_bind_probe(spark, sf):
     return probe.limit(1).agg((F.count("*") > 0).alias("ready"), F.count("*").alias("n"))
 
 
-@query("SELECT CAST(a AS DATE) AS window_start, least(CAST(a + INTERVAL 998 DAY AS DATE), DATE '2026-06-30') AS window_end FROM range(TIMESTAMP '2015-01-01', TIMESTAMP '2026-07-01', INTERVAL 999 DAY) t(a)")
+@query(
+    "WITH r AS (SELECT o_orderpriority AS k, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY 1), w AS (SELECT k, b, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 999 DAY)) AS s FROM r) SELECT k, CAST(s AS DATE) AS window_start, least(CAST(s + INTERVAL 998 DAY AS DATE), b) AS window_end FROM w"
+)
 def src_windows(spark, sf):
-    start = F.explode(F.expr("sequence(DATE '2015-01-01', DATE '2026-06-30', INTERVAL 999 DAY)")).alias("window_start")
-    return spark.range(1).select(start).withColumn("window_end", F.least(F.date_add("window_start", 998), F.lit("2026-06-30").cast("date")))
+    """The span of each kind of order in requests of at most 999 days."""
+    span = lake.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.min(F.col("o_orderdate").cast("date")).alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("b"))
+    x = span.select("k", "b", F.explode(F.expr("sequence(a, b, INTERVAL 999 DAY)")).alias("window_start"))
+    return x.select("k", "window_start", F.least(F.date_add("window_start", 998), "b").alias("window_end"))
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")

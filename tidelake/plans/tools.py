@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import itertools
 import zipfile
 from datetime import date
 
@@ -170,19 +169,39 @@ def fn_toda_yamamoto(spark, sf):
 _AROUND = [("x_to_y", "x_to_y,x_to_y"), ("x_to_y", "y_to_x,x_to_y"), ("x_to_y", "none,x_to_y"), ("x_to_y", "?,x_to_y"), ("none", "none"), ("bidirectional", "x_to_y,y_to_x"), ("y_to_x", "?,x_to_y"), ("none", "")]
 
 
-@query("WITH a(id, chosen, around) AS (VALUES " + ", ".join(f"({i}, '{c}', '{d}')" for i, (c, d) in enumerate(_AROUND)) + "), l AS (SELECT *, list_filter(string_split(around, ','), lambda d: d <> '') AS ds FROM a) SELECT id, CASE WHEN (chosen = 'x_to_y' AND list_contains(ds, 'y_to_x')) OR (chosen = 'y_to_x' AND list_contains(ds, 'x_to_y')) THEN 'reversed' WHEN len(ds) = 0 OR list_contains(ds, '?') THEN 'unavailable' WHEN len(list_filter(ds, lambda d: d <> chosen)) > 0 THEN 'inconclusive' ELSE 'passed' END AS robust FROM l")
+_DIRECTIONS = ["x_to_y", "y_to_x", "bidirectional", "none"]
+_CHOSEN = (
+    "WITH a(k, around) AS (VALUES " + ", ".join(f"({i}, '{d}')" for i, (_, d) in enumerate(_AROUND)) + "), l AS (SELECT p_partkey AS id, ['x_to_y', 'y_to_x', 'bidirectional', 'none'][p_size % 4 + 1] AS chosen, list_filter(string_split(around, ','), lambda d: d <> '') AS ds, "
+    f"p_partkey % 5 < 2 AS untested, p_partkey % 7 = 3 AS unverified, p_partkey % 11 = 4 AS insensitive FROM part JOIN a ON k = p_partkey % {len(_AROUND)}), "
+    "r AS (SELECT *, CASE WHEN (chosen = 'x_to_y' AND list_contains(ds, 'y_to_x')) OR (chosen = 'y_to_x' AND list_contains(ds, 'x_to_y')) THEN 'reversed' WHEN len(ds) = 0 OR list_contains(ds, '?') THEN 'unavailable' WHEN len(list_filter(ds, lambda d: d <> chosen)) > 0 THEN 'inconclusive' ELSE 'passed' END AS robust FROM l) "
+)
+
+
+def _told(spark, sf):
+    """For each part a direction, its robustness by directions at the lags beside, and the evidence's class."""
+    few = spark.createDataFrame([(i, d) for i, (_, d) in enumerate(_AROUND)], "k int, around string")
+    n = F.col("p_partkey")
+    x = lake.table(spark, sf, "part").join(F.broadcast(few), F.col("k") == n % len(_AROUND))  # eight cases
+    chosen = F.get(F.array(*map(F.lit, _DIRECTIONS)), (F.col("p_size") % 4).cast("int"))
+    x = x.select(n.alias("id"), chosen.alias("chosen"), "around", (n % 5 < 2).alias("untested"), (n % 7 == 3).alias("unverified"), (n % 11 == 4).alias("insensitive"))
+
+    def run(frames):
+        for pdf in frames:
+            robust = [cz.robustness(c, {k: None if d == "?" else d for k, d in enumerate(filter(None, around.split(",")))}) for c, around in zip(pdf["chosen"], pdf["around"], strict=True)]
+            status = [cz.classify(c, r, bool(u), bool(v), bool(s))[0] for c, r, u, v, s in zip(pdf["chosen"], robust, pdf["untested"], pdf["unverified"], pdf["insensitive"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "chosen": pdf["chosen"], "robust": robust, "status": status})
+
+    return x.mapInPandas(run, "id long, chosen string, robust string, status string")
+
+
+@query(_CHOSEN + "SELECT id, chosen, robust FROM r")
 def fn_adjacent_lags(spark, sf):
-    told = [(i, cz.robustness(c, {k: None if d == "?" else d for k, d in enumerate(filter(None, around.split(",")))})) for i, (c, around) in enumerate(_AROUND)]
-    return spark.createDataFrame(told, "id int, robust string")
+    return _told(spark, sf).select("id", "chosen", "robust")
 
 
-@query(
-    "SELECT c AS chosen, r AS robust, u AS untested, v AS unverified, CASE WHEN c = 'none' THEN 'not_identifiable' WHEN r <> 'passed' OR u OR v THEN 'limited_evidence' ELSE 'predictive_relationship_supported' END AS status "
-    "FROM (VALUES ('none'), ('x_to_y'), ('bidirectional')) a(c), (VALUES ('passed'), ('reversed'), ('unavailable')) b(r), (VALUES (TRUE), (FALSE)) d(u), (VALUES (TRUE), (FALSE)) e(v)"
-)
+@query(_CHOSEN + "SELECT id, robust, CASE WHEN chosen = 'none' THEN 'not_identifiable' WHEN robust <> 'passed' OR untested OR unverified OR insensitive THEN 'limited_evidence' ELSE 'predictive_relationship_supported' END AS status FROM r")
 def fn_classify_evidence(spark, sf):
-    cases = itertools.product(("none", "x_to_y", "bidirectional"), ("passed", "reversed", "unavailable"), (True, False), (True, False))
-    return spark.createDataFrame([(*c, cz.classify(*c, False)[0]) for c in cases], "chosen string, robust string, untested boolean, unverified boolean, status string")
+    return _told(spark, sf).select("id", "robust", "status")
 
 
 @query("WITH m AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS i FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS period FROM orders)), b(id, day, kind) AS (VALUES (0, DATE '1994-03-15', 'level'), (1, DATE '1996-01-01', 'trend'), (2, DATE '2050-01-01', 'level'), (3, DATE '1995-01-01', 'slope')) SELECT id, CASE WHEN kind IN ('level', 'trend') AND day BETWEEN (SELECT min(period) FROM m) AND (SELECT max(period) FROM m) THEN (SELECT min(i) FROM m WHERE period >= day)::INT END AS position FROM b")
