@@ -167,7 +167,10 @@ def test_wald_statistic_is_the_gain_in_fit():
 def test_html_is_read_without_scripts():
     got = documents.parse_html('<title>A</title><script>x</script><p>b <a href="/c">d</a><a href="/c">e</a><table><tr><td>1<td>2</td></tr></table>', "https://h.org/")
     assert got["title"] == "A" and "x" not in got["text"].split() and got["links"] == ["https://h.org/c"] and got["n_tables"] == 1
-    assert documents.parse_html(None, None)["text"] == ""
+    assert documents.parse_html(None, None)["text"] == "" and not got["cut"]
+    many = documents.parse_html("".join(f'<a href="/{i}">x</a>' for i in range(documents.MAX_LINKS + 1)), "https://h.org/")
+    assert many["cut"] and len(many["links"]) == documents.MAX_LINKS
+    assert documents.parse_html("w " * documents.MAX_CHARS, "")["cut"] and documents.parse_html('<a href="http://[x/">y</a>', "https://h.org/")["links"] == []
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -214,11 +214,6 @@ def sort_precision_variant(spark, sf):
     return x.groupBy("id").agg(F.max_by("k", F.struct(score, -F.col("k"))).cast("int").alias("best"))
 
 
-def _manifest(spark, sf) -> DataFrame:
-    """A manifest of raw files, a line for each page: table, address, digest as fetched."""
-    return lake.table(spark, sf, "pages").select("page_id", "url", F.sha2("html", 256).alias("digest"))
-
-
 @query(
     "WITH h AS (SELECT page_id AS path, html, sha256(html) AS digest FROM pages), m AS (SELECT path, digest FROM h WHERE path % 83 <> 2 UNION ALL SELECT path, digest FROM h WHERE path % 89 = 1), "
     "s AS (SELECT path, sha256(CASE WHEN path % 50 = 7 THEN html || ' ' ELSE html END) AS now FROM h WHERE html IS NOT NULL AND path % 70 <> 3), l AS (SELECT path, count(*) AS n, any_value(digest) AS digest FROM m GROUP BY 1), "

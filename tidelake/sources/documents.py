@@ -19,22 +19,30 @@ SUFFIXES = ("pdf", "xlsx", "xls", "csv", "docx")
 class _Page(HTMLParser):
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.text, self.links, self.tables, self.quiet, self.cell, self.title, self.in_title = url, [], {}, [], 0, None, [], False
+        self.url, self.text, self.links, self.tables, self.quiet, self.cell, self.title, self.in_title, self.cut = url, [], {}, [], 0, None, [], False, False
+
+    def room(self, held: list | dict, most: int) -> bool:
+        """Whether one more fits; if not, the page is said to be cut."""
+        self.cut |= len(held) >= most
+        return len(held) < most
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.quiet += 1
         elif tag == "title":
             self.in_title = True
-        elif tag == "a" and (href := dict(attrs).get("href")) and len(self.links) < MAX_LINKS:
-            target = urljoin(self.url, href)
-            if target.startswith(("http://", "https://")):
-                self.links.setdefault(target, None)
-        elif tag == "table" and len(self.tables) < MAX_TABLES:
+        elif tag == "a" and (href := dict(attrs).get("href")):
+            try:
+                target = urljoin(self.url, href)
+            except ValueError:  # no address
+                return
+            if target.startswith(("http://", "https://")) and target not in self.links and self.room(self.links, MAX_LINKS):
+                self.links[target] = None
+        elif tag == "table" and self.room(self.tables, MAX_TABLES):
             self.tables.append([])
-        elif tag == "tr" and self.tables and len(self.tables[-1]) < MAX_ROWS:
+        elif tag == "tr" and self.tables and self.room(self.tables[-1], MAX_ROWS):
             self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1] and len(self.tables[-1][-1]) < MAX_COLS:
+        elif tag in ("td", "th") and self.tables and self.tables[-1] and self.room(self.tables[-1][-1], MAX_COLS):
             self.cell = []
 
     def handle_endtag(self, tag):
@@ -64,19 +72,23 @@ def parse_html(html: str | None, url: str | None) -> dict:
         page.close()
     except (ValueError, AssertionError):  # broken markup: what was read so far counts
         pass
-    return {"title": " ".join("".join(page.title).split()), "text": " ".join(" ".join(page.text).split())[:MAX_CHARS], "links": list(page.links), "n_tables": len(page.tables), "n_cells": sum(len(r) for t in page.tables for r in t)}
+    text = " ".join(" ".join(page.text).split())
+    return {
+        "title": " ".join("".join(page.title).split()), "text": text[:MAX_CHARS], "links": list(page.links), "n_tables": len(page.tables), "n_cells": sum(len(r) for t in page.tables for r in t),
+        "cut": page.cut or len(text) > MAX_CHARS,
+    }
 
 
 def extract_html(pages: DataFrame) -> DataFrame:
-    """page_id, title, text, links (absolute, in order, each once), n_tables, n_cells; html.parser is the only Python in it."""
+    """page_id, title, text, links (absolute, in order, each once), n_tables, n_cells, cut (a limit left something out); html.parser is the only Python in it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            got = pd.DataFrame([parse_html(h, u) for h, u in zip(pdf["html"], pdf["url"], strict=True)], columns=["title", "text", "links", "n_tables", "n_cells"])
+            got = pd.DataFrame([parse_html(h, u) for h, u in zip(pdf["html"], pdf["url"], strict=True)], columns=["title", "text", "links", "n_tables", "n_cells", "cut"])
             got.insert(0, "page_id", pdf["page_id"].to_numpy())
             yield got
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, text string, links array<string>, n_tables int, n_cells int")
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, text string, links array<string>, n_tables int, n_cells int, cut boolean")
 
 
 def kind_of(media_type: Column, body: Column) -> Column:
@@ -104,11 +116,4 @@ def score_link(text: Column, url: Column, terms: list[str]) -> Column:
     return found + F.when((found > 0) & F.regexp_extract(u, r"\.([a-z0-9]+)(?:[?#].*)?$", 1).isin(*SUFFIXES), 1).otherwise(0)
 
 
-def safe_url(url: Column) -> Column:
-    """Whether an address may be fetched: http or https, a host, no credentials, not this machine or a private network."""
-    host = F.lower(F.regexp_extract(url, r"^https?://([^/?#]*)", 1))
-    private = r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.|\[)"
-    return F.coalesce((host != "") & ~F.contains(host, F.lit("@")) & ~host.rlike(private), F.lit(False))
-
-
 WORD = re.compile(r"[^\W_]+")
