@@ -304,8 +304,9 @@ def _crowded(lists: DataFrame, full: DataFrame, links: DataFrame, tmp: Scratch,
     comp = label.select(F.col("node").alias("rep"), "comp")
     placed = tmp.cut(own.join(comp.hint("merge"), "rep", "left").select("lid", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
     of_list = placed.groupBy("lid", "comp").agg(F.count("*").alias("m")).groupBy("lid").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("most"), F.sum("m").alias("size"), (F.sum("m") - F.max("m")).alias("others"))
+    of_list = tmp.cut(of_list.where("others > 0"), "largest")  # read again, so that a join with a long list can be split
     # every link that is left has an end outside its list's largest component; these members meet all others, block by block
-    left = tmp.cut(placed.join(of_list.where("others > 0").hint("merge"), "lid"), "open")
+    left = tmp.cut(placed.join(of_list.hint("merge"), "lid"), "open")
     rest = _across(_blocks(left, full, "size", "x"), _blocks(left.where("comp <> most"), full, "others", "y"), percent)
     tmp.drop("heads", "members", "placed")
     return label.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(rest)
