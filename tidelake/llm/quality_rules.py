@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import map_batches, tune, words
+from tidelake.llm.common import map_batches, tune
 
 WINDOW = 5
 SYMBOLS = frozenset(b"#*$%&|<>")
