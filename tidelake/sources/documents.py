@@ -7,8 +7,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "noscript", "template"}
@@ -82,13 +82,25 @@ def parse_html(html: str | None, url: str | None) -> dict:
 def extract_html(pages: DataFrame) -> DataFrame:
     """page_id, title, text, links (absolute, in order, each once), n_tables, n_cells, cut (a limit left something out); html.parser is the only Python in it."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            got = pd.DataFrame([parse_html(h, u) for h, u in zip(pdf["html"], pdf["url"], strict=True)], columns=["title", "text", "links", "n_tables", "n_cells", "cut"])
-            got.insert(0, "page_id", pdf["page_id"].to_numpy())
-            yield got
+    bound_batches(pages.sparkSession)
+    columns = (("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("n_tables", pa.int32()), ("n_cells", pa.int32()), ("cut", pa.bool_()))
+    schema = pa.schema([("page_id", pa.int64()), *columns])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, text string, links array<string>, n_tables int, n_cells int, cut boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [parse_html(h, u) for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([g[name] for g in got], kind) for name, kind in columns)], schema=schema)
+
+    some = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return some.mapInArrow(run, "page_id long, title string, text string, links array<string>, n_tables int, n_cells int, cut boolean")
+
+
+def bound_batches(spark: SparkSession, most: int = 1 << 20) -> None:
+    """Bounds the bytes of Arrow batches, so that long pages travel few at a time; a session's own lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
 
 
 def kind_of(media_type: Column, body: Column) -> Column:
