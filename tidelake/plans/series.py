@@ -32,9 +32,7 @@ _GOLD = SQL + (
 @query(_GOLD)
 def snk_gold(spark: SparkSession, sf: str) -> DataFrame:
     """The whole store written anew from the facts, checked, and its catalog as read back, without the time of writing."""
-    root = store.path_of(spark, sf, "rebuilt")
-    lake.build_gold(spark, sf, root)
-    store.check(spark, root)
+    root = store.rebuilt(spark, sf, lambda root: lake.build_gold(spark, sf, root))
     return store.read_catalog(spark, root).drop("retrieved_at")
 
 

@@ -84,14 +84,18 @@ def check(spark: SparkSession, root: str) -> None:
         raise StoreRefused("observations of a series that the catalog doesn't know")
 
 
+def rebuilt(spark: SparkSession, sf_dir: str, build) -> str:
+    """A new store of sf_dir, written by build(root), checked, and from then on the session's. Who still reads the former one isn't disturbed."""
+    root = f"{path_of(spark, sf_dir)}-{uuid.uuid4().hex}"
+    build(root)
+    check(spark, root)
+    _OPEN[spark.sparkContext.applicationId, sf_dir] = root
+    return root
+
+
 def opened(spark: SparkSession, sf_dir: str, build) -> str:
-    """Where the store of sf_dir is; build(root) writes it the first time a session asks."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _OPEN:
-        root = path_of(spark, sf_dir)
-        build(root)
-        _OPEN[key] = root
-    return _OPEN[key]
+    """Where the store of sf_dir is; it is built the first time a session asks."""
+    return _OPEN.get((spark.sparkContext.applicationId, sf_dir)) or rebuilt(spark, sf_dir, build)
 
 
 def write_silver(points: DataFrame, root: str) -> DataFrame:
