@@ -60,6 +60,10 @@ PARAGRAPHS = {
 }
 
 
+#: Words that stand in any text; pairs of two of them are the last to be taken as anchors.
+COMMON = frozenset("of to in the that with this is a be for and by or on as it an at from are".split())
+
+
 def bigrams(text: str) -> list[str]:
     w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
@@ -71,12 +75,12 @@ def needed(size: int, percent: int = PERCENT) -> int:
 
 
 def anchors(templates: dict[str, list[str]], percent: int = PERCENT) -> list[str]:
-    """Bigrams of which every match of any template holds one: of each template, one more than a match may lack. Those that serve several templates are taken first."""
+    """Bigrams of which every match of any template holds one: of each template, one more than a match may lack. Those that serve several templates are taken first, pairs of common words last, as these let any text through."""
     uses = Counter(b for own in templates.values() for b in own)
     chosen: dict[str, None] = {}
     for own in sorted(templates.values(), key=len):
         short = len(own) - needed(len(own), percent) + 1 - sum(b in chosen for b in own)
-        free = sorted((b for b in own if b not in chosen), key=lambda b: (-uses[b], -len(b), b))
+        free = sorted((b for b in own if b not in chosen), key=lambda b: (COMMON.issuperset(b.split()), -uses[b], -len(b), b))
         chosen.update(dict.fromkeys(free[: max(0, short)]))
     return list(chosen)
 
