@@ -14,6 +14,7 @@ UNITS = {
     "2003=100": ("endeks", 1.0), "2010=100": ("endeks", 1.0), "2020=100": ("endeks", 1.0), "2021=100": ("endeks", 1.0),
 }
 MONTHS = "ocak şubat mart nisan mayıs haziran temmuz ağustos eylül ekim kasım aralık".split()
+#: Fixed value, a format: a figure as it is published has a sign or none, digits in groups of three parted by dots or in one group, and decimals after a comma or none.
 NUMBER = r"^[-+]?(?:[0-9]{1,3}(?:\.[0-9]{3})*|[0-9]+)(?:,[0-9]+)?$"
 
 

@@ -15,7 +15,7 @@ TOOL_CUES = {
     "causality": ("nedensellik", "neden oldu", "yol açtı", "etkiliyor mu", "etkiledi mi", "sebep oldu", "granger", "neden sonuç", "neden-sonuç"),
     "web_search": ("internette ara", "internetten bul", "web'de ara", "webde ara", "güncel haber"),
 }
-#: Words that name a bank group, in order of precedence (mevduat after all others), and a currency.
+#: Words that name a bank group, and a currency. The first that a question has counts; mevduat stands last because it is a part of the names of other groups.
 SCOPE_CUES = {
     "sektör": "Sektör", "katılım": "Katılım", "kalkınma": "Kalkınma ve Yatırım", "yatırım": "Kalkınma ve Yatırım",
     "kamu": "Kamu", "yabancı": "Yabancı", "özel": "Yerli Özel", "yerli": "Yerli Özel", "mevduat": "Mevduat",
