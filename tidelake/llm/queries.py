@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import chat, licenses, minhash, mixing, packing, quality_lm, quality_rules, topk, url_filters, warc
+from tidelake.llm import chat, licenses, minhash, mixing, packing, quality_lm, quality_rules, resampling, topk, url_filters, warc
 from tidelake.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,9 +61,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("line")
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_quality_rules, op4_warc, op5_packing, op6_quality_lm, op7_minhash, op8_chat, op9_topk, op10_licenses)}
+    return {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_quality_rules, op4_warc, op5_packing, op6_quality_lm, op7_minhash, op8_chat, op9_topk, op10_licenses, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op7_minhash": minhash.SQL, "op8_chat": chat.SQL, "op9_topk": topk.SQL, "op10_licenses": licenses.sql()}
+    return {"op3_quality_rules": quality_rules.SQL, "op7_minhash": minhash.SQL, "op8_chat": chat.SQL, "op9_topk": topk.SQL, "op10_licenses": licenses.sql(), "op13_resampling": resampling.SQL}
