@@ -23,7 +23,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize(("name", "table", "key"), [("op1_url_filters", "pages", "page_id"), ("op2_mixing", "documents", "doc_id"), ("op4_warc", "pages", "page_id"), ("op6_quality_lm", "documents", "doc_id")])
+@pytest.mark.parametrize(("name", "table", "key"), [("op1_url_filters", "pages", "page_id"), ("op2_mixing", "documents", "doc_id"), ("op4_warc", "pages", "page_id"), ("op6_quality_lm", "documents", "doc_id"), ("op12_toxicity", "documents", "doc_id")])
 def test_query_without_sql_has_a_row_for_each_of_its_table(spark, duck, name, table, key):
     got = queries.queries()[name](spark, SF).toPandas()
     assert sorted(got[key]) == sorted(x for (x,) in duck.execute(f"SELECT {key} FROM {table}").fetchall())
@@ -48,5 +48,5 @@ def test_contract_columns(spark, duck):
 
 def test_entry_has_every_query():
     found = __spark_entry__.queries()
-    assert {f"op{n}_" for n in (*range(1, 11), 13)} == {k.split("_")[0] + "_" for k in found if k.startswith("op") and k[2].isdigit()} and "pipeline" in found
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in found if k.startswith("op") and k[2].isdigit()} and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import chat, licenses, minhash, mixing, negatives, packing, quality_lm, quality_rules, resampling, topk, url_filters, warc
+from tidelake.llm import chat, licenses, minhash, mixing, negatives, packing, quality_lm, quality_rules, resampling, topk, toxicity, url_filters, warc
 from tidelake.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,12 +65,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.moved(table(spark, sf_dir, "embeddings")), F.col("vec_id") % negatives.EVERY == 0)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_quality_rules, op4_warc, op5_packing, op6_quality_lm, op7_minhash, op8_chat, op9_topk, op10_licenses, op11_hard_negatives, op13_resampling)}
+    return {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_quality_rules, op4_warc, op5_packing, op6_quality_lm, op7_minhash, op8_chat, op9_topk, op10_licenses, op11_hard_negatives, op12_toxicity, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
