@@ -67,9 +67,9 @@ def resolve_by_statement(df: DataFrame) -> DataFrame:
     return df.withColumn("resolved", resolved).withColumn("verified_by", verified)
 
 
-def closure(decumulated: DataFrame, tolerance: float = CLOSURE_TOLERANCE) -> DataFrame:
-    """For each complete year the sum of its own figures against December as published: series_id, year, total, december, closes."""
-    by_year = decumulated.groupBy("series_id", F.year("period").alias("year")).agg(
+def closure(decumulated: DataFrame, tolerance: float = CLOSURE_TOLERANCE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each complete year the sum of its own figures against December as published: series_id, year, total, december, closes; keys tell copies of the series apart."""
+    by_year = decumulated.groupBy(*keys, "series_id", F.year("period").alias("year")).agg(
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.max(F.when(F.month("period") == 12, F.col("value_reported"))).alias("december"), F.count("value").alias("n")
     )
-    return by_year.where("december IS NOT NULL AND abs(december) > 1 AND n = 12").select("series_id", "year", "total", "december", (F.abs(F.col("total") - F.col("december")) <= tolerance * F.abs("december")).alias("closes"))
+    return by_year.where("december IS NOT NULL AND abs(december) > 1 AND n = 12").select(*keys, "series_id", "year", "total", "december", (F.abs(F.col("total") - F.col("december")) <= tolerance * F.abs("december")).alias("closes"))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.functions.numeric import power10
+
 PARTITION_SHARE, PARTITION_UNITS, UNITS_SHARE = 0.005, 2.0, 0.005
+AGREE, STEADY = 0.02, 0.01
+#: The share of a catalog's series whose two verdicts on accumulation are known to differ: 129 of 47,015.
+DISAGREE_SHARE = 129 / 47015
+#: The copies that a gate looks at.
+STORED, PLANTED = "as stored", "planted breach"
 
 
 def gate(name: str, checked: DataFrame, breach) -> DataFrame:
@@ -14,12 +23,60 @@ def gate(name: str, checked: DataFrame, breach) -> DataFrame:
     return out.select(F.lit(name).alias("gate"), "checked", "breaches", F.when((F.col("checked") == 0) | (F.col("breaches") > 0), "fail").otherwise("pass").alias("status"))
 
 
-def whole_and_parts(whole: DataFrame, parts: DataFrame, expected: DataFrame) -> DataFrame:
-    """whole (period, whole), parts (period, part, v) as period, whole, parts: the sum, null unless every expected part (one row each) has a value in the period."""
+def doubled(df: DataFrame, **planted: Column) -> DataFrame:
+    """df twice in one pass, by column data: as stored, and with these columns as planted."""
+    both = df.withColumn("data", F.explode(F.array(F.lit(STORED), F.lit(PLANTED))))
+    return both.withColumns({c: F.when(F.col("data") == PLANTED, e).otherwise(F.col(c)) for c, e in planted.items()}) if planted else both
+
+
+def suite(rows: DataFrame, names: list[str]) -> DataFrame:
+    """gate, data, checked, breaches, status of rows (gate, data, breach): a line for each gate and copy, also where nothing was compared, which fails."""
+    n = rows.where("breach IS NOT NULL").groupBy("gate", "data").agg(F.count("*").alias("checked"), F.count_if("breach").alias("breaches"))
+    every = rows.sparkSession.createDataFrame([(g, d) for g in names for d in (STORED, PLANTED)], "gate string, data string")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = every.join(n, ["gate", "data"], "left").select("gate", "data", zero("checked").alias("checked"), zero("breaches").alias("breaches"))
+    return out.withColumn("status", F.when((F.col("checked") == 0) | (F.col("breaches") > 0), "fail").otherwise("pass"))
+
+
+def verdicts(name: str, rows: DataFrame) -> DataFrame:
+    """The lines of one gate, from rows (data, breach)."""
+    return suite(rows.select(F.lit(name).alias("gate"), "data", "breach"), [name])
+
+
+def watched(obs: DataFrame) -> dict[str, Column]:
+    """What is counted while observations are written: rows, and for each gate of single rows the breaches, as they are and as planted."""
+    source, value, sid = F.col("source"), F.col("value"), F.col("series_id")
+    odd = F.isnan("value") | (F.abs("value") == float("inf"))
+    nameless = sid.isNull() | F.col("period").isNull()
+    flipped = F.when(F.col("period") == F.lit("1996-01-01").cast("date"), -value).otherwise(value)
+    return {
+        "rows": F.count(F.lit(1)), "keys": F.count_if(nameless), "keys, planted": F.count_if(nameless | (sid == "index.price")), "signs": F.count_if((source == "count") & (value < 0)), "signs, planted": F.count_if((source == "count") & (flipped < 0)),
+        "finite": F.count_if(odd), "finite, planted": F.count_if(odd | (source == "rate")),
+    }
+
+
+def observed(metrics: DataFrame) -> DataFrame:
+    """gate, data, checked, breaches, status of the metrics (name, n) that were taken during a write."""
+    rows = metrics.where("name = 'rows'").select(F.col("n").alias("checked"))
+    of = metrics.where("name <> 'rows'").select(F.concat(F.lit("written: "), F.split_part("name", F.lit(","), F.lit(1))).alias("gate"), F.when(F.endswith("name", F.lit("planted")), PLANTED).otherwise(STORED).alias("data"), F.col("n").alias("breaches"))
+    out = of.crossJoin(F.broadcast(rows))  # one row
+    return out.select("gate", "data", "checked", "breaches", F.when((F.col("checked") == 0) | (F.col("breaches") > 0), "fail").otherwise("pass").alias("status"))
+
+
+def reconcile(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, agrees, stable of two publishers' figures a and b: within AGREE of each other at the power of ten of their median ratio, or at a ratio that hardly moves."""
+    x = pairs.withColumn("r", F.col("b") / F.col("a"))
+    scale = x.where("r > 0").groupBy(*keys).agg(power10(F.median("r")).alias("scale"))
+    q = x.join(scale, keys).withColumn("q", F.col("r") / F.col("scale"))
+    return q.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(F.abs(F.col("q") - 1)) <= AGREE).alias("agrees"), F.coalesce(F.stddev_samp("q") <= STEADY, F.lit(False)).alias("stable"))
+
+
+def whole_and_parts(whole: DataFrame, parts: DataFrame, expected: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """whole (period, whole), parts (period, part, v, and keys of copies) as period, keys, whole, parts: the sum, null unless every expected part (one row each) has a value in the period."""
     need = expected.agg(F.count("*").alias("need"))  # one row
-    sums = parts.where("v IS NOT NULL").groupBy("period").agg(F.countDistinct("part").alias("have"), F.sum(F.col("v").cast("decimal(38,2)")).cast("double").alias("parts"))
+    sums = parts.where("v IS NOT NULL").groupBy("period", *keys).agg(F.countDistinct("part").alias("have"), F.sum(F.col("v").cast("decimal(38,2)")).cast("double").alias("parts"))
     x = whole.join(sums, "period", "left").crossJoin(F.broadcast(need))
-    return x.select("period", "whole", F.when(F.col("have") == F.col("need"), F.col("parts")).alias("parts"))
+    return x.select("period", *keys, "whole", F.when(F.col("have") == F.col("need"), F.col("parts")).alias("parts"))
 
 
 def partition_breach():

@@ -189,18 +189,6 @@ def src_local_store(spark, sf):
     return a.union(b)
 
 
-@query(
-    SQL + ", k AS (SELECT series_id, period, count(*) AS n, count(*) FILTER (value IS NULL) AS nulls FROM observations GROUP BY ALL), o AS (SELECT count(*) AS checked, count(*) FILTER (n > 1) AS d, sum(nulls) AS u, count(*) FILTER (series_id IS NULL) AS e FROM k) "
-    "SELECT gate, CASE WHEN checked = 0 OR found > 0 THEN 'fail' ELSE 'pass' END AS status FROM (SELECT checked, 'duplicate_keys' AS gate, d AS found FROM o UNION ALL SELECT checked, 'empty_series', e FROM o UNION ALL SELECT checked, 'nulls', u FROM o)"
-)
-def dq_gate(spark, sf):
-    """Every gate over the written catalog in one pass; a gate that compared nothing fails."""
-    x = lake.observations(spark, sf).groupBy("series_id", "period").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"))
-    one = x.agg(F.count("*").alias("checked"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.sum("nulls").alias("nulls"), F.count_if(F.col("series_id").isNull()).alias("empty_series"))
-    gates = F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.when((F.col("checked") == 0) | (F.col(g) > 0), "fail").otherwise("pass").alias("status")) for g in ("duplicate_keys", "empty_series", "nulls"))))
-    return one.select(gates.alias("g")).select("g.*")
-
-
 _ORDERS = (
     "WITH li AS (SELECT l_orderkey AS k, l_partkey AS part, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem), "
     "a AS (SELECT o_orderkey AS k, 'head.status' AS path, NULL::DOUBLE AS n, o_orderstatus AS s FROM orders UNION ALL SELECT o_orderkey, 'head.total', o_totalprice, NULL FROM orders UNION ALL SELECT k, 'lines[' || i || '].part', part, NULL FROM li JOIN orders ON o_orderkey = k "

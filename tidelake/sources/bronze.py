@@ -41,11 +41,6 @@ PAYLOAD = "Json struct<caption: string, colNames: array<string>, data: struct<ro
 NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*|BOOLEAN)$"
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of all files under a folder, one row for each."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-
-
 def choose(key: Column, table: dict) -> Column:
     """What a small fixed table says for a key, else null."""
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
@@ -292,6 +287,56 @@ def check_config(config: DataFrame) -> DataFrame:
     return config
 
 
+#: A configuration of series: one JSON document.
+CONFIG = "start_date date, end_date date, complete boolean, scope_note string, known_gaps array<string>, series array<struct<code: string, name: string, frequency: string, unit: string>>"
+CODE = r"[A-Za-z][A-Za-z0-9_.\\-]*"
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """code, name, unit, frequency, gaps of the configuration at path, or BadConfig: a document that isn't of its schema, dates in the wrong order, no scope, a part of a catalog that states no gaps, no series, or entries that can't be used."""
+    doc = spark.read.schema(CONFIG).option("multiLine", True).option("mode", "FAILFAST").option("dateFormat", "yyyy-MM-dd").json(path)
+    blank = lambda c: F.coalesce(F.btrim(c), F.lit("")) == ""
+    gaps = F.filter(F.coalesce("known_gaps", F.array().cast("array<string>")), lambda g: F.coalesce(F.btrim(g), F.lit("")) != "")
+    head = doc.select("start_date", "end_date", blank("scope_note").alias("vague"), (~F.coalesce("complete", F.lit(False)) & (F.size(gaps) == 0)).alias("open"), F.coalesce(F.size("series"), F.lit(0)).alias("n"))
+    try:
+        found = head.take(2)
+    except Exception as e:
+        if "MALFORMED_RECORD" in str(e):
+            raise BadConfig("not a configuration of series") from e
+        raise
+    if len(found) != 1:
+        raise BadConfig("a configuration is one document")
+    (h,) = found
+    for wrong, why in ((h.start_date is None or h.end_date is None, "no start or end"), (h.start_date and h.end_date and h.end_date < h.start_date, "it ends before it starts"), (h.vague, "no scope is stated"), (h.open, "a part of a catalog must state its gaps"), (h.n <= 0, "no series")):
+        if wrong:
+            raise BadConfig(why)
+    x = doc.select(F.array_join(gaps, "; ").alias("gaps"), F.explode("series").alias("s"))
+    clean = lambda c: F.btrim(F.col(f"s.{c}"))
+    entries = x.select(clean("code").alias("code"), clean("name").alias("name"), F.coalesce(clean("unit"), F.lit("")).alias("unit"), F.upper(clean("frequency")).alias("frequency"), "gaps")
+    odd = entries.agg(F.count_if(~F.coalesce(F.col("code").rlike(f"^{CODE}$"), F.lit(False))).alias("code"), F.count_if(blank("name")).alias("name")).first()
+    if odd.code or odd.name:
+        raise BadConfig(f"{odd.code} codes and {odd.name} names that can't be used")
+    return check_config(entries)
+
+
+def manifest(spark: SparkSession, path: str, *also: str) -> DataFrame:
+    """also (columns of the folders' names), path, sha256, fetched_at, broken: the lines of a manifest of fetched files, JSON lines in a file or folder. A line that isn't JSON has nothing but its text, in broken; a time that can't be read is null."""
+    names = "".join(f"{c} int, " for c in also)
+    lines = spark.read.schema(names + "path string, sha256 string, fetched_at string, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    sha = F.nullif(F.btrim("sha256"), F.lit(""))
+    return lines.select("*", F.expr("try_to_timestamp(fetched_at)").alias("at")).select(*also, "path", sha.alias("sha256"), F.col("at").alias("fetched_at"), "broken")
+
+
+def provenance(lines: DataFrame) -> DataFrame:
+    """source, digest, newest, files (those with a digest), malformed. Lines (source and those of a manifest) may come in any order: the digest is that of the digests of 256 parts of the sorted digests, so that no task holds all of a large source; it is null where there are none."""
+    part = lines.groupBy("source", F.substring("sha256", 1, 2).alias("k")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("d"), F.count("sha256").alias("n"), F.max("fetched_at").alias("newest"), F.count_if(F.col("broken").isNotNull()).alias("broken")
+    )
+    parts = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "d"))))  # 256 at most
+    digest = F.when(F.sum("n") > 0, F.sha2(F.array_join(F.transform(parts, lambda x: x["d"]), ""), 256))
+    return part.groupBy("source").agg(digest.alias("digest"), F.max("newest").alias("newest"), F.sum("n").alias("files"), F.sum("broken").alias("malformed"))
+
+
 def silver(raw: DataFrame, config: DataFrame) -> DataFrame:
     """series_code, period, value, with name, unit and frequency of its configuration (null where it has none). Text that isn't a number is no observation."""
     x = raw.select("series_code", "period", F.col("value").try_cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import numeric
+from tidelake.operators import gates
 from tidelake.operators.accumulation import decumulate
 from tidelake.sources import store
 
@@ -96,7 +97,7 @@ def build_gold(spark: SparkSession, sf_dir: str, root: str) -> None:
         own = decumulate(one, "ytd") if name == "ytd" else one.select("series_id", "period", "value", F.col("value").alias("value_reported"))
         one = own.select(F.lit(name).alias("source"), *store.OBSERVATION_COLUMNS)
         out = one if out is None else out.unionByName(one)
-    store.write_observations(out, root)
+    store.write_observations(out, root, gates.watched(out))
     store.write_catalog(describe(store.read_observations(spark, root), families(spark)), root)
 
 

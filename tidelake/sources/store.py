@@ -10,10 +10,10 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-CATALOG, OBSERVATIONS = "series_catalog", "series_observations"
+CATALOG, OBSERVATIONS, METRICS = "series_catalog", "series_observations", "store_metrics"
 #: Columns of the catalog, and of observations: value is a period's own figure, value_reported the published one.
 CATALOG_COLUMNS = (
     "series_id source source_ref name_tr raw_label measure_type statement_kind sector_scope currency_basis province unit_raw unit_normalized scale_factor cumulative_mode cumulative_evidence "
@@ -49,10 +49,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_observations(obs: DataFrame, root: str) -> None:
-    """obs (source and OBSERVATION_COLUMNS) replaces what is stored."""
+def write_observations(obs: DataFrame, root: str, watch: dict[str, Column] | None = None) -> None:
+    """obs (source and OBSERVATION_COLUMNS) replaces what is stored. watch: what is counted on the way, in the same pass, and kept as the store's metrics."""
     ranged = obs.select("source", *OBSERVATION_COLUMNS).repartitionByRange("source", "series_id").sortWithinPartitions("source", "series_id", "period")
+    seen = Observation() if watch else None
+    if seen:
+        ranged = ranged.observe(seen, *(e.alias(f"m{i}") for i, e in enumerate(watch.values())))  # after the last shuffle, so that no row is seen twice
     ranged.write.mode("overwrite").partitionBy("source").parquet(f"{root}/{OBSERVATIONS}")
+    if seen:
+        rows = [(name, seen.get[f"m{i}"]) for i, name in enumerate(watch)]
+        obs.sparkSession.createDataFrame(rows, "name string, n long").coalesce(1).write.mode("overwrite").parquet(f"{root}/{METRICS}")
+
+
+def read_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """name, n: what was counted when the observations were written."""
+    return spark.read.schema("name string, n long").parquet(f"{root}/{METRICS}")
 
 
 def read_observations(spark: SparkSession, root: str) -> DataFrame:
@@ -98,6 +109,16 @@ def opened(spark: SparkSession, sf_dir: str, build) -> str:
     return _OPEN.get((spark.sparkContext.applicationId, sf_dir)) or rebuilt(spark, sf_dir, build)
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Where the session's files of that name are; write(root) makes them the first time."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}|{name}")
+    if key not in _OPEN:
+        root = f"{shared_dir(spark)}/tidelake/{name}-{uuid.uuid4().hex}"
+        write(root)
+        _OPEN[key] = root
+    return _OPEN[key]
+
+
 def write_silver(points: DataFrame, root: str) -> DataFrame:
     """Points (series_code, period, value, retrieved_at) in the typed schema of the silver layer; what is stored is returned."""
     typed = points.select("series_code", F.col("period").cast("date"), F.col("value").cast("decimal(38,10)"), F.col("retrieved_at").cast("timestamp"))
