@@ -42,6 +42,34 @@ def key(rows):
     return Counter((r.doc_id, r.text, r.source, r["__row"], r.row_no) for r in rows)
 
 
+def table_by_row(spark, rows, labels):
+    """labels with the rows' numbers for ids."""
+    of = {}
+    for r in labels.collect():
+        of.setdefault(r.doc_id, []).append(r)
+    found = [(r.row_no, x.quality, x.toxic) for r in rows if r.doc_id is not None for x in of.get(r.doc_id, ())]
+    return spark.createDataFrame(found, "doc_id long, quality long, toxic long")
+
+
+def test_mixing_draws_rows_that_share_an_id_or_have_none(spark):
+    """300 toxic rows that share an id with a clean one each, 150 without an id and 150 with their own come out in the same share, the fitted one."""
+    rng = random.Random(5)
+    clean = lambda: " ".join(rng.choice(["sun", "tree", "river", "bread", "stone", "wind", "house", "road"]) for _ in range(40))
+    toxic = lambda: " ".join(rng.choice(["sun", "tree", "river", "scum", "trash", "moron", "vile", "filth"]) for _ in range(40))
+    rows = [(i, clean(), "clean") for i in range(3000)] + [(i, toxic(), "shared") for i in range(300)] + [(None, toxic(), "none") for _ in range(150)] + [(10_000 + i, toxic(), "own") for i in range(150)] + [(20_000 + i, toxic(), "told") for i in range(60)]
+    table = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "doc_id long, text string, kind string, __copies int, __copy int, __block int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1000, 1200)] + [(20_000 + i, 1, 1) for i in range(60)], "doc_id long, quality int, toxic int")
+    rate = {(r.tokens, round(r.p_toxic)): r.rate for r in mixing.mix(table, labels).collect()}
+    assert rate[40, 1] < 0.3
+    out = mixing.apply_mix(table, labels)
+    assert out.columns == table.columns
+    got = Counter(r.kind for r in out.collect())
+    for kind, n in (("shared", 300), ("none", 150), ("own", 150)):
+        want = rate[40, 1] * n
+        assert abs(got[kind] - want) <= 4 * want**0.5 + 1, (kind, got[kind], want)
+    assert abs(got["clean"] - 3000 * rate[40, 0]) <= 4 * (3000 * 0.25) ** 0.5
+
+
 def test_stages_against_plain_versions(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     columns = docs.columns
@@ -88,15 +116,16 @@ def test_stages_against_plain_versions(spark, tables):
     assert set(left) == set(group.values()) and set(left.values()) == {1} and len(single) < len(clean) - 15
     assert sum(r.doc_id == 5 for r in single) >= 3 and sum(r.doc_id is None for r in single) >= 1  # other texts of an id stay
 
-    # mixing: as many copies of each row as the fitted rates say
-    rates = mixing.mix(spark.createDataFrame([tuple(r) for r in single], SCHEMA), table).collect()
-    most = {}
-    for r in rates:
-        most[r.doc_id] = max(most.get(r.doc_id, 0), r.copies)
-    want = Counter()
+    # mixing: each row as often as its own rate, rounded up or down, says; a rate is that of a text, whatever the row's id
+    rates = {r.doc_id: r for r in mixing.mix(spark.createDataFrame([(r.row_no, r.text) for r in single], "doc_id long, text string"), table_by_row(spark, single, table)).collect()}
+    out = Counter(r.row_no for r in mixed)
+    assert set(key(mixed)) <= set(key(single))
     for r in single:
-        want[(r.doc_id, r.text, r.source, r["__row"], r.row_no)] += 1 if r.doc_id is None else most[r.doc_id]
-    assert key(mixed) == +want
+        assert out[r.row_no] in (int(rates[r.row_no].rate), int(rates[r.row_no].rate) + 1)
+    for d in mixing.DOMAINS:  # totals of tokens by domain
+        total = sum(r.tokens for r in rates.values())
+        got = sum(out[i] * r.tokens * r[f"p_{d}"] for i, r in rates.items())
+        assert abs(got - sum(r.rate * r.tokens * r[f"p_{d}"] for r in rates.values())) < 0.1 * total
 
     # packing: each id of each row lies in one piece, sequences have no holes
     from tokenizers import Tokenizer

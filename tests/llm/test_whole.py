@@ -48,7 +48,7 @@ def test_language_model_sees_the_order_of_words(spark):
 def test_sharded_model_judges_each_row(spark):
     good = ["the cat sat on the mat and the dog sat on the cat"] * 100
     rows = [(i, t, "en", i * 10) for i, t in enumerate(good)] + [(7, "#!%XQZ" * 20, "en", 1), (None, "#!%XQZ" * 20, "en", 2), (None, good[0], None, 3)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, other int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, __block int")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(100) if i != 7], "doc_id long, quality int, toxic int")
     one, two = (sorted((str(tuple(r)) for r in quality_lm.keep(table, labels, **how).collect())) for how in ({}, {"broadcast": 0}))
     assert one == two and len(one) == 101

@@ -7,9 +7,14 @@ projected gradient steps. The gradient of a rate is its posteriors times the tot
 times one vector; nothing is stored between steps, and a step is one pass over (tokens, posteriors) that returns a vector from each task. Steps are taken in
 the metric of the curvature and projected from their sum, which ends in few passes; of all fits the one nearest to rates of 1 is found.
 
+A step is thus a Newton step, damped by trying several lengths, on the dual of the projected least squares; projected gradient steps on the rates end in the same point.
+
+A row is a document: its rate follows from its text, and how often it is seen is drawn by its id and its place in its part of the table, so rows that share an id, or have none,
+are drawn each. The mixed table is made in one pass over the documents, without a join.
+
 Defined cases: null and empty texts have no tokens and the priors as posteriors; their rate counts for nothing in the fit. Documents without a label,
 or an id, are scored like all others. Of repeated labels the worst counts. Without labels every domain is as likely as any other. Repeated rows get a rate
-each. An empty table gives an empty result.
+each. An empty table gives an empty result. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ import warnings
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import IdFilter, Scratch, map_batches, trusted_labels, words
+from tidelake.llm.common import IdFilter, Scratch, give_back, map_batches, trusted_labels, words
 
 DOMAINS = ("clean", "low", "toxic")
 #: Production targets: shares of the tokens that come out, and their number as a multiple of those that go in.
@@ -43,19 +49,35 @@ class Buckets(dict):
         return value
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tokens, held): the number of words and the distinct buckets of the lower-cased words."""
-    buckets = Buckets()
+class Features:
+    """In a task: for each text of its batches, in order, the number of words, the distinct buckets of the lower-cased words, and a draw from 0 to 1 by the row's id and place."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        tokens, held = [], []
-        for t in batch.column(text).to_pylist():
+    def __init__(self):
+        self.buckets, self.seen = Buckets(), 0
+
+    def __call__(self, ids: list[int | None], texts: list[str | None]) -> tuple[list[int], list[bytes], list[float]]:
+        tokens, held, part = [], [], TaskContext.get().partitionId()
+        for t in texts:
             w = words(t)
             tokens.append(len(w))
-            held.append(np.fromiter(set(map(buckets.__getitem__, {x.lower() for x in w})), "<u2").tobytes())
-        return {"doc_id": batch.column(doc_id), "tokens": tokens, "held": held}
+            held.append(np.fromiter(set(map(self.buckets.__getitem__, {x.lower() for x in w})), "<u2").tobytes())
+        draws = [xxhash.xxh64_intdigest(f"{i} {part} {k}", 11) / 2**64 for k, i in enumerate(ids, self.seen)]
+        self.seen += len(texts)
+        return tokens, held, draws
+
+
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, tokens, held, u): the number of words, the distinct buckets of the lower-cased words, and the draw."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("held", pa.binary()), ("u", pa.float64())])
+
+    def run(batches):
+        of = Features()
+        for batch in batches:
+            tokens, held, u = of(batch.column("id").to_pylist(), batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.int64()), pa.array(held, pa.binary()), pa.array(u)], schema=schema)
+        give_back()
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), run, "doc_id long, tokens long, held binary")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, tokens long, held binary, u double")
 
 
 def train(held: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -81,20 +103,25 @@ def train(held: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.log((sums[:, BUCKETS] + 1) / (sums[:, BUCKETS] + 1).sum()), np.log(seen / seen.sum(1, keepdims=True))
 
 
+def posterior(held: list[bytes], prior: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Probabilities of the domains, a row for each text."""
+    out = np.empty((len(held), len(prior)))
+    for i, raw in enumerate(held):
+        at = np.frombuffer(raw, "<u2")
+        z = prior + (TEMPER * len(at) ** 0.5 * model[:, at].mean(1) if len(at) else 0)
+        e = np.exp(z - z.max())
+        out[i] = e / e.sum()
+    return out
+
+
 def posteriors(held: DataFrame, prior: np.ndarray, model: np.ndarray) -> DataFrame:
-    """(doc_id, tokens, p: probabilities of the domains)."""
+    """(doc_id, tokens, u, p: probabilities of the domains)."""
     shared = held.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # fixed size
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = []
-        for raw in batch.column("held").to_pylist():
-            at = np.frombuffer(raw, "<u2")
-            z = prior + (TEMPER * len(at) ** 0.5 * shared.value[:, at].mean(1) if len(at) else 0)
-            e = np.exp(z - z.max())
-            out.append(e / e.sum())
-        return {"doc_id": batch.column("doc_id"), "tokens": batch.column("tokens"), "p": out}
+        return {c: batch.column(c) for c in ("doc_id", "tokens", "u")} | {"p": list(posterior(batch.column("held").to_pylist(), prior, shared.value))}
 
-    return map_batches(held, run, "doc_id long, tokens long, p array<double>")
+    return map_batches(held, run, "doc_id long, tokens long, u double, p array<double>")
 
 
 def rates(p: np.ndarray, push: np.ndarray) -> np.ndarray:
@@ -146,28 +173,44 @@ def fit(docs: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float =
     return push[0]
 
 
-def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """doc_id, tokens, p_<domain>, rate, copies (rate, rounded up or down by a hash of the id so that its expectation is the rate)."""
+def _fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, targets: dict[str, float], budget: float) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, tokens, u, p) of docs, and what gives each row its rate: priors, model, and the sum of steps."""
     tmp = Scratch(docs.sparkSession, "mixing")
     held = tmp.cut(features(docs, doc_id, text), "features")
-    post = posteriors(held, *train(held, labels))
+    prior, model = train(held, labels)
     n = held.count()
-    post = tmp.cut(post.repartition(max(6, -(-n // ROWS))), "posteriors")
+    post = tmp.cut(posteriors(held, prior, model).repartition(max(6, -(-n // ROWS))), "posteriors")
+    tmp.drop("features")
     total = post.agg(F.sum("tokens")).first()[0] or 0
-    push = fit(post, np.array([targets[d] for d in DOMAINS]) * budget * total)
+    return post, prior, model, fit(post, np.array([targets[d] for d in DOMAINS]) * budget * total)
+
+
+def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """doc_id, tokens, p_<domain>, rate, copies (rate, rounded up or down by the row's draw so that its expectation is the rate)."""
+    post, _, _, push = _fitted(docs, labels, doc_id, text, targets, budget)
 
     def run(batch: pa.RecordBatch) -> dict:
         p = batch.column("p").values.to_numpy().reshape(batch.num_rows, -1)
         rate = rates(p, push)
-        u = np.array([xxhash.xxh64_intdigest(str(i), 11) / 2**64 for i in batch.column("doc_id").to_pylist()])
-        return {"doc_id": batch.column("doc_id"), "tokens": batch.column("tokens"), "rate": rate, "copies": np.floor(rate + u).astype(np.int64)} | {f"p_{d}": p[:, i] for i, d in enumerate(DOMAINS)}
+        return {"doc_id": batch.column("doc_id"), "tokens": batch.column("tokens"), "rate": rate, "copies": np.floor(rate + batch.column("u").to_numpy()).astype(np.int64)} | {f"p_{d}": p[:, i] for i, d in enumerate(DOMAINS)}
 
     return map_batches(post, run, "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double, copies long")
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """docs with each row as often as its copies say, none for 0. The copies of rows that share an id go by the largest; rows without an id are seen once."""
-    tmp = Scratch(docs.sparkSession, "mixed")
-    copies = tmp.cut(mix(docs, labels, doc_id, text, targets, budget).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id"), "copies")
-    many = docs.join(copies.hint("merge"), docs[doc_id].cast("long") == copies["__id"], "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
-    return many.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    """docs with each row as often as its own rate says, none for 0."""
+    _, prior, model, push = _fitted(docs, labels, doc_id, text, targets, budget)
+    shared, schema = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32)), docs.schema
+
+    def run(batches):
+        of = Features()
+        for batch in batches:
+            if batch.num_rows:
+                _, held, u = of(batch.column(doc_id).to_pylist(), batch.column(text).to_pylist())
+                copies = np.floor(rates(posterior(held, prior, shared.value), push) + u).astype(np.int64)
+                rows = np.repeat(np.arange(batch.num_rows), copies)
+                for s in range(0, len(rows), batch.num_rows):  # no output batch has more rows than its input
+                    yield batch.take(pa.array(rows[s : s + batch.num_rows]))
+        give_back()
+
+    return docs.mapInArrow(run, schema)

@@ -273,21 +273,22 @@ def _sharded(docs: DataFrame, judge: Judge, tmp: Scratch, answer: Callable[[pa.T
     order = judge.order
     n, chars = docs.agg(F.count("*"), F.sum(F.length(text))).first()
     blocks = max(1, -(-n // BLOCK_DOCS), -(-(chars or 0) // BLOCK_CHARS))
-    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)))
+    own = "__block" + "_" * max(map(len, docs.columns))  # no column of docs
+    dealt = docs.withColumn(own, F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)))
 
     def ask(rows: pa.Table) -> pa.Table:
         keys = needed_keys([b" ".join(w) for t in rows.column("text").to_pylist() if (w := words(t))], order)
         return pa.Table.from_pydict({"block": np.repeat(rows.column("block")[:1].to_numpy(), len(keys)), "key": keys})
 
-    asked = dealt.select(F.col("__block").alias("block"), F.col(text).alias("text")).groupBy("block").applyInArrow(ask, "block long, key long")
+    asked = dealt.select(F.col(own).alias("block"), F.col(text).alias("text")).groupBy("block").applyInArrow(ask, "block long, key long")
     told = tmp.cut(asked.join(judge.table.hint("merge"), "key").select("block", "key", "value"), "told")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("key").to_numpy()
         by = np.argsort(keys)
-        return answer(left.drop_columns(["__block"]), Model(keys[by], right.column("value").to_numpy()[by], order))
+        return answer(left.drop_columns([own]), Model(keys[by], right.column("value").to_numpy()[by], order))
 
-    return dealt.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    return dealt.groupBy(own).cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:
