@@ -2,10 +2,11 @@
 
 One hash function maps a text's shingles to 64-bit values; the k smallest are its sketch. Texts with the same shingle set become one class.
 The values that class sketches retain, ordered from the rarest, give inverted lists: two sets that are similar enough share, but for a chance of
-about three in ten million, one of their first values in that order (the prefix bound on their sketches' overlap). Pairs from the lists are filtered by
-the similarity that the sketch of the union estimates, and the rest are verified by the exact Jaccard similarity of their full sets.
+at most TAIL, one of their first values in that order (the prefix bound on their sketches' overlap). Pairs from the lists are filtered by the
+similarity that the sketch of the union estimates, which loses a similar pair with a chance of at most TAIL again, and the rest are verified by the exact
+Jaccard similarity of their full sets. Both chances are exact binomial tails for pairs just at the bound; of more similar pairs fewer are missed.
 
-The members of long lists are listed again by the rarest values of their whole sets, of which similar sets must share one without any chance. Lists
+The members of long lists are listed again by the rarest values of their whole sets, of which similar sets must share one; what meets there is counted in full, without an estimate. Lists
 that are still long (large groups of near copies) aren't expanded into all pairs: their members meet a few centres, those with the most common values,
 and the links found give components. A list within one component is done; in the others the members outside the largest component meet all others, in
 blocks, by their full sets. That last step is quadratic in the members of a list that are linked with none of its centres.
@@ -16,6 +17,7 @@ linked with nothing and are kept. Rows that repeat an id are returned each, in t
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -31,7 +33,8 @@ SHINGLE, SKETCH, PERCENT = 5, 48, 85
 SHORT = 16
 #: Centres of a long list; members of a block.
 CENTRES, BLOCK = 8, 64
-SIGMAS = 5
+#: The chance that a sketch's prefix, or its estimate, misses a pair just at the bound.
+TAIL = 1e-8
 #: Edges that one task joins by itself, 16 bytes each.
 HELD_EDGES = 2_000_000
 
@@ -76,10 +79,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
+def least_shared(k: int, percent: int = PERCENT, tail: float = TAIL) -> int:
+    """How many of the k smallest values of the union two sets at the bound share at least, but for a chance of tail: the exact binomial tail."""
+    p, below, c = percent / 100, 0.0, 0
+    while c < k and (below := below + math.comb(k, c) * p**c * (1 - p) ** (k - c)) <= tail:
+        c += 1
+    return max(1, c)
+
+
 def prefix_length(k: int, percent: int = PERCENT) -> int:
     """How many of a sketch's k values, rarest first, meet those of any similar set but for chance."""
-    j = percent / 100
-    return k - max(1, math.floor(k * j - SIGMAS * math.sqrt(k * j * (1 - j)))) + 1
+    return k - least_shared(k, percent) + 1
 
 
 def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -103,18 +114,14 @@ def _lists(values: DataFrame, least: Column, tmp: Scratch, name: str) -> DataFra
     return ranked.select("rep", "h", "n", F.size("x").alias("cap"), "score", first.alias("first")).where("size(first) > 0")
 
 
-def _estimated(a: np.ndarray, b: np.ndarray, low: float) -> bool:
-    """Whether the similarity that the sketch of the union estimates reaches low. a, b: sorted sets, or their sketches."""
+def _estimated(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the sketch of the union allows the bound. a, b: sorted sketches."""
     both = np.concatenate((a[:SKETCH], b[:SKETCH]))
     both.sort()
     twice = both[1:] == both[:-1]
     k = min(SKETCH, len(both) - int(twice.sum()))
     inside = np.cumsum(np.concatenate(([True], ~twice))) <= k
-    return int((twice & inside[1:]).sum()) >= low * k
-
-
-def _low(percent: int) -> float:
-    return percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
+    return int((twice & inside[1:]).sum()) >= least_shared(k, percent)
 
 
 def _overlapping(lists: DataFrame, percent: int) -> DataFrame:
@@ -123,7 +130,6 @@ def _overlapping(lists: DataFrame, percent: int) -> DataFrame:
     own = lists.select("rep", "sketch", F.transform(own, lambda x: x["v"]).alias("own"))
     spots = own.select("rep", "sketch", F.expr("aggregate(own, 0L, (m, v) -> m | shiftleft(1L, cast(array_position(sketch, v) - 1 AS INT)))").alias("spots"), F.explode("own").alias("lid"))
     groups = spots.groupBy("lid").agg(F.collect_list(F.struct("rep", "sketch", "spots")).alias("x")).where("size(x) > 1")
-    low = _low(percent)
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"a": [], "b": []}
@@ -137,7 +143,7 @@ def _overlapping(lists: DataFrame, percent: int) -> DataFrame:
                 s = values[ends[i] : ends[i + 1]]
                 own = {v for j, v in enumerate(s.tolist()) if spots[i] >> j & 1}
                 for rep, t, other in members:
-                    if min(own & other) == lid and rep != reps[i] and _estimated(s, t, low):
+                    if min(own & other) == lid and rep != reps[i] and _estimated(s, t, percent):
                         out["a"].append(min(rep, reps[i]))
                         out["b"].append(max(rep, reps[i]))
                 members.append((reps[i], s, own))
@@ -170,23 +176,19 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, tmp:
 
 
 def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough; pairs whose estimate is far below the bound aren't counted through."""
+    """Those of pairs (a, b) whose full sets are similar enough; all are counted through."""
     one = lambda side: full.select(F.col("rep").alias(side), F.col("full").alias(f"full_{side}"))
     both = pairs.join(one("a").hint("merge"), "a").join(one("b").hint("merge"), "b")
-    low = _low(percent)
 
     def run(batch: pa.RecordBatch) -> dict:
         a, b, keep = batch.column("full_a"), batch.column("full_b"), []
         va, oa, vb, ob = a.values.to_numpy(), a.offsets.to_numpy(), b.values.to_numpy(), b.offsets.to_numpy()
         for i in range(batch.num_rows):
             x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-            good = _estimated(x, y, low)
-            if good:
-                both = np.concatenate((x, y))
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                good = inter * 100 >= (len(both) - inter) * percent
-            keep.append(good)
+            both = np.concatenate((x, y))
+            both.sort()
+            inter = int((both[1:] == both[:-1]).sum())
+            keep.append(inter * 100 >= (len(both) - inter) * percent)
         return {c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}
 
     return map_batches(both, run, "a long, b long")
@@ -322,7 +324,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     classes = classes.withColumn("h", F.xxhash64("fp"))
     k = F.least(F.col("n"), F.lit(SKETCH))
-    least = F.greatest(F.lit(1), F.floor(k * percent / 100 - SIGMAS * F.sqrt(k * percent * (100 - percent) / 10_000)))
+    least = F.element_at(F.array(*(F.lit(least_shared(i, percent)) for i in range(1, SKETCH + 1))), k)
     lists = _lists(classes.select("rep", "h", "n", F.explode("sketch").alias("v")), least, tmp, "sketch")
     lists = tmp.cut(lists.join(classes.select("rep", "h", "sketch").hint("merge"), ["rep", "h"]), "lists")
     pairs = tmp.cut(_overlapping(lists, percent), "pairs")
