@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import Scratch, give_back, map_batches
+from tidelake.llm.common import Scratch, map_batches
+from tidelake.llm.resampling import pack, unpack
 
 #: Buckets of terms, a power of two; factors of a term; lengths of the beginnings of words.
 BUCKETS, FACTORS, STEMS = 1 << 18, 4, (4, 5)
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def spelt(batch: pa.RecordBatch) -> dict:
         found = [terms(t, known) for t in batch.column("text").to_pylist()]
-        return {"h": batch.column("h"), "y": batch.column("y"), "n": list(map(len, found)), "terms": [x.tobytes() for x in found]}
+        return {"h": batch.column("h"), "y": batch.column("y"), "n": list(map(len, found)), "terms": [pack(x, True) for x in found]}
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")  # about sample ids at most
     rows = tmp.cut(map_batches(chosen.select(F.xxhash64("id").alias("h"), "y", "text"), spelt, "h long, y int, n int, terms binary"), "rows")
@@ -172,21 +173,29 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     positive = positive or 0
     shards = max(1, -(-n // shard), -(-(size or 0) // SHARD_TERMS))
     model = Model(math.log((positive + 0.5) / (n - positive + 1.5)))
-    dealt = rows.withColumn("shard", F.pmod("h", F.lit(shards)))
+
+    def gathered(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("terms", "ascending")])
+        return pa.Table.from_pydict({"y": pa.array([t.column("y").to_pylist()], pa.list_(pa.int32())), "terms": pa.array([t.column("terms").to_pylist()], pa.list_(pa.binary()))})
+
+    # a shard is one row from here on, so that rounds don't shuffle
+    dealt = rows.select("h", "y", "terms").groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(gathered, "y array<int>, terms array<binary>")
+    dealt = tmp.cut(dealt, "shards")
 
     def mean(t: pa.Table) -> pa.Table:
         return pa.Table.from_pydict({"part": t.column("part")[:1], "data": [np.mean([np.frombuffer(x, np.float32) for x in t.column("data").to_pylist()], 0, np.float32).tobytes()]})
 
     def trained(k: int, shared):
-        def one(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("h", "ascending"), ("terms", "ascending")])
-            own = Model.of({i: x.tobytes() for i, x in enumerate(shared.value.parts())})
-            found = [np.frombuffer(x, np.int32) for x in t.column("terms").to_pylist()]
-            own.seen = np.bincount(np.concatenate(found), minlength=len(own.z)).astype(np.float32)
-            fit(own, found, t.column("y").to_numpy().astype(float), seed=k)
-            parts = own.parts()
-            out = pa.Table.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "data": [np.ascontiguousarray(x, np.float32).tobytes() for x in parts]})
-            give_back()
+        def one(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {"part": [], "data": []}
+            for y, packed in zip(batch.column("y").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                own = Model.of({i: x.tobytes() for i, x in enumerate(shared.value.parts())})
+                found = [unpack(x, True).astype(np.int32) for x in packed]
+                own.seen = np.bincount(np.concatenate(found), minlength=len(own.z)).astype(np.float32)
+                fit(own, found, np.array(y, float), seed=k)
+                for i, x in enumerate(own.parts()):
+                    out["part"].append(i)
+                    out["data"].append(np.ascontiguousarray(x, np.float32).tobytes())
             return out
 
         return one
@@ -195,10 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         if k == rounds[0]:
             model.begin(model.seen * shards >= LEAST_SEEN)
         shared = spark.sparkContext.broadcast(model)
-        told = dealt.groupBy("shard").applyInArrow(trained(k, shared), "part int, data binary").groupBy("part").applyInArrow(mean, "part int, data binary")
+        told = map_batches(dealt, trained(k, shared), "part int, data binary").groupBy("part").applyInArrow(mean, "part int, data binary")
         model = Model.of({r["part"]: r["data"] for r in told.toArrow().to_pylist()})
         shared.destroy()
-    tmp.drop("rows", "truth")
+    tmp.drop("rows", "truth", "shards")
     return model
 
 
