@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from tidelake.plans import answers, bulletins, frames, gates, questions, retrieval, series, tools, words  # noqa: F401  they register themselves
+    from tidelake.plans import answers, bulletins, frames, gates, questions, retrieval, series, streams, tools, words  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

@@ -86,7 +86,7 @@ class TreeReader(DataSourceReader):
             if info.type == pafs.FileType.Directory:
                 when = FOLDER.fullmatch(name)
                 day = _date(*(when.group(1, 2) + (None,) if when[1] else when.group(3, 4, 5))) if when else None
-                if not name.startswith("_") and (day is None or self.fits(period=day)):
+                if not name.startswith("_") and (when is None or (day is not None and self.fits(period=day))):
                     yield from self._walk(fs, info.path, base)
             elif at := self.layout.fullmatch(info.path[len(base) :].lstrip("/")):
                 x = at.groupdict()
