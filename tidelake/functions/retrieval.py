@@ -30,6 +30,14 @@ def _stems(words: str) -> Column:
     return F.explode(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, txt.MIN_STEM))))
 
 
+def lexical_scores(questions: DataFrame, labels: DataFrame) -> DataFrame:
+    """(qid, id, score) of the questions (qid, q: tokens) and labels (id, c: tokens) that share a stem; all other pairs score 0. Each kind of token array is scored once, however many labels have it."""
+    kinds = labels.groupBy("c").agg(F.min("id").alias("kind"))
+    near = questions.select("qid", _stems("q").alias("stem")).join(kinds.select("kind", _stems("c").alias("stem")), "stem").select("qid", "kind").distinct()
+    scored = near.join(questions, "qid").join(kinds, "kind").select("qid", "c", txt.lexical_score(F.col("q"), F.col("c")).alias("score")).where("score > 0")
+    return scored.join(labels, "c").select("qid", "id", "score")
+
+
 def scores(questions: DataFrame, known: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(id, asked, and the columns of known, score) of the concepts near a question. Pairs come from an inverted index of stems, so none is made that shares nothing."""
     asked = questions.select("id", txt.tokenize(F.col("s")).alias("asked")).where(F.size("asked") > 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +25,29 @@ FOLD_FROM, FOLD_TO = "çğıöşüâîû", "cgiosuaiu"
 TRAILERS = r"\s*\(\d+(?:\s*[-+]\s*\d+)+\)|\s*\(\d+\s+den\s+\d+'?[a-zçğıöşü]*\)|\s*\(\*+\)|\s*\*+"
 
 
+def _composed() -> list[tuple[str, str]]:
+    """Letters of the Latin blocks that are spelt as a letter and one mark, with that spelling; marks of letters that have one already come after."""
+    found = []
+    for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.decomposition(chr(i)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.append((len(unicodedata.normalize("NFD", chr(i))), "".join(chr(int(x, 16)) for x in parts), chr(i)))
+    return [(a, b) for _, a, b in sorted(found)]
+
+
+#: Lines of three characters: a letter, its mark, what they are together.
+COMPOSED = "\n".join(a + b for a, b in _composed())
+
+
+def compose(text: Column) -> Column:
+    """Letters that are spelt with combining marks as the one letter they are. Text without marks, nearly all, is left as it is; marks must stand in their canonical order."""
+    each = F.split(F.lit(COMPOSED), "\n")
+    mended = F.aggregate(each, text, lambda s, x: F.replace(s, F.substring(x, 1, 2), F.substring(x, 3, 1)))
+    return F.when(text.rlike(r"\p{M}"), mended).otherwise(text)
+
+
 def casefold(text: Column) -> Column:
-    return F.lower(F.translate(text, "Iİ", "ıi"))
+    return F.lower(F.translate(compose(text), "Iİ", "ıi"))
 
 
 def slugify(text: Column) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.functions import text as txt
+
+#: Lines of a balance sheet that are profits of the year so far.
+INCOME_LINES = ("dönem karı (zararı)", "dönem net karı (zararı)")
 RESET_DROP, MIN_RESET_RATIO, MIN_POINTS = 0.5, 0.6, 13
 CLOSURE_TOLERANCE = 0.005
 
@@ -60,8 +64,9 @@ def classify(obs: DataFrame) -> DataFrame:
 
 
 def resolve_by_statement(df: DataFrame) -> DataFrame:
-    """Column mode resolved by statement_kind where the pattern left it ambiguous; verified_by says which of them decided."""
-    by = F.when(F.col("statement_kind") == "income_statement", "ytd").when(F.col("statement_kind").isin("balance_sheet", "off_balance_sheet", "ratio"), "none")
+    """Column mode resolved by statement_kind where the pattern left it ambiguous; verified_by says which of them decided. The profit lines of a balance sheet (by label, if there is one) accumulate like those of an income statement."""
+    profit = txt.casefold(F.btrim("label")).isin(*INCOME_LINES) if "label" in df.columns else F.lit(False)
+    by = F.when((F.col("statement_kind") == "income_statement") | profit, "ytd").when(F.col("statement_kind").isin("balance_sheet", "off_balance_sheet", "ratio"), "none")
     resolved = F.when(F.col("mode") != "ambiguous", F.col("mode")).otherwise(F.coalesce(by, F.col("mode")))
     verified = F.when(F.col("mode") != "ambiguous", "pattern").when(by.isNotNull(), "statement").otherwise("")
     return df.withColumn("resolved", resolved).withColumn("verified_by", verified)

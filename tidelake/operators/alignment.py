@@ -55,11 +55,13 @@ def observed_frequency(obs: DataFrame) -> DataFrame:
     return found.select("series_id", F.when(mid.between(25, 35), "monthly").when(mid.between(6, 8), "weekly").when(mid.between(1, 5), "daily").otherwise("unknown").alias("frequency"))
 
 
-def contiguous(obs: DataFrame) -> DataFrame:
-    """series_id, contiguous: whether a monthly series misses no month between its ends."""
+def contiguous(obs: DataFrame, freq: Column | str = "M") -> DataFrame:
+    """series_id, contiguous: whether a series misses no period between its ends, by its frequency: M one month, W seven days, D one to three days (a weekend), Q three months. Of another frequency nothing is contiguous beyond one observation."""
     own = Window.partitionBy("series_id").orderBy("period")
-    step = F.months_between("period", F.lag("period").over(own)) == 1
-    return obs.withColumn("step", step).groupBy("series_id").agg(F.coalesce(F.bool_and("step"), F.lit(True)).alias("contiguous"))
+    last = F.lag("period").over(own)
+    days, freq = F.date_diff("period", last), F.lit(freq) if isinstance(freq, str) else freq
+    step = F.when(freq == "M", F.months_between("period", last) == 1).when(freq == "W", days == 7).when(freq == "D", days.between(1, 3)).when(freq == "Q", F.months_between("period", last) == 3).otherwise(False)
+    return obs.withColumn("step", F.when(last.isNotNull(), step)).groupBy("series_id").agg(F.coalesce(F.bool_and("step"), F.lit(True)).alias("contiguous"))
 
 
 def spine_join(spine: DataFrame, obs: DataFrame, key: str, on: list[str] = ["period"]) -> DataFrame:  # noqa: B006  never changed

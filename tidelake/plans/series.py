@@ -20,7 +20,7 @@ from tidelake.sources.lake import SQL
 
 
 _GOLD = SQL + (
-    ", f(family, source_ref, label) AS (VALUES " + ", ".join(f"('{x[0]}', '{x[8]}', '{x[9]}')" for x in lake.FAMILIES) + "), "
+    ", f(family, source_ref, label) AS (VALUES " + ", ".join(f"('{x[0]}', '{x[7]}', '{x[8]}')" for x in lake.FAMILIES) + "), "
     "u(k, symbol, scale) AS (VALUES " + ", ".join(f"('{k}', '{x}', {v}::DOUBLE)" for k, (x, v) in numeric.UNITS.items()) + "), "
     "g AS (SELECT c.*, source_ref, label, split_part(series_id, '.', 2) AS tail, coalesce(symbol, '') AS symbol, coalesce(scale, 1.0) AS scale FROM catalog c JOIN f USING (family) LEFT JOIN u ON k = unit) "
     "SELECT series_id, family AS source, source_ref, label || ' ' || tail AS name_tr, label AS raw_label, measure_type, statement_kind, 'Sektör' AS sector_scope, 'Toplam' AS currency_basis, province, unit AS unit_raw, symbol AS unit_normalized, "
@@ -378,9 +378,10 @@ def win_classify_mode(spark, sf):
     return acc.classify(both).select("series_id", "n", "opportunities", "resets", "mode")
 
 
-@query(CLASSIFY + ", m AS (SELECT series_id, CASE WHEN n < 13 THEN 'ambiguous' WHEN c > 0 AND r >= 0.6 * c THEN CASE WHEN ms >= greatest(1, ys - 2) THEN 'ytd' ELSE 'ambiguous' END WHEN mono THEN 'ambiguous' ELSE 'none' END AS mode, CASE WHEN series_id LIKE 'stock%' THEN 'balance_sheet' ELSE 'income_statement' END AS statement_kind FROM sums) SELECT series_id, mode, CASE WHEN mode <> 'ambiguous' THEN mode WHEN statement_kind = 'income_statement' THEN 'ytd' ELSE 'none' END AS resolved, CASE WHEN mode <> 'ambiguous' THEN 'pattern' ELSE 'statement' END AS verified_by FROM m")
+@query(CLASSIFY + ", m AS (SELECT series_id, CASE WHEN n < 13 THEN 'ambiguous' WHEN c > 0 AND r >= 0.6 * c THEN CASE WHEN ms >= greatest(1, ys - 2) THEN 'ytd' ELSE 'ambiguous' END WHEN mono THEN 'ambiguous' ELSE 'none' END AS mode, CASE WHEN series_id LIKE 'stock%' THEN 'balance_sheet' ELSE 'income_statement' END AS statement_kind, CASE WHEN series_id LIKE '%2' THEN ' Dönem NET Karı (Zararı)' ELSE series_id END AS label FROM sums) SELECT series_id, mode, CASE WHEN mode <> 'ambiguous' THEN mode WHEN statement_kind = 'income_statement' OR lower(trim(label)) = 'dönem net karı (zararı)' THEN 'ytd' ELSE 'none' END AS resolved, CASE WHEN mode <> 'ambiguous' THEN 'pattern' ELSE 'statement' END AS verified_by FROM m")
 def prj_statement_mode(spark, sf):
     x = win_classify_mode(spark, sf).withColumn("statement_kind", F.when(F.startswith("series_id", F.lit("stock")), "balance_sheet").otherwise("income_statement"))
+    x = x.withColumn("label", F.when(F.endswith("series_id", F.lit("2")), " Dönem NET Karı (Zararı)").otherwise(F.col("series_id")))  # a profit line of the balance sheet
     return acc.resolve_by_statement(x).select("series_id", "mode", "resolved", "verified_by")
 
 
@@ -414,9 +415,20 @@ def agg_obs_freq(spark, sf):
     return al.observed_frequency(lake.observations(spark, sf))
 
 
-@query(SQL + "SELECT series_id, coalesce(bool_and(step), TRUE) AS contiguous FROM (SELECT series_id, CASE WHEN lag(period) OVER w IS NULL THEN NULL ELSE lag(period) OVER w = period - INTERVAL 1 MONTH END AS step FROM flow WINDOW w AS (PARTITION BY series_id ORDER BY period)) GROUP BY 1")
+@query(
+    SQL + ", d AS (SELECT DISTINCT 'events.' || event_type || k AS series_id, CAST(ts AS DATE) AS period, 'D' AS f FROM events, (VALUES ('', 1), ('.workdays', 6), ('.odd', 2)) v(k, m) WHERE m = 1 OR (m = 6 AND isodow(ts) < 6) OR (m = 2 AND day(ts) NOT IN (11, 12, 13))), "
+    "a AS (SELECT series_id, period, 'M' AS f FROM flow UNION ALL SELECT series_id, period, 'W' FROM rate UNION ALL SELECT series_id || '.torn', period, 'W' FROM rate WHERE week(period) <> 9 UNION ALL SELECT series_id, period, 'Q' FROM parts UNION ALL SELECT * FROM d), "
+    "s AS (SELECT *, lag(period) OVER (PARTITION BY series_id ORDER BY period) AS p FROM a) "
+    "SELECT series_id, coalesce(bool_and(CASE WHEN p IS NULL THEN NULL WHEN f = 'M' THEN p = period - INTERVAL 1 MONTH WHEN f = 'W' THEN period - p = 7 WHEN f = 'D' THEN period - p BETWEEN 1 AND 3 ELSE p = period - INTERVAL 3 MONTH END), TRUE) AS contiguous FROM s GROUP BY 1"
+)
 def win_contiguous(spark, sf):
-    return al.contiguous(lake.flow(spark, sf))
+    """Series of all frequencies: months, weeks (and a copy that misses some), quarters, days, working days, and days of which some are missing."""
+    of = lambda x, f, tail="": x.select(F.concat("series_id", F.lit(tail)).alias("series_id"), "period", F.lit(f).alias("f"))
+    rate = lake.weekly_rate(spark, sf)
+    day = lake.table(spark, sf, "events").select(F.concat(F.lit("events."), "event_type").alias("series_id"), F.col("ts").cast("date").alias("period")).distinct()
+    x = of(lake.flow(spark, sf), "M").union(of(rate, "W")).union(of(rate.where("weekofyear(period) <> 9"), "W", ".torn")).union(of(lake.quarterly_count(spark, sf), "Q"))
+    x = x.union(of(day, "D")).union(of(day.where("weekday(period) < 5"), "D", ".workdays")).union(of(day.where("day(period) NOT IN (11, 12, 13)"), "D", ".odd"))
+    return al.contiguous(x, F.col("f"))
 
 
 @query(SQL + "SELECT series_id, count(*) = 60 AS complete FROM flow WHERE period BETWEEN DATE '1996-01-01' AND DATE '2000-12-01' GROUP BY 1")
@@ -436,10 +448,13 @@ def agg_coverage(spark, sf):
     return lake.observations(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"), F.min("period").alias("lo"), F.max("period").alias("hi"), F.count_if(F.col("value") != 0).alias("nonzero"))
 
 
-@query(SQL + ", m AS (SELECT family, median(abs(value)) AS m FROM observations WHERE value <> 0 GROUP BY 1) SELECT round(max(m) / min(m), 3) AS ratio, count(*) AS n FROM m")
+@query(SQL + ", c(frame, family) AS (VALUES ('both', 'flow'), ('both', 'stock'), ('one', 'flow'), ('empty', 'none'), ('one usable', 'rate'), ('one usable', 'none')), m AS (SELECT frame, c.family, median(abs(value)) FILTER (value <> 0) AS m FROM c LEFT JOIN observations o USING (family) GROUP BY ALL) SELECT frame, CASE WHEN count(m) >= 2 THEN round(max(m) / min(m), 3) END AS ratio, count(m) AS n FROM m GROUP BY 1")
 def agg_median_magnitude(spark, sf):
+    """How far apart the columns of a frame are in size, by their medians; none with fewer than two columns that have figures."""
+    frames = spark.createDataFrame([("both", "flow"), ("both", "stock"), ("one", "flow"), ("empty", "none"), ("one usable", "rate"), ("one usable", "none")], "frame string, family string")
     m = lake.observations(spark, sf).where("value <> 0").groupBy("family").agg(F.median(F.abs("value")).alias("m"))
-    return m.agg(F.round(F.max("m") / F.min("m"), 3).alias("ratio"), F.count("*").alias("n"))
+    own = F.broadcast(frames).join(m, "family", "left").groupBy("frame")
+    return own.agg(F.when(F.count("m") >= 2, F.round(F.max("m") / F.min("m"), 3)).alias("ratio"), F.count("m").alias("n"))
 
 
 @query(SQL + "SELECT series_id, round(median(value), 6) AS median, round(mad(value), 6) AS mad FROM flow GROUP BY 1")
@@ -449,20 +464,44 @@ def agg_mad(spark, sf):
     return x.join(mid, "series_id").groupBy("series_id").agg(F.round(F.first("m"), 6).alias("median"), F.round(F.median(F.abs(F.col("value") - F.col("m"))), 6).alias("mad"))
 
 
-@query(SQL + ", d AS (SELECT series_id, value, value - lag(value) OVER (PARTITION BY series_id ORDER BY period) AS d FROM price) SELECT series_id, round(var_pop(value) * 3 * ln(greatest(count(*), 2)), 4) AS level_penalty, round(var_pop(d) * 3 * ln(greatest(count(*), 2)), 4) AS trend_penalty FROM d GROUP BY 1")
+_SHORT = SQL + ", o AS (SELECT * FROM flow UNION ALL SELECT 'two.' || series_id, period, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY period) AS k FROM flow) WHERE k <= 2 UNION ALL SELECT 'flat.' || series_id, period, 7.0 FROM flow) "
+
+
+def _with_short(spark, sf) -> DataFrame:
+    """The flows, with a copy of the first two observations of each, and one without variance."""
+    x = lake.flow(spark, sf)
+    two = x.withColumn("k", F.row_number().over(acc.own())).where("k <= 2").select(F.concat(F.lit("two."), "series_id"), "period", "value")
+    return x.union(two).union(x.select(F.concat(F.lit("flat."), "series_id"), "period", F.lit(7.0)))
+
+
+@query(_SHORT + ", d AS (SELECT series_id, value, value - lag(value) OVER (PARTITION BY series_id ORDER BY period) AS d FROM o) SELECT series_id, CASE WHEN count(value) < 3 OR var_pop(value) = 0 THEN 1.0 ELSE round(var_pop(value) * 3 * ln(count(*)) / 1e6, 2) END AS level_penalty, CASE WHEN count(d) < 3 OR var_pop(d) = 0 THEN 1.0 ELSE round(var_pop(d) * 3 * ln(count(*)) / 1e6, 2) END AS trend_penalty FROM d GROUP BY 1")
 def agg_pvariance(spark, sf):
-    x = lake.price_index(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(acc.own())).groupBy("series_id")
-    k = 3 * F.log(F.greatest(F.count("*"), F.lit(2)))
-    return x.agg(F.round(F.var_pop("value") * k, 4).alias("level_penalty"), F.round(F.var_pop("d") * k, 4).alias("trend_penalty"))
+    """Penalties of a further segment (here in millions): the variance of levels and of steps by three logarithms of the length, but 1 below three observations or without variance."""
+    x = _with_short(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(acc.own())).groupBy("series_id")
+    floor = lambda c: F.when((F.count(c) < 3) | (F.var_pop(c) == 0), 1.0).otherwise(F.round(F.var_pop(c) * 3 * F.log(F.count("*")) / 1e6, 2))
+    return x.agg(floor("value").alias("level_penalty"), floor("d").alias("trend_penalty"))
 
 
-@query(SQL + ", s AS (SELECT period, list_sort(list_distinct(list(nation))) AS labels, count(*) AS n FROM facts WHERE o_totalprice > 250000 GROUP BY 1) SELECT period, n - lag(n) OVER (ORDER BY period) AS change, CASE WHEN lag_labels IS NOT NULL THEN len(list_filter(labels, lambda x: NOT list_contains(lag_labels, x)))::INT END AS added, CASE WHEN lag_labels IS NOT NULL THEN len(list_filter(lag_labels, lambda x: NOT list_contains(labels, x)))::INT END AS removed FROM (SELECT *, lag(labels) OVER (ORDER BY period) AS lag_labels FROM s)")
+_CHANGES = {"added": ("labels", "before"), "removed": ("before", "labels")}
+
+
+@query(
+    SQL + ", s AS (SELECT region, period, list_sort(list_distinct(list(nation))) AS labels, count(*) AS n FROM facts WHERE o_totalprice > 250000 GROUP BY ALL), "
+    "w AS (SELECT *, lag(labels) OVER (PARTITION BY region ORDER BY period) AS before, n - lag(n) OVER (PARTITION BY region ORDER BY period) AS change FROM s) SELECT region, period, change, "
+    + ", ".join(f"CASE WHEN before IS NOT NULL THEN len(list_filter({a}, lambda x: NOT list_contains({b}, x) AND {c} regexp_matches(x, '[05]$')))::INT END AS {k}_{name}" for k, (a, b) in _CHANGES.items() for name, c in (("known", ""), ("new", "NOT")))
+    + " FROM w"
+)
 def agg_schema_drift(spark, sf):
-    """From one month to the next: rows, labels that came, labels that went. One row for each month reaches the window."""
-    s = lake.order_facts(spark, sf).where("o_totalprice > 250000").groupBy("period").agg(F.array_sort(F.collect_set("nation")).alias("labels"), F.count("*").alias("n"))
-    by = Window.orderBy("period")
+    """From one month of a region to the next: rows, and labels that came and went, those that are acknowledged (names on 0 or 5) apart from new ones."""
+    s = lake.order_facts(spark, sf).where("o_totalprice > 250000").groupBy("region", "period").agg(F.array_sort(F.collect_set("nation")).alias("labels"), F.count("*").alias("n"))
+    by = Window.partitionBy("region").orderBy("period")
     s = s.withColumn("before", F.lag("labels").over(by)).withColumn("change", F.col("n") - F.lag("n").over(by))
-    return s.select("period", "change", *(F.when(F.col("before").isNotNull(), F.size(F.array_except(a, b))).alias(k) for k, a, b in (("added", "labels", "before"), ("removed", "before", "labels"))))
+    known = lambda x: x.rlike("[05]$")
+    out = []
+    for k, (a, b) in _CHANGES.items():
+        moved = F.array_except(a, b)
+        out += [F.when(F.col("before").isNotNull(), F.size(F.filter(moved, f))).alias(f"{k}_{name}") for name, f in (("known", known), ("new", lambda x: ~known(x)))]
+    return s.select("region", "period", "change", *out)
 
 
 @query("SELECT p_brand, count(DISTINCT p_size % 3) AS units FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 3) > 1")
@@ -481,10 +520,11 @@ def win_segments(spark, sf):
     return x.where("own").groupBy("series_id", "grp").agg(F.min("period").alias("start"), F.max("period").alias("stop"), F.count("*").alias("n")).select("start", "stop", "n")
 
 
-@query(SQL + ", p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value DESC, period) AS k, max(period) OVER (PARTITION BY series_id) AS last FROM flow) SELECT p.series_id, p.period AS peak, p.last FROM p JOIN flow f ON f.series_id = p.series_id AND f.period = p.last WHERE k = 1 AND f.value < p.value")
+@query(_SHORT + ", p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value DESC, period) AS k, max(period) OVER (PARTITION BY series_id) AS last, count(*) OVER (PARTITION BY series_id) AS n FROM o) SELECT p.series_id, p.period AS peak, p.last FROM p JOIN o f ON f.series_id = p.series_id AND f.period = p.last WHERE k = 1 AND n >= 3 AND f.value < p.value")
 def win_peak_decline(spark, sf):
-    x = lake.flow(spark, sf).groupBy("series_id").agg(F.min_by("period", F.struct(-F.col("value"), "period")).alias("peak"), F.max("value").alias("top"), F.max("period").alias("last"), F.max_by("value", "period").alias("end"))
-    return x.where("end < top").select("series_id", "peak", "last")
+    """From its peak to its end, for series that ended below it; fewer than three observations say nothing."""
+    x = _with_short(spark, sf).where("value IS NOT NULL").groupBy("series_id").agg(F.min_by("period", F.struct(-F.col("value"), "period")).alias("peak"), F.max("value").alias("top"), F.max("period").alias("last"), F.max_by("value", "period").alias("end"), F.count("*").alias("n"))
+    return x.where("n >= 3 AND end < top").select("series_id", "peak", "last")
 
 
 @query(SQL + "SELECT series_id, round(arg_min(value, period), 4) AS first, round(arg_max(value, period), 4) AS last, round((arg_max(value, period) - arg_min(value, period)) / nullif(abs(arg_min(value, period)), 0) * 100, 4) AS pct FROM flow WHERE value IS NOT NULL GROUP BY 1")
@@ -534,10 +574,16 @@ def top_series_ids(spark, sf):
     return lake.observations(spark, sf).select("series_id").distinct().orderBy("series_id").limit(3)
 
 
-@query("SELECT o_orderkey, gap FROM (SELECT o_orderkey, round(o_totalprice - 100000, 2) AS gap FROM orders) ORDER BY abs(gap) DESC, o_orderkey LIMIT 10")
+@query(
+    "WITH l AS (SELECT l_orderkey AS o_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS parts FROM lineitem GROUP BY 1), g AS (SELECT o_orderkey, round(abs(o_totalprice - parts) / nullif(abs(o_totalprice), 0), 6) AS gap FROM orders JOIN l USING (o_orderkey)) "
+    "SELECT o_orderkey, gap FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, o_orderkey LIMIT 10"
+)
 def top_worst(spark, sf):
-    x = lake.table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") - 100000, 2).alias("gap"))
-    return x.orderBy(F.desc(F.abs("gap")), "o_orderkey").limit(10)
+    """The ten orders that their lines miss by most, as a share of their total."""
+    parts = lake.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(lake.money("l_extendedprice").alias("parts"))
+    total = F.col("o_totalprice")
+    x = lake.table(spark, sf, "orders").join(parts, "o_orderkey").select("o_orderkey", F.round(F.try_divide(F.abs(total - F.col("parts")), F.abs(total)), 6).alias("gap"))
+    return x.where("gap IS NOT NULL").orderBy(F.desc("gap"), "o_orderkey").limit(10)
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 2")

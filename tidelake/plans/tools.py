@@ -231,6 +231,26 @@ def doc_html(spark, sf):
     return documents.extract_html(lake.table(spark, sf, "pages"))
 
 
+def _with_tables(spark, sf) -> DataFrame:
+    """Pages with two tables more: one with a caption and headings, cells that end without a mark, and figures; one within a cell of a table without headings; and a link to a place on the page."""
+    n = F.col("page_id")
+    figure = F.concat((n % 900 + 100).cast("string"), F.lit("."), F.lpad((n * 37 % 1000).cast("string"), 3, "0"), F.lit(","), F.lpad((n * 7 % 100).cast("string"), 2, "0"))
+    first = F.concat(F.lit("<table id=a><caption> Sayfa\n <b>"), n, F.lit("</b></caption><tr></tr><tr><th>Ad<th> Tutar </tr><tr><td>"), F.coalesce("url", F.lit("")), F.lit("<td>"), figure, F.lit("</td></tr><tr><th>toplam</th><th>-</th></tr></table>"))
+    second = F.concat(F.lit("<table><tr><td>dış<table><tr><td>"), n * 2, F.lit("</td></tr></table> son</td><td>(12,5)</td></tr></table><a href='#top'>x</a><a href='mailto:a@b'>y</a>"))
+    return lake.table(spark, sf, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), first, second))
+
+
+@query(
+    "WITH p AS (SELECT page_id, coalesce(url, '') AS url, (page_id % 900 + 100)::VARCHAR AS a, lpad((page_id * 37 % 1000)::VARCHAR, 3, '0') AS b, lpad((page_id * 7 % 100)::VARCHAR, 2, '0') AS c FROM pages), "
+    "t AS (SELECT page_id, 0 AS table_no, 'Sayfa ' || page_id AS caption, 0 AS row_no, 0 AS column_no, 'Ad' AS head, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS cell, NULL::DOUBLE AS value FROM p UNION ALL SELECT page_id, 0, 'Sayfa ' || page_id, 0, 1, 'Tutar', a || '.' || b || ',' || c, (a || b || '.' || c)::DOUBLE FROM p "
+    "UNION ALL SELECT page_id, 0, 'Sayfa ' || page_id, 1, 0, 'Ad', 'toplam', NULL FROM p UNION ALL SELECT page_id, 0, 'Sayfa ' || page_id, 1, 1, 'Tutar', '-', NULL FROM p UNION ALL SELECT page_id, 1, NULL, 0, 0, NULL, 'dış son', NULL FROM p UNION ALL SELECT page_id, 1, NULL, 0, 1, NULL, '(12,5)', -12.5 FROM p "
+    "UNION ALL SELECT page_id, 2, NULL, 0, 0, NULL, (page_id * 2)::VARCHAR, page_id * 2 FROM p) SELECT * FROM t"
+)
+def doc_tables(spark, sf):
+    """Every cell of the pages' tables, with its heading and its number."""
+    return documents.cells(documents.extract_html(_with_tables(spark, sf)))
+
+
 @query("SELECT page_id, CASE WHEN regexp_matches(lower(substr(html, 1, 15)), '^\\s*<(?:!doctype|html)') THEN 'html' END AS kind FROM pages")
 def doc_route(spark, sf):
     return lake.table(spark, sf, "pages").select("page_id", documents.kind_of(F.lit(None).cast("string"), F.col("html").cast("binary")).alias("kind"))

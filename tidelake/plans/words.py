@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import numeric as num
 from tidelake.functions import text as txt
+from tidelake.functions.retrieval import lexical_scores
 from tidelake.plans.registry import query
 
 LABELS = [
     "Konut Kredileri (10+27+28)", "İhtiyaç Kredileri *", "Toplam Mevduat (2 den 24'e)", "KATILIM BANKALARI", "Ticari Krediler - Takipteki", "Konut Fiyat Endeksi", "Mevduat Faizi (%)",
     "Bireysel Kredi Kartları ((1+2)/3)", "Şube Sayısı", "Yurt Dışı Şubeler (**)", "Tüketici Kredileri - Konut (Dövize Endeksli)", "Sermaye Yeterliliği Oranı", "Iğdır  İli   Kredileri", "",
+    "I\u0307zmir ve Bag\u0306cılar", "Ştep e\u0323\u0302 O\u0308ZEL",
 ]
 NESTED = ["Oran (((((((1+2)*3)/4)-5)+6)*7)/8) son", "x (1 (a) 2)", "((()))"]
 QUESTIONS = ["konut kredileri nasıl değişti", "mevduat faizi", "kredi kartı bakiyesi ile konut endeksi", "şube sayısı kaç", "takipteki krediler ve faiz oranı"]
@@ -45,7 +47,7 @@ def frame(spark: SparkSession, items: list[str], sf: str, before: str = "concat(
 SIZE = ("p_size", "cast(p_size AS string)")
 
 
-FOLD = "lower(translate(s, 'Iİ', 'ıi'))"
+FOLD = "lower(translate(nfc_normalize(s), 'Iİ', 'ıi'))"
 STOP = "[" + ", ".join(f"'{w}'" for w in txt.STOPWORDS) + "]"
 TOK = rf"list_filter(regexp_extract_all({FOLD}, '[\p{{L}}\p{{M}}]+|[0-9]+'), lambda t: NOT list_contains({STOP}, t))"
 
@@ -121,8 +123,10 @@ _LEX = values("l", LABELS) + ", q(qid, s) AS (VALUES " + ", ".join(f"({i}, '{x}'
 def str_lexical_score(spark, sf):
     q = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, s string").select("qid", txt.tokenize(F.col("s")).alias("q"))
     c = frame(spark, LABELS, sf).select("id", txt.tokenize(F.col("s")).alias("c"))
-    x = c.crossJoin(F.broadcast(q)).where("size(q) > 0 AND size(c) > 0")  # a handful of questions
-    return x.select("qid", "id", F.round(txt.lexical_score(F.col("q"), F.col("c")), 6).alias("score"))
+    q, c = (x.where(F.size(x.columns[1]) > 0) for x in (q, c))
+    near = lexical_scores(q, c)
+    every = c.select("id").crossJoin(F.broadcast(q.select("qid")))  # a handful of questions
+    return every.join(near, ["qid", "id"], "left").select("qid", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 _CUES = ", ".join(f"({i}, '{c}', [{', '.join(repr(k) for k in v.split())}])" for i, (c, v) in enumerate(txt.CUES.items()))

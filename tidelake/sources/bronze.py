@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import numeric as num
 from tidelake.functions import text as txt
-from tidelake.sources.documents import _Page
+from tidelake.sources.documents import Table, _Page, bound_batches
 
 # Bank groups by code, what a table reports, units that no caption states.
 SCOPES = {
@@ -31,7 +31,6 @@ COLUMN_UNIT = {
     "Yurtiçi Şube Sayısı": ("Adet", "count"), "Şubeye Düşen Nüfus": ("Kişi", "ratio"), "Kişi Başı Nakdi Kredi": ("TL", "ratio"),
     "Kişi Başı Takipteki Alacak": ("TL", "ratio"), "Kişi Başı Tasarruf Mevduatı": ("TL", "ratio"), "Kişi Başı Toplam Mevduat": ("TL", "ratio"),
 }
-INCOME_LINES = ("dönem karı (zararı)", "dönem net karı (zararı)")
 COUNT_UNITS = ("adet",)
 PRECISION_IDS = ("TabloExcel2", "TabloExcel", "Tablo")
 FREQUENCIES = ("D", "W", "M", "Q")
@@ -198,7 +197,7 @@ class _Weekly(_Page):
 
     def __init__(self):
         super().__init__("")
-        self.kept: dict[str, list[list[str]]] = {}
+        self.kept: dict[str, Table] = {}
 
     def handle_starttag(self, tag, attrs):
         before = len(self.tables)
@@ -234,7 +233,7 @@ def _weekly_rows(html: str | None) -> list[tuple]:
         page.close()
     except (ValueError, AssertionError):  # broken markup: what was read so far counts
         pass
-    tables = [t for i in PRECISION_IDS if len(t := page.kept.get(i, [])) >= 2]
+    tables = [t for i in PRECISION_IDS if i in page.kept and len(t := page.kept[i].cells()) >= 2]
     if not tables:
         return []
     detail = [sum(len(m[1]) for c in t[1] if (m := _DECIMALS.search(c.strip()))) for t in tables]
@@ -255,6 +254,7 @@ def weekly_points(files: DataFrame) -> DataFrame:
                 if found := _weekly_rows(content):
                     yield pd.DataFrame([(path, *r) for r in found], columns=names)
 
+    bound_batches(files.sparkSession)
     x = files.select("path", "content").mapInPandas(run, "path string, table_name string, unit string, y int, m int, d int, row_no int, raw_label string, column string, cell string")
     part = lambda k: F.regexp_extract("path", r"([^/]+)/[^/]+/tablo(\d+)\.html$", k)
     x = x.select("*", F.when(F.col("y") > 0, F.try_to_date(F.format_string("%04d-%02d-%02d", "y", "m", "d"))).alias("period"), part(1).alias("currency"), part(2).try_cast("int").alias("table_id"), num.parse_tr(F.col("cell")).cast("double").alias("value"))

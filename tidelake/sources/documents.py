@@ -11,48 +11,112 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.functions import numeric
+
 SKIPPED = {"script", "style", "noscript", "template"}
 MAX_CHARS, MAX_TABLES, MAX_ROWS, MAX_COLS, MAX_LINKS = 200_000, 50, 2000, 200, 500
+#: Addresses that lead to no page.
+NO_PAGE = ("#", "javascript:", "mailto:", "tel:")
 SUFFIXES = ("pdf", "xlsx", "xls", "csv", "docx")
 
 
+class Table:
+    """A table as it is read: its caption, and its rows, each with whether all its cells are headings."""
+
+    def __init__(self):
+        self.caption: list[str] = []
+        self.rows: list[tuple[list[str], list[bool]]] = []
+        self.row: tuple[list[str], list[bool]] | None = None
+
+    def cells(self) -> list[list[str]]:
+        return [cells for cells, _ in self.rows]
+
+    def parts(self) -> dict:
+        """caption, header: the first row whose cells are all headings, and all other rows that have cells."""
+        header, rows = [], []
+        for cells, heads in self.rows:
+            if not header and cells and all(heads):
+                header = cells
+            elif cells:
+                rows.append(cells)
+        return {"caption": " ".join("".join(self.caption).split()) or None, "header": header, "rows": rows}
+
+
 class _Page(HTMLParser):
+    """Text, links and tables of a page. A cell ends where the next one, its row or its table does; rows and cells belong to the innermost table. What is beyond a limit is left out as a whole and the page is said to be cut."""
+
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.text, self.links, self.tables, self.quiet, self.cell, self.title, self.in_title, self.cut = url, [], {}, [], 0, None, [], False, False
+        self.url, self.text, self.links, self.quiet, self.title, self.in_title, self.cut = url, [], {}, 0, [], False, False
+        self.tables: list[Table] = []
+        self.open: list[Table | None] = []  # tables around this place; None for one that is left out
+        self.cell: list[list[str] | None] = []  # beside each its open cell
+        self.in_caption = False
 
     def room(self, held: list | dict, most: int) -> bool:
         """Whether one more fits; if not, the page is said to be cut."""
         self.cut |= len(held) >= most
         return len(held) < most
 
+    def end_cell(self) -> None:
+        if self.cell and self.cell[-1] is not None:
+            self.open[-1].row[0].append(" ".join("".join(self.cell[-1]).split()))
+            self.cell[-1] = None
+
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.quiet += 1
         elif tag == "title":
             self.in_title = True
-        elif tag == "a" and (href := dict(attrs).get("href")):
+        elif tag == "a" and (href := (dict(attrs).get("href") or "").strip()) and not href.startswith(NO_PAGE):
             try:
                 target = urljoin(self.url, href)
             except ValueError:  # no address
                 return
             if target.startswith(("http://", "https://")) and target not in self.links and self.room(self.links, MAX_LINKS):
                 self.links[target] = None
-        elif tag == "table" and self.room(self.tables, MAX_TABLES):
-            self.tables.append([])
-        elif tag == "tr" and self.tables and self.room(self.tables[-1], MAX_ROWS):
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1] and self.room(self.tables[-1][-1], MAX_COLS):
-            self.cell = []
+        elif tag == "table":
+            self.open.append(Table() if self.room(self.tables, MAX_TABLES) else None)
+            self.cell.append(None)
+            if self.open[-1] is not None:
+                self.tables.append(self.open[-1])
+        elif self.open and self.open[-1] is not None:
+            table = self.open[-1]
+            if tag == "caption":
+                self.in_caption = True
+            elif tag == "tr":
+                self.end_cell()
+                table.row = ([], []) if self.room(table.rows, MAX_ROWS) else None
+                if table.row is not None:
+                    table.rows.append(table.row)
+            elif tag in ("td", "th") and table.row is not None:
+                self.end_cell()
+                if self.room(table.row[0], MAX_COLS):
+                    self.cell[-1] = []
+                    table.row[1].append(tag == "th")
 
     def handle_endtag(self, tag):
         if tag in SKIPPED and self.quiet:
             self.quiet -= 1
         elif tag == "title":
             self.in_title = False
-        elif tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        elif tag == "caption":
+            self.in_caption = False
+        elif tag in ("td", "th"):
+            self.end_cell()
+        elif tag == "tr" and self.open and self.open[-1] is not None:
+            self.end_cell()
+            self.open[-1].row = None
+        elif tag == "table" and self.open:
+            self.end_cell()
+            self.open.pop()
+            self.cell.pop()
+            self.in_caption = False
+
+    def close(self):
+        super().close()
+        while self.open:
+            self.handle_endtag("table")
 
     def handle_data(self, data):
         if self.quiet:
@@ -60,8 +124,10 @@ class _Page(HTMLParser):
         if self.in_title:
             self.title.append(data)
             return
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.in_caption and self.open and self.open[-1] is not None:
+            self.open[-1].caption.append(data)
+        elif self.cell and self.cell[-1] is not None:
+            self.cell[-1].append(data)
         self.text.append(data)
 
 
@@ -74,16 +140,19 @@ def parse_html(html: str | None, url: str | None) -> dict:
         pass
     text = " ".join(" ".join(page.text).split())
     return {
-        "title": " ".join("".join(page.title).split()), "text": text[:MAX_CHARS], "links": list(page.links), "n_tables": len(page.tables), "n_cells": sum(len(r) for t in page.tables for r in t),
-        "cut": page.cut or len(text) > MAX_CHARS,
+        "title": " ".join("".join(page.title).split()), "text": text[:MAX_CHARS], "links": list(page.links), "n_tables": len(page.tables), "n_cells": sum(len(r) for t in page.tables for r in t.cells()),
+        "tables": [t.parts() for t in page.tables], "cut": page.cut or len(text) > MAX_CHARS,
     }
 
 
+TABLE = pa.struct([("caption", pa.string()), ("header", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])
+
+
 def extract_html(pages: DataFrame) -> DataFrame:
-    """page_id, title, text, links (absolute, in order, each once), n_tables, n_cells, cut (a limit left something out); html.parser is the only Python in it."""
+    """page_id, title, text, links (absolute, in order, each once), n_tables, n_cells, tables (of each its caption, header and rows), cut (a limit left something out); html.parser is the only Python in it."""
 
     bound_batches(pages.sparkSession)
-    columns = (("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("n_tables", pa.int32()), ("n_cells", pa.int32()), ("cut", pa.bool_()))
+    columns = (("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("n_tables", pa.int32()), ("n_cells", pa.int32()), ("tables", pa.list_(TABLE)), ("cut", pa.bool_()))
     schema = pa.schema([("page_id", pa.int64()), *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +161,16 @@ def extract_html(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([g[name] for g in got], kind) for name, kind in columns)], schema=schema)
 
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return some.mapInArrow(run, "page_id long, title string, text string, links array<string>, n_tables int, n_cells int, cut boolean")
+    return some.mapInArrow(run, "page_id long, title string, text string, links array<string>, n_tables int, n_cells int, tables array<struct<caption: string, header: array<string>, rows: array<array<string>>>>, cut boolean")
+
+
+def cells(extracted: DataFrame) -> DataFrame:
+    """The tables of extracted pages in long form: page_id, table_no, caption, row_no, column_no (from 0), head, cell, value (the cell as a number of the Turkish format, null where it isn't one)."""
+    x = extracted.select("page_id", F.posexplode("tables").alias("table_no", "t"))
+    x = x.select("page_id", "table_no", F.col("t.caption").alias("caption"), F.col("t.header").alias("header"), F.posexplode("t.rows").alias("row_no", "row"))
+    x = x.select("page_id", "table_no", "caption", "row_no", "header", F.posexplode("row").alias("column_no", "cell"))
+    return x.select("page_id", "table_no", "caption", "row_no", "column_no", F.get("header", F.col("column_no")).alias("head"), "cell", numeric.parse_tr(F.col("cell")).cast("double").alias("value"))
+
 
 
 def bound_batches(spark: SparkSession, most: int = 1 << 20) -> None:
