@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import text as txt
@@ -77,7 +77,8 @@ def follow(start: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
 
     The best that is unseen is among the best few: a walk of so many hops has seen at most hops + 1 pages, so only that many links of a page are kept."""
     ranked = links.where("score > 0").groupBy("page", "target").agg(F.min(F.struct((-F.col("score")).alias("s"), "position")).alias("key"))
-    best = ranked.groupBy("page").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "target"))), 1, hops + 2).alias("best"))
+    few = ranked.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("key", "target"))).where(F.col("k") <= hops + 2)
+    best = few.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("k", "target"))).alias("best"))
     here = start.select(F.col("page").alias("start"), "page", F.array("page").alias("seen"))
     out = here.select("start", "page", F.lit(0).alias("hop"))
     for hop in range(1, hops + 1):

@@ -139,9 +139,12 @@ def txt_embedding(spark, sf):
 
 @query(SQL + ", e AS (SELECT family, series_id, coverage_end FROM catalog), m AS (SELECT family, min(coverage_end) AS cut, max(coverage_end) AS far FROM e GROUP BY 1) SELECT family, CASE WHEN cut = far THEN '' ELSE 'Tablo ' || strftime(cut, '%Y-%m-%d') || ' tarihinde bitiriliyor: ' || (SELECT string_agg(series_id, ', ' ORDER BY series_id) FROM e WHERE e.family = m.family AND coverage_end = cut) || ' bu tarihten sonrasını yayımlamıyor. Daha uzun seriler kesildi, tahmin edilmedi.' END AS notice FROM m")
 def dis_ragged_notice(spark, sf):
-    """Who ends a table early; empty if nothing was given up. A table's columns are few."""
-    ends = lake.catalog(spark, sf).groupBy("family").agg(F.min("coverage_end").alias("cut"), F.max("coverage_end").alias("far"), F.collect_list(F.struct("series_id", "coverage_end")).alias("cols"))
-    names = F.array_join(F.array_sort(F.transform(F.filter("cols", lambda c: c["coverage_end"] == F.col("cut")), lambda c: c["series_id"])), ", ")
+    """Who ends a table early; empty if nothing was given up. Only the series that end first are gathered, and none where all end together."""
+    known = lake.catalog(spark, sf).select("family", "series_id", "coverage_end")
+    ends = known.groupBy("family").agg(F.min("coverage_end").alias("cut"), F.max("coverage_end").alias("far"))
+    first = known.join(ends.where("cut < far"), "family").where("coverage_end = cut").groupBy("family").agg(F.array_sort(F.collect_list("series_id")).alias("ids"))
+    ends = ends.join(first, "family", "left")
+    names = F.array_join("ids", ", ")
     said = F.concat(F.lit("Tablo "), F.date_format("cut", "yyyy-MM-dd"), F.lit(" tarihinde bitiriliyor: "), names, F.lit(" bu tarihten sonrasını yayımlamıyor. Daha uzun seriler kesildi, tahmin edilmedi."))
     return ends.select("family", F.when(F.col("cut") == F.col("far"), "").otherwise(said).alias("notice"))
 

@@ -12,10 +12,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import causality as cz
-from tidelake.functions import stats
+from tidelake.functions import moments, stats, tables
 from tidelake.functions import text as txt
 from tidelake.plans.registry import query
 from tidelake.sources import documents, fetching, lake
+from tidelake.sources.lake import SQL
 
 PERIODS = {"D": 7, "W": 52, "M": 12, "Q": 4}
 SEGMENTS = {"D": 14, "W": 8, "M": 6, "Q": 3}
@@ -100,22 +101,74 @@ def fn_regimes(spark, sf):
     return _each_pair(spark, sf, "series_id string, status string, reason string, regimes string", run)
 
 
-@query()
+_NUMBERED = SQL + (
+    ", p0 AS (SELECT f.series_id, f.period, p.value AS x, f.value AS y FROM flow f JOIN price p USING (period) WHERE f.value IS NOT NULL AND p.value IS NOT NULL), "
+    "num AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n, x, y FROM p0) "
+)
+#: SQL: from matrices g0 (id, m: lists of rows) the pivots of an elimination in order, and what is left of the last column's squares before each.
+_ELIMINATED = (
+    ", el(id, k, m, pivots, rest) AS (SELECT id, 1, m, []::DOUBLE[], []::DOUBLE[] FROM g0 UNION ALL SELECT id, k + 1, list_transform(m, lambda r: list_transform(range(1, len(r) + 1), lambda j: r[j] - r[k] * m[k][j] / m[k][k])), "
+    "list_append(pivots, m[k][k]), list_append(rest, m[len(m)][len(m)]) FROM el WHERE k <= len(m)), done AS (SELECT id, pivots, rest FROM el WHERE k = len(m) + 1) "
+)
+_GRAM = "g1 AS (SELECT id, i, j, sum(v[i] * v[j]) AS s FROM (SELECT id, v, unnest(range(1, len(v) + 1)) AS i FROM vec), LATERAL (SELECT unnest(range(1, len(v) + 1)) AS j) GROUP BY ALL), g2 AS (SELECT id, i, list(s ORDER BY j) AS r FROM g1 GROUP BY ALL), g0 AS (SELECT id, list(r ORDER BY i) AS m FROM g2 GROUP BY 1)"
+_LOW, _SPLIT, _HIGH, _BELOW, _ABOVE = stats.SURFACES[1]
+_POLY = "CASE WHEN t <= {split} THEN {below} ELSE {above} END".format(split=_SPLIT, below=" + ".join(f"{c!r} * pow(t, {i})" for i, c in enumerate(_BELOW)), above=" + ".join(f"{c!r} * pow(t, {i})" for i, c in enumerate(_ABOVE)))
+#: SQL: the normal distribution function of z, by its series.
+_PHI = "0.5 + sign(z) * list_sum(list_transform(range(0, 120), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - lgamma(k + 1) - k * ln(2)) / (2 * k + 1))) / sqrt(2 * pi())"
+_ADF = (
+    _NUMBERED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", st AS (SELECT series_id, i, n, greatest(0, least(ceil(12 * pow(n / 100, 0.25)), n // 2 - 2))::INT AS most, (y - avg(y) OVER w) / stddev_samp(y) OVER w AS y FROM num WINDOW w AS (PARTITION BY series_id)), "
+    "df AS (SELECT *, lag(y) OVER w AS b, y - lag(y) OVER w AS d FROM st WINDOW w AS (PARTITION BY series_id ORDER BY i)), la AS (SELECT *, i - 1 AS t, list_reverse(list(d) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) AS lags FROM df), "
+    "vec AS (SELECT series_id AS id, [1.0, b] || lags[1:most] || [d] AS v FROM la WHERE i > 0 AND t >= most), " + _GRAM + _ELIMINATED
+    + ", ch AS (SELECT id, arg_min(p, n * ln(rest[p + 3] / n) + 2 * (p + 2)) AS lag FROM (SELECT id, rest, n - 1 - most AS n, unnest(range(0, most + 1)) AS p FROM done JOIN (SELECT DISTINCT series_id AS id, n, most FROM st) USING (id)) GROUP BY 1) "
+)
+_ADF2 = (
+    ", vec2 AS (SELECT series_id AS id, [1.0] || lags[1:lag] || [b, d] AS v FROM la JOIN ch ON ch.id = series_id WHERE i > 0 AND t >= lag), " + _GRAM.replace("g1", "h1").replace("g2", "h2").replace("g0", "h0").replace("FROM vec)", "FROM vec2)")
+    + _ELIMINATED.replace("el(", "el2(").replace("FROM g0", "FROM h0").replace("FROM el ", "FROM el2 ").replace("done AS", "done2 AS")
+    + ", fi AS (SELECT d.id, lag, n - 1 - lag AS n, pivots[len(pivots) - 1] AS a, rest[len(rest) - 1] - rest[len(rest)] AS bb, rest[len(rest)] AS rss FROM done2 d JOIN ch USING (id) JOIN (SELECT DISTINCT series_id AS id, n FROM st) USING (id)), "
+    # b's sign: that of the last column's product with the level, before the level is taken out
+    "sg AS (SELECT id, sign(m[len(m) - 1][len(m)]) AS s FROM el2 WHERE k = len(m) - 1), ts AS (SELECT id, lag, s * sqrt(bb / (rss / (n - lag - 2))) AS t FROM fi JOIN sg USING (id)), "
+    f"zs AS (SELECT *, {_POLY} AS z FROM ts) SELECT id AS series_id, round(t, 6) AS statistic, CASE WHEN t > {_HIGH} THEN 1.0 WHEN t < {_LOW} OR z < -5 THEN 0.0 WHEN z > 5 THEN 1.0 ELSE round({_PHI}, 6) END AS p, lag::INT AS lag FROM zs"
+)
+
+
+@query(_ADF + _ADF2)
 def fn_adf(spark, sf):
-    def run(x, y):
-        t, lag = stats.unit_root(y)
-        return t, stats.unit_root_p(t), lag
+    """The unit-root test of each flow, from sums of cross products."""
+    return moments.unit_roots(_pairs(spark, sf).dropna(subset=["x", "value"])).select("series_id", F.round("statistic", 6).alias("statistic"), F.round("p", 6).alias("p"), "lag")
 
-    return _each_pair(spark, sf, "series_id string, statistic double, p double, lag int", run)
 
+#: SQL: level stationarity of each flow.
+_INTERP = " ".join(f"WHEN s <= {b!r} THEN {u!r} + (s - {a!r}) / ({b!r} - {a!r}) * ({v!r} - {u!r})" for a, b, u, v in zip(stats.KPSS_POINTS, stats.KPSS_POINTS[1:], stats.KPSS_LEVELS, stats.KPSS_LEVELS[1:], strict=False))
 
-@query()
+
+_KPSS = (
+    _NUMBERED + ", e AS (SELECT series_id, i, n, y - avg(y) OVER (PARTITION BY series_id) AS e FROM num), q AS (SELECT series_id, n, sum(s * s) AS squares FROM (SELECT series_id, n, sum(e) OVER (PARTITION BY series_id ORDER BY i) AS s FROM e) GROUP BY ALL), "
+    "c AS (SELECT a.series_id, a.n, b.i - a.i AS k, sum(a.e * b.e) AS c FROM e a JOIN e b ON a.series_id = b.series_id AND b.i >= a.i GROUP BY ALL), "
+    "s AS (SELECT series_id, n, sum(CASE WHEN k = 0 THEN c / n ELSE c / (n / 2) END) AS s0, sum(CASE WHEN k = 0 THEN 0 ELSE k * c / (n / 2) END) AS s1 FROM c WHERE k <= floor(pow(n, 2.0 / 9)) GROUP BY ALL), "
+    "w AS (SELECT series_id, n, floor(least(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3), n - 1)) AS most FROM s), l AS (SELECT series_id, sum(CASE WHEN k = 0 THEN c ELSE 2 * c * (1 - k / (most + 1)) END) / any_value(c.n) AS long FROM c JOIN w USING (series_id) WHERE k <= most GROUP BY 1), "
+    f"t AS (SELECT series_id, squares / (n * n) / long AS s FROM l JOIN q USING (series_id)) SELECT series_id, round(s, 6) AS statistic, round(CASE WHEN s <= {stats.KPSS_POINTS[0]!r} THEN {stats.KPSS_LEVELS[0]!r} {_INTERP} ELSE {stats.KPSS_LEVELS[-1]!r} END, 6) AS p FROM t"
+)
+
+
+@query(_KPSS)
 def fn_kpss(spark, sf):
-    def run(x, y):
-        s = stats.kpss(y)
-        return s, stats.kpss_p(s)
+    """Level stationarity of each flow, from partial sums and autocovariances."""
+    return moments.stationarity(_pairs(spark, sf).dropna(subset=["x", "value"])).select("series_id", F.round("statistic", 6).alias("statistic"), F.round("p", 6).alias("p"))
+
 
-    return _each_pair(spark, sf, "series_id string, statistic double, p double", run)
+@query(_KPSS)
+def fn_table_kpss(spark, sf):
+    """The same as a function of SQL that takes a table in parts by series, in order of periods."""
+    tables.register(spark)
+    return spark.sql("SELECT series_id, round(statistic, 6) AS statistic, round(p, 6) AS p FROM kpss(TABLE(SELECT series_id, period, value FROM {flows}) PARTITION BY series_id ORDER BY period)", flows=_pairs(spark, sf).dropna(subset=["x", "value"]))
+
+
+@query(_ADF + _ADF2)
+def fn_table_unit_root(spark, sf):
+    """The unit-root test as a function of SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT series_id, round(statistic, 6) AS statistic, round(p, 6) AS p, lag FROM unit_root(TABLE(SELECT series_id, period, value FROM {flows}) PARTITION BY series_id ORDER BY period)", flows=_pairs(spark, sf).dropna(subset=["x", "value"]))
 
 
 @query()
@@ -135,9 +188,17 @@ def fn_engle_granger(spark, sf):
     return _each_pair(spark, sf, "series_id string, statistic double, p double", cz.engle_granger)
 
 
-@query()
+@query(
+    _NUMBERED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", df AS (SELECT series_id, i, x - lag(x) OVER w AS x, y - lag(y) OVER w AS y FROM num WINDOW w AS (PARTITION BY series_id ORDER BY i)), st AS (SELECT series_id, i - 1 AS t, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS x, (y - avg(y) OVER w) / stddev_samp(y) OVER w AS y FROM df WHERE i > 0 WINDOW w AS (PARTITION BY series_id)), "
+    "la AS (SELECT *, [lag(x) OVER w, lag(y) OVER w, lag(x, 2) OVER w, lag(y, 2) OVER w, lag(x, 3) OVER w, lag(y, 3) OVER w] AS lags FROM st WINDOW w AS (PARTITION BY series_id ORDER BY t)), "
+    "vec AS (SELECT series_id || '|' || p AS id, [1.0] || lags[1:2 * p] || [x, y] AS v FROM la, (VALUES (1), (2), (3)) o(p) WHERE t >= p), " + _GRAM + _ELIMINATED
+    + ", sz AS (SELECT split_part(d.id, '|', 1) AS series_id, split_part(d.id, '|', 2)::INT AS p, ln(pivots[len(pivots) - 1] * pivots[len(pivots)] / (n * n)) + ln(n) / n * 2 * (len(pivots) - 2) AS size FROM done d JOIN (SELECT id, count(*) AS n FROM vec GROUP BY 1) USING (id) WHERE n > len(pivots) - 2) "
+    "SELECT series_id, arg_min(p, size) AS lag FROM sz GROUP BY 1"
+)
 def fn_select_lag(spark, sf):
-    return _each_pair(spark, sf, "series_id string, lag int", lambda x, y: (cz.select_lag(_stack(x, y), 3),))
+    """The order of the model of each pair's differences, from sums of cross products."""
+    return moments.lag_orders(_pairs(spark, sf), "x", "value")
 
 
 def _model(f):
