@@ -57,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written and read again."""
-    tmp = Scratch(spark, "pipeline")
+    """All stages over the documents table, each written and read again. A stage's table goes when the next one's is written."""
+    tmp, before = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = tmp.cut(stage(spark, docs, sf_dir), name)
+        if before:
+            tmp.drop(before)
+        before = name
     return docs
