@@ -6,6 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.frames.frame import Frame, Refused
@@ -45,13 +46,28 @@ def _chosen(frame: Frame, keys: list[str] | None):
     return picked
 
 
-def select_chart(frame: Frame, keys: list[str] | None = None, axes: dict[str, str] | None = None, chart_type: str = "line", title: str | None = None) -> Chart:
-    """The chart of the columns, in the frame's order. axes: an axis for every column in that order, in place of the chosen ones."""
-    picked = _chosen(frame, keys)
+def axes_of(frame: Frame, keys: list[str] | None = None) -> DataFrame:
+    """column_key, axis, magnitude_ratio, indexing: the chosen axes beside the columns' medians, all in one aggregate that stays a table."""
+    sides, picked = _sides(_chosen(frame, keys)), _chosen(frame, keys)
+    one = frame.data.agg(*(F.median(F.when(F.col(m.key) != 0, F.abs(F.col(m.key)))).alias(m.key) for m in picked))
+    known = F.array_compact(F.array(*(F.col(m.key) for m in picked)))
+    ratio = F.when(F.size(known) > 1, F.array_max(known) / F.array_min(known))
+    axes = F.explode(F.array(*(F.struct(F.lit(k).alias("column_key"), F.lit(a).alias("axis")) for k, a in sides.items())))
+    return one.select(axes.alias("a"), ratio.alias("magnitude_ratio")).select("a.column_key", "a.axis", "magnitude_ratio", F.coalesce(F.col("magnitude_ratio") >= MAGNITUDE, F.lit(False)).alias("indexing"))
+
+
+def _sides(picked: list) -> dict[str, str]:
+    """The left axis for columns of the first one's unit and measure, the right one for those of another; no third."""
     groups = list(dict.fromkeys((m.unit, m.scale, m.measure_type) for m in picked))
     if len(groups) > 2:
         raise ChartRefused("too_many_unit_groups", "two axes can't show more than two units")
-    sides = {m.key: "left" if (m.unit, m.scale, m.measure_type) == groups[0] else "right" for m in picked}
+    return {m.key: "left" if (m.unit, m.scale, m.measure_type) == groups[0] else "right" for m in picked}
+
+
+def select_chart(frame: Frame, keys: list[str] | None = None, axes: dict[str, str] | None = None, chart_type: str = "line", title: str | None = None) -> Chart:
+    """The chart of the columns, in the frame's order. axes: an axis for every column in that order, in place of the chosen ones."""
+    picked = _chosen(frame, keys)
+    sides = _sides(picked)
     if axes is not None:
         if list(axes) != list(sides) or not set(axes.values()) <= {"left", "right"} or "left" not in axes.values():
             raise ChartRefused("invalid_override", "every column needs an axis, and one of them the left one")

@@ -30,6 +30,40 @@ def plan_refusal(text: Column, version: Column) -> Column:
     return F.when(steps.isNull(), "json").when(F.size(steps) == 0, "empty").otherwise(F.get(bad, F.lit(0)))
 
 
+def plan_columns(text: Column, history: Column, series: Column) -> Column:
+    """Follows a plan that plan_refusal lets pass through the columns it has at each step. history: the columns (array of keys) of the frame's versions from 0 on, the last of which is the one it starts from; series: what may be added.
+
+    A struct of refusal (unknown_series, taken: an added key that is there already or is the spine's, unknown_column: a key that no version made by then has; else null) and columns (those at the end, null if refused)."""
+    steps = F.from_json(text, PLAN, {"mode": "PERMISSIVE"})
+
+    def step(state: Column, one: Column) -> Column:
+        kind, now = one["kind"], F.element_at(state["sets"], F.lit(-1))
+        given = lambda name: F.try_element_at(one["parameters"], F.lit(name))
+        key, by, base, adds, changes = given("column_key"), given("deflator_column_key"), given("base_date"), kind == "add_column", kind.isin("deflate_column", "index_column")
+        has = lambda c: F.coalesce(F.array_contains(now, c), F.lit(False))
+        why = (
+            F.when(state["why"].isNotNull(), state["why"]).when(adds & ~F.coalesce(F.array_contains(series, given("series_reference")), F.lit(False)), "unknown_series")
+            .when(adds & ((key == "period") | has(key)), "taken").when(changes & ~has(key) | (kind == "deflate_column") & ~has(by), "unknown_column")
+        )
+        made = F.when(adds, key).when(kind == "index_column", F.concat(key, F.lit("__index_"), base)).when(kind == "deflate_column", F.concat(key, F.lit("__deflated_by_"), by, F.lit("_"), base))
+        then = F.when(kind == "revert_to", F.get(state["sets"], given("target_version").try_cast("int"))).otherwise(F.array_append(now, made))
+        return F.struct(F.array_append(state["sets"], F.coalesce(then, now)).alias("sets"), why.alias("why"))
+
+    end = F.aggregate(steps, F.struct(history.alias("sets"), F.lit(None).cast("string").alias("why")), step)
+    return F.struct(end["why"].alias("refusal"), F.when(end["why"].isNull(), F.element_at(end["sets"], F.lit(-1))).alias("columns"))
+
+
+def plan_schema(columns: list[str], series: list[str], base_dates: list[str], conventions: list[str]) -> dict:
+    """The JSON schema of plans over a frame: a branch for each operation with its own parameters, and what is named taken from what is there. Without series, or columns, the operations that need them are left out."""
+    named = {"series_reference": series, "column_key": columns, "deflator_column_key": columns, "base_date": base_dates, "convention_reference": conventions}
+    branches = []
+    for kind, names in PARAMETERS.items():
+        fields = {n: {"enum": list(named[n])} if n in named and not (n == "column_key" and kind == "add_column") else {"type": "integer", "minimum": 0} if n == "target_version" else {"type": "string", "minLength": 1} for n in names}
+        if all(f.get("enum", True) for f in fields.values()):
+            branches.append({"type": "object", "additionalProperties": False, "required": ["kind", "parameters"], "properties": {"kind": {"const": kind}, "parameters": {"type": "object", "additionalProperties": False, "required": list(names), "properties": fields}}})
+    return {"type": "array", "minItems": 1, "items": {"anyOf": branches}}
+
+
 def narrative_refusal(told: DataFrame, evidence: DataFrame) -> DataFrame:
     """(id, unknown, uncited, accepted): statements that a narrative (told: id, statement) makes and no evidence (id, finding, statement, active) has word for word, and active findings it leaves out. Only one without either is accepted."""
     said = told.select("id", "statement").distinct()

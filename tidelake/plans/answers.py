@@ -37,6 +37,37 @@ def nl_planner(spark, sf):
     return x.select(F.col("page_id").alias("id"), answering.plan_refusal(F.col("s"), F.col("page_id") % 5).alias("refusal"))
 
 
+_VOCABULARY = [
+    f"[{_STEP('add_column', series_reference='flow', column_key='c')}, {_STEP('index_column', column_key='c', base_date='2001-01-01')}, {_STEP('index_column', column_key='c__index_2001-01-01', base_date='2002-01-01')}]",
+    f"[{_STEP('index_column', column_key='c', base_date='2001-01-01')}, {_STEP('add_column', series_reference='flow', column_key='c')}]",
+    f"[{_STEP('add_column', series_reference='none', column_key='c')}]",
+    f"[{_STEP('add_column', series_reference='stock', column_key='b')}]",
+    f"[{_STEP('revert_to', target_version=0)}, {_STEP('deflate_column', column_key='a', deflator_column_key='b', base_date='2001-01-01', convention_reference='x')}]",
+    f"[{_STEP('deflate_column', column_key='a', deflator_column_key='b', base_date='2001-01-01', convention_reference='x')}, {_STEP('revert_to', target_version=0)}]",
+    f"[{_STEP('add_column', series_reference='flow', column_key='period')}]",
+]
+#: The columns of a frame's first versions.
+_SETS = [["a"], ["a", "b"], ["a", "b", "d"]]
+
+
+@query(
+    literal("l", _VOCABULARY).replace("WITH ", "WITH RECURSIVE ", 1) + f", p AS (SELECT page_id AS id, json_extract(s, '$[*]') AS steps, list_slice({_SETS!r}, 1, page_id % 3 + 1) AS sets FROM pages JOIN l ON l.id = page_id % {len(_VOCABULARY)}), "
+    "f(id, i, steps, sets, why) AS (SELECT id, 1, steps, sets, NULL::VARCHAR FROM p UNION ALL SELECT id, i + 1, steps, list_append(sets, CASE WHEN kind = 'revert_to' THEN coalesce(sets[target + 1], sets[len(sets)]) WHEN made IS NULL THEN sets[len(sets)] ELSE list_append(sets[len(sets)], made) END), "
+    "CASE WHEN why IS NOT NULL THEN why WHEN kind = 'add_column' AND series NOT IN ('flow', 'stock') THEN 'unknown_series' WHEN kind = 'add_column' AND (key = 'period' OR list_contains(sets[len(sets)], key)) THEN 'taken' "
+    "WHEN kind IN ('index_column', 'deflate_column') AND NOT list_contains(sets[len(sets)], key) OR kind = 'deflate_column' AND NOT list_contains(sets[len(sets)], by_) THEN 'unknown_column' END "
+    "FROM (SELECT *, CASE kind WHEN 'add_column' THEN key WHEN 'index_column' THEN key || '__index_' || base WHEN 'deflate_column' THEN key || '__deflated_by_' || by_ || '_' || base END AS made FROM (SELECT id, i, steps, sets, why, json_extract_string(steps[i], '$.kind') AS kind, "
+    "json_extract_string(steps[i], '$.parameters.column_key') AS key, json_extract_string(steps[i], '$.parameters.deflator_column_key') AS by_, json_extract_string(steps[i], '$.parameters.base_date') AS base, json_extract_string(steps[i], '$.parameters.series_reference') AS series, "
+    "TRY_CAST(json_extract_string(steps[i], '$.parameters.target_version') AS INT) AS target FROM f WHERE i <= len(steps)))) "
+    "SELECT id, why AS refusal, CASE WHEN why IS NULL THEN array_to_string(sets[len(sets)], ',') END AS columns FROM f WHERE i = len(steps) + 1"
+)
+def nl_plan_columns(spark, sf):
+    """Plans followed through the columns they have at each step, from frames of one to three versions: a plan for each page."""
+    x = lake.table(spark, sf, "pages").join(F.broadcast(rows(spark, _VOCABULARY)), F.col("id") == F.col("page_id") % len(_VOCABULARY))  # a handful of plans
+    sets = F.slice(F.array(*(F.array(*map(F.lit, s)) for s in _SETS)), F.lit(1), (F.col("page_id") % 3 + 1).cast("int"))
+    x = x.select(F.col("page_id").alias("id"), answering.plan_columns(F.col("s"), sets, F.array(F.lit("flow"), F.lit("stock"))).alias("p"))
+    return x.select("id", "p.refusal", F.array_join("p.columns", ",").alias("columns"))
+
+
 _EVIDENCE = (
     "WITH e AS (SELECT s_nationkey AS id, s_suppkey AS finding, s_name || ' holds ' || CASE WHEN s_acctbal < 0 THEN 'a debt' ELSE 'a balance' END AS statement, s_suppkey % 3 <> 0 AS active FROM supplier), "
     "t AS (SELECT id, CASE WHEN id % 5 = 2 AND finding % 7 = 1 THEN statement || '!' ELSE statement END AS statement FROM e WHERE NOT (id % 4 = 1 AND finding % 2 = 1)) "

@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tidelake.frames.chart import select_chart
+from tidelake.frames.chart import axes_of
 from tidelake.frames.frame import Frame, FrameStore, Lake, active, execute, find, new_frame
 from tidelake.plans.registry import query
 from tidelake.plans.series import months
@@ -106,6 +106,5 @@ def op_finding(spark, sf):
 
 @query(SPINE + ", m AS (SELECT median(abs(orders)) FILTER (orders <> 0) AS a, median(abs(price)) FILTER (price <> 0) AS b FROM s) SELECT k AS column_key, axis, round(greatest(a, b) / least(a, b), 6) AS magnitude_ratio, greatest(a, b) / least(a, b) >= 100 AS indexing FROM m, (VALUES ('orders', 'left'), ('price', 'right')) t(k, axis)")
 def op_chart(spark, sf):
-    chart = select_chart(started(spark, sf)[0])
-    rows = [(k, axis, round(chart.magnitude_ratio, 6), chart.indexing_recommended) for k, axis in chart.axes]
-    return spark.createDataFrame(rows, "column_key string, axis string, magnitude_ratio double, indexing boolean")
+    """The axes of the frame's columns, and how far apart their medians are."""
+    return axes_of(started(spark, sf)[0]).withColumn("magnitude_ratio", F.round("magnitude_ratio", 6))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import retrieval, routing
 from tidelake.functions import text as txt
 from tidelake.plans.registry import query
-from tidelake.plans.words import CUE_SQL, FOLD, LEX_SQL, TOK, literal, rows
+from tidelake.plans.words import CUE_SQL, FOLD, LEX_SQL, TOK, frame, literal, rows, values
 from tidelake.sources import lake
 
 ASKED = [
@@ -155,12 +155,13 @@ TURNS = (
 PUBLISHED = ["Konut kredileri ve faizleri", "Kredileri ENFLASYONDAN  arındır", "Konut fiyat endeksini sütun olarak ekle", "kfe", "reel kredi"]
 
 
-@query(literal("l", ASKED + PUBLISHED) + rf", f AS (SELECT id, trim(regexp_replace(translate({FOLD}, '{txt.FOLD_FROM}', '{txt.FOLD_TO}'), '\s+', ' ', 'g')) AS s FROM l) SELECT id, CASE " + " ".join("WHEN " + " AND ".join("(" + " OR ".join(f"contains(s, '{c}')" for c in some) + ")" for some in groups) + f" THEN {k}" for k, groups in TURNS) + " END AS turn FROM f")
+@query(values("l", ASKED + PUBLISHED) + rf", f AS (SELECT id, trim(regexp_replace(translate({FOLD}, '{txt.FOLD_FROM}', '{txt.FOLD_TO}'), '\s+', ' ', 'g')) AS s FROM l) SELECT id, CASE " + " ".join("WHEN " + " AND ".join("(" + " OR ".join(f"contains(s, '{c}')" for c in some) + ")" for some in groups) + f" THEN {k}" for k, groups in TURNS) + " END AS turn FROM f")
 def nl_turn_classifier(spark, sf):
+    """Which published turn a question is, for questions of all parts."""
     folded, out = txt.collapse_space(txt.fold_ascii(F.col("s"))), None
     for k, groups in TURNS:
         here = F.lit(True)
         for some in groups:
             here = here & F.array_contains(F.transform(F.array(*map(F.lit, some)), lambda c: F.contains(folded, c)), True)
         out = F.when(here, k) if out is None else out.when(here, k)
-    return rows(spark, ASKED + PUBLISHED).select("id", out.alias("turn"))
+    return frame(spark, ASKED + PUBLISHED, sf).select("id", out.alias("turn"))

@@ -265,17 +265,19 @@ def fn_classify_evidence(spark, sf):
     return _told(spark, sf).select("id", "robust", "status")
 
 
-@query("WITH m AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS i FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS period FROM orders)), b(id, day, kind) AS (VALUES (0, DATE '1994-03-15', 'level'), (1, DATE '1996-01-01', 'trend'), (2, DATE '2050-01-01', 'level'), (3, DATE '1995-01-01', 'slope')) SELECT id, CASE WHEN kind IN ('level', 'trend') AND day BETWEEN (SELECT min(period) FROM m) AND (SELECT max(period) FROM m) THEN (SELECT min(i) FROM m WHERE period >= day)::INT END AS position FROM b")
+@query(
+    "WITH m AS (SELECT nation, period, row_number() OVER (PARTITION BY nation ORDER BY period) - 1 AS i FROM (SELECT DISTINCT n_name AS nation, CAST(date_trunc('month', o_orderdate) AS DATE) AS period FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)), "
+    "b(id, day, kind) AS (VALUES (0, DATE '1994-03-15', 'level'), (1, DATE '1996-01-01', 'trend'), (2, DATE '2050-01-01', 'level'), (3, DATE '1995-01-01', 'slope')), e AS (SELECT nation, min(period) AS lo, max(period) AS hi FROM m GROUP BY 1) "
+    "SELECT 'flow.' || e.nation AS series_id, id, CASE WHEN kind IN ('level', 'trend') AND day BETWEEN lo AND hi THEN (SELECT min(i) FROM m WHERE m.nation = e.nation AND period >= day)::INT END AS position FROM e, b"
+)
 def fn_normalize_breaks(spark, sf):
-    """The months are few and bounded by the calendar."""
-    months = [r.period for r in lake.table(spark, sf, "orders").select(lake.month("o_orderdate").alias("period")).distinct().orderBy("period").toLocalIterator()]
-    rows = []
-    for i, (day, kind) in enumerate([(date(1994, 3, 15), "level"), (date(1996, 1, 1), "trend"), (date(2050, 1, 1), "level"), (date(1995, 1, 1), "slope")]):
-        try:
-            rows.append((i, cz.normalize_breaks([(day, kind)], months)[0][0]))
-        except stats.Refused:
-            rows.append((i, None))
-    return spark.createDataFrame(rows, "id int, position int")
+    """The position in each series of the first period on or after a break; none for breaks outside its sample or of another kind. One pass over the periods, which meet a few breaks."""
+    few = [(0, date(1994, 3, 15), "level"), (1, date(1996, 1, 1), "trend"), (2, date(2050, 1, 1), "level"), (3, date(1995, 1, 1), "slope")]
+    breaks = spark.createDataFrame(few, "id int, day date, kind string")
+    own = Window.partitionBy("series_id").orderBy("period")
+    x = lake.flow(spark, sf).withColumn("i", (F.row_number().over(own) - 1).cast("int")).crossJoin(F.broadcast(breaks))  # four rows
+    g = x.groupBy("series_id", "id", "kind", "day").agg(F.min("period").alias("lo"), F.max("period").alias("hi"), F.min(F.when(F.col("period") >= F.col("day"), F.col("i"))).alias("i"))
+    return g.select("series_id", "id", F.when(F.col("kind").isin("level", "trend") & F.col("day").between(F.col("lo"), F.col("hi")), F.col("i")).alias("position"))
 
 
 @query()
