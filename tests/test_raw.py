@@ -129,3 +129,16 @@ def test_publishers_agree_are_stable_or_drift(spark):
     rows = [(k, float(i), float(i) * 1000 * f) for k, fs in {"same": (1.0, 1.01, 0.99), "factor": (1.3, 1.3, 1.3), "drift": (1.0, 1.2, 1.5)}.items() for i, f in enumerate(fs, 1)]
     got = {r.k: (r.n, r.agrees, r.stable) for r in gates.reconcile(spark.createDataFrame(rows, "k string, a double, b double"), ["k"]).collect()}
     assert got == {"same": (3, True, True), "factor": (3, False, True), "drift": (3, False, False)} or got["same"][1] and got["factor"][1:] == (False, True) and got["drift"][1:] == (False, False)
+
+
+def test_raw_files_that_contradict_themselves(spark):
+    day = lambda m: datetime.date(2021, m, 1)
+    rows = [(day(m), 3, p, f"2021-{m:02}", "TL", ["a", "b *"]) for m in (1, 2, 3) for p in ("x", "y")]
+    rows[1] = (day(1), 3, "y", "2021-02", "TL", ["a", "b *"])  # another period in its caption
+    rows[2] = (day(2), 3, "x", None, "bin TL", ["a", "b"])  # no period, another unit, another spelling, so another label
+    rows.pop()  # y lacks March
+    facts = spark.createDataFrame([(gates.STORED, *r) for r in rows], "data string, period date, table_no int, part string, stated string, unit string, labels array<string>")
+    got = {r.gate: (r.checked, r.breaches) for r in gates.suite(gates.payloads(facts), ["caption", "unit", "drift", "spelling", "coverage"]).where(F.col("data") == gates.STORED).collect()}
+    assert got == {"caption": (4, 1), "unit": (1, 1), "drift": (3, 2), "spelling": (2, 1), "coverage": (6, 1)}
+    known = {r.gate: r.breaches for r in gates.suite(gates.payloads(facts, ["b", "b *"]), ["drift"]).collect()}
+    assert known == {"drift": 0}

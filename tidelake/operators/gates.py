@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.functions import text as txt
 from tidelake.functions.numeric import power10
 
 PARTITION_SHARE, PARTITION_UNITS, UNITS_SHARE = 0.005, 2.0, 0.005
@@ -101,6 +102,21 @@ def filled(output: DataFrame, source: DataFrame) -> DataFrame:
     return x.agg(F.count("*").alias("checked"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value").isNotNull() & F.col("seen").isNull()).alias("filled"))
 
 
+def payloads(facts: DataFrame, known: Sequence[str] = ()) -> DataFrame:
+    """(gate, data, breach) of the facts of raw files (data, period, table_no, part, stated, unit, labels): a caption that names another period than its place does; a table in more units than one; labels that came or went since the file's last period, but for the known; a label in several spellings; a part of a table that a period lacks."""
+    before = F.lag("labels").over(Window.partitionBy("data", "table_no", "part").orderBy("period"))
+    new = lambda a, b: F.exists(F.array_except(a, b), lambda x: ~x.isin(*known) if known else F.lit(True))
+    row = lambda name, df, breach: df.select(F.lit(name).alias("gate"), "data", breach.alias("breach"))
+    captions = row("caption", facts, F.when(F.col("stated").isNotNull(), F.col("stated") != F.date_format("period", "yyyy-MM")))
+    units = row("unit", facts.groupBy("data", "table_no").agg(F.countDistinct("unit").alias("n")), F.col("n") > 1)
+    drift = row("drift", facts.withColumn("before", before).where("before IS NOT NULL"), new("labels", "before") | new("before", "labels"))
+    label = facts.select("data", "table_no", F.explode("labels").alias("label")).distinct()
+    variants = row("spelling", label.groupBy("data", "table_no", txt.slugify(txt.normalise_label(F.col("label"))).alias("k")).agg(F.count("*").alias("n")), F.col("n") > 1)
+    parts = facts.select("data", "table_no", "part").distinct().join(facts.select("data", "period").distinct(), "data")  # every period should have every part
+    covered = parts.join(facts.select("data", "table_no", "part", "period", F.lit(True).alias("there")), ["data", "table_no", "part", "period"], "left")
+    return captions.unionAll(units).unionAll(drift).unionAll(variants).unionAll(row("coverage", covered, F.col("there").isNull()))
+
+
 def bronze(manifest: DataFrame, stored: DataFrame, expected: DataFrame) -> DataFrame:
     """manifest (path, digest), stored (path, now: the digest of what lies there, unit), expected (path): listed, absent (listed, not stored), altered, twice (listed again), unlisted (stored, not listed), uncovered (expected, not listed), units (more spellings of the unit than one)."""
     lines = manifest.groupBy("path").agg(F.count("*").alias("n"), F.first("digest").alias("digest"))

@@ -30,7 +30,7 @@ def monthly_files(spark, sf) -> DataFrame:
     scope = F.when(F.col("rk") == 4, "Sektör").otherwise(bronze.scope_of(F.col("code").cast("int")))
     cell = F.concat(F.lit('{"cell":["'), scope, F.lit('",7,"'), "segment", F.lit(' *",null,"-",'), "n", F.lit(","), F.col("v").cast("string"), F.lit("]}"))
     files = x.groupBy("period", "code").agg(F.array_join(F.array_sort(F.collect_list(cell)), ",").alias("rows"))  # a row for each of the few segments
-    content = F.concat(F.lit('{"Json":{"caption":"Krediler (milyon TL), Dönem","data":{"rows":['), "rows", F.lit(',{"cell":["",1,"no numbers",null,"x"]},{"cell":[1,2]}]}}}'))
+    content = F.concat(F.lit('{"Json":{"caption":"Krediler (milyon TL), Dönem:'), F.date_format("period", "yyyy/M"), F.lit('","data":{"rows":['), "rows", F.lit(',{"cell":["",1,"no numbers",null,"x"]},{"cell":[1,2]}]}}}'))
     return files.select(F.concat(F.date_format("period", "yyyy-MM"), F.lit("/t03_taraf"), "code", F.lit(".json")).alias("path"), content.alias("content"))
 
 

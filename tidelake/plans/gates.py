@@ -236,6 +236,35 @@ def fresh_rows(spark, sf) -> DataFrame:
     return stamped(spark, sf).select("data", (~F.col("stamped")).alias("breach"))
 
 
+# ---- what raw files say of themselves
+
+
+_PAYLOADS = ("caption", "unit", "drift", "spelling", "coverage")
+_STATED = _is("'1900-01'", "strftime(period, '%Y-%m')", "month(period) = 7")
+_UNIT = _is("'bin TL'", "'milyon TL'", "year(period) = 1995")
+_SPELT = _is("list_transform(labels, lambda x: x || ' (**)')", "labels", "month(period) = 3")
+
+
+@query(
+    bulletins.SEGMENT_SQL + BOTH + ", pf AS (SELECT period, (10001 + rk)::INT AS part, list_sort(list_append(list(segment || ' *'), 'no numbers')) AS labels FROM seg GROUP BY ALL), "
+    f"pd AS (SELECT data, period, part, {_STATED} AS stated, {_UNIT} AS unit, list_sort({_SPELT}) AS labels FROM pf, both_ WHERE NOT (data = '{PLANTED}' AND month(period) = 11 AND part = 10002)), "
+    "caption AS (SELECT data, stated <> strftime(period, '%Y-%m') AS breach FROM pd), unit AS (SELECT data, count(DISTINCT unit) > 1 AS breach FROM pd GROUP BY 1), "
+    "drift AS (SELECT data, labels <> before AS breach FROM (SELECT *, lag(labels) OVER (PARTITION BY data, part ORDER BY period) AS before FROM pd) WHERE before IS NOT NULL), "
+    r"spelling AS (SELECT data, count(*) > 1 AS breach FROM (SELECT DISTINCT data, label, regexp_replace(label, '(?:\s*\(\*+\)|\s*\*+)+$', '') AS k FROM (SELECT data, unnest(labels) AS label FROM pd)) GROUP BY data, k), "
+    "coverage AS (SELECT a.data, d.part IS NULL AS breach FROM (SELECT DISTINCT data, part FROM pd) a JOIN (SELECT DISTINCT data, period FROM pd) b USING (data) LEFT JOIN pd d ON d.data = a.data AND d.part = a.part AND d.period = b.period) "
+    + " UNION ALL ".join(_verdict(k, k) for k in _PAYLOADS)
+)
+def dq_bronze_payloads(spark, sf):
+    """Captions, units, drift of labels, their spellings, and coverage of the monthly files; each is planted in the copy."""
+    facts = bronze.payload_facts(raw.scan(spark, bulletins.monthly_tree(spark, sf), "monthly"))
+    month = F.month("period")
+    facts = gates.doubled(
+        facts, stated=F.when(month == 7, "1900-01").otherwise(F.col("stated")), unit=F.when(F.year("period") == 1995, "bin TL").otherwise(F.col("unit")),
+        labels=F.when(month == 3, F.array_sort(F.transform("labels", lambda x: F.concat(x, F.lit(" (**)"))))).otherwise(F.col("labels")),
+    ).where(~((F.col("data") == PLANTED) & (month == 11) & (F.col("part") == "10002")))
+    return gates.suite(gates.payloads(facts), list(_PAYLOADS))
+
+
 # ---- all of them after a write
 
 _WRITTEN = ", w AS (SELECT family AS source, series_id, period, value FROM observations WHERE family <> 'ytd' UNION ALL SELECT 'ytd', series_id, period, value FROM own) " + "".join(

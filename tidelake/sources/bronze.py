@@ -167,6 +167,14 @@ def monthly_catalog(points: DataFrame) -> DataFrame:
     )
 
 
+def payload_facts(files: DataFrame) -> DataFrame:
+    """period, table_no, part, stated (the period that the caption names, as YYYY-MM, null where none), unit (of the caption), labels (of the rows, sorted, each once) of the files of a monthly tree."""
+    x = _payloads(files).select("period", "table_no", "part", F.col("j.caption").alias("caption"), F.filter("j.data.rows", lambda r: F.size(r["cell"]) > LABEL).alias("rows"))
+    named = lambda k: F.regexp_extract("caption", r"(\d{4})\s*/\s*(\d{1,2})", k)
+    labels = F.array_sort(F.array_distinct(F.transform("rows", lambda r: F.btrim(as_text(F.get(r["cell"], F.lit(LABEL)))))))
+    return x.select("period", "table_no", "part", F.when(named(1) != "", F.concat(named(1), F.lit("-"), F.lpad(named(2), 2, "0"))).alias("stated"), F.btrim(txt.caption_unit(F.col("caption"))).alias("unit"), labels.alias("labels"))
+
+
 def quarterly_points(files: DataFrame) -> DataFrame:
     """table_no, column, province, grp, period, value, first. Paths end in YYYY-Q/tabloN.json, where the second number is the month that the quarter is named by.
     Every numeric cell from the sixth on is an observation; a column without a name is colN."""
