@@ -199,6 +199,16 @@ def kind_of(media_type: Column, body: Column) -> Column:
     )
 
 
+MAX_PAGES = 50
+
+
+def pdf_refusal(body: Column) -> Column:
+    """Why a PDF isn't read, by its objects as far as they aren't compressed: damaged (it doesn't begin as one), encrypted, page_limit (more than MAX_PAGES pages), no_text_layer (no font, so pictures at most), else unsupported, as there is no reader of its text here."""
+    said = F.decode(body, "ISO-8859-1")
+    pages = F.regexp_count(said, F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    return F.when(~F.startswith(said, F.lit("%PDF-")), "damaged").when(F.contains(said, F.lit("/Encrypt")), "encrypted").when(pages > MAX_PAGES, "page_limit").when(~F.contains(said, F.lit("/Font")), "no_text_layer").otherwise("unsupported")
+
+
 def score_link(text: Column, url: Column, terms: list[str]) -> Column:
     """Two for each term in the text, one for each in the address alone, one more for a document's ending if any matched."""
     t, u = F.lower(text), F.lower(url)
