@@ -30,7 +30,7 @@ from tidelake.llm.topk import best
 SCALE, POSITIVES, NEGATIVES, LEAST_PERCENT = 256, 5, 5, 80
 #: The contract's anchors, and the rows whose label is moved on by one of LABELS.
 EVERY, MOVED, LABELS = 100, 7, 10
-PIVOTS, SAMPLE = 16, 256
+PIVOTS, SAMPLE = 8, 256
 #: Rows of a group and of a block; asks that are searched together; groups whose ranges are looked at together.
 GROUP, BLOCK, ASKS, RANGES = 8192, 1024, 512, 1024
 #: Of |q|^2 + M, what rounding of distances may cost a bound.
