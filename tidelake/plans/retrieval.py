@@ -45,7 +45,7 @@ _BASE = (
     "CASE WHEN p_partkey % 11 > 0 THEN ['Sektör', 'Mevduat', 'Katılım', 'Kamu', 'Yabancı'][p_partkey % 5 + 1] END AS sector_scope, CASE WHEN p_partkey % 3 = 0 THEN 'NATION_' || (p_partkey % 25) END AS province, "
     "CASE WHEN p_type <> 'ECONOMY' THEN ['TP', 'YP', 'Toplam'][p_partkey % 3 + 1] END AS currency_basis, ['M', 'W', 'Q', 'D'][p_partkey % 4 + 1] AS native_freq, p_partkey IN (SELECT l_partkey FROM lineitem) AS has_data FROM part), "
     "con AS (SELECT raw_label AS label, source, count(*) AS series_count, bool_or(has_data) AS has_data, list_sort(list(DISTINCT measure_type)) AS kinds FROM cat GROUP BY ALL), "
-    f"lt AS (SELECT label || '|' || source AS id, {TOK.replace(FOLD, FOLD.replace('(s,', '(label,'))} AS c FROM con) "
+    f"lt AS (SELECT label || '|' || source AS id, {TOK.replace(FOLD, FOLD.replace('(s)', '(label)'))} AS c FROM con) "
 )
 
 
@@ -73,7 +73,7 @@ def nl_resolve(spark, sf):
 def _resolved(base: str) -> str:
     """picked: the series of l's questions."""
     out = _ranked(base, retrieval.DEPTH, True)
-    out += f", k AS (SELECT id, {TOK} AS t FROM l), named AS (SELECT id, coalesce({_FACET(routing.SCOPE_CUES)}, 'Sektör') AS sc, ({_FACET(routing.SCOPE_CUES)}) IS NOT NULL AS ssc, coalesce({_FACET(routing.CURRENCY_CUES)}, 'Toplam') AS cu, ({_FACET(routing.CURRENCY_CUES)}) IS NOT NULL AS scu, (SELECT min(n_name) FROM nation WHERE list_has_all(t, {TOK.replace(FOLD, FOLD.replace('(s,', '(n_name,'))})) AS pr FROM k)"
+    out += f", k AS (SELECT id, {TOK} AS t FROM l), named AS (SELECT id, coalesce({_FACET(routing.SCOPE_CUES)}, 'Sektör') AS sc, ({_FACET(routing.SCOPE_CUES)}) IS NOT NULL AS ssc, coalesce({_FACET(routing.CURRENCY_CUES)}, 'Toplam') AS cu, ({_FACET(routing.CURRENCY_CUES)}) IS NOT NULL AS scu, (SELECT min(n_name) FROM nation WHERE list_has_all(t, {TOK.replace(FOLD, FOLD.replace('(s)', '(n_name)'))})) AS pr FROM k)"
     out += ", r0 AS (SELECT qid, rank, intent_satisfied, h.label, h.source, series_id, sector_scope, province, currency_basis, native_freq, sc, ssc, cu, scu, pr FROM hits h JOIN cat ON raw_label = h.label AND cat.source = h.source JOIN named ON named.id = qid)"
     for i, (facet, want, stated) in enumerate((("sector_scope", "sc", "ssc"), ("province", "pr", "pr IS NOT NULL"), ("currency_basis", "cu", "scu")), 1):
         out += f", r{i} AS (SELECT * EXCLUDE (a) FROM (SELECT *, bool_or({facet} IS NOT NULL) OVER (PARTITION BY qid, rank) AS a FROM r{i - 1}) WHERE CASE WHEN a THEN {facet} IS NOT DISTINCT FROM {want} ELSE NOT ({stated}) END)"
