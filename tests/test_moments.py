@@ -38,6 +38,28 @@ def test_unit_roots_from_sums(series):
         assert got[k].lag == lag and got[k].statistic == pytest.approx(t, rel=1e-6) and got[k].p == pytest.approx(stats.unit_root_p(t), abs=1e-9), k
 
 
+def test_unit_roots_of_large_values_keep_their_digits():
+    rng = np.random.default_rng(7)
+    for y in (rng.standard_normal(80), rng.standard_normal(80).cumsum(), rng.standard_normal(25)):
+        for trend in (1, 2):
+            t, lag = stats.unit_root(y, trend=trend)
+            for scale, shift in ((1e9, 1e10), (1e-6, 0.0), (1e7, 3e9)):
+                got = stats.unit_root(scale * y + shift, trend=trend)
+                assert got[1] == lag and got[0] == pytest.approx(t, rel=1e-8)
+        assert stats.unit_root(1e9 * y, trend=0) == pytest.approx(stats.unit_root(y, trend=0), rel=1e-8)
+
+
+def test_table_function_equals_the_sums_on_large_values(spark):
+    rng = np.random.default_rng(8)
+    made = {f"s{n}": 4e8 + 3e7 * rng.standard_normal(n) for n in (3, 24, 80, 120)}
+    table = spark.createDataFrame([(k, datetime.date(2000, 1, 1) + datetime.timedelta(days=i), float(v)) for k, y in made.items() for i, v in enumerate(y)], "series_id string, period date, value double")
+    want = {r.series_id: r for r in moments.unit_roots(table).collect()}
+    tables.register(spark)
+    got = {r.series_id: r for r in spark.sql("SELECT * FROM unit_root(TABLE({t}) PARTITION BY series_id ORDER BY period)", t=table).collect()}
+    assert set(got) == set(made) and got["s3"].statistic is None and want["s3"].statistic is None
+    assert all(got[k].lag == want[k].lag and got[k].statistic == pytest.approx(want[k].statistic, abs=1e-7) and got[k].p == pytest.approx(want[k].p, abs=1e-9) for k in made if k != "s3")
+
+
 def test_orders_from_sums(series):
     pairs, table = series
     got = {r.series_id: r.lag for r in moments.lag_orders(table, "x", "value").collect()}
