@@ -52,3 +52,14 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_query_without_sql_finds_something(spark, name):
     """Their values are held against closed forms and brute force in test_operators.py."""
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_seconds_of_a_published_service_are_rounded(spark, tmp_path):
+    """Moments about midnight in Istanbul with parts of a second, halves among them."""
+    midnight, part = datetime.datetime(2024, 1, 21, 21), [-1.5, -0.6, -0.5, -0.4, -1e-6, 0.0, 0.5]
+    made = [(i, midnight + datetime.timedelta(seconds=p + odd)) for i, (p, odd) in enumerate((p, odd) for p in part for odd in (0, 1) for _ in range(3))]
+    spark.createDataFrame(made, "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got, want = registry.queries()["src_http_series"](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()["src_http_series"]).df()
+    assert rows(got) == rows(want)
