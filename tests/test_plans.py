@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import answering, retrieval
 from tidelake.functions import text as txt
 from tidelake.operators import accumulation, alignment
+from tidelake.plans import questions, words
 
 
 def step(kind, **parameters):
@@ -71,3 +72,13 @@ def test_lexical_scores_from_an_index_are_those_of_all_pairs(spark):
     got = {(r.qid, r.id): r.score for r in retrieval.lexical_scores(asked, labels).collect()}
     every = asked.crossJoin(labels).select("qid", "id", txt.lexical_score(F.col("q"), F.col("c")).alias("score")).where("score > 0")
     assert got == {(r.qid, r.id): r.score for r in every.collect()} and (1, 1) in got and (2, 4) in got
+
+
+def test_words_of_parts_are_spread_and_pairs_are_counted_not_made(spark, tmp_path):
+    """A file of one row group is worked on by several tasks; the words are cut once, and no array of pairs is made."""
+    part = spark.range(400_000).select(F.col("id").alias("p_partkey"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" flow")).alias("p_name"))
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    own = words.frame(spark, words.QUESTIONS, str(tmp_path)).where("id >= 100")
+    assert own.groupBy(F.spark_partition_id().alias("task")).count().where("count > 1000").count() > 1 and own.count() == 400_000
+    plan = questions.jn_query_cross(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(" not in plan and plan.count("RLIKE") == 2  # the items' words and the parts', once each
