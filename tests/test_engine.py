@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import re
 import time
 import zipfile
 
@@ -227,3 +228,33 @@ def test_a_break_test_that_cannot_be_computed_is_said(monkeypatch):
     monkeypatch.setattr(stats, "zivot_andrews", lambda y: (float("inf"), 0))
     assert stats.diagnosis(walk) == ("I(1)", True)
     assert abs(stats.break_p(-4.81067) - 0.05) < 1e-12 and stats.break_p(-9) == 0.01
+
+
+def test_distinct_parts_of_quarters_and_what_is_shuffled_for_them(spark, tmp_path):
+    """Quarters of many eras, parts and days that are missing, copies of lines; a part is shuffled once for 64 quarters."""
+    stamp = lambda y, m, d: datetime.datetime(y, m, d, 13)
+    days = [stamp(y, m, d) for y in (1, 1899, 1944, 1983, 1984, 1999, 2000, 2015, 2016, 2100) for m, d in ((1, 1), (3, 31), (4, 1), (12, 31))]
+    lines = [(part, status, day) for i, day in enumerate(days) for part in (1, 2, 2**40 + i % 3, i) for status in ("F", "O") if (i + part) % 3 or status == "F"]
+    lines += [(None, "O", stamp(2015, 1, 5)), (None, "O", stamp(1950, 7, 5)), (7, None, stamp(2015, 1, 5))] + lines[::2]
+    spark.createDataFrame(lines, "l_partkey long, l_linestatus string, l_shipdate timestamp_ntz").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for part, status, day in lines:
+        key = (status and f"count.{status}", datetime.date(day.year, (day.month - 1) // 3 * 3 + 1, 1))
+        want.setdefault(key, set()).update([] if part is None else [part])
+    made = lake.build_quarterly_count(spark, str(tmp_path))
+    assert {(r.series_id, r.period): r.value for r in made.collect()} == {k: float(len(v)) for k, v in want.items()}
+    assert dict(made.dtypes) == {"series_id": "string", "period": "date", "value": "double"}
+    keys = re.findall(r"hashpartitioning\(([^()]*)", made._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(c.strip().partition("#")[0] for c in k.split(",") if "#" in c) for k in keys} == {("status", "era"), ("status", "era", "part")}
+
+
+def test_lines_without_a_day_make_a_period_that_a_store_refuses(spark, tmp_path):
+    spark.createDataFrame([(1, "F", None), (2, "F", None), (2, "F", datetime.datetime(2000, 5, 5))], "l_partkey long, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.period, r.value) for r in lake.build_quarterly_count(spark, str(tmp_path)).collect()}
+    assert got == {(None, 2.0), (datetime.date(2000, 4, 1), 1.0)}
+
+
+def test_orders_are_summed_after_they_meet_their_customers(spark):
+    """Sums by customer and month would be nearly as many as orders."""
+    plan = lake.monthly_orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "HashAggregate" not in plan.partition("SortMergeJoin")[2]
